@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, simhash
+from . import bpe, packing, secrets, simhash, suffix_dedup
 from ._common import table
 
 
@@ -19,6 +19,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,7 +33,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_secrets": op2_secrets, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
+    return {"op1_packing": op1_packing, "op2_secrets": op2_secrets, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,8 +13,27 @@ WHITE_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 _NEAR_SPACE = re.compile(f"^ | $| [{WHITE_SPACE}]|[{WHITE_SPACE}] ")
 _SAFE_CUT = re.compile(f"(?<=[^{WHITE_SPACE}]) (?=[^{WHITE_SPACE}])")
 
-#: Entries that a worker's cache of encoded words may hold; it is emptied beyond that, so memory stays bounded.
-CACHE_ENTRIES = 400_000
+#: Entries that one generation of a worker's cache may hold.
+CACHE_ENTRIES = 500_000
+
+
+class Cache:
+    """A bounded cache in two generations: a full one ages, and what is asked for again moves back to the young one."""
+
+    def __init__(self, make, entries: int = CACHE_ENTRIES):
+        self.make, self.entries, self.young, self.old = make, entries, {}, {}
+
+    def age(self) -> None:
+        """To be called between batches."""
+        if len(self.young) > self.entries:
+            self.old, self.young = self.young, {}
+
+    def miss(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.young[key] = value
+        return value
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

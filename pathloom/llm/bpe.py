@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import CACHE_ENTRIES, WHITE_SPACE, id_and_text, words_after_spaces
+from ._common import WHITE_SPACE, Cache, id_and_text, words_after_spaces
 
 
 class RankQueue:
@@ -78,8 +78,8 @@ class Codec:
         outside = f"[^{WHITE_SPACE}]"
         explicit = pattern.replace("[^\\s", f"[^{WHITE_SPACE}").replace("\\S", outside).replace("\\s", f"[{WHITE_SPACE}]")
         self.split = regex.compile(explicit).findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces = Cache(lambda piece: tuple(self.merge(piece.encode())))
+        self.words = Cache(self._word)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -122,14 +122,10 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        pieces = self.pieces
+        self.pieces.age()
+        known, miss = self.pieces.young.get, self.pieces.miss
         for piece in self.split(text):
-            found = pieces.get(piece)
-            if found is None:
-                if len(pieces) >= CACHE_ENTRIES:
-                    pieces.clear()
-                found = pieces[piece] = tuple(self.merge(piece.encode()))
-            ids += found
+            ids += known(piece) or miss(piece)
         return ids
 
     def decode(self, ids) -> bytes:
@@ -138,11 +134,8 @@ class Codec:
 
     def _word(self, word: str) -> tuple[bytes, bytes]:
         """The ids of " " + word in decimal, and what they decode to."""
-        if len(self.words) >= CACHE_ENTRIES:
-            self.words.clear()
         ids = self.encode(" " + word)
-        entry = self.words[word] = (",".join(map(str, ids)).encode(), self.decode(ids))
-        return entry
+        return ",".join(map(str, ids)).encode(), self.decode(ids)
 
     def written(self, text: str) -> tuple[bytes, bytes]:
         """Decimal ids of a whole text joined by commas, and the bytes that they decode to."""
@@ -150,8 +143,9 @@ class Codec:
             return b"", b""
         parts = words_after_spaces(text)
         first = self.encode(parts[0])
-        known, add = self.words.get, self._word
-        entries = [known(w) or add(w) for w in parts[1:]]
+        self.words.age()
+        known, miss = self.words.young.get, self.words.miss
+        entries = [known(w) or miss(w) for w in parts[1:]]
         entries.insert(0, (",".join(map(str, first)).encode(), self.decode(first)))
         if not first:
             entries.pop(0)

@@ -15,6 +15,7 @@ Defined results: null or empty text has only the end id; equal rows are packed o
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,37 +24,82 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import CACHE_ENTRIES, id_and_text
+from ._common import Cache, id_and_text
 
+#: ASCII marks that form one pre-token when they end a word (the apostrophe may begin another).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END = (1).to_bytes(4, "little")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class WordIds:
-    """Ids of a text as little-endian 32-bit words, through a bounded cache of the words between spaces."""
+    """Ids of a text as little-endian 32-bit words, through bounded caches of the words between spaces.
+
+    The tokenizer lower-cases, drops white space, and splits letters from other characters, so words between white
+    space stand alone, and so do Latin letters and the ASCII marks that follow them."""
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The pre-tokenizer drops white space and its pieces never hold any, so words between spaces stand alone."""
-        if len(self.words) >= CACHE_ENTRIES:
-            self.words.clear()
-        words = self.words
-        split = [t.split(" ") for t in texts]
-        new = list({w for parts in split for w in parts if w not in words})
+        #: The same vocabulary for words of lower-case Latin letters, which need no normalising or splitting.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.encode_special_tokens = True
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words, self.stems = Cache(None), Cache(None)
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str] | None:
+        """Lower-case Latin letters and the marks after them; None for any other word."""
+        stem = word.rstrip(MARKS)
+        low = stem.lower()
+        if low.isalpha() and len(low) == len(stem) and max(low) < "\u0250":
+            return low, word[len(stem) :]
+        return None
+
+    def fill(self, cache: Cache, new: list[str], tokenizer) -> None:
         for at in range(0, len(new), 4096):
             block = new[at : at + 4096]
-            for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                words[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return [b"".join([words[w] for w in parts]) for parts in split]
+            for w, e in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False)):
+                cache.young[w] = array("I", e.ids).tobytes()
+
+    @staticmethod
+    def missing(cache: Cache, seen: set[str]) -> list[str]:
+        """What neither generation holds; what the old one holds becomes young."""
+        young, old, new = cache.young, cache.old, []
+        for w in seen:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        return new
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        self.words.age()
+        self.stems.age()
+        split, seen = [t.replace("\n", " ").split(" ") for t in texts], set()
+        for words in split:
+            seen.update(words)
+        plain, other, stems = [], [], set()
+        for w in self.missing(self.words, seen):
+            found = self.parts(w)
+            if found is None:
+                other.append(w)
+            else:
+                plain.append((w, *found))
+                stems.add(found[0])
+        self.fill(self.stems, self.missing(self.stems, stems), self.letters)
+        marks = {m for _, _, m in plain if m}
+        self.fill(self.words, [*other, *self.missing(self.words, marks)], self.tokenizer)
+        ids, stem = self.words.young, self.stems.young
+        ids.update([(w, stem[low] + ids[m] if m else stem[low]) for w, low, m in plain])
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
 class TierPacker:

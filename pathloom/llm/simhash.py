@@ -210,3 +210,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     # written out, so that the last join deals both sides anew and can split a frequent fingerprint
     all_codes = cut(codes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
     return prints.join(all_codes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of docs that name their component (its least doc_id), all columns; repeated rows stay once."""
+    groups = near_duplicates(docs, width, radius)
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    kept = docs.join(cut(stay), docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")

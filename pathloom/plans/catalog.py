@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("scene_queries",)
+
+
+def _all(name: str) -> dict:
+    found: dict = {}
+    for module in MODULES:
+        found |= getattr(import_module(f"pathloom.plans.{module}"), name)
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")

@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     groups = components(hamming_links(codes, codes.count(), radius))
     labelled = codes.join(groups, codes["fp"] == groups["v"], "left").select("fp", "least_id", F.col("label"))
     # a label is a member's fp, so a component is named by its label; fp without a link stand alone
-    least = labelled.filter("label is not null").groupBy("label").agg(F.min("least_id").alias("component_id"))
+    least = cut(labelled.filter("label is not null").groupBy("label").agg(F.min("least_id").alias("component_id")))
     named = groups.join(least, "label").select(F.col("v").alias("fp"), "component_id")
     # written out, so that the last join deals both sides anew and can split a frequent fingerprint
     all_codes = cut(codes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))

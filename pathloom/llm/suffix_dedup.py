@@ -144,11 +144,18 @@ def _segments(rows: list, texts: list[bytes]) -> Iterator[tuple[list, list[int],
         yield held, starts, parts
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Small parts of the batches, so that a task holds few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 RUN = "row long, pos long, shape long, gram long, span long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches, 256):
         texts = [t.as_py().encode() for t in batch.column("text")]
         for rows, starts, parts in _segments(batch.column("row").to_pylist(), texts):
             owner, pos, windows, offset, gram, span = runs(parts)
@@ -159,7 +166,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All columns, text replaced by its compressed bytes (packed, the last column)."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
+    for batch in _slices(batches, 1024):
         names = [n for n in batch.schema.names if n != "text"]
         texts = pa.array([pack(t.as_py().encode()) for t in batch.column("text")], pa.binary())
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), texts], [*names, "packed"])
@@ -174,7 +181,7 @@ SPAN = "gram long, span long, once boolean, row long, pos long, offset int, byte
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted span, cut from the text of its row."""
-    for batch in batches:
+    for batch in _slices(batches, 256):
         out = []
         for packed, wanted in zip(batch.column("packed"), batch.column("wanted").to_pylist()):
             text = _unpack(packed.as_py())
@@ -225,10 +232,10 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _ranges(column("row")[owner[again]], column("pos")[owner[again]] + number[again])
 
     waiting = None
-    for batch in batches:
+    for batch in _slices(batches, 2048):
         table = pa.Table.from_batches([batch] if waiting is None else [*waiting.to_batches(), batch])
         waiting = table
-        if table.num_rows >= 4096:
+        if table.num_rows >= 2048:
             gram = table.column("gram").to_numpy()
             end = int(np.flatnonzero(gram == gram[-1])[0])
             if end:
@@ -244,8 +251,8 @@ SINGLE = "gram long, off int, hash long, once boolean, row long, at long"
 def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of a frequent gram's spans as a row."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 4096):
-            part = batch.slice(k, 4096)
+        for k in range(0, batch.num_rows, 2048):
+            part = batch.slice(k, 2048)
             owner, number, hashed = _windows(part.column("bytes").to_pylist())
             column = lambda name: part.column(name).to_numpy(zero_copy_only=False)[owner]  # noqa: E731, B023
             arrays = [column("gram"), (column("offset") - number).astype(np.int32), hashed.view(np.int64), column("once"), column("row"), column("pos") + number]
@@ -262,11 +269,15 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
 def repeated_ranges(held: DataFrame, packed: DataFrame) -> DataFrame:
     """Byte ranges (row, first, last) whose windows occur again; they may overlap. held: of keyed(); packed: of _packed."""
     tuples = held.select("row", "text").filter(F.octet_length("text") >= WINDOW).mapInArrow(_runs, RUN)
+    salt = 8  # a frequent gram's tuples are dealt to several tasks
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    own_salt = F.pmod("span", F.lit(salt)).cast("int")
+    # most grams occur once: their tuples end here, what follows reads this table only
+    grams = tuples.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    tuples = cut(tuples.withColumn("salt", own_salt).join(salted(grams), ["gram", "salt"], "left_semi").drop("salt"))
     spans = tuples.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos"), F.first("shape").alias("shape"))
-    salt = 8  # a frequent gram's spans are dealt to several tasks
-    kinds = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    # one job finds all that repeats; the rest of the plan reads this small table
-    known = cut(spans.withColumn("salt", F.pmod("span", F.lit(salt)).cast("int")).join(kinds, ["gram", "salt"], "left").filter((F.col("n") > 1) | F.col("k").isNotNull()).drop("salt"))
+    kinds = salted(spans.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    known = cut(spans.withColumn("salt", own_salt).join(kinds, ["gram", "salt"], "left").filter((F.col("n") > 1) | F.col("k").isNotNull()).drop("salt"))
     whole = known.filter("n > 1").select("gram", "span")
     found = tuples.join(whole, ["gram", "span"]).select("row", F.col("pos").alias("first"), (F.col("pos") + F.shiftright("shape", 16) + (WINDOW - 1)).alias("last"))
     wanted = known.filter("k is not null").groupBy("row").agg(F.collect_list(F.struct("gram", "span", "n", "row", "pos", "shape", "k")).alias("wanted"))

@@ -18,7 +18,7 @@ VIEWS: dict[str, str] = {
         -8e0+3.2e0*(n_nationkey%5) AS min_x, -8e0+3.2e0*CAST(floor(n_nationkey/5e0) AS INT) AS min_y, -8e0+3.2e0*(n_nationkey%5)+3.2e0 AS max_x, -8e0+3.2e0*CAST(floor(n_nationkey/5e0) AS INT)+3.2e0 AS max_y FROM nation""",
     "v_objects": "SELECT p_partkey AS id, -8e0+((p_partkey*37)%160)*1e-1 AS cx, -8e0+((p_partkey*61)%160)*1e-1 AS cy, 5e-2+1e-2*p_size AS half, p_size, p_type, p_brand FROM part",
     "v_relations": "SELECT p_partkey AS id, CASE WHEN p_partkey%97=96 THEN p_partkey WHEN p_partkey%89=88 THEN -1 WHEN p_partkey<25 THEN p_partkey ELSE CAST(floor(p_partkey/3e0) AS BIGINT) END AS parent, p_partkey<25 AS parent_is_room FROM part",
-    "v_track": "SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, value/1e1 AS x, (event_id%50)*2e-1 AS y, 0e0 AS z FROM events",
+    "v_track": "SELECT user_id AS path_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, value/1e1 AS x, (event_id%50)*2e-1 AS y, 0e0 AS z FROM events",
     "v_tags": "SELECT p_partkey AS id, LIST('Semantics(object)', concat('Semantics(',p_type,')'), CASE WHEN p_size%5=0 THEN '-Semantics(door)' ELSE concat('FromGenerator(',p_brand,')') END, ' malformed ') AS tags FROM part",
     "v_states": f"""SELECT p_partkey AS k, CAST(floor(p_partkey/2e2) AS BIGINT) AS scene_id, concat('o', p_partkey) AS id,
         concat(replace(p_name, ' ', '-'), '/n.', p_partkey, '(', p_size, ')', CASE WHEN p_partkey%2=0 THEN '.meshed' ELSE '' END) AS obj,

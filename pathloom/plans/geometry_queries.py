@@ -73,10 +73,10 @@ def polygon_contains(spark, sf_dir):
     return view(spark, sf_dir, "v_points").select("idx", G.polygon_contains(c("x"), c("y"), polygon()).alias("inside"))
 
 
-@query("SELECT path_id, round(5e-1*abs(sum(x*ny-y*nx)), 6) AS area FROM (SELECT path_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM v_track WHERE seq<=6 WINDOW w AS (PARTITION BY path_id ORDER BY seq)) GROUP BY path_id")
+@query("SELECT path_id, round(5e-1*abs(sum(x*ny-y*nx)), 4) AS area FROM (SELECT path_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM v_track WINDOW w AS (PARTITION BY path_id ORDER BY seq)) GROUP BY path_id")
 def polygon_area(spark, sf_dir):
     corners = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
-    return view(spark, sf_dir, "v_track").filter("seq <= 6").groupBy("path_id").agg(corners.alias("v")).select("path_id", F.round(G.polygon_area(c("v")), 6).alias("area"))
+    return view(spark, sf_dir, "v_track").groupBy("path_id").agg(corners.alias("v")).select("path_id", F.round(G.polygon_area(c("v")), 4).alias("area"))
 
 
 NEAREST = EDGES + ", t AS (SELECT idx, x, y, n, ax, ay, ex-ax AS dx, ey-ay AS dy, least(greatest(((x-ax)*(ex-ax)+(y-ay)*(ey-ay))/greatest((ex-ax)*(ex-ax)+(ey-ay)*(ey-ay),1e-12),0e0),1e0) AS t FROM v_points, e), q AS (SELECT idx, n, ax+t*dx AS qx, ay+t*dy AS qy, (x-(ax+t*dx))*(x-(ax+t*dx))+(y-(ay+t*dy))*(y-(ay+t*dy)) AS d FROM t)"
@@ -111,12 +111,12 @@ def region_bbox(spark, sf_dir):
     return view(spark, sf_dir, "v_rooms").groupBy("type").agg(*(F.min(x).alias(x) for x in ("min_x", "min_y")), *(F.max(x).alias(x) for x in ("max_x", "max_y")))
 
 
-@query("SELECT DISTINCT p.idx, (SELECT round(count(*)*pi(), 6) FROM v_points WHERE idx%50=0) AS area FROM v_points p JOIN v_points w ON w.idx%50=0 AND sqrt((p.x-w.x)*(p.x-w.x)+(p.y-w.y)*(p.y-w.y)) <= 1e0")
+@query("SELECT DISTINCT p.idx, (SELECT round(count(*)*pi(), 6) FROM v_points WHERE room=0) AS area FROM v_points p JOIN v_points w ON w.room=0 AND sqrt((p.x-w.x)*(p.x-w.x)+(p.y-w.y)*(p.y-w.y)) <= 1e0")
 def waypoint_set_region(spark, sf_dir):
     from pathloom.operators.spatial import distance_join
 
-    points = view(spark, sf_dir, "v_points").select("idx", "x", "y")
-    bound = points.filter("idx % 50 = 0")
+    points = view(spark, sf_dir, "v_points").select("idx", "room", "x", "y")
+    bound = points.filter("room = 0")
     area = bound.agg(F.round(F.count(F.lit(1)) * F.lit(math.pi), 6).alias("area"))
     return distance_join(points, bound, 1.0).select(c("idx_a").alias("idx")).distinct().join(F.broadcast(area))
 
@@ -242,13 +242,13 @@ def triangle_area(spark, sf_dir):
     return t.select("room", (0.5 * G.norm(*G.cross(edge(1), edge(2)))).alias("a")).groupBy("room").agg(F.round(F.sum("a"), 6).alias("area"))
 
 
-SEG = "s AS (SELECT path_id, seq, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v_track WHERE x<8e0 WINDOW w AS (PARTITION BY path_id ORDER BY seq)), b AS (SELECT id, cx-half AS x0, cy-half AS y0, cx+half AS x1, cy+half AS y1 FROM v_objects WHERE id%41=0), h AS (SELECT s.path_id, s.seq, b.id, greatest(0e0, CASE WHEN abs(nx-x)<1e-12 THEN 0e0 ELSE least((x0-x)/(nx-x),(x1-x)/(nx-x)) END, CASE WHEN abs(ny-y)<1e-12 THEN 0e0 ELSE least((y0-y)/(ny-y),(y1-y)/(ny-y)) END) AS a, least(1e0, CASE WHEN abs(nx-x)<1e-12 THEN 1e0 ELSE greatest((x0-x)/(nx-x),(x1-x)/(nx-x)) END, CASE WHEN abs(ny-y)<1e-12 THEN 1e0 ELSE greatest((y0-y)/(ny-y),(y1-y)/(ny-y)) END) AS z, (abs(nx-x)<1e-12 AND (x<x0 OR x>x1)) OR (abs(ny-y)<1e-12 AND (y<y0 OR y>y1)) AS miss FROM s, b WHERE nx IS NOT NULL)"
+SEG = "s AS (SELECT path_id, seq, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v_track WINDOW w AS (PARTITION BY path_id ORDER BY seq)), b AS (SELECT id, cx-half AS x0, cy-half AS y0, cx+half AS x1, cy+half AS y1 FROM v_objects WHERE id%41=0), h AS (SELECT s.path_id, s.seq, b.id, greatest(0e0, CASE WHEN abs(nx-x)<1e-12 THEN 0e0 ELSE least((x0-x)/(nx-x),(x1-x)/(nx-x)) END, CASE WHEN abs(ny-y)<1e-12 THEN 0e0 ELSE least((y0-y)/(ny-y),(y1-y)/(ny-y)) END) AS a, least(1e0, CASE WHEN abs(nx-x)<1e-12 THEN 1e0 ELSE greatest((x0-x)/(nx-x),(x1-x)/(nx-x)) END, CASE WHEN abs(ny-y)<1e-12 THEN 1e0 ELSE greatest((y0-y)/(ny-y),(y1-y)/(ny-y)) END) AS z, (abs(nx-x)<1e-12 AND (x<x0 OR x>x1)) OR (abs(ny-y)<1e-12 AND (y<y0 OR y>y1)) AS miss FROM s, b WHERE nx IS NOT NULL)"
 
 
 @query("SELECT path_id, seq, id FROM h WHERE NOT miss AND a<=z", SEG)
 def segment_aabb_blocked(spark, sf_dir):
     w = Window.partitionBy("path_id").orderBy("seq")
-    s = view(spark, sf_dir, "v_track").filter("x < 8").select("path_id", "seq", "x", "y", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny")).filter("nx is not null")
+    s = view(spark, sf_dir, "v_track").select("path_id", "seq", "x", "y", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny")).filter("nx is not null")
     boxes = view(spark, sf_dir, "v_objects").filter("id % 41 = 0").select("id", *((c(m) + k * c("half")).alias(n) for n, m, k in (("x0", "cx", -1), ("y0", "cy", -1), ("x1", "cx", 1), ("y1", "cy", 1))))
     # cells of a segment's own box meet the cells of a box; a pair may meet in several cells
     size = 2.0

@@ -32,7 +32,7 @@ PAIR = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
 PAIR3 = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 INSIDE = "p.x BETWEEN r.min_x AND r.max_x AND p.y BETWEEN r.min_y AND r.max_y"
 GRID = """room_cells AS (SELECT DISTINCT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM (SELECT unnest(generate_series(i0, i1)) AS i, j0, j1 FROM (SELECT least(greatest(CAST(trunc((min_x+15e-2+8e0)/5e-1) AS INTEGER),0),31) AS i0, least(greatest(CAST(trunc((max_x-15e-2+8e0)/5e-1) AS INTEGER),0),31) AS i1, least(greatest(CAST(trunc((min_y+15e-2+8e0)/5e-1) AS INTEGER),0),31) AS j0, least(greatest(CAST(trunc((max_y-15e-2+8e0)/5e-1) AS INTEGER),0),31) AS j1 FROM v_rooms WHERE room_id%7<>3)) x, LATERAL (SELECT unnest(generate_series(j0, j1)) AS j)),
-obstacle_cells AS (SELECT DISTINCT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM (SELECT unnest(generate_series(i0, i1)) AS i, j0, j1 FROM (SELECT least(greatest(CAST(trunc((cx-half-25e-2+8e0)/5e-1) AS INTEGER),0),31) AS i0, least(greatest(CAST(trunc((cx+half+25e-2+8e0)/5e-1) AS INTEGER),0),31) AS i1, least(greatest(CAST(trunc((cy-half-25e-2+8e0)/5e-1) AS INTEGER),0),31) AS j0, least(greatest(CAST(trunc((cy+half+25e-2+8e0)/5e-1) AS INTEGER),0),31) AS j1 FROM v_objects WHERE id%41=0 AND id<2000)) x, LATERAL (SELECT unnest(generate_series(j0, j1)) AS j)),
+obstacle_cells AS (SELECT DISTINCT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM (SELECT unnest(generate_series(i0, i1)) AS i, j0, j1 FROM (SELECT least(greatest(CAST(trunc((cx-half-25e-2+8e0)/5e-1) AS INTEGER),0),31) AS i0, least(greatest(CAST(trunc((cx+half+25e-2+8e0)/5e-1) AS INTEGER),0),31) AS i1, least(greatest(CAST(trunc((cy-half-25e-2+8e0)/5e-1) AS INTEGER),0),31) AS j0, least(greatest(CAST(trunc((cy+half+25e-2+8e0)/5e-1) AS INTEGER),0),31) AS j1 FROM v_objects WHERE id%41=0)) x, LATERAL (SELECT unnest(generate_series(j0, j1)) AS j)),
 grid AS (SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, CASE WHEN o.i IS NOT NULL THEN 1 WHEN r.i IS NOT NULL THEN 0 ELSE 2 END AS state FROM range(32) a(i) CROSS JOIN range(32) b(j) LEFT JOIN room_cells r ON r.i=a.i AND r.j=b.j LEFT JOIN obstacle_cells o ON o.i=a.i AND o.j=b.j)"""
 LABELS = GRID + """, reach AS (SELECT i, j, i AS ri, j AS rj FROM grid WHERE state=0 UNION SELECT g.i, g.j, r.ri, r.rj FROM reach r JOIN grid g ON g.state=0 AND abs(g.i-r.i)+abs(g.j-r.j)=1),
 root AS (SELECT i, j, min(ri*32+rj) AS root FROM reach GROUP BY i, j), labels AS (SELECT i, j, CAST(dense_rank() OVER (ORDER BY root)-1 AS INTEGER) AS label FROM root)"""
@@ -44,7 +44,7 @@ def points(spark, sf_dir):
 
 def grid(spark, sf_dir):
     rooms = view(spark, sf_dir, "v_rooms").filter("room_id % 7 <> 3")
-    boxes = view(spark, sf_dir, "v_objects").filter("id % 41 = 0 and id < 2000").select((c("cx") - c("half")).alias("min_x"), (c("cy") - c("half")).alias("min_y"), (c("cx") + c("half")).alias("max_x"), (c("cy") + c("half")).alias("max_y"))
+    boxes = view(spark, sf_dir, "v_objects").filter("id % 41 = 0").select((c("cx") - c("half")).alias("min_x"), (c("cy") - c("half")).alias("min_y"), (c("cx") + c("half")).alias("max_x"), (c("cy") + c("half")).alias("max_y"))
     return GD.build(spark, rooms, boxes, -8.0, 0.5, 32)
 
 
@@ -109,14 +109,14 @@ def viewpoint_room_label(spark, sf_dir):
     return _labelled(spark, sf_dir)
 
 
-@query(f"SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_rooms r WHERE {INSIDE} ORDER BY r.room_id LIMIT 1) AS room_id FROM v_track p WHERE p.seq <= 20")
+@query(f"SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_rooms r WHERE {INSIDE} ORDER BY r.room_id LIMIT 1) AS room_id FROM v_track p")
 def rooms_on_polyline(spark, sf_dir):
-    track = view(spark, sf_dir, "v_track").filter("seq <= 20").select("path_id", "seq", "x", "y")
+    track = view(spark, sf_dir, "v_track").select("path_id", "seq", "x", "y")
     boxes = view(spark, sf_dir, "v_rooms").select(c("room_id").alias("order_id"), "room_id", "min_x", "min_y", "max_x", "max_y")
     return first_box(track, boxes, 3.2, ("path_id", "seq"), "order_id", "room_id")
 
 
-@query(f"SELECT path_id, CAST(count(DISTINCT room_id) AS BIGINT) AS n_rooms, arg_min(room_id, seq) AS first_room FROM (SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_rooms r WHERE {INSIDE} ORDER BY r.room_id LIMIT 1) AS room_id FROM v_track p WHERE p.seq <= 20) WHERE room_id IS NOT NULL GROUP BY path_id")
+@query(f"SELECT path_id, CAST(count(DISTINCT room_id) AS BIGINT) AS n_rooms, arg_min(room_id, seq) AS first_room FROM (SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_rooms r WHERE {INSIDE} ORDER BY r.room_id LIMIT 1) AS room_id FROM v_track p) WHERE room_id IS NOT NULL GROUP BY path_id")
 def rooms_on_path(spark, sf_dir):
     listed = rooms_on_polyline(spark, sf_dir).filter("room_id is not null").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("seq", "room_id"))).alias("l"))
     return listed.select("path_id", F.array_distinct(F.transform("l", lambda s: s["room_id"])).alias("rooms")).select("path_id", F.size("rooms").cast("long").alias("n_rooms"), F.get("rooms", F.lit(0)).alias("first_room"))
@@ -128,11 +128,11 @@ def waypoints_in_region(spark, sf_dir):
     return distance_join(points(spark, sf_dir).select("idx", "x", "y"), centers, 1.5).select(c("idx_a").alias("idx"), c("id_b").alias("region_id"))
 
 
-@query("SELECT s.idx, c.id AS region_id FROM v_points s CROSS JOIN v_objects c WHERE s.idx%25=0 AND c.id%41=0 AND c.id<2000 AND NOT sqrt((s.x-c.cx)*(s.x-c.cx)+(s.y-c.cy)*(s.y-c.cy)) <= 15e-1 AND sqrt((s.x-c.cx)*(s.x-c.cx)+(s.y-c.cy)*(s.y-c.cy)) >= 2e0")
+@query("SELECT s.idx, c.id AS region_id FROM v_points s CROSS JOIN v_objects c WHERE c.id%41=0 AND NOT sqrt((s.x-c.cx)*(s.x-c.cx)+(s.y-c.cy)*(s.y-c.cy)) <= 15e-1 AND sqrt((s.x-c.cx)*(s.x-c.cx)+(s.y-c.cy)*(s.y-c.cy)) >= 2e0")
 def gr_candidates(spark, sf_dir):
-    """The stated starts against the stated regions (both fixed choices of the pipeline), outside and far enough."""
-    starts = points(spark, sf_dir).filter("idx % 25 = 0")
-    regions = view(spark, sf_dir, "v_objects").filter("id % 41 = 0 and id < 2000")
+    """Every start against every goal region of the scene, outside and far enough; the result is that product."""
+    starts = points(spark, sf_dir)
+    regions = view(spark, sf_dir, "v_objects").filter("id % 41 = 0")
     inside = G.circle_contains(c("x"), c("y"), c("cx"), c("cy"), F.lit(1.5))
     far = F.sqrt((c("x") - c("cx")) * (c("x") - c("cx")) + (c("y") - c("cy")) * (c("y") - c("cy"))) >= 2.0
     return starts.join(F.broadcast(regions), ~inside & far).select("idx", c("id").alias("region_id"))
@@ -141,45 +141,46 @@ def gr_candidates(spark, sf_dir):
 NEAR = "d AS (SELECT a.idx AS i, b.idx AS j, {0} AS d FROM v_points a JOIN v_points b ON {1})"
 
 
-@query("SELECT i AS idx, j AS nearest, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d) WHERE k=1", NEAR.format(PAIR, f"b.idx%10=0 AND a.idx<>b.idx AND {PAIR} <= 4e0"))
+@query("SELECT i AS idx, j AS nearest, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d) WHERE k=1", NEAR.format(PAIR, f"b.x*b.x+b.y*b.y<=9e0 AND a.idx<>b.idx AND {PAIR} <= 4e0"))
 def nearest_in_region(spark, sf_dir):
     p = points(spark, sf_dir).select("idx", "x", "y")
-    near = distance_join(p, p.filter("idx % 10 = 0"), 4.0).filter("idx_a <> idx_b")
+    near = distance_join(p, p.filter("x * x + y * y <= 9"), 4.0).filter("idx_a <> idx_b")
     best = near.groupBy(c("idx_a").alias("idx")).agg(F.min_by(F.struct("idx_b", "d"), F.struct("d", "idx_b")).alias("b"))
     return best.select("idx", c("b.idx_b").alias("nearest"), c("b.d").alias("d"))
 
 
-@query("SELECT p.idx, EXISTS (SELECT 1 FROM v_points q WHERE q.idx%5=0 AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) <= 5e-1) AS navigable FROM v_points p")
+@query("SELECT p.idx, EXISTS (SELECT 1 FROM v_points q WHERE q.z<=0e0 AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) <= 5e-1) AS navigable FROM v_points p")
 def is_navigable(spark, sf_dir):
     p = points(spark, sf_dir).select("idx", "x", "y", "z")
-    near = distance_join(p, p.filter("idx % 5 = 0"), 0.5, ("x", "y", "z")).select(c("idx_a").alias("idx")).distinct().withColumn("navigable", F.lit(True))
+    near = distance_join(p, p.filter("z <= 0"), 0.5, ("x", "y", "z")).select(c("idx_a").alias("idx")).distinct().withColumn("navigable", F.lit(True))
     return p.select("idx").join(near, "idx", "left").select("idx", F.coalesce("navigable", F.lit(False)).alias("navigable"))
 
 
-OBJ = "o AS (SELECT id, cx, cy, half FROM v_objects WHERE id<40), g AS (SELECT id, 0 AS pt, cx+half AS x, cy AS y FROM o UNION ALL SELECT id, 1, cx-half, cy FROM o UNION ALL SELECT id, 2, cx, cy+half FROM o UNION ALL SELECT id, 3, cx, cy-half FROM o)"
+OBJ = "o AS (SELECT id, CAST(floor(id/4e1) AS BIGINT) AS scene, id%50 AS place, cx, cy, half FROM v_objects), g AS (SELECT id, scene, place, 0 AS pt, cx+half AS x, cy AS y FROM o UNION ALL SELECT id, scene, place, 1, cx-half, cy FROM o UNION ALL SELECT id, scene, place, 2, cx, cy+half FROM o UNION ALL SELECT id, scene, place, 3, cx, cy-half FROM o)"
 
 
 def goal_points(spark, sf_dir):
-    o = view(spark, sf_dir, "v_objects").filter("id < 40")
+    """Four goal points around each object; scene: 40 objects each, place: where random points are drawn for it."""
+    o = view(spark, sf_dir, "v_objects")
     at = F.posexplode(F.array(*(F.struct((c("cx") + dx * c("half")).alias("x"), (c("cy") + dy * c("half")).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
-    return o.select("id", at.alias("pt", "p")).select("id", "pt", "p.x", "p.y")
+    return o.select("id", F.floor(c("id") / 40).alias("scene"), (c("id") % 50).alias("place"), at.alias("pt", "p")).select("id", "scene", "place", "pt", "p.x", "p.y")
 
 
-@query(f"SELECT from_id, to_id, pt_from, pt_to, length FROM (SELECT a.id AS from_id, b.id AS to_id, a.pt AS pt_from, b.pt AS pt_to, {PAIR} AS length, row_number() OVER (PARTITION BY a.id, b.id ORDER BY {PAIR}, a.pt, b.pt) AS k FROM g a CROSS JOIN g b) WHERE k=1 AND length >= 5e-1", OBJ)
+@query(f"SELECT from_id, to_id, pt_from, pt_to, length FROM (SELECT a.id AS from_id, b.id AS to_id, a.pt AS pt_from, b.pt AS pt_to, {PAIR} AS length, row_number() OVER (PARTITION BY a.id, b.id ORDER BY {PAIR}, a.pt, b.pt) AS k FROM g a JOIN g b ON a.scene=b.scene) WHERE k=1 AND length >= 5e-1", OBJ)
 def object_pair_paths(spark, sf_dir):
     """The shortest of the paths between the goal points of each ordered pair of a scene's objects (straight paths stand in for a mesh)."""
-    g = goal_points(spark, sf_dir)
-    a, b = (g.select(*(c(n).alias(f"{n}_{s}") for n in g.columns)) for s in "ab")
+    g = goal_points(spark, sf_dir).drop("place")
+    a, b = (g.select("scene", *(c(n).alias(f"{n}_{s}") for n in g.columns if n != "scene")) for s in "ab")
     length = F.sqrt((c("x_a") - c("x_b")) * (c("x_a") - c("x_b")) + (c("y_a") - c("y_b")) * (c("y_a") - c("y_b")))
-    best = a.join(F.broadcast(b)).groupBy("id_a", "id_b").agg(F.min(F.struct(length.alias("length"), "pt_a", "pt_b")).alias("m"))
+    best = a.join(b, "scene").groupBy("id_a", "id_b").agg(F.min(F.struct(length.alias("length"), "pt_a", "pt_b")).alias("m"))
     return best.select(c("id_a").alias("from_id"), c("id_b").alias("to_id"), c("m.pt_a").alias("pt_from"), c("m.pt_b").alias("pt_to"), c("m.length").alias("length")).filter("length >= 0.5")
 
 
-@query(f"SELECT idx, id, pt, length FROM (SELECT a.idx, b.id, b.pt, {PAIR} AS length, row_number() OVER (PARTITION BY a.idx, b.id ORDER BY {PAIR}, b.pt) AS k FROM v_points a CROSS JOIN g b WHERE a.idx<100) WHERE k=1 AND length >= 5e-1", OBJ)
+@query(f"SELECT idx, id, pt, length FROM (SELECT a.idx, b.id, b.pt, {PAIR} AS length, row_number() OVER (PARTITION BY a.idx, b.id ORDER BY {PAIR}, b.pt) AS k FROM v_points a JOIN g b ON a.idx%50=b.place) WHERE k=1 AND length >= 5e-1", OBJ)
 def object_random_paths(spark, sf_dir):
-    starts, g = points(spark, sf_dir).filter("idx < 100").select("idx", c("x").alias("sx"), c("y").alias("sy")), goal_points(spark, sf_dir)
+    starts = points(spark, sf_dir).select("idx", (c("idx") % 50).alias("place"), c("x").alias("sx"), c("y").alias("sy"))
     length = F.sqrt((c("sx") - c("x")) * (c("sx") - c("x")) + (c("sy") - c("y")) * (c("sy") - c("y")))
-    best = g.join(F.broadcast(starts)).groupBy("idx", "id").agg(F.min(F.struct(length.alias("length"), "pt")).alias("m"))
+    best = goal_points(spark, sf_dir).join(starts, "place").groupBy("idx", "id").agg(F.min(F.struct(length.alias("length"), "pt")).alias("m"))
     return best.select("idx", "id", c("m.pt").alias("pt"), c("m.length").alias("length")).filter("length >= 0.5")
 
 
@@ -224,10 +225,10 @@ def grid_to_rgb(spark, sf_dir):
     return grid(spark, sf_dir).select("i", "j", tone(0, 200, 40).alias("red"), tone(200, 0, 40).alias("green"), tone(0, 0, 40).alias("blue"))
 
 
-@query("SELECT g.i, g.j, c.id AS region_id FROM grid g JOIN v_objects c ON c.id%82=0 AND g.state=0 AND sqrt((-8e0+(g.i+5e-1)*5e-1-c.cx)*(-8e0+(g.i+5e-1)*5e-1-c.cx)+(-8e0+(g.j+5e-1)*5e-1-c.cy)*(-8e0+(g.j+5e-1)*5e-1-c.cy)) <= 15e-1", GRID)
+@query("SELECT g.i, g.j, c.id AS region_id FROM grid g JOIN v_objects c ON c.id%41=0 AND g.state=0 AND sqrt((-8e0+(g.i+5e-1)*5e-1-c.cx)*(-8e0+(g.i+5e-1)*5e-1-c.cx)+(-8e0+(g.j+5e-1)*5e-1-c.cy)*(-8e0+(g.j+5e-1)*5e-1-c.cy)) <= 15e-1", GRID)
 def grid_mask(spark, sf_dir):
     floor = grid(spark, sf_dir).filter("state = 0").select("i", "j", G.cell_center(c("i"), -8.0, 0.5).alias("x"), G.cell_center(c("j"), -8.0, 0.5).alias("y"))
-    centers = view(spark, sf_dir, "v_objects").filter("id % 82 = 0").select("id", c("cx").alias("x"), c("cy").alias("y"))
+    centers = view(spark, sf_dir, "v_objects").filter("id % 41 = 0").select("id", c("cx").alias("x"), c("cy").alias("y"))
     return distance_join(floor, centers, 1.5).select(c("i_a").alias("i"), c("j_a").alias("j"), c("id_b").alias("region_id"))
 
 
@@ -249,13 +250,13 @@ def reachable(spark, sf_dir):
     return cell.join(after, "idx", "left").select("idx", F.coalesce(c("label") == c("other"), F.lit(False)).alias("reachable"))
 
 
-LINE = "q AS (SELECT idx AS id, idx%17 AS i1, (idx*7)%13 AS j1, (idx*5)%19 AS i2, (idx*3)%23 AS j2 FROM v_points WHERE idx<200), walk AS (SELECT id, 0 AS k, i1 AS i, j1 AS j, abs(i2-i1)-abs(j2-j1) AS err, i2, j2, abs(i2-i1) AS di, abs(j2-j1) AS dj, CASE WHEN i2>=i1 THEN 1 ELSE -1 END AS si, CASE WHEN j2>=j1 THEN 1 ELSE -1 END AS sj FROM q UNION ALL SELECT id, k+1, i+CASE WHEN 2*err>-dj THEN si ELSE 0 END, j+CASE WHEN 2*err<di THEN sj ELSE 0 END, err-CASE WHEN 2*err>-dj THEN dj ELSE 0 END+CASE WHEN 2*err<di THEN di ELSE 0 END, i2, j2, di, dj, si, sj FROM walk WHERE i<>i2 OR j<>j2)"
+LINE = "q AS (SELECT idx AS id, idx%17 AS i1, (idx*7)%13 AS j1, (idx*5)%19 AS i2, (idx*3)%23 AS j2 FROM v_points), walk AS (SELECT id, 0 AS k, i1 AS i, j1 AS j, abs(i2-i1)-abs(j2-j1) AS err, i2, j2, abs(i2-i1) AS di, abs(j2-j1) AS dj, CASE WHEN i2>=i1 THEN 1 ELSE -1 END AS si, CASE WHEN j2>=j1 THEN 1 ELSE -1 END AS sj FROM q UNION ALL SELECT id, k+1, i+CASE WHEN 2*err>-dj THEN si ELSE 0 END, j+CASE WHEN 2*err<di THEN sj ELSE 0 END, err-CASE WHEN 2*err>-dj THEN dj ELSE 0 END+CASE WHEN 2*err<di THEN di ELSE 0 END, i2, j2, di, dj, si, sj FROM walk WHERE i<>i2 OR j<>j2)"
 
 
 def lines(spark, sf_dir):
     k = c("idx")
     cell = lambda m, n: ((k * m) % n).cast("int")
-    return points(spark, sf_dir).filter("idx < 200").select(k.alias("id"), cell(1, 17).alias("i1"), cell(7, 13).alias("j1"), cell(5, 19).alias("i2"), cell(3, 23).alias("j2"))
+    return points(spark, sf_dir).select(k.alias("id"), cell(1, 17).alias("i1"), cell(7, 13).alias("j1"), cell(5, 19).alias("i2"), cell(3, 23).alias("j2"))
 
 
 @query("SELECT id, CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM walk", LINE)
@@ -288,51 +289,53 @@ def snap_to_grid(spark, sf_dir):
     return _nearest_free(spark, sf_dir).select("idx", G.cell_center(c("fi"), -8.0, 0.5).alias("x"), G.cell_center(c("fj"), -8.0, 0.5).alias("y"))
 
 
-def small_grid(spark, sf_dir):
-    """The lower left 12 x 12 cells as one scene."""
-    return grid(spark, sf_dir).filter("i < 12 and j < 12").withColumn("scene_id", F.lit(0).cast("long"))
-
-
-SQUARE = """, f AS (SELECT i*12+j AS v, i, j FROM grid WHERE state=0 AND i<12 AND j<12), w0 AS (SELECT a.v AS a, b.v AS b, CASE WHEN a.v=b.v THEN 0 WHEN a.i=b.i OR a.j=b.j THEN 1 ELSE 1000 END AS w FROM f a JOIN f b ON abs(a.i-b.i)<=1 AND abs(a.j-b.j)<=1)"""
+def tiles(spark, sf_dir):
+    """The whole grid as scenes of 8 x 8 cells."""
+    return grid(spark, sf_dir).withColumn("scene_id", (F.floor(c("i") / 8) * 4 + F.floor(c("j") / 8)).cast("long"))
 
 
 def _squared(steps: int) -> str:
-    """Chained min-plus squarings; a path is counted as straight steps + 1000 x diagonal ones, ordered by its real length."""
-    parts = [SQUARE]
+    """Chained min-plus squarings within each scene; a weight is straight steps + 1000 x diagonal ones, ordered by its real length."""
+    parts = [""", f AS (SELECT i*32+j AS v, i, j, CAST(floor(i/8e0)*4+floor(j/8e0) AS BIGINT) AS s FROM grid WHERE state=0), w0 AS (SELECT a.s, a.v AS a, b.v AS b, CASE WHEN a.v=b.v THEN 0 WHEN a.i=b.i OR a.j=b.j THEN 1 ELSE 1000 END AS w FROM f a JOIN f b ON a.s=b.s AND abs(a.i-b.i)<=1 AND abs(a.j-b.j)<=1)"""]
     for k in range(steps):
-        parts.append(f", w{k + 1} AS (SELECT a, b, arg_min(w, (w%1000)+floor(w/1000)*sqrt(2e0)) AS w FROM (SELECT x.a, y.b, x.w+y.w AS w FROM w{k} x JOIN w{k} y ON x.b=y.a) GROUP BY a, b)")
-    return "".join(parts)
+        parts.append(f", w{k + 1} AS (SELECT s, a, b, arg_min(w, (w%1000)+floor(w/1000)*sqrt(2e0)) AS w FROM (SELECT x.s, x.a, y.b, x.w+y.w AS w FROM w{k} x JOIN w{k} y ON x.s=y.s AND x.b=y.a) GROUP BY s, a, b)")
+    return "".join(parts) + ", src AS (SELECT s, min(v) AS a FROM f GROUP BY s)"
 
 
-@query("SELECT CAST(b AS BIGINT) AS q, round(((w%1000)+floor(w/1000)*sqrt(2e0))*5e-1, 6) AS distance FROM w6 WHERE a=(SELECT min(v) FROM f)", GRID + _squared(6))
+@query("SELECT CAST(w6.b AS BIGINT) AS q, round(((w%1000)+floor(w/1000)*sqrt(2e0))*5e-1, 6) AS distance FROM w6 JOIN src ON src.s=w6.s AND src.a=w6.a", GRID + _squared(6))
 def astar_distance(spark, sf_dir):
-    return GD.grid_paths(_questions(spark, sf_dir), small_grid(spark, sf_dir), 0.5).select("q", F.round("distance", 6).alias("distance"))
+    return GD.grid_paths(_questions(spark, sf_dir), tiles(spark, sf_dir), 0.5).select("q", F.round("distance", 6).alias("distance"))
 
 
 def _questions(spark, sf_dir):
-    floor = small_grid(spark, sf_dir).filter("state = 0")
-    first = floor.agg(F.min(F.struct("i", "j")).alias("m")).select(c("m.i").alias("i1"), c("m.j").alias("j1"))
-    return floor.select("scene_id", (c("i") * 12 + c("j")).cast("long").alias("q"), c("i").alias("i2"), c("j").alias("j2")).join(F.broadcast(first)).select("scene_id", "q", "i1", "j1", "i2", "j2")
+    """From the first floor cell of each scene to every floor cell of it."""
+    floor = tiles(spark, sf_dir).filter("state = 0")
+    first = floor.groupBy("scene_id").agg(F.min(F.struct("i", "j")).alias("m")).select("scene_id", c("m.i").alias("i1"), c("m.j").alias("j1"))
+    goals = floor.select("scene_id", (c("i") * 32 + c("j")).cast("long").alias("q"), c("i").alias("i2"), c("j").alias("j2"))
+    return goals.join(first, "scene_id").select("scene_id", "q", "i1", "j1", "i2", "j2")
 
 
 @query()
 def astar_path(spark, sf_dir):
-    found = GD.grid_paths(_questions(spark, sf_dir), small_grid(spark, sf_dir), 0.5, with_path=True)
+    found = GD.grid_paths(_questions(spark, sf_dir), tiles(spark, sf_dir), 0.5, with_path=True)
     return found.select("q", F.posexplode("path").alias("k", "cell")).select("q", "k", "cell.i", "cell.j")
 
 
-@query("SELECT round(min(((w%1000)+floor(w/1000)*sqrt(2e0))*5e-1), 6) AS distance FROM w6 JOIN f ON f.v=w6.b WHERE a=(SELECT min(v) FROM f) AND f.i>=6 AND f.j>=4", GRID + _squared(6))
+@query("SELECT w6.s AS scene_id, round(min(((w%1000)+floor(w/1000)*sqrt(2e0))*5e-1), 6) AS distance FROM w6 JOIN src ON src.s=w6.s AND src.a=w6.a JOIN f ON f.v=w6.b WHERE f.i%8>=4 AND f.j%8>=3 GROUP BY w6.s", GRID + _squared(6))
 def astar_to_region(spark, sf_dir):
-    inside = _questions(spark, sf_dir).filter("i2 >= 6 and j2 >= 4")
-    return GD.grid_paths(inside, small_grid(spark, sf_dir), 0.5).agg(F.round(F.min("distance"), 6).alias("distance"))
+    """Distance to the region in the far part of each scene; no row where it is not reached."""
+    inside = _questions(spark, sf_dir).filter("i2 % 8 >= 4 and j2 % 8 >= 3")
+    return GD.grid_paths(inside, tiles(spark, sf_dir), 0.5).groupBy("scene_id").agg(F.round(F.min("distance"), 6).alias("distance"))
 
 
-WEB = f"p AS (SELECT * FROM v_points WHERE idx<40), e AS (SELECT a.idx AS i, b.idx AS j, {PAIR} AS d FROM p a JOIN p b ON a.idx<>b.idx AND {PAIR}<=3e0), m0 AS (SELECT i, j, d FROM e UNION ALL SELECT idx, idx, 0e0 FROM p WHERE EXISTS (SELECT 1 FROM e WHERE e.i=p.idx))" + "".join(f", m{k + 1} AS (SELECT i, j, min(d) AS d FROM (SELECT x.i, y.j, x.d+y.d AS d FROM m{k} x JOIN m{k} y ON x.j=y.i) GROUP BY i, j)" for k in range(6))
+WEB = f"p AS (SELECT *, CAST(floor(idx/4e1) AS BIGINT) AS s FROM v_points), e AS (SELECT a.s, a.idx AS i, b.idx AS j, {PAIR} AS d FROM p a JOIN p b ON a.s=b.s AND a.idx<>b.idx AND {PAIR}<=3e0), m0 AS (SELECT s, i, j, d FROM e UNION ALL SELECT s, idx, idx, 0e0 FROM p WHERE EXISTS (SELECT 1 FROM e WHERE e.i=p.idx))" + "".join(f", m{k + 1} AS (SELECT s, i, j, min(d) AS d FROM (SELECT x.s, x.i, y.j, x.d+y.d AS d FROM m{k} x JOIN m{k} y ON x.s=y.s AND x.j=y.i) GROUP BY s, i, j)" for k in range(6))
 
 
 def web(spark, sf_dir):
-    p = points(spark, sf_dir).filter("idx < 40")
-    return GR.both_ways(GR.edges(p, 3.0)).withColumn("scene_id", F.lit(0).cast("long"))
+    """Waypoint graphs of all scenes, 40 waypoints each."""
+    p = points(spark, sf_dir).withColumn("scene_id", F.floor(c("idx") / 40).cast("long"))
+    pairs = distance_join(p, p, 3.0, ("x", "y"), ("scene_id",)).filter("idx_a <> idx_b")
+    return pairs.select(c("scene_id_a").alias("scene_id"), c("idx_a").alias("i"), c("idx_b").alias("j"), "d")
 
 
 def apsp_table(spark, sf_dir):
@@ -344,12 +347,10 @@ def apsp(spark, sf_dir):
     return apsp_table(spark, sf_dir).select("i", "j", F.round("dist", 6).alias("dist"))
 
 
-@query("SELECT i, j, round(d, 6) AS length, true AS edges_ok FROM m6 WHERE i=(SELECT min(i) FROM e)", WEB)
+@query("SELECT i, j, round(d, 6) AS length, true AS edges_ok FROM m6", WEB)
 def shortest_path(spark, sf_dir):
-    """Length summed over the vertices of each path from the first waypoint, and whether every step is an edge."""
-    table = apsp_table(spark, sf_dir)
-    first = table.agg(F.min("i").alias("i"))
-    paths = GR.shortest_paths(table).join(F.broadcast(first), "i").select("i", "j", "path")
+    """Length summed over the vertices of each shortest path, and whether every step is an edge."""
+    paths = GR.shortest_paths(apsp_table(spark, sf_dir)).select("i", "j", "path")
     step = F.explode_outer(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))))
     e = web(spark, sf_dir).select(c("i").alias("a"), c("j").alias("b"), "d")
     steps = paths.select("i", "j", step.alias("s")).select("i", "j", c("s.0").alias("a"), c("s.1").alias("b")).join(e, ["a", "b"], "left")
@@ -360,9 +361,12 @@ def shortest_path(spark, sf_dir):
 REGION = WEB + ", r AS (SELECT idx FROM p WHERE sqrt((x-1e0)*(x-1e0)+(y-1e0)*(y-1e0)) <= 3e0)"
 
 
+def _region(spark, sf_dir):
+    return points(spark, sf_dir).filter(G.circle_contains(c("x"), c("y"), F.lit(1.0), F.lit(1.0), F.lit(3.0))).select("idx")
+
+
 def _to_region(spark, sf_dir):
-    inside = points(spark, sf_dir).filter("idx < 40").filter(G.circle_contains(c("x"), c("y"), F.lit(1.0), F.lit(1.0), F.lit(3.0))).select(c("idx").alias("j"))
-    near = apsp_table(spark, sf_dir).join(F.broadcast(inside), "j").withColumn("dist", F.round("dist", 6))
+    near = apsp_table(spark, sf_dir).join(_region(spark, sf_dir).select(c("idx").alias("j")), "j").withColumn("dist", F.round("dist", 6))
     return near.groupBy("i").agg(F.min(F.struct("dist", "j")).alias("m")).select(c("i").alias("idx"), c("m.j").alias("goal"), c("m.dist").alias("dist"))
 
 
@@ -373,10 +377,9 @@ def nearest_wp_in_region(spark, sf_dir):
 
 @query("SELECT i AS idx, j AS goal, d AS length FROM (SELECT i, j, round(d, 6) AS d, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS k FROM m6 JOIN r ON r.idx=m6.j) WHERE k=1 AND i NOT IN (SELECT idx FROM r)", REGION)
 def path_to_region(spark, sf_dir):
-    near = _to_region(spark, sf_dir).filter("idx <> goal")
+    near = _to_region(spark, sf_dir)
     paths = GR.shortest_paths(apsp_table(spark, sf_dir)).select(c("i").alias("idx"), c("j").alias("goal"), F.round("dist", 6).alias("length"))
-    inside = points(spark, sf_dir).filter(G.circle_contains(c("x"), c("y"), F.lit(1.0), F.lit(1.0), F.lit(3.0))).select("idx")
-    return near.select("idx", "goal").join(paths, ["idx", "goal"]).join(inside, "idx", "left_anti").select("idx", "goal", "length")
+    return near.select("idx", "goal").join(paths, ["idx", "goal"]).join(_region(spark, sf_dir), "idx", "left_anti").select("idx", "goal", "length")
 
 
 @query("SELECT i AS idx, j AS goal, round(1e-1*d+5e0, 7) AS bonus FROM (SELECT i, j, round(d, 6) AS d, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS k FROM m6 JOIN r ON r.idx=m6.j) WHERE k=1 AND i NOT IN (SELECT idx FROM r)", REGION)
@@ -385,18 +388,41 @@ def region_targeted_paths(spark, sf_dir):
     return path_to_region(spark, sf_dir).select("idx", "goal", F.round(0.1 * c("length") + 5.0, 7).alias("bonus"))
 
 
-@query("SELECT m.i, m.j, round(m.d, 6) AS distance, CAST(1+(a.room<>b.room)::INT AS BIGINT) AS n_rooms, round(2e0+3e0*(1+(a.room<>b.room)::INT)+1e-1*round(m.d, 6), 7) AS score FROM m6 m JOIN p a ON a.idx=m.i JOIN p b ON b.idx=m.j WHERE m.i<m.j AND m.d>=1e0", WEB)
+CANDIDATES = WEB + ", cand AS (SELECT m.s AS scene_id, m.i, m.j, round(m.d, 6) AS distance, CAST(1+(a.room<>b.room)::INT AS BIGINT) AS n_rooms, round(2e0+3e0*(1+(a.room<>b.room)::INT)+1e-1*round(m.d, 6), 7) AS score FROM m6 m JOIN p a ON a.idx=m.i JOIN p b ON b.idx=m.j WHERE m.i<m.j AND m.d>=1e0)"
+
+
+@query("SELECT scene_id, i, j, distance, n_rooms, score FROM cand", CANDIDATES)
 def path_candidates(spark, sf_dir):
-    """Pairs i < j at least 1 apart with the score of their ends and rooms."""
-    rooms = points(spark, sf_dir).filter("idx < 40").select("idx", "room")
-    t = apsp_table(spark, sf_dir).filter("i < j and dist >= 1").join(F.broadcast(rooms.select(c("idx").alias("i"), c("room").alias("ra"))), "i").join(F.broadcast(rooms.select(c("idx").alias("j"), c("room").alias("rb"))), "j")
+    """Pairs i < j of a scene at least 1 apart with the score of their ends and rooms."""
+    rooms = points(spark, sf_dir).select("idx", "room")
+    t = apsp_table(spark, sf_dir).filter("i < j and dist >= 1").join(rooms.select(c("idx").alias("i"), c("room").alias("ra")), "i").join(rooms.select(c("idx").alias("j"), c("room").alias("rb")), "j")
     n = F.when(c("ra") == c("rb"), 1).otherwise(2).cast("long")
     d = F.round("dist", 6)
-    return t.select("i", "j", d.alias("distance"), n.alias("n_rooms"), F.round(GR.graph_score(F.lit(2.0), n, F.lit(0.0), d), 7).alias("score"))
+    return t.select("scene_id", "i", "j", d.alias("distance"), n.alias("n_rooms"), F.round(GR.graph_score(F.lit(2.0), n, F.lit(0.0), d), 7).alias("score"))
+
+
+@query("SELECT scene_id, scale, i, j, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, scale ORDER BY score DESC, i, j) AS k FROM (SELECT *, CASE WHEN n_rooms<=1 THEN 'short' WHEN n_rooms<=3 THEN 'medium' ELSE 'long' END AS scale FROM cand)) WHERE k <= CASE scale WHEN 'short' THEN 20 WHEN 'medium' THEN 30 ELSE 15 END", CANDIDATES)
+def topk_per_scale(spark, sf_dir):
+    t = path_candidates(spark, sf_dir).withColumn("scale", GR.scale(c("n_rooms")))
+    rank = F.row_number().over(Window.partitionBy("scene_id", "scale").orderBy(F.desc("score"), "i", "j"))
+    most = F.when(c("scale") == "short", 20).when(c("scale") == "medium", 30).otherwise(15)
+    return t.withColumn("rank", rank).filter(c("rank") <= most).select("scene_id", "scale", "i", "j", "rank")
+
+
+@query("SELECT scene_id, i, j, CASE WHEN n_rooms<=1 THEN 'short' WHEN n_rooms<=3 THEN 'medium' ELSE 'long' END AS scale FROM cand", CANDIDATES)
+def classify_scale(spark, sf_dir):
+    return path_candidates(spark, sf_dir).select("scene_id", "i", "j", GR.scale(c("n_rooms")).alias("scale"))
+
+
+@query("SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'graph' AS source FROM cand UNION ALL SELECT 'region' FROM (SELECT i, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS k FROM m6 JOIN r ON r.idx=m6.j) WHERE k=1 AND i NOT IN (SELECT idx FROM r)) GROUP BY source", CANDIDATES + ", r AS (SELECT idx FROM p WHERE sqrt((x-1e0)*(x-1e0)+(y-1e0)*(y-1e0)) <= 3e0)")
+def candidate_union(spark, sf_dir):
+    one = path_candidates(spark, sf_dir).select(F.lit("graph").alias("source"), "i", "j", "score")
+    two = path_to_region(spark, sf_dir).select(F.lit("region").alias("source"), c("idx").alias("i"), c("goal").alias("j"))
+    return one.unionByName(two, allowMissingColumns=True).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT path_id, round(sum(coalesce(m.d, 0e0)), 5) AS distance FROM (SELECT path_id, a, lead(a) OVER (PARTITION BY path_id ORDER BY seq) AS b FROM (SELECT path_id, seq, CAST((seq*7+path_id)%40 AS BIGINT) AS a FROM v_track WHERE seq<=8)) s LEFT JOIN m6 m ON m.i=s.a AND m.j=s.b GROUP BY path_id", WEB)
+@query("SELECT v.path_id, round(sum(coalesce(m.d, 0e0)), 5) AS distance FROM (SELECT path_id, a, lead(a) OVER (PARTITION BY path_id ORDER BY seq) AS b FROM (SELECT path_id, seq, CAST((path_id%12)*40+(seq*7+path_id)%40 AS BIGINT) AS a FROM v_track)) v LEFT JOIN m6 m ON m.i=v.a AND m.j=v.b GROUP BY v.path_id", WEB)
 def walk_distance(spark, sf_dir):
-    walk = view(spark, sf_dir, "v_track").filter("seq <= 8").select("path_id", "seq", ((c("seq") * 7 + c("path_id")) % 40).alias("i"))
+    walk = view(spark, sf_dir, "v_track").select("path_id", "seq", ((c("path_id") % 12) * 40 + (c("seq") * 7 + c("path_id")) % 40).alias("i"))
     step = walk.withColumn("j", F.lead("i").over(Window.partitionBy("path_id").orderBy("seq")))
     return step.join(apsp_table(spark, sf_dir), ["i", "j"], "left").groupBy("path_id").agg(F.round(F.sum(F.coalesce("dist", F.lit(0.0))), 5).alias("distance"))

@@ -1,0 +1 @@
+"""No streaming operators: the workload has no unbounded source, watermark or keyed state."""

@@ -40,7 +40,7 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-_BUCKET = Cache(lambda word: zlib.crc32(word) % BUCKETS)
+_BUCKET = Cache(lambda word: zlib.crc32(word) % BUCKETS, 300_000)
 
 
 def words_of(text: str) -> list[bytes]:

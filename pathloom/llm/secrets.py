@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import small_batches
+
 #: Kind, pattern, and the least length of (group 2 or the whole match), in the order that breaks ties.
 BASE_RULES = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
@@ -81,7 +83,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def content(versions: DataFrame, path: str = "doc_id") -> DataFrame:
     """path, blob and text of every version."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return versions.select(F.col(path).alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
+    return small_batches(versions).select(F.col(path).alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
 
 
 def unseen_findings(held: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:

@@ -190,7 +190,8 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut(labels)
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("low"))
+        # written out, so that the jump deals both sides anew and can split a large group's label
+        lower = cut(labels.join(near, "v").select("v", "label", F.least("label", "near").alias("low")))
         jump = lower.select(F.col("v").alias("low"), F.col("low").alias("lowest"))
         labels = cut(lower.join(jump, "low").select("v", F.col("lowest"), F.col("label").alias("before")))
         if labels.filter("lowest != before").isEmpty():

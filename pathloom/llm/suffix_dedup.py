@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from ._common import cut
+from ._common import cut, small_batches
 
 WINDOW, GRAM = 200, 40
-HOT = 256
+HOT = 2048  # spans of a gram that one task may judge: under a megabyte
 SEGMENT = 8 << 20  # positions in a segment must fit in POSITION bits
-GROUP = 1 << 19
+GROUP = 1 << 18
 POSITION = np.uint64((1 << 24) - 1)
 _SEED = np.random.default_rng(20240229)
 _TABLES = _SEED.integers(0, 2**64, (2, 256), np.uint64)
@@ -263,7 +263,7 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
     """row (a hash of doc_id and text, so equal rows share it), doc_id, more columns and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.col("doc_id").cast("long")
-    return docs.select(F.xxhash64(doc, text).alias("row"), doc.alias("doc_id"), *more, text.alias("text"))
+    return small_batches(docs).select(F.xxhash64(doc, text).alias("row"), doc.alias("doc_id"), *more, text.alias("text"))
 
 
 def repeated_ranges(held: DataFrame, packed: DataFrame) -> DataFrame:

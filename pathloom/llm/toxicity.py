@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Cache, cut, id_and_text
+from ._common import Cache, cut, id_and_text, small_batches
 from .labelled import LABELLED_ROWS, held_out, training_labels
 
 #: Word lists of the transducers (lower case).
@@ -62,6 +62,8 @@ def compose() -> tuple[list[list[int]], list[list[float]]]:
 
 
 MOVE, FACTOR = compose()
+#: What most tokens read as; shared, as the cache holds many.
+_PLAIN = ((OTHER, 0.0, False), (OTHER, 0.0, True))
 
 
 def beginnings(word: str) -> list[str]:
@@ -76,7 +78,7 @@ def bare(token: str) -> str:
 class Grammar:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.cache = Cache(self._read)
+        self.cache = Cache(self._read, 200_000)
 
     def _read(self, token: str) -> tuple:
         """(kind, weight, ends a clause) of a token between spaces; a token over two lines counts by its worst word."""
@@ -90,7 +92,8 @@ class Grammar:
                 best = (INSULT, weight)
             elif best[0] == OTHER and word in FIXED:
                 best = (FIXED[word], SEED_WEIGHT if FIXED[word] == THREAT else 0.0)
-        return best[0], best[1], bool(_ENDS.search(token))
+        ends = bool(_ENDS.search(token))
+        return _PLAIN[ends] if best[0] == OTHER else (*best, ends)
 
     def clauses(self, text: str) -> tuple[int, list[float]]:
         """Number of words, and the score of each matched clause."""
@@ -230,4 +233,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> D
             score, _ = model.scores(own, batch.column("text").to_pylist())
             yield batch.filter(pa.array(score < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

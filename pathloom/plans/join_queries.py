@@ -135,7 +135,7 @@ def gr_candidates(spark, sf_dir):
     regions = view(spark, sf_dir, "v_objects").filter("id % 41 = 0")
     inside = G.circle_contains(c("x"), c("y"), c("cx"), c("cy"), F.lit(1.5))
     far = F.sqrt((c("x") - c("cx")) * (c("x") - c("cx")) + (c("y") - c("cy")) * (c("y") - c("cy"))) >= 2.0
-    return starts.join(F.broadcast(regions), ~inside & far).select("idx", c("id").alias("region_id"))
+    return starts.join(regions, ~inside & far).select("idx", c("id").alias("region_id"))
 
 
 NEAR = "d AS (SELECT a.idx AS i, b.idx AS j, {0} AS d FROM v_points a JOIN v_points b ON {1})"

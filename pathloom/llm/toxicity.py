@@ -7,8 +7,8 @@ that is negated or quoted counts less and one aimed at a target counts more. A d
 clauses, not by isolated words.
 
 The lexicon is a small fixed list and what a bounded sample of labelled rows teaches: words and beginnings of words by
-their log odds between toxic and clean rows. One half of the sample teaches the lexicon, the other half the logistic
-calibration of the clause scores.
+their log odds between toxic and clean rows. The logistic calibration of the clause scores sees each row of the sample
+through a lexicon that the other folds teach, so it is not fitted to words that its own row taught.
 
 Defined results: null text is empty text; a text without a match has the score of no match; equal texts score alike;
 without labels of both kinds the calibration is a fixed one.
@@ -39,6 +39,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 FIXED = {w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words}
 REACH = 3  # words that a negation covers
 SEED_WEIGHT, LEAST_ROWS, LEAST_ODDS, LEXICON = 3.0, 3, 1.6, 20_000
+#: Folds of the sample, and how far (in standard errors) below an entry's log odds SURE_ODDS must still be reached.
+FOLDS, CONFIDENCE, SURE_ODDS = 4, 1.64, 1.0
 _ENDS = re.compile(r"[.!?;:\n]")
 _EDGES = "\"'()[]{}<>.,;:!?*#$%&|-_\n\t\r\x0b\x0c"
 
@@ -76,9 +78,9 @@ def bare(token: str) -> str:
 
 
 class Grammar:
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], entries: int = 200_000):
         self.lexicon = lexicon
-        self.cache = Cache(self._read, 200_000)
+        self.cache = Cache(self._read, entries)
 
     def _read(self, token: str) -> tuple:
         """(kind, weight, ends a clause) of a token between spaces; a token over two lines counts by its worst word."""
@@ -127,29 +129,41 @@ class Grammar:
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with each entry, toxic and clean, of a partition of the sample."""
-    toxic, clean = Counter(), Counter()
+    """Rows with each entry, toxic and clean, of a partition of the sample, by fold."""
+    counts = {1: Counter(), 0: Counter()}
     for batch in batches:
-        for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+        for text, label, fold in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("fold").to_pylist()):
             words = {bare(t) for t in text.as_py().replace("\n", " ").split(" ")}
-            (toxic if label else clean).update({b for w in words if w for b in beginnings(w)})
-    names = list(toxic.keys() | clean.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([clean[x] for x in names], pa.int64())], ["entry", "toxic", "clean"])
-
-
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Weights of at most LEXICON entries, log odds between the toxic and clean rows of the sample, over the fixed list."""
-    lexicon = {w: SEED_WEIGHT for w in INSULTS}
-    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    t, c = sizes.get(1, 0), sizes.get(0, 0)
-    if not t or not c:
-        return lexicon
-    counts = sample.select("text", "label").mapInArrow(_evidence, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (t + 1.0)) - F.log((F.col("clean") + 0.5) / (c + 1.0))
-    strong = counts.filter(F.col("toxic") >= LEAST_ROWS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-    for r in strong.orderBy(F.desc(F.col("toxic") * F.col("odds")), "entry").limit(LEXICON).collect():
-        lexicon[r.entry] = max(lexicon.get(r.entry, 0.0), min(6.0, r.odds))
-    return lexicon
+            counts[int(bool(label))].update({(b, fold) for w in words if w for b in beginnings(w)})
+    keys = list(counts[1].keys() | counts[0].keys())
+    arrays = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([counts[x][k] for k in keys], pa.int64()) for x in (1, 0))]
+    yield pa.RecordBatch.from_arrays(arrays, ["entry", "fold", "toxic", "clean"])
+
+
+def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
+    """For each fold the lexicon that the other folds teach, and last that of all rows; each over the fixed list.
+
+    A lexicon has at most LEXICON entries beyond the list: those whose log odds between toxic and clean rows are high,
+    also at the lower end of their confidence interval. The weight is the log odds."""
+    kinds = sample.groupBy("fold").agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    counts = sample.select("text", "label", "fold").mapInArrow(_evidence, "entry string, fold long, toxic long, clean long").groupBy("entry")
+    of_fold = [F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(x))), F.lit(0)).alias(f"{x}_{k}") for x in ("toxic", "clean") for k in range(FOLDS)]
+    counts = cut(counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *of_fold).filter(F.col("toxic") >= LEAST_ROWS))
+    found = []
+    for left in range(FOLDS + 1):
+        lexicon = {w: SEED_WEIGHT for w in INSULTS}
+        found.append(lexicon)
+        t = sum(r.t for r in kinds if r.fold != left)
+        c = sum(r.n - r.t for r in kinds if r.fold != left)
+        if not t or not c:
+            continue
+        toxic, clean = (F.col(x) - (F.col(f"{x}_{left}") if left < FOLDS else 0) for x in ("toxic", "clean"))
+        odds = F.log((toxic + 0.5) / (t + 1.0)) - F.log((clean + 0.5) / (c + 1.0))
+        sure = odds - CONFIDENCE * F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+        strong = counts.filter((toxic >= LEAST_ROWS) & (odds >= LEAST_ODDS) & (sure >= SURE_ODDS)).select("entry", odds.alias("odds"), (toxic * odds).alias("use"))
+        for r in strong.orderBy(F.desc("use"), "entry").limit(LEXICON).collect():
+            lexicon[r.entry] = max(lexicon.get(r.entry, 0.0), min(6.0, r.odds))
+    return found
 
 
 class Calibration:
@@ -196,17 +210,17 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     """A model taught by at most `rows` labelled rows that are not held out."""
     known = id_and_text(docs).join(F.broadcast(training_labels(labels, "toxic", rows)), "doc_id")
-    sample = cut(known.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))))
-    lexicon = learn_lexicon(sample.filter("half = 0"))
+    sample = cut(known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))))
+    lexicons = learn_lexicons(sample)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Grammar(lexicon)
+        others = [Grammar(lexicon, 50_000) for lexicon in lexicons[:FOLDS]]
         for batch in batches:
-            x = [own.features(t.as_py()) for t in batch.column("text")]
+            x = [others[k].features(t.as_py()) for t, k in zip(batch.column("text"), batch.column("fold").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
 
-    fitted = sample.filter("half = 1").limit(2 * rows).select("text", "label").mapInArrow(measured, "x array<double>, label int").toPandas()
-    return Model(lexicon, Calibration(np.array(fitted["x"].tolist(), float).reshape(-1, 7), fitted["label"].to_numpy(float)))
+    fitted = sample.limit(2 * rows).select("text", "label", "fold").mapInArrow(measured, "x array<double>, label int").toPandas()
+    return Model(lexicons[FOLDS], Calibration(np.array(fitted["x"].tolist(), float).reshape(-1, 7), fitted["label"].to_numpy(float)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:

@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
             x = [others[k].features(t.as_py()) for t, k in zip(batch.column("text"), batch.column("fold").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
 
-    fitted = sample.limit(2 * rows).select("text", "label", "fold").mapInArrow(measured, "x array<double>, label int").toPandas()
+    fitted = sample.select("text", "label", "fold").mapInArrow(measured, "x array<double>, label int").limit(2 * rows).toPandas()
     return Model(lexicons[FOLDS], Calibration(np.array(fitted["x"].tolist(), float).reshape(-1, 7), fitted["label"].to_numpy(float)))
 
 

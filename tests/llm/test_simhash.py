@@ -77,3 +77,35 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(25)] + [(100, 101)], "a long, b long")
     got = {r.v: r.label for r in simhash.components(links).collect()}
     assert got == {**{i: 0 for i in range(26)}, 100: 100, 101: 100}
+
+
+def jaccard(a, b):
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def test_one_of_each_at_similarity(spark, monkeypatch):
+    """Copies well over 0.8 on five words go, texts well under it stay, whatever their fingerprints of 64 bits."""
+    rng = random.Random(3)
+    rows, gone, stay = [], set(), set()
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([120, 400, 900]))]
+        rows.append((10 * k, " ".join(words)))
+        for j, share in ((1, 60), (2, 9)):  # one word in so many is another
+            other = list(words)
+            for at in range(share // 2, len(words), share):
+                other[at] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * k + j, " ".join(other)))
+            near = jaccard(rows[-1 - j][1], rows[-1][1])
+            assert (near > 0.83) if j == 1 else near < 0.5
+            (gone if j == 1 else stay).add(10 * k + j)
+        stay.add(10 * k)
+    rows += [(1000, ""), (1001, None), (1002, " \n"), (1003, "solo"), (1004, "solo two"), (1005, "solo two")]
+    for chunk in (1024, 2):  # two: every shard with more rows is split into chunk pairs
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = {r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()}
+        assert got == stay | {1000, 1003, 1004}
+    assert simhash.one_of_each(docs(spark, [])).count() == 0

@@ -29,6 +29,8 @@ from ._common import Cache, id_and_text
 #: ASCII marks that form one pre-token when they end a word (the apostrophe may begin another).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END = (1).to_bytes(4, "little")
+#: Entries that a generation of each cache may hold.
+ENTRIES = 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -51,7 +53,7 @@ class WordIds:
         self.letters.encode_special_tokens = True
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words, self.stems = Cache(None), Cache(None)
+        self.words, self.stems = Cache(None, ENTRIES), Cache(None, ENTRIES)
 
     @staticmethod
     def parts(word: str) -> tuple[str, str] | None:

@@ -11,9 +11,10 @@
 4. Components: least label and pointer jumping, with a reliable checkpoint after each round.
 
 Copies at a similarity of 0.8 (one_of_each) are too far apart for 4 of 64 bits: at a Jaccard similarity of 0.8 on five
-words fingerprints differ by 15 % of their bits. After the contracted groups, a second pass takes fingerprints of
-WIDE bits over the distinct five-word shingles; its shards are keyed by least hashes of the same shingles (a pair at 0.8
-misses all BANDS of them once in 500 times), and the same trees search them at WIDE_RADIUS.
+words fingerprints differ by 15 % of their bits. After the contracted groups, a second pass proposes pairs by least
+hashes of the distinct five-word shingles (a pair at 0.8 shares none of BANDS keys six times in ten million) and accepts
+a pair by counting its two sets of shingles. Proposals that reach each other are one unit (pairs of chunks when it is
+large), so a set of shingles travels once, not once per key.
 
 Defined results: null and empty text have fingerprint zero and are linked like any other; equal rows share a component.
 """
@@ -39,11 +40,11 @@ LEAF = 48
 #: Bit blocks and how many of them are equal in a pair at distance 4 or less.
 SCHEMES = ((5, 1), (6, 2), (7, 3), (8, 4))
 SHARD_ROWS = 4096
-#: The second pass of one_of_each: words of a shingle, bits, keys of a document and least hashes in a key. Fingerprints
-#: at a similarity of 0.8 differ by WIDE * arccos(8 / 9) / pi = 77.6 bits on average, 8.1 bits standard deviation.
-WIDE_WORDS, WIDE, BANDS, LEAST_HASHES = 5, 512, 12, 4
-WIDE_RADIUS = 84
-_ODD = np.random.default_rng(20240301).integers(0, 2**63, (2, max(WIDE // 64, BANDS * LEAST_HASHES)), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Copies of one_of_each: words of a shingle, keys of a text and least hashes in a key.
+WIDE_WORDS, BANDS, LEAST_HASHES = 5, 20, 3
+#: Shingles that weigh as much as one row in the size of a chunk; a chunk holds about a million of them.
+ROW_SHINGLES = 1024
+_ODD = np.random.default_rng(20240301).integers(0, 2**63, BANDS * LEAST_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, width: int) -> list[int]:
@@ -82,40 +83,49 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def wide_sketch(hashes: list[int]) -> tuple[bytes, list[int]]:
-    """The fingerprint of WIDE bits over the distinct hashes, and the shard keys; no hashes: zero bits and no keys."""
-    if not hashes:
-        return bytes(WIDE // 8), []
-    h = np.unique(np.array(hashes, np.uint64))
-    votes, least = np.zeros(WIDE, np.int64), np.full(BANDS * LEAST_HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 2048):
-        part = h[at : at + 2048, None]
-        words = (part ^ (part >> np.uint64(29))) * _ODD[0, : WIDE // 64]
-        words = (words ^ (words >> np.uint64(32))) * _ODD[1, : WIDE // 64]
-        words ^= words >> np.uint64(29)
-        votes += np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        np.minimum(least, (part * _ODD[0, : len(least)]).min(axis=0), out=least)
-    code = np.packbits(votes * 2 > len(h), bitorder="little").tobytes()
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of WIDE_WORDS words, sorted."""
+    return np.unique(np.array(shingle_hashes(text, WIDE_WORDS), np.uint64))
+
+
+def signature(shingles: np.ndarray) -> int:
+    """One number for a set of shingles; texts with equal sets are one text to one_of_each."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED)).astype(np.int64))
+
+
+def least_hash_keys(shingles: np.ndarray) -> list[int]:
+    """The shard keys of a set; none for an empty one."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, (shingles[at : at + 2048, None] * _ODD).min(axis=0), out=least)
     keys = [xxhash.xxh64_intdigest(least[k * LEAST_HASHES : (k + 1) * LEAST_HASHES].astype("<u8").tobytes(), k) for k in range(BANDS)]
-    return code, np.array(keys, np.uint64).astype(np.int64).tolist()
+    return np.array(keys, np.uint64).astype(np.int64).tolist()
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and its hash, which tells apart rows of one doc_id."""
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
 
 
 def sketches(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fp, and code and keys of wide_sketch, in one pass over the texts."""
+    """doc_id, text_hash, fp, and of the set of shingles its signature (sig), size and keys, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, codes, keys = [], [], []
+            prints, sigs, sizes, keys = [], [], [], []
             for text in batch.column("text"):
                 t = text.as_py()
+                shingles = shingle_set(t)
                 prints.append(fingerprint(shingle_hashes(t, width)))
-                code, key = wide_sketch(shingle_hashes(t, WIDE_WORDS))
-                codes.append(code)
-                keys.append(key)
-            arrays = [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).astype(np.int64)), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "code", "keys"])
+                sigs.append(signature(shingles))
+                sizes.append(len(shingles))
+                keys.append(least_hash_keys(shingles))
+            arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(prints, np.uint64).astype(np.int64)), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "fp", "sig", "size", "keys"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long, code binary, keys array<long>")
+    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, fp long, sig long, size long, keys array<long>")
 
 
 class Forest:
@@ -141,21 +151,17 @@ class Forest:
 
 
 def search(codes: np.ndarray, radius: int) -> np.ndarray:
-    """For each code the least index of its group under links of `radius` differing bits or fewer.
-
-    A code is a 64-bit number or a row of them."""
+    """For each code the least index of its group under links of `radius` differing bits or fewer."""
     forest = Forest(len(codes))
 
     def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        bits = np.bitwise_count(x ^ y)
-        return bits.astype(np.int16) if codes.ndim == 1 else bits.sum(axis=-1, dtype=np.int16)
+        return np.bitwise_count(x ^ y).astype(np.int16)
 
     def visit(members: np.ndarray, queries: np.ndarray) -> None:
         """Links all queries with all members; members are the points of this subtree."""
         if len(members) <= LEAF or len(queries) * len(members) <= 4096:
-            rows = 4096 if codes.ndim == 1 else 512
-            for at in range(0, len(queries), rows):
-                part = queries[at : at + rows]
+            for at in range(0, len(queries), 4096):
+                part = queries[at : at + 4096]
                 q, m = np.nonzero(apart(codes[part][:, None], codes[members][None, :]) <= radius)
                 forest.link(part[q], members[m])
             return
@@ -194,9 +200,11 @@ def shard_keys(fp, scheme: tuple[int, int]):
     return F.array(*keys)
 
 
-def _units(probes: DataFrame, *columns: str) -> DataFrame:
-    """Rows of columns (the first names the member) with the unit they meet in: a shard, or a pair of chunks of a hot one."""
-    sizes = cut(probes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK))
+def _units(probes: DataFrame, *columns: str, weight=F.lit) -> DataFrame:
+    """Rows of columns (the first names the member) with the unit they meet in: a shard, or a pair of chunks of a hot one.
+
+    weight gives what a row counts for in the size of a chunk, 1 or more; without it every row counts 1."""
+    sizes = cut(probes.groupBy("key").agg(F.sum(weight(1)).alias("n")).filter(F.col("n") > CHUNK))
     chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long")
     own = F.pmod(F.xxhash64(columns[0]), chunks)
     return (
@@ -239,38 +247,79 @@ def hamming_links(codes: DataFrame, count: int, radius: int = 4, scheme: tuple[i
     return units.repartition(parts, "unit").mapInArrow(run, "a long, b long").distinct()
 
 
-def wide_links(sketched: DataFrame) -> DataFrame:
-    """Links (a, b) of doc_id whose components are those of the pairs at WIDE_RADIUS bits or fewer that share a key."""
-    units = _units(sketched.select("doc_id", "code", F.explode("keys").alias("key")), "doc_id", "code")
+def key_links(sketched: DataFrame) -> DataFrame:
+    """Links (a, b) of sig that join all texts with a key in common: a star for each key."""
+    keyed = sketched.select("sig", F.explode("keys").alias("key")).distinct()
+    least = keyed.groupBy("key").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return keyed.join(least, "key").filter("sig != b").select(F.col("sig").alias("a"), "b").distinct()
+
+
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the least index of its group under links at a Jaccard similarity of 0.8 or more, counted."""
+    forest = Forest(len(sets))
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[k]) for k in order])
+    _, number, times = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    ends = np.cumsum(sizes)
+    ends = np.r_[0, np.cumsum(shared)][np.r_[0, ends]]  # of the shared shingles of each set
+    number, own = number[shared], np.zeros(len(times), bool)
+    for q, size in enumerate(sizes.tolist()):
+        stop = int(np.searchsorted(4 * sizes, 5 * size, "right"))  # larger sets cannot reach 0.8
+        mine = number[ends[q] : ends[q + 1]]
+        if stop <= q + 1 or 9 * len(mine) < 8 * size or (forest.label[order[q + 1 : stop]] == forest.label[order[q]]).all():
+            continue
+        own[mine] = True
+        at = ends[q + 1 : stop + 1]
+        common = np.diff(np.r_[0, np.cumsum(own[number[at[0] : at[-1]]])][at - at[0]])
+        own[mine] = False
+        near = order[q + 1 : stop][9 * common >= 4 * (size + sizes[q + 1 : stop])]  # common / (size + other - common) >= 4 / 5
+        forest.link(near, np.full(len(near), order[q]))
+    return forest.label
+
+
+def confirmed(docs: DataFrame, sketched: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Links (a, b) of sig whose components are those of the pairs at 0.8 or more among texts that proposed links join."""
+    texts = sketched.groupBy("sig").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    members = cut(components(proposed).select(F.col("v").alias("sig"), F.col("label").alias("key")).join(texts, "sig"))
+    units = _units(members, "sig", "row", weight=lambda one: F.greatest(F.lit(one).cast("double"), F.col("size") / ROW_SHINGLES))
+    wanted = units.groupBy("sig", "row").agg(F.collect_set("unit").alias("units")).select("sig", "units", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()).astype("<u8").tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("units"), pa.array(sets, pa.binary())], ["sig", "units", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by unit; one unit is held at a time."""
-        ids, codes, unit = [], [], None
+        held, unit = {}, None
 
         def found() -> tuple[list, list]:
-            if len(ids) < 2:
+            if len(held) < 2:
                 return [], []
-            held = np.array(ids, np.int64)
-            label = search(np.frombuffer(b"".join(codes), "<u8").reshape(len(ids), -1), WIDE_RADIUS)
-            moved = np.flatnonzero(label != np.arange(len(ids)))
-            return held[moved].tolist(), held[label[moved]].tolist()
+            sigs = np.array(list(held), np.int64)
+            label = similar([np.frombuffer(x, "<u8") for x in held.values()])
+            moved = np.flatnonzero(label != np.arange(len(sigs)))
+            return sigs[moved].tolist(), sigs[label[moved]].tolist()
 
         for batch in batches:
             left, right = [], []
-            for i, code, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "code", "unit"))):
+            for sig, shingles, key in zip(*(batch.column(c).to_pylist() for c in ("sig", "shingles", "unit"))):
                 if key != unit:
                     a, b = found()
                     left += a
                     right += b
-                    ids, codes, unit = [], [], key
-                ids.append(i)
-                codes.append(code)
+                    held, unit = {}, key
+                held[sig] = shingles
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
         a, b = found()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").filter("a != b").distinct()
+    d = _hashed(docs)
+    rows = d.join(wanted, d["doc_id"].eqNullSafe(F.col("__id")) & (d["text_hash"] == F.col("__hash"))).select("sig", "units", "text")
+    sets = rows.mapInArrow(read, "sig long, units array<long>, shingles binary").select("sig", "shingles", F.explode("units").alias("unit"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -307,16 +356,23 @@ def grouped(prints: DataFrame, radius: int = 4) -> DataFrame:
     return prints.join(all_codes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _least_rows(sketched: DataFrame, links: DataFrame) -> DataFrame:
+    """The row of least doc_id (doc_id, text_hash; no id comes last) of each group of texts that links join."""
+    groups = components(links)
+    named = sketched.join(groups, F.col("sig") == F.col("v"), "left").withColumn("group", F.coalesce("label", "sig"))
+    return named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")).select("m.doc_id", "m.text_hash")
+
+
 def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """docs without near copies, all columns; repeated rows stay once.
 
     Of each component of near_duplicates the least doc_id stays, and of those the least of each group at a similarity
-    of 0.8 on five words, read from WIDE bits. A null doc_id takes no part in the second pass."""
+    of 0.8 or more on five words, counted on the sets of shingles."""
     sketched = cut(sketches(docs, width))
     groups = grouped(sketched.select("doc_id", "fp"), radius)
     first = cut(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct())
-    left = sketched.filter("doc_id is not null").select("doc_id", "code", "keys").join(first, F.col("doc_id") == F.col("__stay"), "left_semi")
-    gone = components(wide_links(left)).filter("label != v").select("v")
-    stay = cut(first.join(gone, F.col("__stay") == F.col("v"), "left_anti"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    left = cut(sketched.join(first, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi"))
+    stay = cut(_least_rows(left, confirmed(docs, left, key_links(left))).select(F.col("doc_id").alias("__stay"), F.col("text_hash").alias("__stay_hash")))
+    own_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")) & (own_hash == F.col("__stay_hash")), "left_semi")
+    return kept.withColumn("__text", own_hash).dropDuplicates(["doc_id", "__text"]).drop("__text")

@@ -109,3 +109,45 @@ def test_one_of_each_at_similarity(spark, monkeypatch):
         got = {r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()}
         assert got == stay | {1000, 1003, 1004}
     assert simhash.one_of_each(docs(spark, [])).count() == 0
+
+
+def kept_ids(spark, rows):
+    return {r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()}
+
+
+def test_similarity_is_counted(spark, monkeypatch):
+    """Pairs on both sides of 0.8 on five words in short texts are judged by their counted sets."""
+    rng = random.Random(5)
+    rows, stay = [], set()
+    for k in range(120):
+        n = rng.choice([8, 9, 10, 14])
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        grams = n - 4
+        most = grams // 4  # words appended: grams / (grams + most) >= 0.8
+        more = most + k % 2
+        one, two = " ".join(words), " ".join([*words, *(f"y{rng.randrange(10**6)}" for _ in range(more))])
+        if bin(plain_fingerprint(one) ^ plain_fingerprint(two)).count("1") <= 4:
+            continue
+        rows += [(2 * k, one), (2 * k + 1, two)]
+        assert (jaccard(rows[-2][1], rows[-1][1]) >= 0.8) == (k % 2 == 0)
+        stay |= {2 * k} if k % 2 == 0 else {2 * k, 2 * k + 1}
+    assert kept_ids(spark, rows) == stay
+    monkeypatch.setattr(simhash, "CHUNK", 1)
+    assert kept_ids(spark, rows) == stay
+
+
+def test_similar_against_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**63, int(rng.integers(3, 60)))
+        for _ in range(4):
+            sets.append(np.unique(np.r_[base[rng.random(len(base)) < 0.93], rng.integers(0, 2**63, int(rng.integers(0, 4)))]).astype(np.uint64))
+    want = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both) and want[i] != want[j]:
+                x, y = sorted((want[i], want[j]))
+                want = [x if w == y else w for w in want]
+    assert simhash.similar(sets).tolist() == want and len(set(want)) < len(want)

@@ -11,7 +11,8 @@
 4. Components: least label and pointer jumping, with a reliable checkpoint after each round.
 
 Copies at a similarity of 0.8 (one_of_each) are too far apart for 4 of 64 bits: at a Jaccard similarity of 0.8 on five
-words fingerprints differ by 15 % of their bits. After the contracted groups, a second pass proposes pairs by least
+words fingerprints differ by 15 % of their bits, while texts ruled by one repeated line are close in them without being
+copies. So links of fingerprints only propose pairs there, and after the contracted groups a second pass proposes more by least
 hashes of the distinct five-word shingles (a pair at 0.8 shares none of BANDS keys six times in ten million) and accepts
 a pair by counting its two sets of shingles. Proposals that reach each other are one unit (pairs of chunks when it is
 large), so a set of shingles travels once, not once per key.
@@ -254,6 +255,16 @@ def key_links(sketched: DataFrame) -> DataFrame:
     return keyed.join(least, "key").filter("sig != b").select(F.col("sig").alias("a"), "b").distinct()
 
 
+def fingerprint_links(sketched: DataFrame, radius: int = 4) -> DataFrame:
+    """Links (a, b) of sig that join all texts whose fingerprints are linked: a star for each fingerprint, and one link for two."""
+    pairs = cut(sketched.select("sig", "fp").distinct())
+    codes = cut(pairs.groupBy("fp").agg(F.min("sig").alias("b")))
+    stars = pairs.join(codes, "fp").select(F.col("sig").alias("a"), "b")
+    left, right = (codes.select(F.col("fp").alias(x), F.col("b").alias(f"{x}_sig")) for x in "ab")
+    between = hamming_links(codes, codes.count(), radius).join(left, "a").join(right, "b").select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+    return stars.union(between).filter("a != b").distinct()
+
+
 def similar(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the least index of its group under links at a Jaccard similarity of 0.8 or more, counted."""
     forest = Forest(len(sets))
@@ -366,12 +377,11 @@ def _least_rows(sketched: DataFrame, links: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """docs without near copies, all columns; repeated rows stay once.
 
-    Of each component of near_duplicates the least doc_id stays, and of those the least of each group at a similarity
-    of 0.8 or more on five words, counted on the sets of shingles."""
+    Of each group at a similarity of 0.8 or more on five words, counted on the sets of shingles, the least doc_id stays:
+    first among texts that fingerprints link, then among what is left."""
     sketched = cut(sketches(docs, width))
-    groups = grouped(sketched.select("doc_id", "fp"), radius)
-    first = cut(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct())
-    left = cut(sketched.join(first, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi"))
+    first = cut(_least_rows(sketched, confirmed(docs, sketched, fingerprint_links(sketched, radius))))
+    left = cut(sketched.join(first, sketched["doc_id"].eqNullSafe(first["doc_id"]) & (sketched["text_hash"] == first["text_hash"]), "left_semi"))
     stay = cut(_least_rows(left, confirmed(docs, left, key_links(left))).select(F.col("doc_id").alias("__stay"), F.col("text_hash").alias("__stay_hash")))
     own_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")) & (own_hash == F.col("__stay_hash")), "left_semi")

@@ -151,3 +151,14 @@ def test_similar_against_all_pairs():
                 x, y = sorted((want[i], want[j]))
                 want = [x if w == y else w for w in want]
     assert simhash.similar(sets).tolist() == want and len(set(want)) < len(want)
+
+
+def test_repeated_line_is_no_copy(spark):
+    """One line many times rules the fingerprint, but the other passages differ."""
+    rng = random.Random(7)
+    line = "this line stands on every page of the site "
+    rows = [(k, line * 200 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for k in range(12)]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    assert len(set(plain_components(prints))) == 1 and max(jaccard(rows[0][1], t) for _, t in rows[1:]) < 0.5
+    rows.append((12, line * 150 + rows[3][1][len(line) * 200 :]))
+    assert kept_ids(spark, rows) == set(range(12))

@@ -12,7 +12,7 @@
 
 Copies at a similarity of 0.8 (one_of_each) are too far apart for 4 of 64 bits: at a Jaccard similarity of 0.8 on five
 words fingerprints differ by 15 % of their bits, while texts ruled by one repeated line are close in them without being
-copies. So links of fingerprints only propose pairs there, and after the contracted groups a second pass proposes more by least
+copies. So links of fingerprints only propose pairs there, over all distinct texts more are proposed by least
 hashes of the distinct five-word shingles (a pair at 0.8 shares none of BANDS keys six times in ten million) and accepts
 a pair by counting its two sets of shingles. Proposals that reach each other are one unit (pairs of chunks when it is
 large), so a set of shingles travels once, not once per key.
@@ -377,12 +377,11 @@ def _least_rows(sketched: DataFrame, links: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """docs without near copies, all columns; repeated rows stay once.
 
-    Of each group at a similarity of 0.8 or more on five words, counted on the sets of shingles, the least doc_id stays:
-    first among texts that fingerprints link, then among what is left."""
+    Of each group of texts at a similarity of 0.8 or more on five words (links are transitive), counted on the sets of
+    shingles, the least doc_id stays."""
     sketched = cut(sketches(docs, width))
-    first = cut(_least_rows(sketched, confirmed(docs, sketched, fingerprint_links(sketched, radius))))
-    left = cut(sketched.join(first, sketched["doc_id"].eqNullSafe(first["doc_id"]) & (sketched["text_hash"] == first["text_hash"]), "left_semi"))
-    stay = cut(_least_rows(left, confirmed(docs, left, key_links(left))).select(F.col("doc_id").alias("__stay"), F.col("text_hash").alias("__stay_hash")))
+    proposed = fingerprint_links(sketched, radius).union(key_links(sketched))
+    stay = cut(_least_rows(sketched, confirmed(docs, sketched, proposed)).select(F.col("doc_id").alias("__stay"), F.col("text_hash").alias("__stay_hash")))
     own_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")) & (own_hash == F.col("__stay_hash")), "left_semi")
     return kept.withColumn("__text", own_hash).dropDuplicates(["doc_id", "__text"]).drop("__text")

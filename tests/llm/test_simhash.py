@@ -162,3 +162,19 @@ def test_repeated_line_is_no_copy(spark):
     assert len(set(plain_components(prints))) == 1 and max(jaccard(rows[0][1], t) for _, t in rows[1:]) < 0.5
     rows.append((12, line * 150 + rows[3][1][len(line) * 200 :]))
     assert kept_ids(spark, rows) == set(range(12))
+
+
+def test_links_of_both_passes_join(spark):
+    """X and Y are within 4 bits, Z is a copy of Y but not of X: one group, whichever has the least id."""
+    rng = random.Random(11)
+    while True:
+        x = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        y = list(x)
+        y[200] = "edited"
+        if bin(plain_fingerprint(" ".join(x)) ^ plain_fingerprint(" ".join(y))).count("1") <= 4:
+            break
+    z = y + [f"z{rng.randrange(10**6)}" for _ in range((len(y) - 4) // 4)]
+    x, y, z = map(" ".join, (x, y, z))
+    assert jaccard(x, y) >= 0.8 and jaccard(y, z) >= 0.8 > jaccard(x, z)
+    for order in ((x, y, z), (y, z, x), (z, x, y)):
+        assert kept_ids(spark, list(enumerate(order))) == {0}

@@ -17,6 +17,7 @@ without labels of both kinds the calibration is a fixed one.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import product
@@ -42,7 +43,14 @@ SEED_WEIGHT, LEAST_ROWS, LEAST_ODDS, LEXICON = 3.0, 3, 1.6, 20_000
 #: Folds of the sample, and how far (in standard errors) below an entry's log odds SURE_ODDS must still be reached.
 FOLDS, CONFIDENCE, SURE_ODDS = 4, 1.64, 1.0
 _ENDS = re.compile(r"[.!?;:\n]")
-_EDGES = "\"'()[]{}<>.,;:!?*#$%&|-_\n\t\r\x0b\x0c"
+#: What stands between words: white space, punctuation and symbols (pictographs beyond U+FFFF as one range, as a long class
+#: is slow there), but no apostrophe inside a word.
+_BETWEEN = re.escape("".join(m for m in map(chr, range(0x10000)) if (m.isspace() or unicodedata.category(m)[0] in "PS") and m not in "'’")) + "\U0001f000-\U0001faff"
+#: A word with all that separates it from the next one.
+_PIECE = re.compile(f"[^{_BETWEEN}]+[{_BETWEEN}]*")
+_WORD = re.compile(f"[^{_BETWEEN}]+")
+#: Longer pieces are read anew each time.
+CACHED_PIECE = 60
 
 
 def compose() -> tuple[list[list[int]], list[list[float]]]:
@@ -73,8 +81,9 @@ def beginnings(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in range(3, 7) if len(word) > n)]
 
 
-def bare(token: str) -> str:
-    return token.strip(_EDGES).lower()[:40]
+def bare(piece: str) -> str:
+    """The word of a piece of _PIECE, whole and in lower case."""
+    return _WORD.match(piece).group().strip("'’").lower()
 
 
 class Grammar:
@@ -82,26 +91,25 @@ class Grammar:
         self.lexicon = lexicon
         self.cache = Cache(self._read, entries)
 
-    def _read(self, token: str) -> tuple:
-        """(kind, weight, ends a clause) of a token between spaces; a token over two lines counts by its worst word."""
-        best = (OTHER, 0.0)
-        for part in token.split("\n"):
-            word = bare(part)
-            if not word:
-                continue
-            weight = max((self.lexicon.get(b, 0.0) for b in beginnings(word)), default=0.0)
-            if weight > best[1]:
-                best = (INSULT, weight)
-            elif best[0] == OTHER and word in FIXED:
-                best = (FIXED[word], SEED_WEIGHT if FIXED[word] == THREAT else 0.0)
-        ends = bool(_ENDS.search(token))
-        return _PLAIN[ends] if best[0] == OTHER else (*best, ends)
+    def _read(self, piece: str) -> tuple:
+        """(kind, weight, ends a clause) of a word and what separates it from the next one."""
+        word = bare(piece)
+        weight = max((self.lexicon.get(b, 0.0) for b in beginnings(word)), default=0.0) if word else 0.0
+        ends = bool(_ENDS.search(piece))
+        if weight > 0:
+            return INSULT, weight, ends
+        if word in FIXED:
+            return FIXED[word], SEED_WEIGHT if FIXED[word] == THREAT else 0.0, ends
+        return _PLAIN[ends]
+
+    def _miss(self, piece: str) -> tuple:
+        return self.cache.miss(piece) if len(piece) <= CACHED_PIECE else self._read(piece)
 
     def clauses(self, text: str) -> tuple[int, list[float]]:
         """Number of words, and the score of each matched clause."""
         self.cache.age()
-        known, miss = self.cache.young.get, self.cache.miss
-        tokens = text.split(" ")
+        known, miss = self.cache.young.get, self._miss
+        tokens = _PIECE.findall(text)
         read = [known(t) or miss(t) for t in tokens]
         marks = [(k, e) for k, e in enumerate(read) if e[0] or e[2]]
         found: list[float] = []
@@ -133,7 +141,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = {1: Counter(), 0: Counter()}
     for batch in batches:
         for text, label, fold in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("fold").to_pylist()):
-            words = {bare(t) for t in text.as_py().replace("\n", " ").split(" ")}
+            words = {bare(t) for t in set(_PIECE.findall(text.as_py()))}
             counts[int(bool(label))].update({(b, fold) for w in words if w for b in beginnings(w)})
     keys = list(counts[1].keys() | counts[0].keys())
     arrays = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([counts[x][k] for k in keys], pa.int64()) for x in (1, 0))]

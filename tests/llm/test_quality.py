@@ -109,3 +109,20 @@ def test_grammar():
     model = toxicity.Model(grammar.lexicon, toxicity.Calibration(np.empty((0, 7)), np.empty(0)))
     score, clauses = model.scores(grammar, ["", None, "you idiot"])
     assert score[0] == score[1] < score[2] and clauses.tolist() == [0, 0, 1]
+
+
+def test_toxic_words_between_any_separators():
+    """Words count alike whatever stands between them, one clause a line; nothing after 40 characters is lost."""
+    grammar = toxicity.Grammar({w: toxicity.SEED_WEIGHT for w in toxicity.INSULTS})
+    words = "you are a stupid idiot and a worthless moron".split()
+    want = grammar.clauses(" ".join(words))
+    assert want[0] == 9 and len(want[1]) == 1
+    for between in ("\t", " ", ",", "/", " / ", "　", "—", "\r", "😀"):
+        assert grammar.clauses(between.join(words)) == want, repr(between)
+    assert grammar.clauses("idiot\nmoron\nyou scum\nnot stupid") == grammar.clauses("idiot. moron. you scum. not stupid")
+    assert grammar.clauses("idiot\nmoron\nyou scum\nnot stupid")[1] == [3.0, 3.0, 3.75, 3.0 * 0.35]
+    assert grammar.clauses("isn't,idiot") == grammar.clauses("isn't idiot") and grammar.clauses("'idiot'") == grammar.clauses("idiot")
+    long = "x" * 50
+    assert toxicity.Grammar({long: 3.0}).clauses(long)[1] == [3.0] and not toxicity.Grammar({"x" * 40: 3.0}).clauses(long)[1]
+    for text in ("", " ", "'", "...", "\n\n", "x" * 100_000):
+        assert grammar.clauses(text)[1] == []

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +40,35 @@ class Cache:
         return value
 
 
-#: Texts may be long, so few rows go to Python at once: both sides of the pipe hold a batch.
-BATCH_ROWS = 1000
+#: Texts may be long, so few rows and bytes go to Python at once: both sides of the pipe hold a batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """df, in a session whose Arrow batches have BATCH_ROWS rows and BATCH_BYTES bytes at most (the settings stay, as plans read them when they run)."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        conf.set(key, most)
     return df
 
 
+def gives_back(run):
+    """run for mapInArrow, after which its worker returns freed memory: workers live on between tasks and stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,101 +7,134 @@ packed from the longest: each remainder opens a window of its tier and the gap i
 documents by best fit first, then a cut of the shortest one waiting. A window that nothing is left to fill is cut into
 windows of lower tiers, and fewer tokens than the lowest tier wait for the next chunk; at a partition's end they
 become windows of smaller powers of two. So no sequence is padded. Sequences of a tier are dealt to step groups of the
-same number of tokens.
+same number of tokens; where a partition's sequences fill no whole number of groups, its last HELD_GROUPS groups of a
+tier share the lack evenly.
 
 Defined results: null or empty text has only the end id; equal rows are packed one by one.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from array import array
 from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import Cache, id_and_text
+from ._common import gives_back, id_and_text
 
-#: ASCII marks that form one pre-token when they end a word (the apostrophe may begin another).
+#: ASCII marks that form one pre-token when they end a word (the apostrophe may begin another), and the
+#: letters under U+0250 as a regex class body, without U+0130, whose lower case is two characters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-END = (1).to_bytes(4, "little")
-#: Entries that a generation of each cache may hold.
-ENTRIES = 250_000
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+SIMPLE = f"^[{LETTERS}]+[{re.escape(MARKS)}]*$"
+END_ID = 1
+WORD_END = "</w>"
+#: Words that go to the tokenizer as one string, and bytes of text whose words are told apart at once.
+JOINED_WORDS, CHUNK_BYTES = 4096, 4 << 20
+#: Full step groups of a tier that are held back, so that the last ones differ by one sequence and are nearly full.
+HELD_GROUPS = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+def gathered(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranges pool[start : start + count], one after the other."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(total) + np.repeat(starts - (ends - counts), counts)]
+
+
 class WordIds:
-    """Ids of a text as little-endian 32-bit words, through bounded caches of the words between spaces.
+    """Ids of texts. Each distinct word of a chunk of texts is encoded once; nothing is kept from chunk to chunk.
 
-    The tokenizer lower-cases, drops white space, and splits letters from other characters, so words between white
-    space stand alone, and so do Latin letters and the ASCII marks that follow them."""
+    The tokenizer lower-cases, drops white space, and splits letters from other characters, so words between spaces
+    stand alone, and so do Latin letters and the ASCII marks that follow them. Every other word (special tokens
+    among them) goes to the tokenizer as it is."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        #: The same vocabulary for words of lower-case Latin letters, which need no normalising or splitting.
+        #: The same vocabulary for words of lower-case Latin letters between spaces, which need no normalising.
         self.letters = Tokenizer.from_file(path)
-        self.letters.encode_special_tokens = True
         self.letters.normalizer = normalizers.Sequence([])
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words, self.stems = Cache(None, ENTRIES), Cache(None, ENTRIES)
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, str] | None:
-        """Lower-case Latin letters and the marks after them; None for any other word."""
-        stem = word.rstrip(MARKS)
-        low = stem.lower()
-        if low.isalpha() and len(low) == len(stem) and max(low) < "\u0250":
-            return low, word[len(stem) :]
-        return None
-
-    def fill(self, cache: Cache, new: list[str], tokenizer) -> None:
-        for at in range(0, len(new), 4096):
-            block = new[at : at + 4096]
-            for w, e in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                cache.young[w] = array("I", e.ids).tobytes()
-
-    @staticmethod
-    def missing(cache: Cache, seen: set[str]) -> list[str]:
-        """What neither generation holds; what the old one holds becomes young."""
-        young, old, new = cache.young, cache.old, []
-        for w in seen:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
-        return new
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        self.words.age()
-        self.stems.age()
-        split, seen = [t.replace("\n", " ").split(" ") for t in texts], set()
-        for words in split:
-            seen.update(words)
-        plain, other, stems = [], [], set()
-        for w in self.missing(self.words, seen):
-            found = self.parts(w)
-            if found is None:
-                other.append(w)
-            else:
-                plain.append((w, *found))
-                stems.add(found[0])
-        self.fill(self.stems, self.missing(self.stems, stems), self.letters)
-        marks = {m for _, _, m in plain if m}
-        self.fill(self.words, [*other, *self.missing(self.words, marks)], self.tokenizer)
-        ids, stem = self.words.young, self.stems.young
-        ids.update([(w, stem[low] + ids[m] if m else stem[low]) for w, low, m in plain])
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case letters, and how many each has: a word's last id is the one that ends in WORD_END."""
+        parts = [np.empty(0, np.uint32)]
+        for at in range(0, len(words), JOINED_WORDS):
+            parts.append(np.array(self.letters.encode_batch_fast([" ".join(words[at : at + JOINED_WORDS])], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(parts)
+        return ids, np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+
+    def of_any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, counts = [np.empty(0, np.uint32)], []
+        for at in range(0, len(words), JOINED_WORDS):
+            for e in self.tokenizer.encode_batch_fast(words[at : at + JOINED_WORDS], add_special_tokens=False):
+                parts.append(np.array(e.ids, np.uint32))
+                counts.append(len(parts[-1]))
+        return np.concatenate(parts), np.array(counts, np.int64)
+
+    def of_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word after the other, and how many each has."""
+        simple = pc.match_substring_regex(words, SIMPLE)
+        plain, chosen = words.filter(simple), simple.to_numpy(zero_copy_only=False)
+        stems = pc.utf8_rtrim(pc.utf8_lower(plain), MARKS).dictionary_encode()
+        marks = pc.replace_substring_regex(plain, f"^[{LETTERS}]+", "").dictionary_encode()
+        other = words.filter(pc.invert(simple)).to_pylist()
+        found = [self.of_letters(stems.dictionary.to_pylist()), self.of_any(other + marks.dictionary.to_pylist())]
+        pool, counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        starts = np.cumsum(counts) - counts
+        # two ranges for each word: stem and marks, or the word and nothing
+        first, second = np.empty(len(words), np.int64), np.full(len(words), -1)
+        first[chosen] = stems.indices.to_numpy()
+        first[~chosen] = len(stems.dictionary) + np.arange(len(other))
+        second[chosen] = len(stems.dictionary) + len(other) + marks.indices.to_numpy()
+        both = np.stack([first, second], axis=1).ravel()
+        sizes = np.where(both >= 0, counts[both], 0)
+        return gathered(pool, starts[both], sizes), sizes.reshape(-1, 2).sum(axis=1)
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, the end id last."""
+        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        pool, counts = self.of_distinct(coded.dictionary)
+        starts, number = np.cumsum(counts) - counts, coded.indices.to_numpy()
+        sizes = counts[number]
+        ids = gathered(pool, starts[number], sizes)
+        edges = np.r_[0, np.cumsum(sizes)][words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[pa.Table]:
+    """The rows in order, in tables of about `most` bytes of text (one longer text is a table of its own)."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + most - size, "right"))) if size < most else at
+            held.append(batch.slice(at, end - at))
+            size += int(sizes[end - 1]) - before if end > at else 0
+            at = end
+            if size >= most or at < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 class TierPacker:
@@ -111,18 +144,28 @@ class TierPacker:
         self.base, self.longest, self.shortest = partition << 36, longest, shortest
         self.group_tokens = group_tokens
         self.sequences = 0
-        self.by_tier: dict[int, int] = defaultdict(int)
+        self.groups: dict[int, int] = defaultdict(int)
+        self.open: dict[int, list[list[tuple]]] = defaultdict(list)  # sequences without a step group, by tier
         self.rows: list[tuple] = []
         self.waiting: list[tuple] = []  # pieces of fewer tokens than the lowest tier
 
     def emit(self, pieces: list[tuple], tier: int) -> None:
-        offset, number = 0, self.base + self.sequences
-        group = (tier.bit_length() << 56) + self.base + self.by_tier[tier] // max(1, self.group_tokens // tier)
+        offset, number, rows = 0, self.base + self.sequences, []
         for doc, total, start, ids in pieces:
-            self.rows.append((doc, start, len(ids) >> 2, zlib.crc32(ids), total, number, offset, tier, group, ids))
+            rows.append((doc, start, len(ids) >> 2, zlib.crc32(ids), total, number, offset, tier, ids))
             offset += len(ids) >> 2
         self.sequences += 1
-        self.by_tier[tier] += 1
+        self.open[tier].append(rows)
+        most = max(1, self.group_tokens // tier)
+        if len(self.open[tier]) > (HELD_GROUPS + 1) * most:
+            self.close(tier, most)
+
+    def close(self, tier: int, sequences: int) -> None:
+        """The longest waiting sequences of a tier become a step group."""
+        group = (tier.bit_length() << 56) + self.base + self.groups[tier]
+        self.groups[tier] += 1
+        self.rows += [(*row[:8], group, row[8]) for rows in self.open[tier][:sequences] for row in rows]
+        del self.open[tier][:sequences]
 
     def pack(self, docs: list[tuple[int, bytes]]) -> None:
         """One chunk of documents; what cannot fill the lowest tier waits."""
@@ -195,8 +238,12 @@ class TierPacker:
         return pieces
 
     def finish(self) -> None:
+        """What waits becomes windows; the last step groups of each tier are dealt evenly."""
         self.split(self.waiting, 1)
         self.waiting = []
+        for tier, held in self.open.items():
+            for left in range(-(-len(held) // max(1, self.group_tokens // tier)), 0, -1):
+                self.close(tier, -(-len(held) // left))
 
     def drain(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -210,6 +257,7 @@ def pack_documents(
 
     longest and shortest are powers of two; chunk_tokens bounds what a task holds."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer_path)
         context = TaskContext.get()
@@ -227,17 +275,14 @@ def pack_documents(
             return pa.RecordBatch.from_arrays(arrays, names)
 
         held, tokens = [], 0
-        for batch in batches:
-            ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, len(ids_of), 256):
-                part = texts.slice(at, 256).to_pylist()
-                for doc, ids in zip(ids_of[at : at + 256], words.of(part)):
-                    held.append((doc, ids + END))
-                    tokens += len(ids) // 4 + 1
-                if tokens >= chunk_tokens:
-                    packer.pack(held)
-                    held, tokens = [], 0
-                    yield out()
+        for part in chunks(batches):
+            for doc, ids in zip(part.column("doc_id").to_pylist(), words.of(part.column("text").chunk(0))):
+                held.append((doc, ids.tobytes()))
+                tokens += len(ids)
+            if tokens >= chunk_tokens:
+                packer.pack(held)
+                held, tokens = [], 0
+                yield out()
         packer.pack(held)
         packer.finish()
         yield out()

@@ -73,7 +73,6 @@ def check_pieces(rows, expected):
 def test_packing(spark, parts, chunk):
     path = P.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     expected = {i: [*own.encode(t or "", add_special_tokens=False).ids, 1] for i, t in NASTY}
     rows = packing.pack_documents(docs(spark).repartition(parts), path, chunk_tokens=chunk, with_ids=True).collect()
     check_pieces(rows, expected)
@@ -82,3 +81,33 @@ def test_packing(spark, parts, chunk):
         groups.setdefault(r.step_group, set()).add((r.sequence_id, r.tier))
     assert all(sum(t for _, t in g) <= 16384 and len({t for _, t in g}) == 1 for g in groups.values())
     assert packing.pack_documents(docs(spark, []), path).count() == 0
+
+
+def test_step_groups_are_balanced():
+    packer = packing.TierPacker(0, 2048, 64, 4096)
+    sizes = [50 + 37 * k % 1900 for k in range(900)]
+    for at in range(0, 900, 100):
+        packer.pack([(k, bytes(4 * n)) for k, n in enumerate(sizes[at : at + 100], at)])
+    packer.finish()
+    tokens = {}
+    for _, _, length, _, _, _, _, tier, group, _ in packer.drain():
+        tokens[tier, group] = tokens.get((tier, group), 0) + length
+    for tier in {t for t, _ in tokens}:
+        own = [n for (t, _), n in tokens.items() if t == tier]
+        assert max(own) <= 4096
+        if len(own) > packing.HELD_GROUPS:
+            assert min(own) >= 4096 * packing.HELD_GROUPS // (packing.HELD_GROUPS + 1) - tier
+    assert sum(tokens.values()) == sum(sizes)
+
+
+def test_word_ids_of_every_low_letter():
+    """Each character under U+0250 alone, in a word and beside marks, against the tokenizer as it is loaded."""
+    import pyarrow as pa
+
+    path = P.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = [form.format(chr(k)) for k in range(32, 0x250) for form in ("{0}", "a{0}", "{0}B.", "{0}!x", "{0}'s")]
+    texts += ["<|endoftext|>", "a<|endoftext|>b", "x <|startoftext|> y", "", " ", "\n\n", "a" * 5000 + "! b"]
+    got = words.of(pa.array(texts))
+    assert [g.tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert words.of(pa.array([], pa.string())) == []

@@ -28,15 +28,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, id_and_text
+from ._common import cut, gives_back, id_and_text, whole_rows
 
 SEED = 42
 CHUNK = 1024
-#: Shards over CHUNK rows are broadcast up to this number (16 bytes each), else joined.
-BROADCAST_ROWS = 100_000
+#: Small tables (numbers only, under 100 bytes a row) are broadcast up to this many rows, counted before; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 LEAF = 48
 #: Bit blocks and how many of them are equal in a pair at distance 4 or less.
 SCHEMES = ((5, 1), (6, 2), (7, 3), (8, 4))
@@ -76,6 +76,7 @@ def fingerprint(hashes: list[int]) -> int:
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and fp (64 bits in a signed long)."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column("text")]
@@ -89,9 +90,9 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, WIDE_WORDS), np.uint64))
 
 
-def signature(shingles: np.ndarray) -> int:
+def signature(shingles: np.ndarray, seed: int = SEED) -> int:
     """One number for a set of shingles; texts with equal sets are one text to one_of_each."""
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED)).astype(np.int64))
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), seed)).astype(np.int64))
 
 
 def least_hash_keys(shingles: np.ndarray) -> list[int]:
@@ -111,22 +112,24 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, text_hash, fp, and of the set of shingles its signature (sig), size and keys, in one pass over the texts."""
+    """doc_id, text_hash, fp, and of the set of shingles two signatures (sig, check), size and keys, in one pass over the texts."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sigs, sizes, keys = [], [], [], []
+            prints, sigs, checks, sizes, keys = [], [], [], [], []
             for text in batch.column("text"):
                 t = text.as_py()
                 shingles = shingle_set(t)
                 prints.append(fingerprint(shingle_hashes(t, width)))
                 sigs.append(signature(shingles))
+                checks.append(signature(shingles, SEED + 1))
                 sizes.append(len(shingles))
                 keys.append(least_hash_keys(shingles))
-            arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(prints, np.uint64).astype(np.int64)), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "fp", "sig", "size", "keys"])
+            arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(prints, np.uint64).astype(np.int64)), *(pa.array(x, pa.int64()) for x in (sigs, checks, sizes)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "fp", "sig", "check", "size", "keys"])
 
-    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, fp long, sig long, size long, keys array<long>")
+    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, fp long, sig long, check long, size long, keys array<long>")
 
 
 class Forest:
@@ -209,12 +212,17 @@ def _units(probes: DataFrame, *columns: str, weight=F.lit) -> DataFrame:
     chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long")
     own = F.pmod(F.xxhash64(columns[0]), chunks)
     return (
-        probes.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "key", "left")
+        probes.join(_small(sizes), "key", "left")
         .select(*columns, "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
         .select(*columns, F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
     )
 
 
+def _small(df: DataFrame, weight: Column | int = 1) -> DataFrame:
+    """df, to be broadcast if its counted weight is BROADCAST_ROWS at most; beyond it the other side is shuffled too."""
+    return F.broadcast(df) if (df.agg(F.sum(F.lit(weight))).first()[0] or 0) <= BROADCAST_ROWS else df
+
+
 def hamming_links(codes: DataFrame, count: int, radius: int = 4, scheme: tuple[int, int] | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct fp at `radius` differing bits or fewer.
 
@@ -227,6 +235,7 @@ def hamming_links(codes: DataFrame, count: int, radius: int = 4, scheme: tuple[i
     rows = count * len(list(combinations(range(scheme[0]), scheme[1])))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 200_000 + 1)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column("fp").to_numpy(zero_copy_only=False), b.column("unit").to_numpy(zero_copy_only=False)) for b in batches]
         if not held:
@@ -249,10 +258,15 @@ def hamming_links(codes: DataFrame, count: int, radius: int = 4, scheme: tuple[i
 
 
 def key_links(sketched: DataFrame) -> DataFrame:
-    """Links (a, b) of sig that join all texts with a key in common: a star for each key."""
+    """Links (a, b) of sig that join all texts with a key in common.
+
+    The least sig of a key is its centre. A text is linked to the least of its centres only, and so are its other centres:
+    of a large group nearly all links are then the same few."""
     keyed = sketched.select("sig", F.explode("keys").alias("key")).distinct()
     least = keyed.groupBy("key").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return keyed.join(least, "key").filter("sig != b").select(F.col("sig").alias("a"), "b").distinct()
+    own = keyed.join(least, "key").groupBy("sig").agg(F.collect_set("b").alias("centres"))
+    links = own.select(F.explode(F.concat(F.array("sig"), "centres")).alias("a"), F.array_min("centres").alias("b"))
+    return links.filter("a != b").distinct()
 
 
 def fingerprint_links(sketched: DataFrame, radius: int = 4) -> DataFrame:
@@ -294,13 +308,15 @@ def confirmed(docs: DataFrame, sketched: DataFrame, proposed: DataFrame) -> Data
     texts = sketched.groupBy("sig").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("row"))
     members = cut(components(proposed).select(F.col("v").alias("sig"), F.col("label").alias("key")).join(texts, "sig"))
     units = _units(members, "sig", "row", weight=lambda one: F.greatest(F.lit(one).cast("double"), F.col("size") / ROW_SHINGLES))
-    wanted = units.groupBy("sig", "row").agg(F.collect_set("unit").alias("units")).select("sig", "units", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"))
+    wanted = units.groupBy("sig", "row").agg(F.collect_set("unit").alias("units")).select("sig", "units", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"))
 
+    @gives_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()).astype("<u8").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("units"), pa.array(sets, pa.binary())], ["sig", "units", "shingles"])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by unit; one unit is held at a time."""
         held, unit = {}, None
@@ -326,8 +342,7 @@ def confirmed(docs: DataFrame, sketched: DataFrame, proposed: DataFrame) -> Data
         a, b = found()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    d = _hashed(docs)
-    rows = d.join(wanted, d["doc_id"].eqNullSafe(F.col("__id")) & (d["text_hash"] == F.col("__hash"))).select("sig", "units", "text")
+    rows = _hashed(docs).join(_small(cut(wanted), F.size("units")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("sig", "units", "text")
     sets = rows.mapInArrow(read, "sig long, units array<long>, shingles binary").select("sig", "shingles", F.explode("units").alias("unit"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sets.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
@@ -374,14 +389,31 @@ def _least_rows(sketched: DataFrame, links: DataFrame) -> DataFrame:
     return named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")).select("m.doc_id", "m.text_hash")
 
 
+def told_apart(sketched: DataFrame) -> DataFrame:
+    """sketched, where different sets of shingles that happen to share a sig (their check differs) get one of their own."""
+    clashes = cut(sketched.groupBy("sig").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low != high").select(F.col("sig").alias("clash")))
+    if clashes.isEmpty():
+        return sketched
+    own = F.when(F.col("clash").isNotNull(), F.xxhash64("sig", "check")).otherwise(F.col("sig"))
+    return cut(sketched.join(clashes, F.col("sig") == F.col("clash"), "left").withColumn("sig", own).drop("clash"))
+
+
 def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """docs without near copies, all columns; repeated rows stay once.
 
     Of each group of texts at a similarity of 0.8 or more on five words (links are transitive), counted on the sets of
-    shingles, the least doc_id stays."""
-    sketched = cut(sketches(docs, width))
+    shingles, the least doc_id stays. Texts meet only where they are candidates for a copy: all else is decided on
+    numbers, and the rows that go (or are repeated) are taken out of docs where they stand."""
+    sketched = told_apart(cut(sketches(docs, width)))
     proposed = fingerprint_links(sketched, radius).union(key_links(sketched))
-    stay = cut(_least_rows(sketched, confirmed(docs, sketched, proposed)).select(F.col("doc_id").alias("__stay"), F.col("text_hash").alias("__stay_hash")))
-    own_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")) & (own_hash == F.col("__stay_hash")), "left_semi")
-    return kept.withColumn("__text", own_hash).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    stay = _least_rows(sketched, confirmed(docs, sketched, proposed)).withColumn("stays", F.lit(True))
+    times = sketched.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    same = times["doc_id"].eqNullSafe(stay["doc_id"]) & (times["text_hash"] == stay["text_hash"])
+    marked = times.join(stay, same, "left").select(times["doc_id"].alias("id"), times["text_hash"].alias("hash"), F.coalesce("stays", F.lit(False)).alias("stays"), "times")
+    marked = cut(marked.filter("not stays or times > 1").select("id", "hash", "stays"))
+    rows = docs.select(whole_rows(docs).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    held = rows.join(_small(marked), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left")
+    single = held.filter("stays is null").select("row.*")
+    if marked.filter("stays").isEmpty():
+        return single
+    return single.union(held.filter("stays").dropDuplicates(["own_id", "own_hash"]).select("row.*"))

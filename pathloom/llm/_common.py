@@ -9,7 +9,7 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters with the Unicode property White_Space, as a regex class body.
@@ -78,6 +78,15 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name of theirs can meet another."""
+    return F.struct(*(docs[quoted(c)].alias(c) for c in docs.columns))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session; where none is set (tests on one machine), one under /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""

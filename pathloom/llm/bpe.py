@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import WHITE_SPACE, Cache, id_and_text, words_after_spaces
+from ._common import Cache, WHITE_SPACE, gives_back, id_and_text, words_after_spaces
 
 
 class RankQueue:
@@ -168,6 +168,7 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of every whole text."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
@@ -180,6 +181,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text of every row of ids; bytes that are not UTF-8 become replacement characters."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
@@ -192,6 +194,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes every whole text, decodes the ids and returns digests of both; one pass without a shuffle."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         sha = hashlib.sha256

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
-from ._common import table
+from ._common import ensure_checkpoint_dir, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +17,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_versions(table(spark, sf_dir, "documents"))
+    ledger = f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"  # a new one for each call
+    found = secrets.scan_incrementally(table(spark, sf_dir, "documents"), ledger)
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
 
 

@@ -18,10 +18,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import cut, gives_back, small_batches, whole_rows
 
 #: Kind, pattern, and the least length of (group 2 or the whole match), in the order that breaks ties.
 BASE_RULES = (
@@ -41,6 +41,10 @@ MORE_RULES = (
 _TRACES = ("password", "passwd", "secret", "token", "apikey", "api_key", "private key-----", "eyj", "gho_", "ghp_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "://")
 RULE_VERSION = hashlib.sha256(repr((BASE_RULES, MORE_RULES)).encode()).hexdigest()[:16]
 FOUND = "n_assign long, n_access long, n_hex long, base_spans string, spans string"
+LEDGER = f"blob binary, {FOUND}, rule_version string"
+
+#: Findings (hash and spans) are broadcast up to this many bytes, summed before; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 #: A run of hex digits shorter than the least length can never match, so runs are only tried where they begin.
 _COMPILED = [(kind, re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}" if kind == "hex" else pattern, re.A), least, k) for k, (kind, pattern, least) in enumerate(BASE_RULES + MORE_RULES)]
@@ -66,6 +70,7 @@ def _trace(text):
     return test
 
 
+@gives_back
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base = len(BASE_RULES)
     for batch in batches:
@@ -119,9 +124,26 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_ver
     return _filled(held.select("path", "blob").join(found, "blob", "left"))
 
 
-def _masked(text, spans):
-    if text is None or not spans:
-        return text
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The stored ledger, or None where none is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    held = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*"))
+    return spark.read.schema(LEDGER).parquet(folder) if held is not None and len(held) else None
+
+
+def scan_incrementally(versions: DataFrame, folder: str, rule_version: str = RULE_VERSION, path: str = "doc_id") -> DataFrame:
+    """scan_versions through the ledger stored in folder: what it lacks is scanned and appended, findings are read from it.
+
+    One run at a time may append to a folder; a pair that two runs appended all the same counts once."""
+    spark = versions.sparkSession
+    ledger_update(versions, read_ledger(spark, folder), rule_version, path).write.mode("append").parquet(folder)
+    known = spark.read.schema(LEDGER).parquet(folder).filter((F.col("rule_version") == rule_version) & (F.col("spans") != ""))
+    columns = [c.split()[0] for c in FOUND.split(", ")]
+    once = known.groupBy("blob").agg(*(F.first(c).alias(c) for c in columns))
+    return _filled(content(versions, path).select("path", "blob").join(once, "blob", "left"))
+
+
+def masked(text: str, spans: str) -> str:
     out, at = [], 0
     for a, b in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans.split(",")):
         if b > at:
@@ -130,12 +152,26 @@ def _masked(text, spans):
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """docs with every found span replaced by [SECRET] in text, through the blob of each row; all rows stay."""
-    columns = docs.columns
+@gives_back
+def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [masked(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], ["rest", "masked"])
+
+
+def redact(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+    """docs with every found span replaced by [SECRET] in text, through the blob of each row; all rows stay.
+
+    Only rows with spans go through Python. Findings of blobs that the ledger holds are taken from it."""
     blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    found = unseen_findings(content(docs), ledger).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).filter("__spans != ''")
-    joined = docs.withColumn("__key", blob).join(found, F.col("__key") == F.col("__blob"), "left")
-    # only rows with spans send their text to Python
-    masked = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.udf(_masked, "string")(F.when(F.col("__spans").isNotNull(), F.col("text")), F.col("__spans")))
-    return joined.withColumn("text", masked).select(*columns)
+    found = unseen_findings(content(docs), ledger, rule_version).select("blob", "spans")
+    if ledger is not None:
+        found = found.unionByName(ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans"))
+    found = cut(found.filter("spans != ''"))
+    held = docs.select(blob.alias("own"), F.col("text").alias("text"), whole_rows(docs.drop("text")).alias("rest"))
+    size = found.agg(F.sum(F.octet_length("spans") + 100)).first()[0] or 0
+    joined = held.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("own") == F.col("blob"), "left").select("rest", "text", "spans")
+    kind = joined.select("rest", F.col("text").alias("masked")).schema
+    # two scans of docs, as rows without spans need no Python
+    out = joined.filter("spans is null").select("rest", F.col("text").alias("masked")).union(joined.filter("spans is not null").mapInArrow(_redacted, kind))
+    return out.select(*(F.col("masked").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))

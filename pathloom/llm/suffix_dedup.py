@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from ._common import cut, small_batches
+from ._common import cut, gives_back, small_batches, whole_rows
 
 WINDOW, GRAM = 200, 40
 HOT = 2048  # spans of a gram that one task may judge: under a megabyte
@@ -154,6 +154,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 RUN = "row long, pos long, shape long, gram long, span long"
 
 
+@gives_back
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches, 256):
         texts = [t.as_py().encode() for t in batch.column("text")]
@@ -163,6 +164,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["row", "pos", "shape", "gram", "span"])
 
 
+@gives_back
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All columns, text replaced by its compressed bytes (packed, the last column)."""
     pack = zstandard.ZstdCompressor(level=1).compress
@@ -179,6 +181,7 @@ def _unpack(packed: bytes) -> bytes:
 SPAN = "gram long, span long, once boolean, row long, pos long, offset int, bytes binary"
 
 
+@gives_back
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted span, cut from the text of its row."""
     for batch in _slices(batches, 256):
@@ -215,6 +218,7 @@ def _ranges(rows: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[new]), pa.array(at[new]), pa.array(at[ends] + WINDOW)], ["row", "first", "last"])
 
 
+@gives_back
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows among the spans of each gram; rows come sorted by gram, a chunk never ends inside one."""
 
@@ -259,11 +263,21 @@ def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [c.split()[0] for c in SINGLE.split(", ")])
 
 
+@gives_back
+def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_singles of _spans in one step, so that a task has one Python worker."""
+    yield from _singles(_spans(batches))
+
+
 def keyed(docs: DataFrame, *more) -> DataFrame:
-    """row (a hash of doc_id and text, so equal rows share it), doc_id, more columns and text."""
+    """row, doc_id, more columns and text.
+
+    row is the doc_id where each row has one of its own, else a hash of doc_id and text, so that equal rows share it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.col("doc_id").cast("long")
-    return small_batches(docs).select(F.xxhash64(doc, text).alias("row"), doc.alias("doc_id"), *more, text.alias("text"))
+    shared = docs.groupBy(doc.alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null")
+    row = doc if shared.isEmpty() else F.xxhash64(doc, text)
+    return small_batches(docs).select(row.alias("row"), doc.alias("doc_id"), *more, text.alias("text"))
 
 
 def repeated_ranges(held: DataFrame, packed: DataFrame) -> DataFrame:
@@ -286,7 +300,7 @@ def repeated_ranges(held: DataFrame, packed: DataFrame) -> DataFrame:
     edges = with_text.withColumn("wanted", few(True)).filter(F.size("wanted") > 0).mapInArrow(_spans, SPAN)
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = edges.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_classes, RANGE)
-    singles = with_text.withColumn("wanted", few(False)).filter(F.size("wanted") > 0).mapInArrow(_spans, SPAN).mapInArrow(_singles, SINGLE)
+    singles = with_text.withColumn("wanted", few(False)).filter(F.size("wanted") > 0).mapInArrow(_hot_windows, SINGLE)
     again = singles.groupBy("gram", "off", "hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     # dealt by another key, so that both sides of the join are exchanged and a frequent window can be split
     again = again.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -313,6 +327,7 @@ def _joined(held: DataFrame) -> DataFrame:
     return packed.join(ranges, "row", "left")
 
 
+@gives_back
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -335,6 +350,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     return _joined(keyed(docs)).select("doc_id", "packed", "ranges").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@gives_back
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -353,9 +369,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Every row of docs with the characters that lie whole in repeated ranges removed from text."""
-    columns = [c for c in docs.columns if c != "text"]
-    held = keyed(docs, F.struct(*columns, F.col("text").isNull().alias("__no_text")).alias("rest"))
-    joined = _joined(held).select("rest", "packed", "ranges")
+    rest = F.struct(whole_rows(docs.drop("text")).alias("columns"), F.col("text").isNull().alias("no_text"))
+    joined = _joined(keyed(docs, rest.alias("rest"))).select("rest", "packed", "ranges")
     kept = joined.mapInArrow(_kept, StructType([joined.schema["rest"], StructField("kept", StringType())]))
-    text = F.when(~F.col("rest.__no_text"), F.col("kept")).alias("text")
-    return kept.select(*(text if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    text = F.when(~F.col("rest.no_text"), F.col("kept")).alias("text")
+    return kept.select(*(text if c == "text" else F.col("rest.columns").getField(c).alias(c) for c in docs.columns))

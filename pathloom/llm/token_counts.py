@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Cache, id_and_text, words_after_spaces
+from ._common import Cache, gives_back, id_and_text, words_after_spaces
 
 LEAF_WORDS, SPLIT_AT = 64, 8
 TREE = "leaf_chars array<int>, leaf_tokens array<int>"
@@ -145,6 +145,7 @@ class SegmentTree:
 def build_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the leaves of every whole text."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, pattern)
         for batch in batches:
@@ -162,6 +163,7 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str, patt
     listed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "stop", "new"))).alias("edits"))
     rows = id_and_text(docs).join(trees.select("doc_id", "leaf_chars", "leaf_tokens"), "doc_id").join(listed, "doc_id")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, pattern)
         for batch in batches:
@@ -189,6 +191,7 @@ def revision(text: str) -> list[tuple[int, int, str]]:
 def counts_and_recounts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Tokens of every whole text, and of its revision() counted through the tree, with what had to be encoded anew."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, pattern)
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Cache, cut, id_and_text, small_batches
+from ._common import Cache, cut, gives_back, id_and_text, small_batches
 from .labelled import LABELLED_ROWS, held_out, training_labels
 
 #: Word lists of the transducers (lower case).
@@ -39,7 +39,7 @@ REPORTS = "said says say wrote writes called calls quoted quotes reported claime
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 FIXED = {w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words}
 REACH = 3  # words that a negation covers
-SEED_WEIGHT, LEAST_ROWS, LEAST_ODDS, LEXICON = 3.0, 3, 1.6, 20_000
+SEED_WEIGHT, LEAST_ROWS, LEAST_ODDS = 3.0, 3, 1.6
 #: Folds of the sample, and how far (in standard errors) below an entry's log odds SURE_ODDS must still be reached.
 FOLDS, CONFIDENCE, SURE_ODDS = 4, 1.64, 1.0
 _ENDS = re.compile(r"[.!?;:\n]")
@@ -136,6 +136,7 @@ class Grammar:
         return [np.log1p(total), np.log1p(top), np.log1p(100 * total / max(20, n)), float(bool(found)), np.log1p(len(found)), np.log1p(sum(x for x in found if x >= 3)), np.log1p(n / 100)]
 
 
+@gives_back
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with each entry, toxic and clean, of a partition of the sample, by fold."""
     counts = {1: Counter(), 0: Counter()}
@@ -151,8 +152,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
     """For each fold the lexicon that the other folds teach, and last that of all rows; each over the fixed list.
 
-    A lexicon has at most LEXICON entries beyond the list: those whose log odds between toxic and clean rows are high,
-    also at the lower end of their confidence interval. The weight is the log odds."""
+    A lexicon has all entries whose log odds between toxic and clean rows are high, also at the lower end of their
+    confidence interval; the bounded sample bounds it. The weight is the log odds."""
     kinds = sample.groupBy("fold").agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("t"), F.count(F.lit(1)).alias("n")).collect()
     counts = sample.select("text", "label", "fold").mapInArrow(_evidence, "entry string, fold long, toxic long, clean long").groupBy("entry")
     of_fold = [F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(x))), F.lit(0)).alias(f"{x}_{k}") for x in ("toxic", "clean") for k in range(FOLDS)]
@@ -168,8 +169,8 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
         toxic, clean = (F.col(x) - (F.col(f"{x}_{left}") if left < FOLDS else 0) for x in ("toxic", "clean"))
         odds = F.log((toxic + 0.5) / (t + 1.0)) - F.log((clean + 0.5) / (c + 1.0))
         sure = odds - CONFIDENCE * F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-        strong = counts.filter((toxic >= LEAST_ROWS) & (odds >= LEAST_ODDS) & (sure >= SURE_ODDS)).select("entry", odds.alias("odds"), (toxic * odds).alias("use"))
-        for r in strong.orderBy(F.desc("use"), "entry").limit(LEXICON).collect():
+        strong = counts.filter((toxic >= LEAST_ROWS) & (odds >= LEAST_ODDS) & (sure >= SURE_ODDS)).select("entry", odds.alias("odds"))
+        for r in strong.collect():
             lexicon[r.entry] = max(lexicon.get(r.entry, 0.0), min(6.0, r.odds))
     return found
 
@@ -221,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     sample = cut(known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))))
     lexicons = learn_lexicons(sample)
 
+    @gives_back
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = [Grammar(lexicon, 50_000) for lexicon in lexicons[:FOLDS]]
         for batch in batches:
@@ -235,6 +237,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROW
     """doc_id, held_out, score and n_clauses (matched) of every row."""
     model = fit(docs, labels, rows)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(model.lexicon)
         for batch in batches:
@@ -249,6 +252,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> D
     """The rows of docs whose text scores under `least`, with all their columns."""
     model = fit(docs, labels)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(model.lexicon)
         for batch in batches:

@@ -45,6 +45,34 @@ def test_ledger_scans_only_unseen(spark):
     assert secrets.ledger_update(docs(spark, LEAKY), ledger, "other rules").count() == 9
 
 
+def test_stored_ledger(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    assert secrets.read_ledger(spark, folder) is None
+    columns = ("path", "n_assign", "n_access", "n_hex", "base_spans", "spans")
+    full = {tuple(r[c] for c in columns) for r in secrets.scan_versions(docs(spark, LEAKY)).collect()}
+    secrets.scan_incrementally(docs(spark, LEAKY[:5]), folder)
+    assert spark.read.parquet(folder).count() == 5
+    for _ in range(2):  # the second run finds nothing unseen
+        got = secrets.scan_incrementally(docs(spark, LEAKY), folder)
+        assert {tuple(r[c] for c in columns) for r in got.collect()} == full
+        assert spark.read.parquet(folder).count() == 9
+    secrets.scan_incrementally(docs(spark, LEAKY), folder, "other rules")
+    assert spark.read.parquet(folder).count() == 18
+    redacted = {r.doc_id: r.text for r in secrets.redact(docs(spark, LEAKY), secrets.read_ledger(spark, folder)).collect()}
+    assert redacted == {r.doc_id: r.text for r in secrets.redact(docs(spark, LEAKY)).collect()}
+    assert secrets.scan_incrementally(docs(spark, []), str(tmp_path / "none")).count() == 0
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    names = ("blob", "spans", "own", "rest", "masked", "columns", "a`b")
+    odd = docs(spark, LEAKY).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    got = secrets.redact(odd)
+    assert got.columns == odd.columns
+    assert {tuple(r)[-7:] for r in got.collect()} == {tuple(range(7))}
+
+
 def test_redaction(spark):
     out = {r.doc_id: r.text for r in secrets.redact(docs(spark, NASTY + LEAKY)).collect()}
     assert len(out) == len(NASTY) + len(LEAKY)

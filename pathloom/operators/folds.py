@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Spread:
@@ -43,40 +44,44 @@ def greedy(points: DataFrame, key: str, order: str, axes: tuple[str, ...] = ("x"
     return points.groupBy(key).applyInPandas(run, points.schema)
 
 
-def darts(boxes: DataFrame, key: str, distance: float, count: int, tries: int = 30, seed: int = 42) -> DataFrame:
-    """Poisson-disk points in the box (min_x ..) of each key: the generator starts anew for every box."""
+def darts(boxes: DataFrame, key: str, distance: float, count: int, tries: int = 30, seed: int = 42, kind: str = "long") -> DataFrame:
+    """Poisson-disk points in the box (min_x ..) of each key: the generator starts anew for every box, so nothing is shuffled."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, box in rows.iterrows():
-            low, high = np.array([box["min_x"], box["min_y"]]), np.array([box["max_x"], box["max_y"]])
-            held, n = Spread(distance), 0
-            for point in low + (high - low) * np.random.default_rng(seed).random((count * tries, 2)):
-                if n == count:
-                    break
-                if held.far(tuple(point), distance):
-                    held.add(tuple(point))
-                    out.append((box[key], n, *point))
-                    n += 1
-        return pd.DataFrame(out, columns=[key, "pt", "x", "y"])
+    def run(parts):
+        for rows in parts:
+            out = []
+            for name, *corners in zip(*(rows[c] for c in (key, "min_x", "min_y", "max_x", "max_y"))):
+                low, high = np.array(corners[:2]), np.array(corners[2:])
+                held, n = Spread(distance), 0
+                for point in low + (high - low) * np.random.default_rng(seed).random((count * tries, 2)):
+                    if n == count:
+                        break
+                    if held.far(tuple(point), distance):
+                        held.add(tuple(point))
+                        out.append((name, n, *point))
+                        n += 1
+            yield pd.DataFrame(out, columns=[key, "pt", "x", "y"])
+
+    return boxes.select(key, "min_x", "min_y", "max_x", "max_y").mapInPandas(run, f"{key} {kind}, pt long, x double, y double")
 
-    return boxes.groupBy(key).applyInPandas(run, f"{key} long, pt long, x double, y double")
 
+def weighted_cells(cells: DataFrame, key: str, distance: float, count: int | None, seed: int, tries: int | None = 60) -> DataFrame:
+    """Cells (key, i, j, x, y, weight) drawn by weight, kept if far enough from those kept; tries None: each cell once.
 
-def weighted_cells(cells: DataFrame, key: str, distance: float, count: int, seed: int, tries: int | None = 60) -> DataFrame:
-    """Cells (key, i, j, x, y, weight) drawn by weight, kept if far enough from those kept; tries None: each cell once."""
+    count None: as many as the group's column `most` says."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["i", "j"])
         rng = np.random.default_rng(seed)
+        wanted = int(rows["most"].iloc[0]) if count is None else count
         if tries is None:
             order = rng.permutation(len(rows))
         else:
             weight = np.maximum(rows["weight"].to_numpy(), 1e-8)
-            order = rng.choice(len(rows), count * tries, p=weight / weight.sum())
+            order = rng.choice(len(rows), wanted * tries, p=weight / weight.sum())
         held, taken, xy = Spread(distance), [], rows[["x", "y"]].to_numpy()
         for k in order:
-            if len(taken) == count:
+            if len(taken) == wanted:
                 break
             if held.far(tuple(xy[k]), distance):
                 held.add(tuple(xy[k]))
@@ -86,13 +91,14 @@ def weighted_cells(cells: DataFrame, key: str, distance: float, count: int, seed
     return cells.groupBy(key).applyInPandas(run, cells.schema)
 
 
-def novelty(candidates: DataFrame, keys: list[str], target: int, least: float, free: int = 5) -> DataFrame:
-    """Per group in order of score: the first `free` rows, then those of which the share of uncovered marks is at least `least`."""
+def novelty(candidates: DataFrame, keys: list[str], order: list[str], least: float, free: int = 5) -> DataFrame:
+    """Per group in order of score (descending, then order): the first `free` rows, then those of whose marks a share of
+    `least` or more is uncovered, up to the row's own target; columns score, marks and target are read."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("score", ascending=False, kind="stable")
+        rows = rows.sort_values(["score", *order], ascending=[False, *(True for _ in order)], kind="stable")
         covered, taken = set(), []
-        for marks in rows["marks"]:
+        for marks, target in zip(rows["marks"], rows["target"]):
             own = set(marks)
             new = len(own - covered) / len(own) if own else 0.0
             take = sum(taken) < target and (sum(taken) < free or new >= least)
@@ -104,33 +110,39 @@ def novelty(candidates: DataFrame, keys: list[str], target: int, least: float, f
     return candidates.groupBy(*keys).applyInPandas(run, candidates.schema)
 
 
-def walks(edges: DataFrame, rooms: DataFrame, key: str, seed: int, per_waypoint: int = 2, steps: int = 30) -> DataFrame:
-    """Random walks over a scene's graph: never straight back; visited waypoints weigh 0.1, new rooms 3, others 1."""
+#: Steps of the walks' generator: draws are whole numbers under MODULUS from seed, scene, walk and step.
+WALK, STEP, SCENE, MULTIPLIER, MODULUS = 7919, 6007, 104729, 48271, 2**31 - 1
+
+
+def walks(edges: DataFrame, rooms: DataFrame, seed: int, per_waypoint: int = 2, steps: int = 30) -> DataFrame:
+    """Random walks over a scene's graph: never straight back; visited waypoints weigh 0.1, new rooms 3, others 1.
+
+    Walks of fewer than 3 waypoints are left out. edges: scene_id, i, j; rooms: scene_id, idx, room (or null)."""
 
     def run(graph: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
         if not len(names):
-            return pd.DataFrame({key: [], "walk": [], "path": [], "score": []})
-        scene = names["room_scene"].iloc[0]
+            return pd.DataFrame({"scene_id": [], "walk": [], "path": []})
+        scene = int(names["room_scene"].iloc[0])
         room = dict(zip(names["idx"], names["room"]))
         near = {i: g.sort_values("j")["j"].tolist() for i, g in graph.groupby("i")}
-        rng, every, out = np.random.default_rng([seed, int(scene)]), sorted(room), []
+        every, out = sorted(room), []
         for number in range(per_waypoint * len(every)):
-            path = [int(rng.choice(every))]
-            rooms_seen = {room[path[0]]}
+            path = [every[(number * WALK + scene * SCENE + seed) % len(every)]]
+            seen = {room[path[0]]}
             while len(path) <= steps:
-                back = path[-2] if len(path) > 1 else None
-                options = [j for j in near.get(path[-1], ()) if j != back]
+                options = [j for j in near.get(path[-1], ()) if len(path) < 2 or j != path[-2]]
                 if not options:
                     break
-                weight = np.array([0.1 if j in path else 3.0 if room.get(j) not in rooms_seen else 1.0 for j in options])
-                path.append(int(rng.choice(options, p=weight / weight.sum())))
-                rooms_seen.add(room.get(path[-1]))
+                weight = np.cumsum([1 if j in path else 30 if room[j] is not None and room[j] not in seen else 10 for j in options])
+                drawn = (number * WALK + (len(path) - 1) * STEP + scene * SCENE + seed) * MULTIPLIER % MODULUS
+                path.append(options[int(np.argmax(weight * MODULUS > drawn * int(weight[-1])))])
+                seen.add(room[path[-1]])
             if len(path) >= 3:
-                out.append((scene, number, path, 0.8 * len(path) + 3.0 * len(rooms_seen)))
-        return pd.DataFrame(out, columns=[key, "walk", "path", "score"])
+                out.append((scene, number, path))
+        return pd.DataFrame(out, columns=["scene_id", "walk", "path"])
 
-    named = rooms.select("idx", "room", rooms[key].alias("room_scene"))
-    return edges.groupBy(key).cogroup(named.groupBy("room_scene")).applyInPandas(run, f"{key} long, walk long, path array<long>, score double")
+    named = rooms.select("idx", "room", F.col("scene_id").alias("room_scene"))
+    return edges.groupBy("scene_id").cogroup(named.groupBy("room_scene")).applyInPandas(run, "scene_id long, walk long, path array<long>")
 
 
 def smooth(points: DataFrame, key: str = "path_id", order: str = "seq", penalty: float = 0.2) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Waypoint graphs: edges, all shortest paths, candidates and their scores."""
+"""Waypoint graphs: edges, all shortest paths, candidates and their scores. Every table carries its scene."""
 
 from __future__ import annotations
 
@@ -7,57 +7,92 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.scene import cut
 from pathloom.operators.spatial import distance_join
 
+#: Waypoints of a scene whose matrices (16 bytes a pair) one task may hold; larger scenes go by rounds of joins.
+LARGE_SCENE = 4000
+
 
 def edges(points: DataFrame, distance: float, axes: tuple[str, ...] = ("x", "y"), keys: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs i < j at most `distance` apart (i, j, d), by cells."""
+    """Pairs i < j at most `distance` apart and equal in keys (keys, i, j, d), by cells."""
     pairs = distance_join(points, points, distance, axes, keys).filter("idx_a < idx_b")
-    return pairs.select(F.col("idx_a").alias("i"), F.col("idx_b").alias("j"), "d")
+    return pairs.select(*(F.col(f"{k}_a").alias(k) for k in keys), F.col("idx_a").alias("i"), F.col("idx_b").alias("j"), "d")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("i", "j", "d").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    """Each row and its mirror; the pairs are read once."""
+    turned = F.explode(F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    rest = [n for n in pairs.columns if n not in ("i", "j")]
+    return pairs.select(*rest, turned.alias("e")).select(*(F.col(f"e.{n}") if n in ("i", "j") else F.col(n) for n in pairs.columns))
+
+
+PAIRS = "scene_id long, i long, j long, dist double, path array<long>"
 
 
-def all_pairs(graph: DataFrame, key: str = "scene_id") -> DataFrame:
-    """dist and pred of every reachable ordered pair of a scene (Floyd-Warshall, strict improvement).
+def all_pairs(graph: DataFrame) -> DataFrame:
+    """dist and path (vertices from i to j) of every ordered pair of a scene that is connected; i = j has the path (i).
 
-    graph: key, i, j, d in both directions. A scene's matrix lives in one task (W x W doubles), scenes run side by side."""
+    graph: scene_id, i, j, d in both directions, and a row (i, i, 0) for each waypoint."""
+    sizes = graph.filter("i = j").groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.filter(F.col("n") > LARGE_SCENE).select("scene_id")
+    if large.isEmpty():
+        return _matrices(graph)
+    large = cut(large)
+    return _matrices(graph.join(large, "scene_id", "left_anti")).unionByName(_rounds(graph.join(large, "scene_id", "left_semi")))
+
+
+def _matrices(graph: DataFrame) -> DataFrame:
+    """Floyd-Warshall with strict improvement: a scene's matrices lie in one task, scenes run side by side."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.r_[rows["i"], rows["j"]])
         n = len(names)
         a, b = np.searchsorted(names, rows["i"]), np.searchsorted(names, rows["j"])
         dist, pred = np.full((n, n), np.inf), np.full((n, n), -1)
-        np.fill_diagonal(dist, 0.0)
         dist[a, b] = rows["d"]
         pred[a, b] = a
+        np.fill_diagonal(dist, 0.0)
         for k in range(n):
             through = dist[:, k, None] + dist[None, k, :]
             better = through < dist
             dist = np.where(better, through, dist)
-            pred = np.where(better, np.broadcast_to(pred[k], (n, n)), pred)
+            pred = np.where(better, pred[k], pred)
         i, j = np.nonzero(np.isfinite(dist))
-        return pd.DataFrame({key: rows[key].iloc[0], "i": names[i], "j": names[j], "dist": dist[i, j], "pred": np.where(pred[i, j] < 0, -1, names[pred[i, j]])})
-
-    return graph.groupBy(key).applyInPandas(run, f"{key} long, i long, j long, dist double, pred long")
-
-
-def shortest_paths(apsp: DataFrame, key: str = "scene_id") -> DataFrame:
-    """Vertices of every shortest path, by walking predecessors of a scene's pairs; key, i, j, dist, path."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pred = {(i, j): p for i, j, p in zip(rows["i"], rows["j"], rows["pred"])}
         paths = []
-        for i, j in zip(rows["i"], rows["j"]):
-            path = [j]
-            while path[-1] != i and len(path) <= len(rows):
-                path.append(pred[i, path[-1]])
-            paths.append([int(p) for p in reversed(path)])
-        return rows[[key, "i", "j", "dist"]].assign(path=paths)
-
-    return apsp.groupBy(key).applyInPandas(run, f"{key} long, i long, j long, dist double, path array<long>")
+        for start, at in zip(i.tolist(), j.tolist()):
+            path = [at]
+            while path[-1] != start:
+                path.append(int(pred[start, path[-1]]))
+            paths.append(names[path[::-1]].tolist())
+        return pd.DataFrame({"scene_id": rows["scene_id"].iloc[0], "i": names[i], "j": names[j], "dist": dist[i, j], "path": paths})
+
+    return graph.groupBy("scene_id").applyInPandas(run, PAIRS)
+
+
+def _rounds(graph: DataFrame) -> DataFrame:
+    """The same by joins: each round lengthens what the round before improved by one edge; each is a reliable checkpoint."""
+    steps = cut(graph.filter("i <> j").select("scene_id", F.col("i").alias("j"), F.col("j").alias("next"), "d"))
+    known = cut(graph.filter("i = j").select("scene_id", "i", "j", F.lit(0.0).alias("dist"), F.array("i").alias("path")))
+    fresh = known
+    while not fresh.isEmpty():
+        longer = fresh.join(steps, ["scene_id", "j"]).select("scene_id", "i", F.col("next").alias("j"), (F.col("dist") + F.col("d")).alias("dist"), F.concat("path", F.array("next")).alias("path"))
+        best = longer.groupBy("scene_id", "i", "j").agg(F.min(F.struct("dist", "path")).alias("m")).select("scene_id", "i", "j", F.col("m.dist").alias("new"), F.col("m.path").alias("new_path"))
+        fresh = cut(best.join(known, ["scene_id", "i", "j"], "left").filter("dist is null or new < dist").select("scene_id", "i", "j", F.col("new").alias("dist"), F.col("new_path").alias("path")))
+        known = cut(known.join(fresh.select("scene_id", "i", "j"), ["scene_id", "i", "j"], "left_anti").unionByName(fresh))
+    return known
+
+
+def measured(paths: DataFrame, waypoints: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """paths (scene_id, key, path) with rooms (distinct, in order of the path, none for waypoints without one) and n_objects.
+
+    waypoints: scene_id, idx, type, room."""
+    named = waypoints.select("scene_id", F.col("idx").alias("at"), "type", "room")
+    at = paths.select("scene_id", *key, F.posexplode("path").alias("k", "at")).join(named, ["scene_id", "at"])
+    listed = at.groupBy("scene_id", *key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("room").isNotNull(), F.struct("k", "room")))).alias("r"), F.count_if(F.col("type").startswith("object:")).alias("n_objects"))
+    rooms = listed.select("scene_id", *key, F.array_distinct(F.transform("r", lambda x: x["room"])).alias("rooms"), "n_objects")
+    return paths.join(rooms, ["scene_id", *key])
 
 
 def scale(rooms: Column) -> Column:

@@ -1,61 +1,104 @@
-"""Occupancy grids as tables of cells (i, j, state): building, components, lines of sight and shortest paths."""
+"""Occupancy grids as tables of cells (scene_id, i, j, state): building, components, lines of sight and shortest paths.
 
-from __future__ import annotations
+Every scene has a grid of its own (bounds: scene_id, low_x, low_y, nx, ny), and every join carries the scene. Marking,
+sight and queries of cells are joins and aggregations; components and shortest paths hold one scene in a task, as
+scenes are independent, and components of scenes over LARGE_CELLS cells run as distributed rounds instead."""
 
-import heapq
-import math
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.scene import cut
 
 FLOOR, OBSTACLE, VOID = 0, 1, 2
+#: Floor cells of a scene whose components one task may find (some hundred MB); larger scenes go by rounds.
+LARGE_CELLS = 4_000_000
+#: Steps in units of 10^-12 cells: sums are whole numbers, so equal lengths are equal however they are summed.
+STRAIGHT, DIAGONAL = 10**12, 1_414_213_562_373
+NEAR = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1) if di or dj]
+#: Distances that a task holds at once (sources times cells).
+HELD_DISTANCES = 4_000_000
+
+
+def index(value: Column, low: Column, resolution: float, n: Column) -> Column:
+    """The cell along one axis, clipped into the grid."""
+    return F.least(F.greatest(((value - low) / resolution).cast("int"), F.lit(0)), n - 1)
+
+
+def cells(bounds: DataFrame) -> DataFrame:
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    return bounds.select("scene_id", "ny", span("nx").alias("i")).select("scene_id", "i", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"))
+
+
+def covered(boxes: DataFrame, bounds: DataFrame, resolution: float, grow: float) -> DataFrame:
+    """Cells of each box grown by `grow` on all sides, its end cells included; nothing for a box that is empty then."""
+    b = boxes.select("scene_id", *((F.col(n) + (grow if n.startswith("max") else -grow)).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")))
+    b = b.filter("max_x > min_x and max_y > min_y").join(bounds, "scene_id")
+    span = lambda a: F.explode(F.sequence(*(index(F.col(f"{m}_{a}"), F.col(f"low_{a}"), resolution, F.col(f"n{a}")) for m in ("min", "max"))))
+    return b.withColumn("i", span("x")).withColumn("j", span("y")).select("scene_id", "i", "j")
 
 
-def cells(spark, nx: int, ny: int) -> DataFrame:
-    return spark.range(nx * ny).select(F.floor(F.col("id") / ny).cast("int").alias("i"), (F.col("id") % ny).cast("int").alias("j"))
+def build(bounds: DataFrame, rooms: DataFrame, obstacles: DataFrame, resolution: float, wall_margin: float = 0.15, inflation: float = 0.25) -> DataFrame:
+    """Cells with state: obstacles win over floors, floors over void. rooms and obstacles are boxes of scenes."""
+    marks = covered(rooms, bounds, resolution, -wall_margin).withColumn("mark", F.lit(FLOOR)).unionByName(covered(obstacles, bounds, resolution, inflation).withColumn("mark", F.lit(OBSTACLE)))
+    state = marks.groupBy("scene_id", "i", "j").agg(F.max("mark").alias("state"))
+    return cells(bounds).join(state, ["scene_id", "i", "j"], "left").select("scene_id", "i", "j", F.coalesce("state", F.lit(VOID)).alias("state"))
 
 
-def _covered(boxes: DataFrame, low: float, resolution: float, n: int) -> DataFrame:
-    """Cells of each box, its end cells included; nothing for an empty box."""
-    index = lambda c: F.least(F.greatest(((F.col(c) - low) / resolution).cast("int"), F.lit(0)), F.lit(n - 1))
-    whole = boxes.filter((F.col("max_x") > F.col("min_x")) & (F.col("max_y") > F.col("min_y")))
-    span = lambda a, b: F.explode(F.sequence(index(a), index(b)))
-    return whole.withColumn("i", span("min_x", "max_x")).withColumn("j", span("min_y", "max_y")).select("i", "j")
+def _numbered(labels: DataFrame) -> DataFrame:
+    """labels (scene_id, i, j, root) with the roots of each scene numbered from 0 in their order."""
+    roots = labels.select("scene_id", "root").distinct()
+    number = roots.withColumn("label", F.row_number().over(Window.partitionBy("scene_id").orderBy("root")) - 1)
+    return labels.join(number, ["scene_id", "root"]).select("scene_id", "i", "j", "label")
 
 
-def build(spark, rooms: DataFrame, obstacles: DataFrame, low: float, resolution: float, n: int, wall_margin: float = 0.15, inflation: float = 0.25) -> DataFrame:
-    """Cells with state: obstacles win over floors, floors over void. rooms and obstacles are boxes."""
-    grow = lambda df, by: df.select((F.col("min_x") - by).alias("min_x"), (F.col("min_y") - by).alias("min_y"), (F.col("max_x") + by).alias("max_x"), (F.col("max_y") + by).alias("max_y"))
-    marks = _covered(grow(rooms, -wall_margin), low, resolution, n).withColumn("mark", F.lit(FLOOR)).unionByName(_covered(grow(obstacles, inflation), low, resolution, n).withColumn("mark", F.lit(OBSTACLE)))
-    state = marks.groupBy("i", "j").agg(F.max("mark").alias("state"))
-    return cells(spark, n, n).join(state, ["i", "j"], "left").select("i", "j", F.coalesce("state", F.lit(VOID)).alias("state"))
+def components(grid: DataFrame) -> DataFrame:
+    """scene_id, i, j, label of floor cells: 4-neighbour components, numbered from 0 in row-major order of their first cell."""
+    floor = cut(grid.filter(F.col("state") == FLOOR).select("scene_id", "i", "j"))
+    large = floor.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE_CELLS).select("scene_id")
+    if large.isEmpty():
+        return _numbered(_scene_components(floor))
+    large = cut(large)
+    by_rounds = _round_components(floor.join(large, "scene_id", "left_semi"))
+    return _numbered(_scene_components(floor.join(large, "scene_id", "left_anti")).unionByName(by_rounds))
 
 
-def components(grid: DataFrame, ny: int) -> DataFrame:
-    """i, j, label of floor cells: 4-neighbour components, numbered from 0 in row-major order of their first cell.
+def _scene_components(floor: DataFrame) -> DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+        root = np.full((i.max() + 3, j.max() + 3), np.iinfo(np.int64).max)  # a border of non-floor
+        ii, jj = i + 1, j + 1
+        root[ii, jj] = ii.astype(np.int64) * root.shape[1] + jj
+        flat, at = root.ravel(), ii.astype(np.int64) * root.shape[1] + jj
+        while True:
+            low = np.minimum.reduce([flat[at], flat[at - 1], flat[at + 1], flat[at - root.shape[1]], flat[at + root.shape[1]]])
+            low = flat[low]  # the root of the least neighbour
+            if (low == flat[at]).all():
+                break
+            flat[at] = low
+        return rows.assign(root=flat[at])
+
+    return floor.groupBy("scene_id").applyInPandas(run, "scene_id long, i int, j int, root long")
 
-    Least-label rounds with pointer jumping, each cut by a reliable checkpoint."""
-    floor = cut(grid.filter(F.col("state") == FLOOR).select("i", "j", (F.col("i").cast("long") * ny + F.col("j")).alias("v")))
-    near = floor.select(F.col("v").alias("a"), F.explode(F.array(*(F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")) for di, dj in ((1, 0), (-1, 0), (0, 1), (0, -1))))).alias("n"))
-    edges = cut(near.select("a", F.col("n.i").alias("i"), F.col("n.j").alias("j")).join(floor, ["i", "j"]).select("a", F.col("v").alias("b")))
-    labels = cut(floor.select("v", F.col("v").alias("label")))
+
+def _round_components(floor: DataFrame) -> DataFrame:
+    """Least-label rounds with pointer jumping, each cut by a reliable checkpoint."""
+    floor = cut(floor.withColumn("v", F.col("i").cast("long") * (1 << 31) + F.col("j")))
+    near = F.explode(F.array(*(F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")) for di, dj in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
+    edges = floor.select("scene_id", F.col("v").alias("a"), near.alias("n")).select("scene_id", "a", "n.i", "n.j")
+    edges = cut(edges.join(floor, ["scene_id", "i", "j"]).select("scene_id", "a", F.col("v").alias("b")))
+    labels = cut(floor.select("scene_id", "v", F.col("v").alias("label")))
     while True:
-        low = edges.join(labels.select(F.col("v").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("v")).agg(F.min("other").alias("other"))
-        lower = labels.join(low, "v", "left").select("v", F.col("label").alias("before"), F.least("label", "other").alias("label"))
-        jump = lower.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        labels = cut(lower.join(jump, "label").select("v", "before", F.col("next").alias("label")))
+        low = edges.join(labels.select("scene_id", F.col("v").alias("b"), F.col("label").alias("other")), ["scene_id", "b"]).groupBy("scene_id", F.col("a").alias("v")).agg(F.min("other").alias("other"))
+        lower = labels.join(low, ["scene_id", "v"], "left").select("scene_id", "v", F.col("label").alias("before"), F.least("label", "other").alias("label"))
+        jump = lower.select("scene_id", F.col("v").alias("label"), F.col("label").alias("next"))
+        labels = cut(lower.join(jump, ["scene_id", "label"]).select("scene_id", "v", "before", F.col("next").alias("label")))
         if labels.filter("label <> before").isEmpty():
-            break
-        labels = labels.select("v", "label")
-    roots = labels.filter("v = label").select("label")
-    # dense numbers without one task over all cells: one row per component is ranked
-    from pyspark.sql import Window
-
-    numbered = roots.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("number"))
-    return labels.join(numbered, "label").join(floor, "v").select("i", "j", F.col("number").alias("label"))
+            return labels.join(floor, ["scene_id", "v"]).select("scene_id", "i", "j", F.col("label").alias("root"))
+        labels = labels.select("scene_id", "v", "label")
 
 
 def bresenham(i1: Column, j1: Column, i2: Column, j2: Column) -> Column:
@@ -77,58 +120,154 @@ def bresenham(i1: Column, j1: Column, i2: Column, j2: Column) -> Column:
 
 
 def sight(pairs: DataFrame, grid: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """pairs (key, i1, j1, i2, j2) with clear: whether every cell of the line is floor."""
-    line = pairs.select(*key, F.explode(bresenham(F.col("i1"), F.col("j1"), F.col("i2"), F.col("j2"))).alias("c")).select(*key, "c.i", "c.j")
-    seen = line.join(grid, ["i", "j"], "left")
-    return seen.groupBy(*key).agg(F.bool_and(F.coalesce(F.col("state") == FLOOR, F.lit(False))).alias("clear"))
-
-
-def shortest_cells(grid: dict, source: tuple[int, int], targets: set | None = None) -> tuple[dict, dict]:
-    """Distances (in cells) and predecessors over floor cells with 8 neighbours; corners may be cut. Stops when all targets are settled."""
-    distance, before, queue, settled = {source: 0.0}, {}, [(0.0, source)], set()
-    left = set(targets) if targets else None
-    while queue:
-        d, at = heapq.heappop(queue)
-        if at in settled:
-            continue
-        settled.add(at)
-        if left is not None:
-            left.discard(at)
-            if not left:
-                break
-        for di in (-1, 0, 1):
-            for dj in (-1, 0, 1):
-                to = (at[0] + di, at[1] + dj)
-                if (di or dj) and grid.get(to) == FLOOR and to not in settled:
-                    reach = d + (math.sqrt(2) if di and dj else 1.0)
-                    if reach < distance.get(to, math.inf):
-                        distance[to], before[to] = reach, at
-                        heapq.heappush(queue, (reach, to))
-    return distance, before
+    """Of pairs (scene_id, key, i1, j1, i2, j2): scene_id, key and clear, whether every cell of the line is floor."""
+    line = pairs.select("scene_id", *key, F.explode(bresenham(F.col("i1"), F.col("j1"), F.col("i2"), F.col("j2"))).alias("c")).select("scene_id", *key, "c.i", "c.j")
+    seen = line.join(grid, ["scene_id", "i", "j"], "left")
+    return seen.groupBy("scene_id", *key).agg(F.bool_and(F.coalesce(F.col("state") == FLOOR, F.lit(False))).alias("clear"))
+
 
+def distances(floor: np.ndarray, sources: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Steps (see STRAIGHT) from each source cell to every cell with 8 neighbours over floor cells, -1 where there is no way.
+
+    All sources are relaxed together until nothing changes; most bounds the distance searched."""
+    far = np.iinfo(np.int64).max // 4
+    out = np.full((len(sources), floor.shape[0] + 2, floor.shape[1] + 2), far)
+    wall = np.pad(~floor, 1, constant_values=True)
+    out[np.arange(len(sources)), sources[:, 0] + 1, sources[:, 1] + 1] = 0
+    out[:, wall] = far
+    inner = out[:, 1:-1, 1:-1]
+    while True:
+        best = inner.copy()
+        for di, dj in NEAR:
+            step = DIAGONAL if di and dj else STRAIGHT
+            np.minimum(best, out[:, 1 + di : 1 + di + floor.shape[0], 1 + dj : 1 + dj + floor.shape[1]] + step, out=best)
+        best[:, ~floor] = far
+        if most is not None:
+            best[best > most] = far
+        if (best == inner).all():
+            return np.where(inner >= far, -1, inner)
+        inner[:] = best
 
-def grid_paths(questions: DataFrame, grid: DataFrame, resolution: float, key: str = "scene_id", with_path: bool = False) -> DataFrame:
-    """Shortest path length between cells of one scene: questions (key, q, i1, j1, i2, j2), grid (key, i, j, state).
 
-    A scene's grid and questions meet in one task, and scenes run side by side; no row where the target is not reached."""
-    out = f"{key} long, q long, distance double" + (", path array<struct<i:int,j:int>>" if with_path else "")
+def walked(distance: np.ndarray, goal: tuple[int, int]) -> list[tuple[int, int]]:
+    """The cells of a shortest path to goal, by the distances of one source; of equal ways back the least cell is taken."""
+    path = [goal]
+    while distance[path[-1]] > 0:
+        i, j = path[-1]
+        for di, dj in NEAR:  # in order of the cell
+            a, b = i + di, j + dj
+            if 0 <= a < distance.shape[0] and 0 <= b < distance.shape[1] and distance[a, b] >= 0:
+                if distance[a, b] + (DIAGONAL if di and dj else STRAIGHT) == distance[i, j]:
+                    path.append((a, b))
+                    break
+    return path[::-1]
+
+
+def grid_paths(questions: DataFrame, labelled: DataFrame, resolution: float, with_path: bool = False, most: float | None = None) -> DataFrame:
+    """scene_id, q, distance (and path) between cells of a scene: questions (scene_id, q, i1, j1, i2, j2), labelled (of components()).
+
+    Shortest ways over 8 neighbours between floor cells of one 4-neighbour component (two floors that touch at a
+    corner only do not reach each other); no row where the target is not reached, or not within `most` metres. A
+    scene's floor and questions meet in one task, sources are searched in blocks of HELD_DISTANCES."""
+    out = "scene_id long, q long, distance double" + (", path array<struct<i:int,j:int>>" if with_path else "")
+    limit = None if most is None else int(most / resolution * STRAIGHT)
 
     def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        states = {(i, j): s for i, j, s in zip(table["i"], table["j"], table["state"])}
+        names = ["scene_id", "q", "distance"] + ["path"] * with_path
+        if not len(asked) or not len(table):
+            return pd.DataFrame([], columns=names)
+        floor = np.zeros((int(table["i"].max()) + 1, int(table["j"].max()) + 1), bool)
+        label = np.full(floor.shape, -1)
+        floor[table["i"], table["j"]] = True
+        label[table["i"], table["j"]] = table["label"]
+        i1, j1, i2, j2 = (asked[k].to_numpy() for k in ("i1", "j1", "i2", "j2"))
+        within = lambda i, j: (i >= 0) & (j >= 0) & (i < floor.shape[0]) & (j < floor.shape[1])
+        fit = within(i1, j1) & within(i2, j2)
+        asked, i1, j1, i2, j2 = asked[fit], i1[fit], j1[fit], i2[fit], j2[fit]
+        fit = (label[i1, j1] >= 0) & (label[i1, j1] == label[i2, j2])
+        asked, i1, j1, i2, j2 = asked[fit], i1[fit], j1[fit], i2[fit], j2[fit]
+        if not len(asked):
+            return pd.DataFrame([], columns=names)
+        sources, number = np.unique(np.stack([i1, j1], axis=1), axis=0, return_inverse=True)
+        number, block = number.ravel(), max(1, HELD_DISTANCES // floor.size)
         rows = []
-        for source, group in asked.groupby(["i1", "j1"]):
-            if states.get(source) != FLOOR:
-                continue
-            distance, before = shortest_cells(states, source, set(zip(group["i2"], group["j2"])))
-            for scene, q, i2, j2 in zip(group[key], group["q"], group["i2"], group["j2"]):
-                if (i2, j2) in distance:
-                    row = [scene, q, distance[i2, j2] * resolution]
-                    if with_path:
-                        path = [(i2, j2)]
-                        while path[-1] != source:
-                            path.append(before[path[-1]])
-                        row.append([{"i": int(a), "j": int(b)} for a, b in reversed(path)])
-                    rows.append(row)
-        return pd.DataFrame(rows, columns=[key, "q", "distance"] + ["path"] * with_path)
-
-    return questions.groupBy(key).cogroup(grid.select(F.col(key).alias("grid_key"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("state").alias("state")).groupBy("grid_key")).applyInPandas(run, out)
+        for at in range(0, len(sources), block):
+            found = distances(floor, sources[at : at + block], limit)
+            own = np.flatnonzero((number >= at) & (number < at + block))
+            steps = found[number[own] - at, i2[own], j2[own]]
+            own, steps = own[steps >= 0], steps[steps >= 0]
+            part = pd.DataFrame({"scene_id": asked["scene_id"].to_numpy()[own], "q": asked["q"].to_numpy()[own], "distance": steps / STRAIGHT * resolution})
+            if with_path:
+                part["path"] = [[{"i": int(a), "j": int(b)} for a, b in walked(found[number[k] - at], (i2[k], j2[k]))] for k in own]
+            rows.append(part)
+        return pd.concat(rows)
+
+    held = labelled.select(F.col("scene_id").alias("grid_scene"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("label").alias("label"))
+    return questions.groupBy("scene_id").cogroup(held.groupBy("grid_scene")).applyInPandas(run, out)
+
+
+def nearest_pairs(ends: DataFrame, labelled: DataFrame, resolution: float) -> DataFrame:
+    """scene_id, from_id, to_id, pt_from, pt_to, length: the shortest way between any point of each `from` and any of each `to`.
+
+    ends: scene_id, role ('from', 'to' or 'both'), id, pt, i, j. As in grid_paths; of equal ways the least points are taken,
+    no row where no point reaches any. One scene a task; objects are searched in blocks of HELD_DISTANCES."""
+    out = "scene_id long, from_id long, to_id long, pt_from int, pt_to int, length double"
+    names = [part.split()[0] for part in out.split(", ")]
+
+    def padded(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each its cells and points, padded with -1."""
+        rows = rows.sort_values(["id", "pt"])
+        ids, number, counts = np.unique(rows["id"], return_inverse=True, return_counts=True)
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        held, points = np.full((len(ids), counts.max(), 2), -1), np.full((len(ids), counts.max()), -1)
+        held[number, place] = rows[["i", "j"]].to_numpy()
+        points[number, place] = rows["pt"]
+        return ids, held, points
+
+    def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        a, b = (asked[asked["role"].isin((role, "both"))] for role in ("from", "to"))
+        if not len(a) or not len(b) or not len(table):
+            return pd.DataFrame([], columns=names)
+        shape = max(table["i"].max(), asked["i"].max()) + 1, max(table["j"].max(), asked["j"].max()) + 1
+        label = np.full(shape, -1)
+        label[table["i"], table["j"]] = table["label"]
+        ids_a, cells_a, points_a = padded(a)
+        ids_b, cells_b, points_b = padded(b)
+        far, width = np.iinfo(np.int64).max, cells_a.shape[1]
+        flat_b, none_b = cells_b.reshape(-1, 2), points_b.ravel() < 0
+        label_b = np.where(none_b, -2, label[flat_b[:, 0], flat_b[:, 1]])
+        rows = []
+        for at in range(0, len(ids_a), block := max(1, HELD_DISTANCES // (label.size * width))):
+            part = cells_a[at : at + block].reshape(-1, 2)
+            sources, number = np.unique(part, axis=0, return_inverse=True)
+            steps = distances(label >= 0, sources)[number.ravel()][:, flat_b[:, 0], flat_b[:, 1]]
+            own = label[part[:, 0], part[:, 1]][:, None]
+            steps[(own != label_b) | (own < 0) | (steps < 0) | (points_a[at : at + block].ravel() < 0)[:, None]] = far
+            steps = steps.reshape(-1, width, len(ids_b), cells_b.shape[1]).transpose(0, 2, 1, 3).reshape(-1, len(ids_b), width * cells_b.shape[1])
+            best = steps.argmin(axis=2)  # the first of equal ones: least points
+            least = np.take_along_axis(steps, best[:, :, None], 2)[:, :, 0]
+            x, y = np.nonzero(least < far)
+            first, second = best[x, y] // cells_b.shape[1], best[x, y] % cells_b.shape[1]
+            rows.append(pd.DataFrame({
+                "scene_id": asked["scene_id"].iloc[0], "from_id": ids_a[at + x], "to_id": ids_b[y], "pt_from": points_a[at + x, first], "pt_to": points_b[y, second],
+                "length": least[x, y] / STRAIGHT * resolution,
+            }))
+        return pd.concat(rows)
+
+    held = labelled.select(F.col("scene_id").alias("grid_scene"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("label").alias("label"))
+    return ends.groupBy("scene_id").cogroup(held.groupBy("grid_scene")).applyInPandas(run, out)
+
+
+def nearest_floor(points: DataFrame, grid: DataFrame, budget: int) -> DataFrame:
+    """scene_id, key, fi, fj, d: the nearest floor cell of points (scene_id, key, i, j) in steps along the axes, at most `budget`.
+
+    Ties go to the least cell. Both sides meet in squares as wide as the budget."""
+    a = points.select("scene_id", "key", "i", "j", F.floor(F.col("i") / budget).alias("a"), F.floor(F.col("j") / budget).alias("b"))
+    around = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    floor = grid.filter(F.col("state") == FLOOR).select("scene_id", F.col("i").alias("fi"), F.col("j").alias("fj"))
+    floor = floor.withColumn("a", F.explode(around)).withColumn("b", F.explode(around))
+    floor = floor.select("scene_id", "fi", "fj", (F.floor(F.col("fi") / budget) + F.col("a")).alias("a"), (F.floor(F.col("fj") / budget) + F.col("b")).alias("b"))
+    d = F.abs(F.col("i") - F.col("fi")) + F.abs(F.col("j") - F.col("fj"))
+    near = a.join(floor, ["scene_id", "a", "b"]).withColumn("d", d).filter(F.col("d") <= budget)
+    best = near.groupBy("scene_id", "key").agg(F.min(F.struct("d", "fi", "fj")).alias("m"))
+    return best.select("scene_id", "key", "m.fi", "m.fj", "m.d")

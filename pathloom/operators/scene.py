@@ -28,10 +28,13 @@ def resolve_rooms(relations: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a reliable checkpoint in the session's shared folder, one under /tmp where none is set (tests)."""
+    """Cuts the lineage: a reliable checkpoint in the session's shared folder. Only a session on one machine may have none set."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/pathloom")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints/pathloom")
     return df.checkpoint(eager=True)
 
 
@@ -101,8 +104,22 @@ def wall_points(objects: DataFrame, offset: float = 0.1, step: float = 0.1) -> D
 
 
 def ring_candidates(objects: DataFrame, standoff: float = 0.6, angles: int = 16, rings: int = 4) -> DataFrame:
-    """Candidate floor positions around objects (id, cx, cy, half): id, ring, angle, x, y."""
+    """Candidate floor positions around objects (scene_id, id, cx, cy, half): scene_id, id, ring, angle, x, y."""
     around = objects.withColumn("ring", F.explode(F.sequence(F.lit(0), F.lit(rings - 1)))).withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))))
     radius = F.col("half") + standoff * (F.col("ring") + 1)
     turn = F.col("angle") * F.lit(2 * math.pi / angles)
-    return around.select("id", "ring", "angle", (F.col("cx") + radius * F.cos(turn)).alias("x"), (F.col("cy") + radius * F.sin(turn)).alias("y"))
+    return around.select("scene_id", "id", "ring", "angle", (F.col("cx") + radius * F.cos(turn)).alias("x"), (F.col("cy") + radius * F.sin(turn)).alias("y"))
+
+
+def first_prims(states: DataFrame, prims: DataFrame) -> DataFrame:
+    """The first valid prim of each state (id, obj, state_type) and its box as centre, three axes and half extents; none without prims.
+
+    Rooms have a prim for each suffix, in the order of the suffixes; all else has one."""
+    suffixes = F.when(F.col("state_type") == "room", F.array(*(F.lit(s) for s in vocab.ROOM_SUFFIXES))).otherwise(F.array(F.lit("")))
+    paths = states.select("id", T.prim_name(F.col("obj")).alias("name"), F.posexplode(suffixes).alias("suffix_ord", "suffix"))
+    held = paths.select("id", "suffix_ord", F.concat(F.lit("/World/"), "name", "suffix").alias("prim_path")).join(prims, "prim_path")
+    first = held.groupBy("id").agg(F.min_by(F.struct("prim_path", "x0", "y0", "z0", "x1", "y1", "z1"), "suffix_ord").alias("p"))
+    centre = [((F.col(f"p.{a}0") + F.col(f"p.{a}1")) / 2.0).alias(f"c{a}") for a in "xyz"]
+    half = F.array(*((F.col(f"p.{a}1") - F.col(f"p.{a}0")) / 2.0 for a in "xyz"))
+    axes = F.array(*(F.array(*(F.lit(float(k == m)) for m in range(3))) for k in range(3)))
+    return first.select("id", "p.prim_path", *centre, axes.alias("axes"), half.alias("h"))

@@ -43,21 +43,23 @@ def distance_join(left: DataFrame, right: DataFrame, distance: float, axes: tupl
     return a.join(b, on).withColumn("d", d).filter(F.col("d") <= distance).drop("__i", "__j", "__k", "__l")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, how: str = "inner", condition: Column | None = None) -> DataFrame:
-    """Points (x, y) joined with the boxes (min_x, min_y, max_x, max_y; closed) that hold them, over cells of `size`."""
+def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, how: str = "inner", condition: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points (x, y) joined with the boxes (min_x, min_y, max_x, max_y; closed) that hold them, over cells of `size`, equal in keys."""
     p = points.withColumn("__i", _cell(F.col("x"), size)).withColumn("__j", _cell(F.col("y"), size))
     span = lambda lo, hi: F.explode(F.sequence(_cell(F.col(lo), size), _cell(F.col(hi), size)))
     # a margin makes the smallest boxes valid ranges
     b = boxes.filter((F.col("max_x") >= F.col("min_x")) & (F.col("max_y") >= F.col("min_y")))
-    b = b.withColumn("__k", span("min_x", "max_x")).withColumn("__l", span("min_y", "max_y"))
+    b = b.withColumn("__k", span("min_x", "max_x")).withColumn("__l", span("min_y", "max_y")).withColumnsRenamed({k: f"__{k}" for k in keys})
     inside = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
     on = (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")) & inside
+    for key in keys:
+        on = on & (F.col(key) == F.col(f"__{key}"))
     if condition is not None:
         on = on & condition
-    return p.join(b, on, how).drop("__i", "__j", "__k", "__l")
+    return p.join(b, on, how).drop("__i", "__j", "__k", "__l", *(f"__{k}" for k in keys))
 
 
-def first_box(points: DataFrame, boxes: DataFrame, size: float, key: tuple[str, ...], order: str, value: str, condition: Column | None = None) -> DataFrame:
+def first_box(points: DataFrame, boxes: DataFrame, size: float, key: tuple[str, ...], order: str, value: str, condition: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """key and value of the first box (by order) that holds each point; null where none does."""
-    held = points_in_boxes(points, boxes, size, "left", condition)
+    held = points_in_boxes(points, boxes, size, "left", condition, keys)
     return held.groupBy(*key).agg(F.min_by(value, order).alias(value))

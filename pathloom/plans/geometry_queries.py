@@ -188,7 +188,11 @@ def equirect_lut(spark, sf_dir):
     return pixels.select("row", "col", face.alias("face"), F.round(u, 5).alias("u"), F.round(v, 5).alias("v"))
 
 
-@query()
+STITCH = LUT + """, lut AS (SELECT CAST(r AS INTEGER) AS row, CAST(k AS INTEGER) AS col, face, round((1-CASE face WHEN 0 THEN y/x WHEN 1 THEN y/x WHEN 2 THEN -x/y WHEN 3 THEN -x/y WHEN 4 THEN y/z ELSE -y/z END)*5e-1*31, 5) AS u, round((1-CASE face WHEN 0 THEN z/x WHEN 1 THEN -z/x WHEN 2 THEN z/y WHEN 3 THEN -z/y ELSE -x/z END)*5e-1*31, 5) AS v FROM m),
+near AS (SELECT row, col, face, least(greatest(CAST(floor(u)+du AS INTEGER), 0), 31) AS u0, least(greatest(CAST(floor(v)+dv AS INTEGER), 0), 31) AS v0, (CASE du WHEN 1 THEN u-floor(u) ELSE 1-(u-floor(u)) END)*(CASE dv WHEN 1 THEN v-floor(v) ELSE 1-(v-floor(v)) END) AS w FROM lut, (VALUES (0,0),(0,1),(1,0),(1,1)) q(du,dv))"""
+
+
+@query("SELECT row, col, round(sum(w*CAST(((face*1024+v0*32+u0)*37)%256 AS DOUBLE)), 3) AS value FROM near GROUP BY row, col", STITCH)
 def equirect_stitch(spark, sf_dir):
     """A panorama of six made-up faces: each pixel is the bilinear mean of four neighbours, edges repeat."""
     size = 32

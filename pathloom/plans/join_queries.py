@@ -1,15 +1,15 @@
-"""Queries over spatial joins, grids and waypoint graphs."""
+"""Queries over spatial joins within scenes: neighbours, rooms, regions, free places around objects."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pathloom.functions import geometry as G
 from pathloom.operators import graph as GR
 from pathloom.operators import grid as GD
 from pathloom.operators import scene as S
 from pathloom.operators.spatial import distance_join, first_box, points_in_boxes
+from pathloom.plans import graph_queries as N
+from pathloom.plans import grid_queries as Q
 from pathloom.plans.duck import sql
 from pathloom.sources.views import view
 
@@ -28,401 +28,147 @@ def query(text: str | None = None, ctes: str = ""):
 
 
 c = F.col
-PAIR = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
-PAIR3 = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
-INSIDE = "p.x BETWEEN r.min_x AND r.max_x AND p.y BETWEEN r.min_y AND r.max_y"
-GRID = """room_cells AS (SELECT DISTINCT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM (SELECT unnest(generate_series(i0, i1)) AS i, j0, j1 FROM (SELECT least(greatest(CAST(trunc((min_x+15e-2+8e0)/5e-1) AS INTEGER),0),31) AS i0, least(greatest(CAST(trunc((max_x-15e-2+8e0)/5e-1) AS INTEGER),0),31) AS i1, least(greatest(CAST(trunc((min_y+15e-2+8e0)/5e-1) AS INTEGER),0),31) AS j0, least(greatest(CAST(trunc((max_y-15e-2+8e0)/5e-1) AS INTEGER),0),31) AS j1 FROM v_rooms WHERE room_id%7<>3)) x, LATERAL (SELECT unnest(generate_series(j0, j1)) AS j)),
-obstacle_cells AS (SELECT DISTINCT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM (SELECT unnest(generate_series(i0, i1)) AS i, j0, j1 FROM (SELECT least(greatest(CAST(trunc((cx-half-25e-2+8e0)/5e-1) AS INTEGER),0),31) AS i0, least(greatest(CAST(trunc((cx+half+25e-2+8e0)/5e-1) AS INTEGER),0),31) AS i1, least(greatest(CAST(trunc((cy-half-25e-2+8e0)/5e-1) AS INTEGER),0),31) AS j0, least(greatest(CAST(trunc((cy+half+25e-2+8e0)/5e-1) AS INTEGER),0),31) AS j1 FROM v_objects WHERE id%41=0)) x, LATERAL (SELECT unnest(generate_series(j0, j1)) AS j)),
-grid AS (SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, CASE WHEN o.i IS NOT NULL THEN 1 WHEN r.i IS NOT NULL THEN 0 ELSE 2 END AS state FROM range(32) a(i) CROSS JOIN range(32) b(j) LEFT JOIN room_cells r ON r.i=a.i AND r.j=b.j LEFT JOIN obstacle_cells o ON o.i=a.i AND o.j=b.j)"""
-LABELS = GRID + """, reach AS (SELECT i, j, i AS ri, j AS rj FROM grid WHERE state=0 UNION SELECT g.i, g.j, r.ri, r.rj FROM reach r JOIN grid g ON g.state=0 AND abs(g.i-r.i)+abs(g.j-r.j)=1),
-root AS (SELECT i, j, min(ri*32+rj) AS root FROM reach GROUP BY i, j), labels AS (SELECT i, j, CAST(dense_rank() OVER (ORDER BY root)-1 AS INTEGER) AS label FROM root)"""
+SPACE = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
+INSIDE = "r.scene_id=p.scene_id AND p.x BETWEEN r.min_x AND r.max_x AND p.y BETWEEN r.min_y AND r.max_y"
+INSIDE_3D = INSIDE + " AND p.z BETWEEN r.min_z-5e-1 AND r.max_z+1e0"
 
 
 def points(spark, sf_dir):
-    return view(spark, sf_dir, "v_points")
+    return view(spark, sf_dir, "v_waypoints").select("scene_id", "idx", "x", "y", "z")
 
 
-def grid(spark, sf_dir):
-    rooms = view(spark, sf_dir, "v_rooms").filter("room_id % 7 <> 3")
-    boxes = view(spark, sf_dir, "v_objects").filter("id % 41 = 0").select((c("cx") - c("half")).alias("min_x"), (c("cy") - c("half")).alias("min_y"), (c("cx") + c("half")).alias("max_x"), (c("cy") + c("half")).alias("max_y"))
-    return GD.build(spark, rooms, boxes, -8.0, 0.5, 32)
-
-
-@query(f"SELECT a.idx AS i, b.idx AS j, {PAIR} AS d FROM v_points a JOIN v_points b ON a.idx<b.idx AND {PAIR} <= 1e0 UNION ALL SELECT b.idx, a.idx, {PAIR} FROM v_points a JOIN v_points b ON a.idx<b.idx AND {PAIR} <= 1e0")
-def waypoint_edges(spark, sf_dir):
-    return GR.both_ways(GR.edges(points(spark, sf_dir), 1.0))
-
-
-@query(f"SELECT i, CAST(count(*) AS BIGINT) AS degree, min(d) AS nearest, min(j) AS first_neighbour, max(j) AS last_neighbour FROM (SELECT a.idx AS i, b.idx AS j, {PAIR} AS d FROM v_points a JOIN v_points b ON a.idx<>b.idx AND {PAIR} <= 1e0) GROUP BY i")
-def connectivity_r2r(spark, sf_dir):
-    near = GR.both_ways(GR.edges(points(spark, sf_dir), 1.0)).groupBy("i").agg(F.array_sort(F.collect_list(F.struct(c("j").alias("index"), c("d").alias("distance")))).alias("n"))
-    return near.select("i", F.size("n").cast("long").alias("degree"), F.array_min(F.transform("n", lambda x: x["distance"])).alias("nearest"), F.get("n", F.lit(0))["index"].alias("first_neighbour"), F.element_at("n", -1)["index"].alias("last_neighbour"))
-
-
-@query(f"SELECT a.idx AS i, b.idx AS j, abs(a.x-b.x)+abs(a.y-b.y)+abs(a.z-b.z) AS d FROM v_points a JOIN v_points b ON a.idx<b.idx AND {PAIR3} <= 1e0 AND a.room=b.room AND abs(a.x-b.x)+abs(a.y-b.y)+abs(a.z-b.z) <= 15e-1")
-def navmesh_edges(spark, sf_dir):
-    """Weights stand in for path lengths on a mesh: the length along the axes, kept up to 1.5 times the search distance."""
-    pairs = distance_join(points(spark, sf_dir), points(spark, sf_dir), 1.0, ("x", "y", "z"), ("room",)).filter("idx_a < idx_b")
-    length = F.abs(c("x_a") - c("x_b")) + F.abs(c("y_a") - c("y_b")) + F.abs(c("z_a") - c("z_b"))
-    return pairs.select(c("idx_a").alias("i"), c("idx_b").alias("j"), length.alias("d")).filter("d <= 1.5")
-
-
-@query(f"SELECT a.idx AS i, b.idx AS j, {PAIR3} AS d FROM v_points a JOIN v_points b ON a.idx<b.idx AND a.room=b.room AND {PAIR3} <= 2e0")
+@query(f"SELECT a.idx AS i, b.idx AS j, {SPACE} AS d FROM v_waypoints a JOIN v_waypoints b ON a.idx<b.idx AND a.scene_id=b.scene_id AND {SPACE} <= 5e0 JOIN near p ON p.key=a.idx JOIN near q ON q.key=b.idx JOIN labels x ON x.s=p.s AND x.i=p.fi AND x.j=p.fj JOIN labels y ON y.s=q.s AND y.i=q.fi AND y.j=q.fj AND x.label=y.label", Q.LABELS + ", " + Q.PC + ", " + Q._near_sql("SELECT s, idx AS key, i, j FROM pc"))
 def build_connectivity(spark, sf_dir):
-    return GR.edges(points(spark, sf_dir), 2.0, ("x", "y", "z"), ("room",))
+    """Pairs of a scene at most 5 apart in space whose nearest places lie on one island."""
+    island = Q.snap_to_grid(spark, sf_dir).select("idx", "island")
+    p = points(spark, sf_dir).join(island, "idx")
+    return GR.edges(p, 5.0, ("x", "y", "z"), ("scene_id", "island")).select("i", "j", "d")
 
 
-@query(f"SELECT a.idx AS id, CAST(count(*) AS BIGINT) AS n, min(b.idx) AS first_id, max(b.idx) AS last_id FROM v_points a JOIN v_points b ON a.idx<>b.idx AND {PAIR3} <= 15e-1 GROUP BY a.idx")
+@query(f"SELECT a.idx AS id, string_agg(CAST(b.idx AS VARCHAR), ',' ORDER BY b.idx) AS neighbours FROM v_waypoints a JOIN v_waypoints b ON a.idx<>b.idx AND a.scene_id=b.scene_id AND {SPACE} <= 5e0 GROUP BY a.idx")
 def viewpoint_graph(spark, sf_dir):
-    near = GR.both_ways(GR.edges(points(spark, sf_dir), 1.5, ("x", "y", "z"))).groupBy(c("i").alias("id")).agg(F.sort_array(F.collect_set("j")).alias("n"))
-    return near.select("id", F.size("n").cast("long").alias("n"), F.get("n", F.lit(0)).alias("first_id"), F.element_at("n", -1).alias("last_id"))
+    """The neighbours of each viewpoint at most 5 away in space, in order."""
+    near = GR.both_ways(GR.edges(points(spark, sf_dir), 5.0, ("x", "y", "z"), ("scene_id",))).groupBy(c("i").alias("id")).agg(F.sort_array(F.collect_set("j")).alias("n"))
+    return near.select("id", F.array_join(c("n").cast("array<string>"), ",").alias("neighbours"))
 
 
-@query(f"SELECT a.idx AS i, b.idx AS j FROM v_points a JOIN v_points b ON a.idx<>b.idx AND {PAIR3} <= 1e0")
+@query(f"SELECT e.i, e.j FROM e JOIN v_waypoints a ON a.idx=e.i JOIN v_waypoints b ON b.idx=e.j WHERE {SPACE} <= 5e0", N.EDGES)
 def fallback_connectivity(spark, sf_dir):
-    return GR.both_ways(GR.edges(points(spark, sf_dir), 1.0, ("x", "y", "z"))).select("i", "j")
+    """Ordered pairs in sight of each other and at most 5 apart in space."""
+    near = GR.both_ways(GR.edges(points(spark, sf_dir), 5.0, ("x", "y", "z"), ("scene_id",))).select("i", "j")
+    return N.web(spark, sf_dir).select("i", "j").join(near, ["i", "j"], "left_semi")
 
 
-@query(f"SELECT DISTINCT least(a.idx, b.idx) AS i, greatest(a.idx, b.idx) AS j FROM v_points a JOIN v_points b ON a.idx<>b.idx AND {PAIR} <= 5e-1")
+@query("SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM e", N.EDGES)
 def undirected_edges(spark, sf_dir):
-    e = GR.both_ways(GR.edges(points(spark, sf_dir), 0.5))
+    """Each edge once, whichever way it is listed."""
+    e = N.web(spark, sf_dir)
     return e.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).dropDuplicates(["i", "j"])
 
 
-@query(f"SELECT CAST(2*count(*) AS BIGINT) AS n_edges FROM v_points a JOIN v_points b ON a.idx<b.idx AND {PAIR} <= 1e0")
-def edge_count(spark, sf_dir):
-    return GR.both_ways(GR.edges(points(spark, sf_dir), 1.0)).agg(F.count(F.lit(1)).alias("n_edges"))
-
-
-@query(f"SELECT room_type AS type, CAST(count(*) AS BIGINT) AS n FROM (SELECT p.idx, coalesce((SELECT r.type FROM v_rooms r WHERE {INSIDE} ORDER BY r.room_id LIMIT 1), 'unknown') AS room_type FROM v_points p) GROUP BY room_type")
+@query("SELECT scene_id, type, CAST(count(*) AS BIGINT) AS n FROM v_waypoints GROUP BY scene_id, type")
 def waypoint_type_counts(spark, sf_dir):
-    return _labelled(spark, sf_dir).groupBy(c("label").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return view(spark, sf_dir, "v_waypoints").groupBy("scene_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _labelled(spark, sf_dir):
-    found = first_box(points(spark, sf_dir).select("idx", "x", "y"), view(spark, sf_dir, "v_rooms"), 3.2, ("idx",), "room_id", "type")
+    found = first_box(points(spark, sf_dir).drop("z"), view(spark, sf_dir, "v_scene_rooms"), 3.2, ("idx",), "room_id", "type", keys=("scene_id",))
     return found.select("idx", F.coalesce("type", F.lit("unknown")).alias("label"))
 
 
-@query(f"SELECT p.idx, coalesce((SELECT r.type FROM v_rooms r WHERE {INSIDE} ORDER BY r.room_id LIMIT 1), 'unknown') AS label FROM v_points p")
+@query(f"SELECT p.idx, coalesce((SELECT r.type FROM v_scene_rooms r WHERE {INSIDE} ORDER BY r.room_id LIMIT 1), 'unknown') AS label FROM v_waypoints p")
 def viewpoint_room_label(spark, sf_dir):
     return _labelled(spark, sf_dir)
 
 
-@query(f"SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_rooms r WHERE {INSIDE} ORDER BY r.room_id LIMIT 1) AS room_id FROM v_track p")
+def rooms_of(t, spark, sf_dir, key: tuple[str, ...]):
+    """key and room_id (or null) of points (scene_id, key, x, y, z): the first room of the scene that holds one, with its tolerance in height."""
+    boxes = view(spark, sf_dir, "v_scene_rooms").select("scene_id", c("room_id").alias("order_id"), "room_id", "min_x", "min_y", "max_x", "max_y", "min_z", "max_z")
+    return first_box(t, boxes, 3.2, key, "order_id", "room_id", (c("z") >= c("min_z") - 0.5) & (c("z") <= c("max_z") + 1.0), ("scene_id",))
+
+
+@query(f"SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_scene_rooms r WHERE {INSIDE_3D} ORDER BY r.room_id LIMIT 1) AS room_id FROM v_scene_track p")
 def rooms_on_polyline(spark, sf_dir):
-    track = view(spark, sf_dir, "v_track").select("path_id", "seq", "x", "y")
-    boxes = view(spark, sf_dir, "v_rooms").select(c("room_id").alias("order_id"), "room_id", "min_x", "min_y", "max_x", "max_y")
-    return first_box(track, boxes, 3.2, ("path_id", "seq"), "order_id", "room_id")
+    return rooms_of(view(spark, sf_dir, "v_scene_track"), spark, sf_dir, ("path_id", "seq"))
 
 
-@query(f"SELECT path_id, CAST(count(DISTINCT room_id) AS BIGINT) AS n_rooms, arg_min(room_id, seq) AS first_room FROM (SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_rooms r WHERE {INSIDE} ORDER BY r.room_id LIMIT 1) AS room_id FROM v_track p) WHERE room_id IS NOT NULL GROUP BY path_id")
+@query(f"SELECT path_id, CAST(count(*) AS BIGINT) AS n_rooms, string_agg(CAST(room_id AS VARCHAR), ',' ORDER BY first) AS rooms FROM (SELECT path_id, room_id, min(seq) AS first FROM (SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_scene_rooms r WHERE {INSIDE_3D} ORDER BY r.room_id LIMIT 1) AS room_id FROM v_scene_track p) WHERE room_id IS NOT NULL GROUP BY path_id, room_id) GROUP BY path_id")
 def rooms_on_path(spark, sf_dir):
-    listed = rooms_on_polyline(spark, sf_dir).filter("room_id is not null").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("seq", "room_id"))).alias("l"))
-    return listed.select("path_id", F.array_distinct(F.transform("l", lambda s: s["room_id"])).alias("rooms")).select("path_id", F.size("rooms").cast("long").alias("n_rooms"), F.get("rooms", F.lit(0)).alias("first_room"))
+    """The rooms of each path in the order in which it enters them first."""
+    first = rooms_on_polyline(spark, sf_dir).filter("room_id is not null").groupBy("path_id", "room_id").agg(F.min("seq").alias("first"))
+    listed = first.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("first", "room_id"))).alias("l"))
+    return listed.select("path_id", F.size("l").cast("long").alias("n_rooms"), F.array_join(F.transform("l", lambda s: s["room_id"].cast("string")), ",").alias("rooms"))
+
 
+def _targets_sql(count: int) -> str:
+    return f", places AS (SELECT s, region_id, i, j, row_number() OVER (PARTITION BY s, region_id ORDER BY i, j)-1 AS k, count(*) OVER (PARTITION BY s, region_id) AS n FROM mask), target AS (SELECT d.s, d.region_id, d.pt, m.i, m.j FROM (SELECT s, region_id, CAST(pt AS INTEGER) AS pt, (pt*7919+region_id*104729+42)%n AS k FROM (SELECT DISTINCT s, region_id, n FROM places) x, range({count}) r(pt)) d JOIN places m ON m.s=d.s AND m.region_id=d.region_id AND m.k=d.k)"
 
-@query("SELECT p.idx, c.id AS region_id FROM v_points p JOIN v_objects c ON c.id%41=0 AND sqrt((p.x-c.cx)*(p.x-c.cx)+(p.y-c.cy)*(p.y-c.cy)) <= 15e-1")
-def waypoints_in_region(spark, sf_dir):
-    centers = view(spark, sf_dir, "v_objects").filter("id % 41 = 0").select(c("id"), c("cx").alias("x"), c("cy").alias("y"))
-    return distance_join(points(spark, sf_dir).select("idx", "x", "y"), centers, 1.5).select(c("idx_a").alias("idx"), c("id_b").alias("region_id"))
 
+def sampled_targets(spark, sf_dir, count: int):
+    """scene_id, region_id, pt, i, j: `count` seeded draws (with repeats) from the floor cells of each region."""
+    from pyspark.sql import Window
 
-@query("SELECT s.idx, c.id AS region_id FROM v_points s CROSS JOIN v_objects c WHERE c.id%41=0 AND NOT sqrt((s.x-c.cx)*(s.x-c.cx)+(s.y-c.cy)*(s.y-c.cy)) <= 15e-1 AND sqrt((s.x-c.cx)*(s.x-c.cx)+(s.y-c.cy)*(s.y-c.cy)) >= 2e0")
+    places = Q.grid_mask(spark, sf_dir).withColumn("k", (F.row_number().over(Window.partitionBy("scene_id", "region_id").orderBy("i", "j")) - 1).cast("long"))
+    n = places.groupBy("scene_id", "region_id").agg(F.count(F.lit(1)).alias("n")).withColumn("pt", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return n.withColumn("k", (c("pt").cast("long") * 7919 + c("region_id") * 104729 + 42) % c("n")).join(places, ["scene_id", "region_id", "k"]).select("scene_id", "region_id", "pt", "i", "j")
+
+
+@query(f"SELECT idx, region_id, pt, round(d{Q.METRES}, 6) AS distance FROM (SELECT p.idx, t.region_id, t.pt, w.d, row_number() OVER (PARTITION BY p.idx, t.region_id ORDER BY w.d, t.pt) AS k FROM pc p JOIN target t ON t.s=p.s JOIN sp w ON w.s=p.s AND w.si=p.i AND w.sj=p.j AND w.i=t.i AND w.j=t.j JOIN labels x ON x.s=p.s AND x.i=p.i AND x.j=p.j JOIN labels y ON y.s=t.s AND y.i=t.i AND y.j=t.j AND y.label=x.label WHERE NOT EXISTS (SELECT 1 FROM v_waypoints v JOIN v_regions r ON r.scene_id=v.scene_id WHERE v.idx=p.idx AND r.region_id=t.region_id AND sqrt((v.x-r.cx)*(v.x-r.cx)+(v.y-r.cy)*(v.y-r.cy)) <= r.radius)) WHERE k=1 AND d{Q.METRES} >= 2e0", Q.MASK.replace(Q.GRID, Q.LABELS) + ", " + Q.PC + Q._search(Q.FROM_WAYPOINTS) + _targets_sql(15))
 def gr_candidates(spark, sf_dir):
-    """Every start against every goal region of the scene, outside and far enough; the result is that product."""
-    starts = points(spark, sf_dir)
-    regions = view(spark, sf_dir, "v_objects").filter("id % 41 = 0")
-    inside = G.circle_contains(c("x"), c("y"), c("cx"), c("cy"), F.lit(1.5))
-    far = F.sqrt((c("x") - c("cx")) * (c("x") - c("cx")) + (c("y") - c("cy")) * (c("y") - c("cy"))) >= 2.0
-    return starts.join(regions, ~inside & far).select("idx", c("id").alias("region_id"))
+    """Every start against every goal region of its scene that it is not in: the nearest of 15 sampled targets by the way on the grid, 2 or more away."""
+    return region_candidates(spark, sf_dir).select("idx", "region_id", "pt", F.round("distance", 6).alias("distance"))
 
 
-NEAR = "d AS (SELECT a.idx AS i, b.idx AS j, {0} AS d FROM v_points a JOIN v_points b ON {1})"
+def region_candidates(spark, sf_dir, least: float = 2.0, n_targets: int = 15):
+    starts = Q.in_cells(spark, sf_dir)
+    ends = starts.select("scene_id", F.lit("from").alias("role"), c("idx").alias("id"), F.lit(0).alias("pt"), "i", "j").unionByName(
+        sampled_targets(spark, sf_dir, n_targets).select("scene_id", F.lit("to").alias("role"), c("region_id").alias("id"), "pt", "i", "j"))
+    found = GD.nearest_pairs(ends, Q.labels(spark, sf_dir), Q.RES).filter(c("length") >= least)
+    found = found.select("scene_id", c("from_id").alias("idx"), c("to_id").alias("region_id"), c("pt_to").alias("pt"), c("length").alias("distance"))
+    return found.join(N.in_regions(spark, sf_dir).select("scene_id", "idx", "region_id"), ["scene_id", "idx", "region_id"], "left_anti")
 
 
-@query("SELECT i AS idx, j AS nearest, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d) WHERE k=1", NEAR.format(PAIR, f"b.x*b.x+b.y*b.y<=9e0 AND a.idx<>b.idx AND {PAIR} <= 4e0"))
+@query("SELECT idx, region_id, pt, d FROM (SELECT p.idx, t.region_id, t.pt, sqrt((p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y)) AS d, row_number() OVER (PARTITION BY p.idx, t.region_id ORDER BY sqrt((p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y)), t.pt) AS k FROM v_waypoints p JOIN (SELECT g.s, g.region_id, g.pt, b.low_x+(g.i+5e-1)*5e-1 AS x, b.low_y+(g.j+5e-1)*5e-1 AS y FROM target g JOIN v_bounds b ON b.scene_id=g.s) t ON t.s=p.scene_id) WHERE k=1", Q.MASK + _targets_sql(20))
 def nearest_in_region(spark, sf_dir):
-    p = points(spark, sf_dir).select("idx", "x", "y")
-    near = distance_join(p, p.filter("x * x + y * y <= 9"), 4.0).filter("idx_a <> idx_b")
-    best = near.groupBy(c("idx_a").alias("idx")).agg(F.min_by(F.struct("idx_b", "d"), F.struct("d", "idx_b")).alias("b"))
-    return best.select("idx", c("b.idx_b").alias("nearest"), c("b.d").alias("d"))
+    """The nearest, in a straight line, of 20 sampled targets of each region of a waypoint's scene."""
+    t = sampled_targets(spark, sf_dir, 20).join(Q.bounds(spark, sf_dir), "scene_id").select("scene_id", "region_id", "pt", (c("low_x") + (c("i") + 0.5) * 0.5).alias("tx"), (c("low_y") + (c("j") + 0.5) * 0.5).alias("ty"))
+    grouped = t.groupBy("scene_id", "region_id").agg(F.collect_list(F.struct("tx", "ty", "pt")).alias("ts"))  # 20 at most
+    d = lambda q: F.sqrt((c("x") - q["tx"]) * (c("x") - q["tx"]) + (c("y") - q["ty"]) * (c("y") - q["ty"]))
+    near = points(spark, sf_dir).join(grouped, "scene_id").select("idx", "region_id", F.array_min(F.transform("ts", lambda q: F.struct(d(q).alias("d"), q["pt"].alias("pt")))).alias("m"))
+    return near.select("idx", "region_id", "m.pt", "m.d")
 
 
-@query("SELECT p.idx, EXISTS (SELECT 1 FROM v_points q WHERE q.z<=0e0 AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) <= 5e-1) AS navigable FROM v_points p")
+@query(f"SELECT p.idx, EXISTS (SELECT 1 FROM (SELECT g.s, {Q.CENTRE} FROM f g JOIN v_bounds b ON b.scene_id=g.s) q WHERE q.s=p.scene_id AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z*1e-1-0e0)*(p.z*1e-1-0e0)) <= 5e-1) AS navigable FROM v_waypoints p", Q.GRID)
 def is_navigable(spark, sf_dir):
-    p = points(spark, sf_dir).select("idx", "x", "y", "z")
-    near = distance_join(p, p.filter("z <= 0"), 0.5, ("x", "y", "z")).select(c("idx_a").alias("idx")).distinct().withColumn("navigable", F.lit(True))
+    """Whether a place on the scene's floor (at height 0) is at most 0.5 away; heights count a tenth."""
+    floor = Q.grid(spark, sf_dir).filter("state = 0").join(Q.bounds(spark, sf_dir), "scene_id").select("scene_id", (c("low_x") + (c("i") + 0.5) * 0.5).alias("x"), (c("low_y") + (c("j") + 0.5) * 0.5).alias("y"), F.lit(0.0).alias("z"))
+    p = points(spark, sf_dir).withColumn("z", c("z") * 0.1)
+    near = distance_join(p, floor, 0.5, ("x", "y", "z"), ("scene_id",)).select(c("idx_a").alias("idx")).distinct().withColumn("navigable", F.lit(True))
     return p.select("idx").join(near, "idx", "left").select("idx", F.coalesce("navigable", F.lit(False)).alias("navigable"))
 
 
-OBJ = "o AS (SELECT id, CAST(floor(id/4e1) AS BIGINT) AS scene, id%50 AS place, cx, cy, half FROM v_objects), g AS (SELECT id, scene, place, 0 AS pt, cx+half AS x, cy AS y FROM o UNION ALL SELECT id, scene, place, 1, cx-half, cy FROM o UNION ALL SELECT id, scene, place, 2, cx, cy+half FROM o UNION ALL SELECT id, scene, place, 3, cx, cy-half FROM o)"
-
-
-def goal_points(spark, sf_dir):
-    """Four goal points around each object; scene: 40 objects each, place: where random points are drawn for it."""
-    o = view(spark, sf_dir, "v_objects")
-    at = F.posexplode(F.array(*(F.struct((c("cx") + dx * c("half")).alias("x"), (c("cy") + dy * c("half")).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
-    return o.select("id", F.floor(c("id") / 40).alias("scene"), (c("id") % 50).alias("place"), at.alias("pt", "p")).select("id", "scene", "place", "pt", "p.x", "p.y")
-
-
-@query(f"SELECT from_id, to_id, pt_from, pt_to, length FROM (SELECT a.id AS from_id, b.id AS to_id, a.pt AS pt_from, b.pt AS pt_to, {PAIR} AS length, row_number() OVER (PARTITION BY a.id, b.id ORDER BY {PAIR}, a.pt, b.pt) AS k FROM g a JOIN g b ON a.scene=b.scene) WHERE k=1 AND length >= 5e-1", OBJ)
-def object_pair_paths(spark, sf_dir):
-    """The shortest of the paths between the goal points of each ordered pair of a scene's objects (straight paths stand in for a mesh)."""
-    g = goal_points(spark, sf_dir).drop("place")
-    a, b = (g.select("scene", *(c(n).alias(f"{n}_{s}") for n in g.columns if n != "scene")) for s in "ab")
-    length = F.sqrt((c("x_a") - c("x_b")) * (c("x_a") - c("x_b")) + (c("y_a") - c("y_b")) * (c("y_a") - c("y_b")))
-    best = a.join(b, "scene").groupBy("id_a", "id_b").agg(F.min(F.struct(length.alias("length"), "pt_a", "pt_b")).alias("m"))
-    return best.select(c("id_a").alias("from_id"), c("id_b").alias("to_id"), c("m.pt_a").alias("pt_from"), c("m.pt_b").alias("pt_to"), c("m.length").alias("length")).filter("length >= 0.5")
+RING = "t AS (SELECT o.scene_id, o.id, r AS ring, a AS angle, cx+(half+6e-1*(r+1))*cos(a*(2e0*pi()/16)) AS x, cy+(half+6e-1*(r+1))*sin(a*(2e0*pi()/16)) AS y FROM v_scene_objects o, range(4) q(r), range(16) w(a))"
 
 
-@query(f"SELECT idx, id, pt, length FROM (SELECT a.idx, b.id, b.pt, {PAIR} AS length, row_number() OVER (PARTITION BY a.idx, b.id ORDER BY {PAIR}, b.pt) AS k FROM v_points a JOIN g b ON a.idx%50=b.place) WHERE k=1 AND length >= 5e-1", OBJ)
-def object_random_paths(spark, sf_dir):
-    starts = points(spark, sf_dir).select("idx", (c("idx") % 50).alias("place"), c("x").alias("sx"), c("y").alias("sy"))
-    length = F.sqrt((c("sx") - c("x")) * (c("sx") - c("x")) + (c("sy") - c("y")) * (c("sy") - c("y")))
-    best = goal_points(spark, sf_dir).join(starts, "place").groupBy("idx", "id").agg(F.min(F.struct(length.alias("length"), "pt")).alias("m"))
-    return best.select("idx", "id", c("m.pt").alias("pt"), c("m.length").alias("length")).filter("length >= 0.5")
-
-
-RING = "t AS (SELECT o.id, r AS ring, a AS angle, cx+(half+6e-1*(r+1))*cos(a*(2e0*pi()/16)) AS x, cy+(half+6e-1*(r+1))*sin(a*(2e0*pi()/16)) AS y FROM v_objects o, range(4) q(r), range(16) w(a) WHERE id%41<>0)"
-
-
-@query("SELECT id, CAST(ring AS INTEGER) AS ring, CAST(angle AS INTEGER) AS angle FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ring, angle) AS k FROM t p WHERE p.x>=-8e0 AND p.x<=8e0 AND p.y>=-8e0 AND p.y<=8e0 AND NOT EXISTS (SELECT 1 FROM v_objects o WHERE o.id%41=0 AND p.x BETWEEN o.cx-o.half-3e-1 AND o.cx+o.half+3e-1 AND p.y BETWEEN o.cy-o.half-3e-1 AND o.cy+o.half+3e-1)) WHERE k=1", RING)
+@query(f"SELECT id, CAST(ring AS INTEGER) AS ring, CAST(angle AS INTEGER) AS angle FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ring, angle) AS k FROM t p WHERE EXISTS (SELECT 1 FROM v_scene_rooms r WHERE {INSIDE}) AND NOT EXISTS (SELECT 1 FROM v_obstacles o WHERE o.scene_id=p.scene_id AND p.x BETWEEN o.min_x-3e-1 AND o.max_x+3e-1 AND p.y BETWEEN o.min_y-3e-1 AND o.max_y+3e-1)) WHERE k=1", RING)
 def ring_search(spark, sf_dir):
-    o = view(spark, sf_dir, "v_objects")
-    t = S.ring_candidates(o.filter("id % 41 <> 0")).filter("x between -8 and 8 and y between -8 and 8")
-    grown = o.filter("id % 41 = 0").select(*((c(m) + k * (c("half"))).alias(n) for n, m, k in (("a", "cx", -1), ("b", "cy", -1), ("d", "cx", 1), ("e", "cy", 1))))
-    boxes = grown.select((c("a") - 0.3).alias("min_x"), (c("b") - 0.3).alias("min_y"), (c("d") + 0.3).alias("max_x"), (c("e") + 0.3).alias("max_y"))
-    free = points_in_boxes(t, boxes, 1.0, "left_anti")
+    """For each object the first angle of the first ring around it that lies in a room of its scene and 0.3 clear of every obstacle."""
+    t = S.ring_candidates(view(spark, sf_dir, "v_scene_objects"))
+    rooms = view(spark, sf_dir, "v_scene_rooms").select("scene_id", "min_x", "min_y", "max_x", "max_y")
+    free = points_in_boxes(points_in_boxes(t, rooms, 3.2, "left_semi", keys=("scene_id",)), grown_obstacles(spark, sf_dir), 1.0, "left_anti", keys=("scene_id",))
     return free.groupBy("id").agg(F.min(F.struct("ring", "angle")).alias("m")).select("id", "m.ring", "m.angle")
 
 
-@query("SELECT i, j, state FROM grid", GRID)
-def grid_build(spark, sf_dir):
-    return grid(spark, sf_dir)
-
-
-CELL = "least(greatest(CAST(trunc((p.x+8e0)/5e-1) AS INTEGER),0),31) AS i, least(greatest(CAST(trunc((p.y+8e0)/5e-1) AS INTEGER),0),31) AS j"
-
-
-def in_cells(spark, sf_dir):
-    return points(spark, sf_dir).select("idx", G.to_index(c("x"), -8.0, 0.5, 32).alias("i"), G.to_index(c("y"), -8.0, 0.5, 32).alias("j"))
-
-
-@query("SELECT p.idx, g.state=0 AS free FROM pc p JOIN grid g ON g.i=p.i AND g.j=p.j", GRID + f", pc AS (SELECT idx, {CELL} FROM v_points p)")
-def is_free(spark, sf_dir):
-    return in_cells(spark, sf_dir).join(grid(spark, sf_dir), ["i", "j"]).select("idx", (c("state") == 0).alias("free"))
-
-
-@query("SELECT CAST(count(*) FILTER (WHERE state=0) AS BIGINT) AS n_free, count(*) FILTER (WHERE state=0)*5e-1*5e-1 AS area FROM grid", GRID)
-def grid_free_area(spark, sf_dir):
-    return grid(spark, sf_dir).agg(F.count_if(c("state") == 0).alias("n_free")).select("n_free", (c("n_free") * 0.5 * 0.5).alias("area"))
-
-
-@query("SELECT i, j, CASE state WHEN 0 THEN 0 WHEN 1 THEN 200 ELSE 40 END AS red, CASE state WHEN 0 THEN 200 WHEN 1 THEN 0 ELSE 40 END AS green, CASE state WHEN 2 THEN 40 ELSE 0 END AS blue FROM grid", GRID)
-def grid_to_rgb(spark, sf_dir):
-    tone = lambda *v: F.when(c("state") == 0, v[0]).when(c("state") == 1, v[1]).otherwise(v[2])
-    return grid(spark, sf_dir).select("i", "j", tone(0, 200, 40).alias("red"), tone(200, 0, 40).alias("green"), tone(0, 0, 40).alias("blue"))
-
-
-@query("SELECT g.i, g.j, c.id AS region_id FROM grid g JOIN v_objects c ON c.id%41=0 AND g.state=0 AND sqrt((-8e0+(g.i+5e-1)*5e-1-c.cx)*(-8e0+(g.i+5e-1)*5e-1-c.cx)+(-8e0+(g.j+5e-1)*5e-1-c.cy)*(-8e0+(g.j+5e-1)*5e-1-c.cy)) <= 15e-1", GRID)
-def grid_mask(spark, sf_dir):
-    floor = grid(spark, sf_dir).filter("state = 0").select("i", "j", G.cell_center(c("i"), -8.0, 0.5).alias("x"), G.cell_center(c("j"), -8.0, 0.5).alias("y"))
-    centers = view(spark, sf_dir, "v_objects").filter("id % 41 = 0").select("id", c("cx").alias("x"), c("cy").alias("y"))
-    return distance_join(floor, centers, 1.5).select(c("i_a").alias("i"), c("j_a").alias("j"), c("id_b").alias("region_id"))
-
-
-@query("SELECT i, j, label FROM labels", LABELS)
-def connected_components(spark, sf_dir):
-    return GD.components(grid(spark, sf_dir), 32)
-
-
-@query("SELECT label, CAST(count(*) AS BIGINT) AS n FROM labels GROUP BY label ORDER BY n DESC, label LIMIT 1", LABELS)
-def largest_component(spark, sf_dir):
-    sizes = GD.components(grid(spark, sf_dir), 32).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max_by(F.struct("label", "n"), F.struct("n", -c("label"))).alias("m")).select("m.label", "m.n")
-
-
-@query("SELECT p.idx, q.label IS NOT NULL AND t.label IS NOT NULL AND q.label=t.label AS reachable FROM pc p LEFT JOIN labels q ON q.i=p.i AND q.j=p.j LEFT JOIN pc o ON o.idx=p.idx+1 LEFT JOIN labels t ON t.i=o.i AND t.j=o.j", LABELS + f", pc AS (SELECT idx, {CELL} FROM v_points p)")
-def reachable(spark, sf_dir):
-    cell = in_cells(spark, sf_dir).join(GD.components(grid(spark, sf_dir), 32), ["i", "j"], "left").select("idx", "label")
-    after = cell.select((c("idx") - 1).alias("idx"), c("label").alias("other"))
-    return cell.join(after, "idx", "left").select("idx", F.coalesce(c("label") == c("other"), F.lit(False)).alias("reachable"))
-
-
-LINE = "q AS (SELECT idx AS id, idx%17 AS i1, (idx*7)%13 AS j1, (idx*5)%19 AS i2, (idx*3)%23 AS j2 FROM v_points), walk AS (SELECT id, 0 AS k, i1 AS i, j1 AS j, abs(i2-i1)-abs(j2-j1) AS err, i2, j2, abs(i2-i1) AS di, abs(j2-j1) AS dj, CASE WHEN i2>=i1 THEN 1 ELSE -1 END AS si, CASE WHEN j2>=j1 THEN 1 ELSE -1 END AS sj FROM q UNION ALL SELECT id, k+1, i+CASE WHEN 2*err>-dj THEN si ELSE 0 END, j+CASE WHEN 2*err<di THEN sj ELSE 0 END, err-CASE WHEN 2*err>-dj THEN dj ELSE 0 END+CASE WHEN 2*err<di THEN di ELSE 0 END, i2, j2, di, dj, si, sj FROM walk WHERE i<>i2 OR j<>j2)"
-
-
-def lines(spark, sf_dir):
-    k = c("idx")
-    cell = lambda m, n: ((k * m) % n).cast("int")
-    return points(spark, sf_dir).select(k.alias("id"), cell(1, 17).alias("i1"), cell(7, 13).alias("j1"), cell(5, 19).alias("i2"), cell(3, 23).alias("j2"))
-
-
-@query("SELECT id, CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM walk", LINE)
-def bresenham(spark, sf_dir):
-    return lines(spark, sf_dir).select("id", F.posexplode(GD.bresenham(c("i1"), c("j1"), c("i2"), c("j2"))).alias("k", "c")).select("id", "k", "c.i", "c.j")
-
-
-@query("SELECT w.id, bool_and(coalesce(g.state=0, false)) AS clear FROM walk w LEFT JOIN grid g ON g.i=w.i AND g.j=w.j GROUP BY w.id", GRID + ", " + LINE)
-def line_of_sight(spark, sf_dir):
-    return GD.sight(lines(spark, sf_dir), grid(spark, sf_dir), ("id",))
-
-
-@query("SELECT idx, fi, fj, d FROM (SELECT p.idx, g.i AS fi, g.j AS fj, abs(g.i-p.i)+abs(g.j-p.j) AS d, row_number() OVER (PARTITION BY p.idx ORDER BY abs(g.i-p.i)+abs(g.j-p.j), g.i, g.j) AS k FROM pc p JOIN grid g ON g.state=0 AND abs(g.i-p.i)+abs(g.j-p.j) <= 10) WHERE k=1", GRID + f", pc AS (SELECT idx, {CELL} FROM v_points p)")
-def nearest_free(spark, sf_dir):
-    return _nearest_free(spark, sf_dir).select("idx", "fi", "fj", "d")
-
-
-def _nearest_free(spark, sf_dir, budget: int = 10):
-    """The nearest floor cell in steps along the axes, by coarse cells as wide as the budget."""
-    p = in_cells(spark, sf_dir).select("idx", c("i").cast("double").alias("x"), c("j").cast("double").alias("y"))
-    floor = grid(spark, sf_dir).filter("state = 0").select(c("i").cast("double").alias("x"), c("j").cast("double").alias("y"))
-    near = distance_join(p, floor, float(budget))
-    steps = (F.abs(c("x_a") - c("x_b")) + F.abs(c("y_a") - c("y_b"))).cast("int")
-    best = near.withColumn("s", steps).filter(c("s") <= budget).groupBy(c("idx_a").alias("idx")).agg(F.min(F.struct(c("s"), c("x_b").cast("int").alias("fi"), c("y_b").cast("int").alias("fj"))).alias("m"))
-    return best.select("idx", "m.fi", "m.fj", c("m.s").alias("d"))
-
-
-@query("SELECT idx, -8e0+(fi+5e-1)*5e-1 AS x, -8e0+(fj+5e-1)*5e-1 AS y FROM (SELECT p.idx, g.i AS fi, g.j AS fj, row_number() OVER (PARTITION BY p.idx ORDER BY abs(g.i-p.i)+abs(g.j-p.j), g.i, g.j) AS k FROM pc p JOIN grid g ON g.state=0 AND abs(g.i-p.i)+abs(g.j-p.j) <= 10) WHERE k=1", GRID + f", pc AS (SELECT idx, {CELL} FROM v_points p)")
-def snap_to_grid(spark, sf_dir):
-    return _nearest_free(spark, sf_dir).select("idx", G.cell_center(c("fi"), -8.0, 0.5).alias("x"), G.cell_center(c("fj"), -8.0, 0.5).alias("y"))
-
-
-def tiles(spark, sf_dir):
-    """The whole grid as scenes of 8 x 8 cells."""
-    return grid(spark, sf_dir).withColumn("scene_id", (F.floor(c("i") / 8) * 4 + F.floor(c("j") / 8)).cast("long"))
-
-
-def _squared(steps: int) -> str:
-    """Chained min-plus squarings within each scene; a weight is straight steps + 1000 x diagonal ones, ordered by its real length."""
-    parts = [""", f AS (SELECT i*32+j AS v, i, j, CAST(floor(i/8e0)*4+floor(j/8e0) AS BIGINT) AS s FROM grid WHERE state=0), w0 AS (SELECT a.s, a.v AS a, b.v AS b, CASE WHEN a.v=b.v THEN 0 WHEN a.i=b.i OR a.j=b.j THEN 1 ELSE 1000 END AS w FROM f a JOIN f b ON a.s=b.s AND abs(a.i-b.i)<=1 AND abs(a.j-b.j)<=1)"""]
-    for k in range(steps):
-        parts.append(f", w{k + 1} AS (SELECT s, a, b, arg_min(w, (w%1000)+floor(w/1000)*sqrt(2e0)) AS w FROM (SELECT x.s, x.a, y.b, x.w+y.w AS w FROM w{k} x JOIN w{k} y ON x.s=y.s AND x.b=y.a) GROUP BY s, a, b)")
-    return "".join(parts) + ", src AS (SELECT s, min(v) AS a FROM f GROUP BY s)"
-
-
-@query("SELECT CAST(w6.b AS BIGINT) AS q, round(((w%1000)+floor(w/1000)*sqrt(2e0))*5e-1, 6) AS distance FROM w6 JOIN src ON src.s=w6.s AND src.a=w6.a", GRID + _squared(6))
-def astar_distance(spark, sf_dir):
-    return GD.grid_paths(_questions(spark, sf_dir), tiles(spark, sf_dir), 0.5).select("q", F.round("distance", 6).alias("distance"))
-
-
-def _questions(spark, sf_dir):
-    """From the first floor cell of each scene to every floor cell of it."""
-    floor = tiles(spark, sf_dir).filter("state = 0")
-    first = floor.groupBy("scene_id").agg(F.min(F.struct("i", "j")).alias("m")).select("scene_id", c("m.i").alias("i1"), c("m.j").alias("j1"))
-    goals = floor.select("scene_id", (c("i") * 32 + c("j")).cast("long").alias("q"), c("i").alias("i2"), c("j").alias("j2"))
-    return goals.join(first, "scene_id").select("scene_id", "q", "i1", "j1", "i2", "j2")
-
-
-@query()
-def astar_path(spark, sf_dir):
-    found = GD.grid_paths(_questions(spark, sf_dir), tiles(spark, sf_dir), 0.5, with_path=True)
-    return found.select("q", F.posexplode("path").alias("k", "cell")).select("q", "k", "cell.i", "cell.j")
-
-
-@query("SELECT w6.s AS scene_id, round(min(((w%1000)+floor(w/1000)*sqrt(2e0))*5e-1), 6) AS distance FROM w6 JOIN src ON src.s=w6.s AND src.a=w6.a JOIN f ON f.v=w6.b WHERE f.i%8>=4 AND f.j%8>=3 GROUP BY w6.s", GRID + _squared(6))
-def astar_to_region(spark, sf_dir):
-    """Distance to the region in the far part of each scene; no row where it is not reached."""
-    inside = _questions(spark, sf_dir).filter("i2 % 8 >= 4 and j2 % 8 >= 3")
-    return GD.grid_paths(inside, tiles(spark, sf_dir), 0.5).groupBy("scene_id").agg(F.round(F.min("distance"), 6).alias("distance"))
-
-
-WEB = f"p AS (SELECT *, CAST(floor(idx/4e1) AS BIGINT) AS s FROM v_points), e AS (SELECT a.s, a.idx AS i, b.idx AS j, {PAIR} AS d FROM p a JOIN p b ON a.s=b.s AND a.idx<>b.idx AND {PAIR}<=3e0), m0 AS (SELECT s, i, j, d FROM e UNION ALL SELECT s, idx, idx, 0e0 FROM p WHERE EXISTS (SELECT 1 FROM e WHERE e.i=p.idx))" + "".join(f", m{k + 1} AS (SELECT s, i, j, min(d) AS d FROM (SELECT x.s, x.i, y.j, x.d+y.d AS d FROM m{k} x JOIN m{k} y ON x.s=y.s AND x.j=y.i) GROUP BY s, i, j)" for k in range(6))
-
-
-def web(spark, sf_dir):
-    """Waypoint graphs of all scenes, 40 waypoints each."""
-    p = points(spark, sf_dir).withColumn("scene_id", F.floor(c("idx") / 40).cast("long"))
-    pairs = distance_join(p, p, 3.0, ("x", "y"), ("scene_id",)).filter("idx_a <> idx_b")
-    return pairs.select(c("scene_id_a").alias("scene_id"), c("idx_a").alias("i"), c("idx_b").alias("j"), "d")
-
-
-def apsp_table(spark, sf_dir):
-    return GR.all_pairs(web(spark, sf_dir))
-
-
-@query("SELECT i, j, round(d, 6) AS dist FROM m6", WEB)
-def apsp(spark, sf_dir):
-    return apsp_table(spark, sf_dir).select("i", "j", F.round("dist", 6).alias("dist"))
-
-
-@query("SELECT i, j, round(d, 6) AS length, true AS edges_ok FROM m6", WEB)
-def shortest_path(spark, sf_dir):
-    """Length summed over the vertices of each shortest path, and whether every step is an edge."""
-    paths = GR.shortest_paths(apsp_table(spark, sf_dir)).select("i", "j", "path")
-    step = F.explode_outer(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))))
-    e = web(spark, sf_dir).select(c("i").alias("a"), c("j").alias("b"), "d")
-    steps = paths.select("i", "j", step.alias("s")).select("i", "j", c("s.0").alias("a"), c("s.1").alias("b")).join(e, ["a", "b"], "left")
-    length = steps.groupBy("i", "j").agg(F.round(F.sum(F.coalesce("d", F.lit(0.0))), 6).alias("length"), F.bool_and(c("d").isNotNull() | c("a").isNull()).alias("edges_ok"))
-    return length.select("i", "j", "length", "edges_ok")
-
-
-REGION = WEB + ", r AS (SELECT idx FROM p WHERE sqrt((x-1e0)*(x-1e0)+(y-1e0)*(y-1e0)) <= 3e0)"
-
-
-def _region(spark, sf_dir):
-    return points(spark, sf_dir).filter(G.circle_contains(c("x"), c("y"), F.lit(1.0), F.lit(1.0), F.lit(3.0))).select("idx")
-
-
-def _to_region(spark, sf_dir):
-    near = apsp_table(spark, sf_dir).join(_region(spark, sf_dir).select(c("idx").alias("j")), "j").withColumn("dist", F.round("dist", 6))
-    return near.groupBy("i").agg(F.min(F.struct("dist", "j")).alias("m")).select(c("i").alias("idx"), c("m.j").alias("goal"), c("m.dist").alias("dist"))
-
-
-@query("SELECT i AS idx, j AS goal, d AS dist FROM (SELECT i, j, round(d, 6) AS d, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS k FROM m6 JOIN r ON r.idx=m6.j) WHERE k=1", REGION)
-def nearest_wp_in_region(spark, sf_dir):
-    return _to_region(spark, sf_dir)
-
-
-@query("SELECT i AS idx, j AS goal, d AS length FROM (SELECT i, j, round(d, 6) AS d, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS k FROM m6 JOIN r ON r.idx=m6.j) WHERE k=1 AND i NOT IN (SELECT idx FROM r)", REGION)
-def path_to_region(spark, sf_dir):
-    near = _to_region(spark, sf_dir)
-    paths = GR.shortest_paths(apsp_table(spark, sf_dir)).select(c("i").alias("idx"), c("j").alias("goal"), F.round("dist", 6).alias("length"))
-    return near.select("idx", "goal").join(paths, ["idx", "goal"]).join(_region(spark, sf_dir), "idx", "left_anti").select("idx", "goal", "length")
-
-
-@query("SELECT i AS idx, j AS goal, round(1e-1*d+5e0, 7) AS bonus FROM (SELECT i, j, round(d, 6) AS d, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS k FROM m6 JOIN r ON r.idx=m6.j) WHERE k=1 AND i NOT IN (SELECT idx FROM r)", REGION)
-def region_targeted_paths(spark, sf_dir):
-    """All starts outside the region with their goal; the part of the score that a region adds."""
-    return path_to_region(spark, sf_dir).select("idx", "goal", F.round(0.1 * c("length") + 5.0, 7).alias("bonus"))
-
-
-CANDIDATES = WEB + ", cand AS (SELECT m.s AS scene_id, m.i, m.j, round(m.d, 6) AS distance, CAST(1+(a.room<>b.room)::INT AS BIGINT) AS n_rooms, round(2e0+3e0*(1+(a.room<>b.room)::INT)+1e-1*round(m.d, 6), 7) AS score FROM m6 m JOIN p a ON a.idx=m.i JOIN p b ON b.idx=m.j WHERE m.i<m.j AND m.d>=1e0)"
-
-
-@query("SELECT scene_id, i, j, distance, n_rooms, score FROM cand", CANDIDATES)
-def path_candidates(spark, sf_dir):
-    """Pairs i < j of a scene at least 1 apart with the score of their ends and rooms."""
-    rooms = points(spark, sf_dir).select("idx", "room")
-    t = apsp_table(spark, sf_dir).filter("i < j and dist >= 1").join(rooms.select(c("idx").alias("i"), c("room").alias("ra")), "i").join(rooms.select(c("idx").alias("j"), c("room").alias("rb")), "j")
-    n = F.when(c("ra") == c("rb"), 1).otherwise(2).cast("long")
-    d = F.round("dist", 6)
-    return t.select("scene_id", "i", "j", d.alias("distance"), n.alias("n_rooms"), F.round(GR.graph_score(F.lit(2.0), n, F.lit(0.0), d), 7).alias("score"))
-
-
-@query("SELECT scene_id, scale, i, j, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, scale ORDER BY score DESC, i, j) AS k FROM (SELECT *, CASE WHEN n_rooms<=1 THEN 'short' WHEN n_rooms<=3 THEN 'medium' ELSE 'long' END AS scale FROM cand)) WHERE k <= CASE scale WHEN 'short' THEN 20 WHEN 'medium' THEN 30 ELSE 15 END", CANDIDATES)
-def topk_per_scale(spark, sf_dir):
-    t = path_candidates(spark, sf_dir).withColumn("scale", GR.scale(c("n_rooms")))
-    rank = F.row_number().over(Window.partitionBy("scene_id", "scale").orderBy(F.desc("score"), "i", "j"))
-    most = F.when(c("scale") == "short", 20).when(c("scale") == "medium", 30).otherwise(15)
-    return t.withColumn("rank", rank).filter(c("rank") <= most).select("scene_id", "scale", "i", "j", "rank")
-
-
-@query("SELECT scene_id, i, j, CASE WHEN n_rooms<=1 THEN 'short' WHEN n_rooms<=3 THEN 'medium' ELSE 'long' END AS scale FROM cand", CANDIDATES)
-def classify_scale(spark, sf_dir):
-    return path_candidates(spark, sf_dir).select("scene_id", "i", "j", GR.scale(c("n_rooms")).alias("scale"))
+def grown_obstacles(spark, sf_dir, by: float = 0.3):
+    return view(spark, sf_dir, "v_obstacles").select("scene_id", *((c(n) + (by if n.startswith("max") else -by)).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")))
 
 
-@query("SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'graph' AS source FROM cand UNION ALL SELECT 'region' FROM (SELECT i, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS k FROM m6 JOIN r ON r.idx=m6.j) WHERE k=1 AND i NOT IN (SELECT idx FROM r)) GROUP BY source", CANDIDATES + ", r AS (SELECT idx FROM p WHERE sqrt((x-1e0)*(x-1e0)+(y-1e0)*(y-1e0)) <= 3e0)")
-def candidate_union(spark, sf_dir):
-    one = path_candidates(spark, sf_dir).select(F.lit("graph").alias("source"), "i", "j", "score")
-    two = path_to_region(spark, sf_dir).select(F.lit("region").alias("source"), c("idx").alias("i"), c("goal").alias("j"))
-    return one.unionByName(two, allowMissingColumns=True).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+@query(f"SELECT idx FROM v_waypoints p WHERE EXISTS (SELECT 1 FROM v_scene_rooms r WHERE {INSIDE})")
+def point_in_room(spark, sf_dir):
+    rooms = view(spark, sf_dir, "v_scene_rooms").select("scene_id", "min_x", "min_y", "max_x", "max_y")
+    return points_in_boxes(points(spark, sf_dir), rooms, 3.2, "left_semi", keys=("scene_id",)).select("idx")
 
 
-@query("SELECT v.path_id, round(sum(coalesce(m.d, 0e0)), 5) AS distance FROM (SELECT path_id, a, lead(a) OVER (PARTITION BY path_id ORDER BY seq) AS b FROM (SELECT path_id, seq, CAST((path_id%12)*40+(seq*7+path_id)%40 AS BIGINT) AS a FROM v_track)) v LEFT JOIN m6 m ON m.i=v.a AND m.j=v.b GROUP BY v.path_id", WEB)
-def walk_distance(spark, sf_dir):
-    walk = view(spark, sf_dir, "v_track").select("path_id", "seq", ((c("path_id") % 12) * 40 + (c("seq") * 7 + c("path_id")) % 40).alias("i"))
-    step = walk.withColumn("j", F.lead("i").over(Window.partitionBy("path_id").orderBy("seq")))
-    return step.join(apsp_table(spark, sf_dir), ["i", "j"], "left").groupBy("path_id").agg(F.round(F.sum(F.coalesce("dist", F.lit(0.0))), 5).alias("distance"))
+@query("SELECT idx FROM v_waypoints p WHERE NOT EXISTS (SELECT 1 FROM v_obstacles o WHERE o.scene_id=p.scene_id AND p.x BETWEEN o.min_x-3e-1 AND o.max_x+3e-1 AND p.y BETWEEN o.min_y-3e-1 AND o.max_y+3e-1)")
+def clear_of_obstacles(spark, sf_dir):
+    return points_in_boxes(points(spark, sf_dir), grown_obstacles(spark, sf_dir), 1.0, "left_anti", keys=("scene_id",)).select("idx")

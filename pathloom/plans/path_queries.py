@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import geometry as G
+from pathloom.functions import vocab
 from pathloom.operators import folds as FO
 from pathloom.operators import graph as GR
-from pathloom.operators.spatial import first_box
+from pathloom.operators import grid as GD
+from pathloom.operators.scene import cut
+from pathloom.operators.spatial import distance_join, points_in_boxes
+from pathloom.plans import graph_queries as N
+from pathloom.plans import grid_queries as Q
 from pathloom.plans import join_queries as J
 from pathloom.plans.duck import sql
 from pathloom.plans.geometry_queries import _triangles
@@ -89,11 +94,10 @@ RS = D + """, cum AS (SELECT *, coalesce(sum(d) OVER w, 0e0) AS c1, coalesce(sum
 n AS (SELECT *, greatest(1e0, round_even(total/5e0, 0)) AS n FROM cum)"""
 
 
-@query("SELECT path_id, CAST(count(*) AS BIGINT) AS n_points, round(sum(x), 2) AS sum_x, round(sum(y), 2) AS sum_y FROM (SELECT path_id, px+(k*(total/n)-c0)/d*(x-px) AS x, py+(k*(total/n)-c0)/d*(y-py) AS y FROM n, LATERAL (SELECT unnest(generate_series(CAST(ceil(c0/(total/n)) AS BIGINT), least(CAST(ceil(c1/(total/n)) AS BIGINT), CAST(n AS BIGINT))-1)) AS k) WHERE d > 0e0 UNION ALL SELECT path_id, x, y FROM n WHERE seq=last) GROUP BY path_id", RS)
+@query("SELECT path_id, k, round(x, 5) AS x, round(y, 5) AS y FROM (SELECT path_id, k, px+(k*(total/n)-c0)/d*(x-px) AS x, py+(k*(total/n)-c0)/d*(y-py) AS y FROM n, LATERAL (SELECT unnest(generate_series(CAST(ceil(c0/(total/n)) AS BIGINT), least(CAST(ceil(c1/(total/n)) AS BIGINT), CAST(n AS BIGINT))-1)) AS k) WHERE d > 0e0 UNION ALL SELECT path_id, CAST(coalesce(n, 0e0) AS BIGINT), x, y FROM n WHERE seq=last)", RS)
 def resample_polyline(spark, sf_dir):
-    """Digest of the resampled polylines (points every 5 along the way, both ends kept)."""
-    r = resampled(track(spark, sf_dir), 5.0)
-    return r.groupBy("path_id").agg(F.count(F.lit(1)).alias("n_points"), F.round(F.sum("x"), 2).alias("sum_x"), F.round(F.sum("y"), 2).alias("sum_y"))
+    """The resampled polylines: points every 5 or so along the way, both ends kept."""
+    return resampled(track(spark, sf_dir), 5.0).select("path_id", "k", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 def resampled(t: DataFrame, step: float) -> DataFrame:
@@ -216,7 +220,15 @@ def viewpoint_sources(spark, sf_dir):
     return nav.unionByName(track(spark, sf_dir).select(F.lit("path").alias("source"), c("path_id").alias("id"), "seq", "x", "y"))
 
 
-@query()
+TAKEN = FOLD + """, picked AS (SELECT path_id, seq FROM walk WHERE take UNION ALL SELECT w.path_id, w.seq FROM walk w JOIN e ON e.path_id=w.path_id AND e.last=w.seq WHERE NOT w.take AND sqrt((w.x-w.lx)*(w.x-w.lx)+(w.y-w.ly)*(w.y-w.ly)) > 1e-2),
+o AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY idx) AS n, idx, x, y, z FROM (SELECT CAST(floor(idx/4e1) AS BIGINT) AS s, idx, x, y, z FROM v_points
+    UNION ALL SELECT t.path_id%12, t.path_id*100000+t.seq+1000000000, t.x, t.y, t.z FROM v_track t JOIN picked p ON p.path_id=t.path_id AND p.seq=t.seq) u),
+kept(s, n, xs, ys, zs, took) AS (SELECT DISTINCT s, CAST(0 AS BIGINT), CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[]), CAST(NULL AS BIGINT) FROM o
+    UNION ALL SELECT s, n, CASE WHEN ok THEN list_append(xs, x) ELSE xs END, CASE WHEN ok THEN list_append(ys, y) ELSE ys END, CASE WHEN ok THEN list_append(zs, z) ELSE zs END, CASE WHEN ok THEN idx END
+    FROM (SELECT o.*, k.xs, k.ys, k.zs, len(list_filter(range(1, len(k.xs)+1), lambda m: sqrt((k.xs[m]-o.x)*(k.xs[m]-o.x)+(k.ys[m]-o.y)*(k.ys[m]-o.y)+(k.zs[m]-o.z)*(k.zs[m]-o.z)) < 3e-1))=0 AS ok FROM kept k JOIN o ON o.s=k.s AND o.n=k.n+1))"""
+
+
+@query("SELECT k.s AS scene_id, printf('vp_%04d', row_number() OVER (PARTITION BY k.s ORDER BY k.took)-1) AS vp_id, o.x, o.y, o.z, CASE WHEN k.took < 1000000000 THEN 'nav' ELSE 'path' END AS source FROM kept k JOIN o ON o.s=k.s AND o.idx=k.took WHERE k.took IS NOT NULL", TAKEN)
 def collect_viewpoints(spark, sf_dir):
     """Goal points and sampled path points of each scene, deduplicated in that order."""
     t = track(spark, sf_dir)
@@ -227,6 +239,36 @@ def collect_viewpoints(spark, sf_dir):
     return kept.select("scene_id", F.format_string("vp_%04d", number).alias("vp_id"), "x", "y", "z", F.when(c("idx") < 1_000_000_000, "nav").otherwise("path").alias("source"))
 
 
+VP = TAKEN + ", vp AS (SELECT k.s, printf('vp_%04d', row_number() OVER (PARTITION BY k.s ORDER BY k.took)-1) AS id, o.x, o.y, o.z FROM kept k JOIN o ON o.s=k.s AND o.idx=k.took WHERE k.took IS NOT NULL)"
+
+
+@query("SELECT v.s AS scene_id, v.id AS vp_id, v.x, v.y, v.z, coalesce(n.neighbours, '') AS neighbours, CAST(h AS INTEGER) AS h_idx, CAST(e AS INTEGER) AS e_idx, h*(360e0/12) AS heading, (e-1)*30e0 AS elevation FROM vp v LEFT JOIN (SELECT a.s, a.id, string_agg(b.id, ',' ORDER BY b.id) AS neighbours FROM vp a JOIN vp b ON a.s=b.s AND a.id<>b.id AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 1e0 GROUP BY a.s, a.id) n ON n.s=v.s AND n.id=v.id, range(12) p(h), range(3) q(e)", VP)
+def capture_plan(spark, sf_dir):
+    """Every view of every deduplicated viewpoint, with the viewpoint's neighbours at most 1 away."""
+    v = cut(collect_viewpoints(spark, sf_dir).select("scene_id", c("vp_id").alias("idx"), "x", "y", "z"))
+    near = distance_join(v, v, 1.0, ("x", "y", "z"), ("scene_id",)).filter("idx_a <> idx_b").groupBy(c("scene_id_a").alias("scene_id"), c("idx_a").alias("idx")).agg(F.sort_array(F.collect_list("idx_b")).alias("n"))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    views = v.join(near, ["scene_id", "idx"], "left").withColumn("h_idx", span(12)).withColumn("e_idx", span(3))
+    return views.select("scene_id", c("idx").alias("vp_id"), "x", "y", "z", F.coalesce(F.array_join("n", ","), F.lit("")).alias("neighbours"), "h_idx", "e_idx", (c("h_idx") * F.lit(360.0 / 12)).alias("heading"), ((c("e_idx") - 1) * 30.0).alias("elevation"))
+
+
+@query("SELECT path_id, seq, CAST(f AS INTEGER) AS face, concat('frame_', seq, '_', CASE f WHEN 0 THEN 'front' WHEN 1 THEN 'back' WHEN 2 THEN 'left' WHEN 3 THEN 'right' WHEN 4 THEN 'up' ELSE 'down' END, '.png') AS name, CASE f WHEN 1 THEN 180e0 WHEN 2 THEN 90e0 WHEN 3 THEN -90e0 ELSE 0e0 END AS yaw, CASE f WHEN 4 THEN 90e0 WHEN 5 THEN -90e0 ELSE 0e0 END AS pitch, 90e0 AS fov FROM v_track, range(6) r(f)")
+def cube_face_plan(spark, sf_dir):
+    """Six views of 90 degrees from every frame: what a panorama is stitched from."""
+    faces = (("front", 0.0, 0.0), ("back", 180.0, 0.0), ("left", 90.0, 0.0), ("right", -90.0, 0.0), ("up", 0.0, 90.0), ("down", 0.0, -90.0))
+    six = F.explode(F.array(*(F.struct(F.lit(k).alias("face"), F.lit(n).alias("n"), F.lit(yaw).alias("yaw"), F.lit(pitch).alias("pitch")) for k, (n, yaw, pitch) in enumerate(faces))))
+    t = track(spark, sf_dir).select("path_id", "seq", six.alias("f"))
+    return t.select("path_id", "seq", "f.face", F.concat(F.lit("frame_"), "seq", F.lit("_"), "f.n", F.lit(".png")).alias("name"), "f.yaw", "f.pitch", F.lit(90.0).alias("fov"))
+
+
+@query("SELECT path_id, 9e-1-path_id/n*8e-1 AS red, 5e-1 AS green, path_id/n*8e-1+1e-1 AS blue FROM (SELECT DISTINCT path_id FROM v_track) p, (SELECT CAST(count(DISTINCT path_id) AS DOUBLE) AS n FROM v_track) q")
+def marker_colours(spark, sf_dir):
+    """The colour ramp of path markers, from red to blue with the number of the path among all."""
+    n = F.broadcast(track(spark, sf_dir).agg(F.countDistinct("path_id").cast("double").alias("n")))  # one row
+    share = c("path_id") / c("n")
+    return track(spark, sf_dir).select("path_id").distinct().join(n).select("path_id", (0.9 - share * 0.8).alias("red"), F.lit(0.5).alias("green"), (share * 0.8 + 0.1).alias("blue"))
+
+
 @query("SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY seq)-1 AS INTEGER) AS frame, x, y, z, tx, ty, tz FROM (SELECT path_id, seq, x, y, z+15e-1 AS z, lead(x) OVER w AS tx, lead(y) OVER w AS ty, lead(z) OVER w+15e-1 AS tz, count(*) OVER (PARTITION BY path_id) AS n FROM (SELECT * FROM d WHERE d IS NULL OR d>1e-6) " + W + ") WHERE tx IS NOT NULL AND n>2", D)
 def frame_plan(spark, sf_dir):
     """Camera frames of each path of more than two vertices: duplicates dropped, looking at the next vertex."""
@@ -265,16 +307,11 @@ def reverse_augment(spark, sf_dir):
     return both.select("path_id", "backwards", F.get("v", F.lit(0))["x"].alias("first_x"), F.element_at("v", -1)["x"].alias("last_x"))
 
 
-ROOMS = "r AS (SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_rooms r WHERE p.x BETWEEN r.min_x AND r.max_x AND p.y BETWEEN r.min_y AND r.max_y ORDER BY r.room_id LIMIT 1) AS room_id FROM v_track p)"
-
-
-@query("SELECT d.path_id, round(count(*)+3e0*count(DISTINCT r.room_id)+1e-1*round(coalesce(sum(d.d), 0e0), 4)+5e0, 5) AS score FROM d JOIN r ON r.path_id=d.path_id AND r.seq=d.seq GROUP BY d.path_id", D + ", " + ROOMS)
+@query(f"SELECT d.path_id, round(count(*)+3e0*count(DISTINCT r.room_id)+1e-1*round(coalesce(sum(d.d), 0e0), 4)+5e0, 5) AS score FROM d JOIN (SELECT p.path_id, p.seq, (SELECT r.room_id FROM v_scene_rooms r WHERE {J.INSIDE_3D} ORDER BY r.room_id LIMIT 1) AS room_id FROM v_scene_track p) r ON r.path_id=d.path_id AND r.seq=d.seq GROUP BY d.path_id", D)
 def gr_scores(spark, sf_dir):
-    t = stepped(track(spark, sf_dir))
-    boxes = view(spark, sf_dir, "v_rooms").select(c("room_id").alias("order_id"), "room_id", "min_x", "min_y", "max_x", "max_y")
-    rooms = first_box(t.select("path_id", "seq", "x", "y"), boxes, 3.2, ("path_id", "seq"), "order_id", "room_id")
-    sums = t.groupBy("path_id").agg(F.count(F.lit(1)).alias("v"), F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 4).alias("d"))
-    return sums.join(rooms.groupBy("path_id").agg(F.countDistinct("room_id").alias("n")), "path_id").select("path_id", F.round(GR.region_score(c("v"), c("n"), c("d")), 5).alias("score"))
+    sums = stepped(track(spark, sf_dir)).groupBy("path_id").agg(F.count(F.lit(1)).alias("v"), F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 4).alias("d"))
+    rooms = J.rooms_on_polyline(spark, sf_dir).groupBy("path_id").agg(F.countDistinct("room_id").alias("n"))
+    return sums.join(rooms, "path_id").select("path_id", F.round(GR.region_score(c("v"), c("n"), c("d")), 5).alias("score"))
 
 
 # ---- seeded samplers and whole pipelines: no SQL can follow their generators
@@ -298,7 +335,8 @@ def poisson_disk(spark, sf_dir):
 
 
 def weighted_floor(spark, sf_dir) -> DataFrame:
-    floor = J.tiles(spark, sf_dir).filter("state = 0").select("scene_id", "i", "j", G.cell_center(c("i"), -8.0, 0.5).alias("x"), G.cell_center(c("j"), -8.0, 0.5).alias("y"))
+    floor = Q.grid(spark, sf_dir).filter("state = 0").join(Q.bounds(spark, sf_dir), "scene_id")
+    floor = floor.select("scene_id", "i", "j", (c("low_x") + (c("i") + 0.5) * 0.5).alias("x"), (c("low_y") + (c("j") + 0.5) * 0.5).alias("y"))
     return floor.withColumn("weight", 1.0 + (c("i") + c("j")) % 3)
 
 
@@ -328,52 +366,67 @@ def random_points(spark, sf_dir):
     return hit.select("room", "draw", *(place(a).alias(a) for a in "xyz"))
 
 
-@query()
-def random_walks(spark, sf_dir):
-    points = scened(spark, sf_dir, 1.0).select("scene_id", "idx", "room")
-    return FO.walks(J.web(spark, sf_dir), points, "scene_id", 42)
-
-
-def scored_candidates(spark, sf_dir) -> DataFrame:
-    """All path candidates of each scene with their vertices, score and scale: graph pairs and random walks."""
-    pairs = J.path_candidates(spark, sf_dir)
-    paths = GR.shortest_paths(J.apsp_table(spark, sf_dir)).select("scene_id", "i", "j", c("path").alias("marks"))
-    one = pairs.join(paths, ["scene_id", "i", "j"]).select("scene_id", "marks", "score", F.lit("graph").alias("origin"))
-    rooms = scened(spark, sf_dir, 1.0).select("scene_id", "idx", "room")
-    two = random_walks(spark, sf_dir).select("scene_id", c("path").alias("marks"), "score", F.lit("walk").alias("origin"))
-    every = one.unionByName(two).withColumn("id", F.xxhash64("scene_id", "marks", "origin"))
-    seen = every.select("scene_id", "id", F.explode("marks").alias("idx")).join(rooms, ["scene_id", "idx"]).groupBy("scene_id", "id").agg(F.countDistinct("room").alias("n_rooms"))
-    return every.dropDuplicates(["scene_id", "id"]).join(seen, ["scene_id", "id"]).withColumn("scale", GR.scale(c("n_rooms")))
-
-
-@query()
-def diverse_select(spark, sf_dir):
-    return FO.novelty(scored_candidates(spark, sf_dir), ["scene_id", "scale"], 20, 0.3)
-
-
-@query()
-def sample_vln_paths(spark, sf_dir):
-    """Candidates, classes, novel selection, and the way back of paths of four waypoints or more."""
-    chosen = diverse_select(spark, sf_dir).select("scene_id", "scale", "score", "marks", F.lit(False).alias("backwards"))
-    return chosen.unionByName(chosen.filter(F.size("marks") >= 4).select("scene_id", "scale", "score", F.reverse("marks").alias("marks"), F.lit(True).alias("backwards")))
+def region_tracks(spark, sf_dir) -> DataFrame:
+    """The ways of all region candidates as polylines at camera height: path_id (start and region), seq, x, y, z."""
+    wanted = cut(J.region_candidates(spark, sf_dir))
+    starts = Q.in_cells(spark, sf_dir).select("scene_id", "idx", c("i").alias("i1"), c("j").alias("j1"))
+    ends = J.sampled_targets(spark, sf_dir, 15).select("scene_id", "region_id", "pt", c("i").alias("i2"), c("j").alias("j2"))
+    ask = wanted.join(starts, ["scene_id", "idx"]).join(ends, ["scene_id", "region_id", "pt"]).withColumn("q", c("idx") * 20 + c("region_id") % 20)
+    found = GD.grid_paths(ask.select("scene_id", "q", "i1", "j1", "i2", "j2"), Q.labels(spark, sf_dir), Q.RES, with_path=True)
+    at = found.select("scene_id", c("q").alias("path_id"), F.posexplode("path").alias("k", "cell")).join(Q.bounds(spark, sf_dir), "scene_id")
+    return at.select("scene_id", "path_id", (c("k") + 1).cast("long").alias("seq"), (c("low_x") + (c("cell.i") + 0.5) * 0.5).alias("x"), (c("low_y") + (c("cell.j") + 0.5) * 0.5).alias("y"), F.lit(1.5).alias("z"))
 
 
 @query()
 def sample_vln_paths_gr(spark, sf_dir):
-    """Resampled tracks scored for a goal region, chosen by novelty over 1 m cells."""
-    r = resampled(track(spark, sf_dir), 5.0).withColumn("cell", c("x").cast("int") * 100_000 + c("y").cast("int"))
-    marks = r.groupBy("path_id").agg(F.collect_set("cell").alias("marks"))
-    scored = marks.join(gr_scores(spark, sf_dir), "path_id").withColumn("scene_id", (c("path_id") % 12).cast("long"))
-    return FO.novelty(scored, ["scene_id"], 30, 0.3).select("scene_id", "path_id", "score")
+    """From every start to every region of its scene: ways resampled at 1.5, scored, classed by rooms, at most 30 short, 40 medium
+    and 20 long ones chosen by novelty over cells of 1, and the way back of those of four points or more."""
+    ways = cut(region_tracks(spark, sf_dir))
+    points = resampled(ways.drop("scene_id"), 1.5).join(ways.select("scene_id", "path_id").distinct(), "path_id")
+    rooms = J.rooms_of(points.select("scene_id", "path_id", "k", "x", "y", "z"), spark, sf_dir, ("path_id", "k")).groupBy("path_id").agg(F.countDistinct("room_id").alias("n_rooms"))
+    line = F.array_sort(F.collect_list(F.struct("k", "x", "y", "z")))
+    cell = F.transform("line", lambda p: p["x"].cast("int") * 100_000 + p["y"].cast("int"))
+    length = stepped(ways).groupBy("path_id").agg(F.sum("d").alias("distance"))
+    t = points.groupBy("scene_id", "path_id").agg(line.alias("line")).join(rooms, "path_id").join(length, "path_id")
+    t = t.withColumn("score", F.round(GR.region_score(F.size("line"), c("n_rooms"), c("distance")), 7)).withColumn("scale", GR.scale(c("n_rooms"))).withColumn("marks", F.array_distinct(cell))
+    t = t.withColumn("target", F.when(c("scale") == "short", 30).when(c("scale") == "medium", 40).otherwise(20))
+    kept = FO.novelty(t, ["scene_id", "scale"], ["path_id"], 0.3).drop("marks", "target").withColumn("backwards", F.lit(False))
+    both = kept.unionByName(kept.filter(F.size("line") >= 4).withColumn("line", F.reverse("line")).withColumn("backwards", F.lit(True)))
+    return both.select("scene_id", "path_id", "scale", "score", "n_rooms", F.size("line").alias("n_points"), "backwards")
 
 
 @query()
 def place_waypoints(spark, sf_dir):
-    """Rooms first, doors with 0.8 and objects with 0.6 of the distance, all in one acceptance state."""
-    p = scened(spark, sf_dir, 1.0).select("scene_id", "idx", "x", "y", "room")
-    kind = F.when(c("room") % 3 == 0, 0).when(c("room") % 3 == 1, 1).otherwise(2)
-    ordered = p.withColumn("kind", kind).withColumn("ord", c("kind") * 1_000_000_000 + c("idx")).withColumn("least", F.when(c("kind") == 0, 1.0).when(c("kind") == 1, 0.8).otherwise(0.6))
-    return FO.greedy(ordered, "scene_id", "ord").select("scene_id", "idx", "kind", "x", "y")
+    """Waypoints of each scene, on floor cells: rooms by their budget (distance 1.5), then doors (0.8 of it), then objects (0.6 of it),
+    all in one acceptance state."""
+    rooms = view(spark, sf_dir, "v_scene_rooms").withColumn("area", (c("max_x") - c("min_x")) * (c("max_y") - c("min_y")))
+    weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in vocab.ROOM_WEIGHT.items() for x in pair)), c("type")), F.lit(1.0))
+    budget = F.greatest(F.lit(1), (5 * weight * F.greatest(F.lit(1.0), F.sqrt("area") / 2.0)).cast("int"))
+    boxes = rooms.select("scene_id", "room_id", "type", "min_x", "min_y", "max_x", "max_y", budget.alias("most"))
+    floor = weighted_floor(spark, sf_dir).drop("weight")
+    held = points_in_boxes(floor, boxes, 3.2, keys=("scene_id",)).withColumn("key", c("scene_id") * 100 + c("room_id"))
+    own = FO.weighted_cells(held.withColumn("weight", F.lit(1.0)), "key", 1.5, None, 42, tries=None)
+    spots = own.select("scene_id", F.lit(0).alias("kind"), c("key").alias("id"), F.concat(F.lit("room:"), "type").alias("type"), "x", "y", F.lit(1.5).alias("least"))
+    centre = rooms.select("scene_id", "room_id", ((c("min_x") + c("max_x")) / 2.0).alias("x"), ((c("min_y") + c("max_y")) / 2.0).alias("y"))
+    pair = centre.withColumnsRenamed({"room_id": "other", "x": "x2", "y": "y2"}).withColumn("room_id", c("other") - 1)
+    doors = centre.join(pair, ["scene_id", "room_id"]).filter(c("room_id") % 5 != 4)  # neighbours in a row of the floor plan share a door
+    doors = doors.select("scene_id", c("room_id").cast("long").alias("key"), ((c("x") + c("x2")) / 2.0).alias("x"), ((c("y") + c("y2")) / 2.0).alias("y")).withColumn("kind", F.lit(1))
+    objects = view(spark, sf_dir, "v_scene_objects").select("scene_id", c("id").alias("key"), c("cx").alias("x"), c("cy").alias("y")).withColumn("kind", F.lit(2))
+    free = Q.grid(spark, sf_dir).filter("state = 0")
+    b = Q.bounds(spark, sf_dir)
+    snapped = None
+    for wanted, least, name in ((doors, 1.2, "transition:door"), (objects, 0.9, "object:object")):
+        near = GD.nearest_floor(Q.celled(wanted.drop("kind"), spark, sf_dir), free, Q.BUDGET).join(b, "scene_id")
+        at = near.select("scene_id", F.lit(1 if least == 1.2 else 2).alias("kind"), c("key").alias("id"), F.lit(name).alias("type"), (c("low_x") + (c("fi") + 0.5) * 0.5).alias("x"), (c("low_y") + (c("fj") + 0.5) * 0.5).alias("y"), F.lit(least).alias("least"))
+        snapped = at if snapped is None else snapped.unionByName(at)
+    every = spots.unionByName(snapped).withColumn("ord", F.row_number().over(Window.partitionBy("scene_id").orderBy("kind", "id", "x", "y")))
+    return FO.greedy(every, "scene_id", "ord").select("scene_id", "kind", "id", "type", "x", "y", F.lit(1.5).alias("z"))
+
+
+@query("SELECT scene_id, idx, x, y, z, type, room FROM v_waypoints")
+def sample_semantic_waypoints(spark, sf_dir):
+    """The waypoints of sample_vln_paths and what they mean, without the paths."""
+    return N.sample_semantic_waypoints(spark, sf_dir)
 
 
 # ---- output documents
@@ -408,27 +461,39 @@ def sink_dataset_meta(spark, sf_dir):
     return views.join(F.broadcast(paths)).select(F.lit("scene").alias("scene"), F.lit(12).alias("headings"), F.lit(3).alias("elevations"), "n_viewpoints", "n_paths")
 
 
-LABEL = "coalesce((SELECT r.type FROM v_rooms r WHERE p.x BETWEEN r.min_x AND r.max_x AND p.y BETWEEN r.min_y AND r.max_y ORDER BY r.room_id LIMIT 1), 'unknown')"
+LABEL = f"coalesce((SELECT r.type FROM v_scene_rooms r WHERE {J.INSIDE} ORDER BY r.room_id LIMIT 1), 'unknown')"
+POSE = "concat(CAST(CAST(round(p.x*1e4) AS BIGINT) AS VARCHAR), ',', CAST(CAST(round(p.y*1e4) AS BIGINT) AS VARCHAR), ',15000')"
+
+
+def _pose():
+    """x, y and the camera's height of 1.5 in tenths of a millimetre."""
+    whole = lambda a: F.round(c(a) * 1e4).cast("long").cast("string")
+    return F.concat(whole("x"), F.lit(","), whole("y"), F.lit(",15000"))
 
 
-@query(f"SELECT printf('scene_%04d', p.idx) AS image_id, p.x, p.y, 15e-1 AS height, {LABEL} AS semantic, (SELECT CAST(count(*) AS BIGINT) FROM v_points b WHERE b.idx<>p.idx AND sqrt((p.x-b.x)*(p.x-b.x)+(p.y-b.y)*(p.y-b.y)) <= 1e0) AS n_visible FROM v_points p")
+@query(f"SELECT p.scene_id, printf('scene_%04d', p.idx) AS image_id, {POSE} AS pose, 15e-1 AS height, coalesce(n.visible, '') AS visible, coalesce(n.visible, '') AS unobstructed, p.type AS semantic FROM v_waypoints p LEFT JOIN (SELECT i, string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) AS visible FROM e GROUP BY i) n ON n.i=p.idx", N.EDGES)
 def connectivity_nodes(spark, sf_dir):
-    p = view(spark, sf_dir, "v_points").select("idx", "x", "y")
-    near = J.waypoint_edges(spark, sf_dir).groupBy(c("i").alias("idx")).agg(F.count(F.lit(1)).alias("n_visible"))
-    t = p.join(near, "idx", "left").join(J._labelled(spark, sf_dir), "idx")
-    return t.select(F.format_string("scene_%04d", "idx").alias("image_id"), "x", "y", F.lit(1.5).alias("height"), c("label").alias("semantic"), F.coalesce("n_visible", F.lit(0)).cast("long").alias("n_visible"))
+    """A node for each waypoint: its pose, all it sees (the same list twice, as readers expect) and what it means."""
+    p = view(spark, sf_dir, "v_waypoints").select("scene_id", "idx", "x", "y", "type")
+    near = N.web(spark, sf_dir).groupBy(c("i").alias("idx")).agg(F.array_join(F.sort_array(F.collect_list("j")).cast("array<string>"), ",").alias("visible"))
+    t = p.join(near, "idx", "left").withColumn("visible", F.coalesce("visible", F.lit("")))
+    return t.select("scene_id", F.format_string("scene_%04d", "idx").alias("image_id"), _pose().alias("pose"), F.lit(1.5).alias("height"), "visible", c("visible").alias("unobstructed"), c("type").alias("semantic"))
 
 
-@query(f"SELECT printf('viewpoint_%04d', p.idx) AS viewpoint, {LABEL} AS semantic, CAST(36 AS BIGINT) AS n_images FROM v_points p")
+@query(f"SELECT printf('viewpoint_%04d', p.idx) AS viewpoint, {POSE} AS position, {LABEL} AS semantic, i.images FROM v_waypoints p, (SELECT string_agg(concat('rgb_', h, '_', e, '.png'), ',' ORDER BY h, e) AS images FROM range(12) a(h), range(3) b(e)) i")
 def viewpoints_doc(spark, sf_dir):
-    images = panorama_plan(spark, sf_dir).groupBy("idx").agg(F.size(F.collect_list(F.struct("h_idx", "e_idx", "heading", "elevation"))).cast("long").alias("n_images"))
-    return J._labelled(spark, sf_dir).join(images, "idx", "left").select(F.format_string("viewpoint_%04d", "idx").alias("viewpoint"), c("label").alias("semantic"), "n_images")
+    """Each viewpoint with its position, room and the names of all its images."""
+    views = panorama_plan(spark, sf_dir).groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("h_idx", "e_idx"))).alias("v"))
+    names = F.array_join(F.transform("v", lambda q: F.concat(F.lit("rgb_"), q["h_idx"], F.lit("_"), q["e_idx"], F.lit(".png"))), ",")
+    t = J._labelled(spark, sf_dir).join(views, "idx").join(view(spark, sf_dir, "v_waypoints").select("idx", "x", "y"), "idx")
+    return t.select(F.format_string("viewpoint_%04d", "idx").alias("viewpoint"), _pose().alias("position"), c("label").alias("semantic"), names.alias("images"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS num_waypoints, (SELECT CAST(2*count(*) AS BIGINT) FROM v_points a JOIN v_points b ON a.idx<b.idx AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 1e0) AS num_edges, CAST(count(DISTINCT room) AS BIGINT) AS num_types, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM v_points")
+@query("SELECT w.scene_id, CAST(count(*) AS BIGINT) AS num_waypoints, coalesce(any_value(k.n), 0) AS num_edges, CAST(count(DISTINCT w.type) AS BIGINT) AS num_types, min(w.x) AS min_x, min(w.y) AS min_y, max(w.x) AS max_x, max(w.y) AS max_y FROM v_waypoints w LEFT JOIN (SELECT s, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY s) k ON k.s=w.scene_id GROUP BY w.scene_id", N.EDGES)
 def scene_summary(spark, sf_dir):
-    p = view(spark, sf_dir, "v_points").agg(F.count(F.lit(1)).alias("num_waypoints"), F.countDistinct("room").alias("num_types"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
-    return p.join(F.broadcast(J.edge_count(spark, sf_dir).select(c("n_edges").alias("num_edges"))))
+    p = view(spark, sf_dir, "v_waypoints").groupBy("scene_id").agg(F.count(F.lit(1)).alias("num_waypoints"), F.countDistinct("type").alias("num_types"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+    t = p.join(N.edge_count(spark, sf_dir).select("scene_id", c("n_edges").alias("num_edges")), "scene_id", "left")
+    return t.withColumn("num_edges", F.coalesce("num_edges", F.lit(0)).cast("long"))
 
 
 @query("SELECT path_id, CAST(count(*) AS BIGINT) AS num_waypoints, round(coalesce(sum(d), 0e0), 3) AS distance_m FROM d GROUP BY path_id", D)

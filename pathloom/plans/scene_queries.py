@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import tags as T
 from pathloom.functions import vocab
+from pathloom.operators import folds as FO
 from pathloom.operators import scene as S
-from pathloom.operators.spatial import points_in_boxes
 from pathloom.plans.duck import sql, words
 from pathloom.sources import scene as SRC
 from pathloom.sources.views import view
@@ -268,6 +268,43 @@ def room_access(spark, sf_dir):
     return cuts.join(s.filter("state_type = 'room'").select(F.col("id").alias("room_id")), "room_id", "left_semi").distinct()
 
 
+@query("SELECT room_id, string_agg(cutter_id, ',' ORDER BY cutter_id) AS navigation_access FROM (SELECT DISTINCT r.target_name AS room_id, s.id AS cutter_id FROM s JOIN v_edges_raw r ON r.id=s.id JOIN s m ON m.id=r.target_name AND m.kind='room' WHERE s.kind='cutter' AND r.relation_type='CutFrom' AND (list_contains(s.sem, 'door') OR list_contains(s.sem, 'entrance'))) GROUP BY room_id", S_ACTIVE)
+def room_navigation_access(spark, sf_dir):
+    """All doors and entrances of each room."""
+    return room_access(spark, sf_dir).groupBy("room_id").agg(F.array_join(F.sort_array(F.collect_set("cutter_id")), ",").alias("navigation_access"))
+
+
+@query("SELECT id, CAST(NULL AS INTEGER) AS pt, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS z FROM v_states WHERE false")
+def room_nav_points(spark, sf_dir):
+    """Goal points of rooms and cutters: none are defined, so there are no rows."""
+    return states(spark, sf_dir).filter(F.lit(False)).select("id", *(F.lit(None).cast(kind).alias(n) for n, kind in (("pt", "int"), ("x", "double"), ("y", "double"), ("z", "double"))))
+
+
+_FIRST = f"own AS (SELECT s.id, p.prim_path, p.x0, p.y0, p.z0, p.x1, p.y1, p.z1, row_number() OVER (PARTITION BY s.id ORDER BY CASE WHEN p.prim_path LIKE '%_floor' THEN 0 WHEN p.prim_path LIKE '%_wall' THEN 1 WHEN p.prim_path LIKE '%_ceiling' THEN 2 ELSE 3 END) AS k FROM s JOIN v_prims p ON p.k=s.k)"
+
+
+@query("SELECT id, prim_path, (x0+x1)/2e0 AS cx, (y0+y1)/2e0 AS cy, (z0+z1)/2e0 AS cz, (x1-x0)/2e0 AS hx, (y1-y0)/2e0 AS hy, (z1-z0)/2e0 AS hz FROM own WHERE k=1", S_ACTIVE + ", " + _FIRST)
+def first_prim_obb(spark, sf_dir):
+    found = S.first_prims(states(spark, sf_dir), view(spark, sf_dir, "v_prims"))
+    return found.select("id", "prim_path", "cx", "cy", "cz", *(F.get("h", F.lit(k)).alias(f"h{a}") for k, a in enumerate("xyz")))
+
+
+@query()
+def object_nav_points(spark, sf_dir):
+    """All goal points of every object: its centre, a seeded Poisson set over its footprint, a row before it on the wall, or none."""
+    kinds = nav_points(spark, sf_dir).filter("goal_kind is not null").select("id", "goal_kind")
+    own = S.first_prims(states(spark, sf_dir).filter("state_type = 'object'"), view(spark, sf_dir, "v_prims")).join(kinds, "id")
+    centre = own.filter("goal_kind = 'center'").select("id", "goal_kind", F.lit(0).alias("pt"), *(F.col(f"c{a}").alias(a) for a in "xyz"))
+    half = lambda k: F.get("h", F.lit(k))
+    box = own.filter("goal_kind = 'around'").select("id", *((F.col(f"c{a}") + sign * half(k)).alias(f"{m}_{a}") for m, sign in (("min", -1), ("max", 1)) for k, a in enumerate("xy")))
+    around = FO.darts(box, "id", 0.2, 8, kind="string").select("id", F.lit("around").alias("goal_kind"), F.col("pt").cast("int").alias("pt"), "x", "y", F.lit(0.02).alias("z"))
+    rooms = S.resolve_rooms(view(spark, sf_dir, "v_relations")).select(F.concat(F.lit("o"), "id").alias("id"), F.concat(F.lit("o"), "room").alias("room"))
+    room_boxes = S.first_prims(states(spark, sf_dir).filter("state_type = 'room'"), view(spark, sf_dir, "v_prims")).select(F.col("id").alias("room"), *(F.col(f"c{a}").alias(f"r{a}") for a in "xyz"))
+    wall = own.filter("goal_kind = 'wall'").join(rooms, "id", "left").join(room_boxes, "room", "left")
+    along = S.wall_points(wall).select("id", F.lit("wall").alias("goal_kind"), "pt", "x", "y", "z")
+    return centre.unionByName(around).unionByName(along)
+
+
 @query("SELECT s.id, (m0.x0+m0.x1)/2e0/2e0+(m1.x0+m1.x1)/2e0/2e0 AS x, (m0.y0+m0.y1)/2e0/2e0+(m1.y0+m1.y1)/2e0/2e0 AS y FROM s JOIN v_edges_raw a ON a.id=s.id AND a.rel_ord=0 JOIN v_edges_raw b ON b.id=s.id AND b.rel_ord=1 JOIN rc m0 ON m0.id=a.target_name JOIN rc m1 ON m1.id=b.target_name WHERE s.kind='cutter' AND (list_contains(s.sem, 'door') OR list_contains(s.sem, 'entrance'))", ROOM_PRIMS)
 def door_midpoints(spark, sf_dir):
     doors = states(spark, sf_dir).filter("state_type = 'cutter'").filter(T.any_of(F.col("sem"), ("door", "entrance")))
@@ -282,10 +319,10 @@ def object_room_recursive(spark, sf_dir):
     return S.resolve_rooms(view(spark, sf_dir, "v_relations"))
 
 
-@query("SELECT room, CAST(count(DISTINCT id) AS BIGINT) AS n_objects, min(id) AS first_id, max(id) AS last_id FROM walk WHERE done GROUP BY room", "walk AS (SELECT id, parent AS room, parent_is_room AS done, 0 AS depth FROM v_relations UNION ALL SELECT w.id, r.parent, r.parent_is_room, w.depth+1 FROM walk w JOIN v_relations r ON r.id=w.room WHERE NOT w.done AND w.depth < 40)")
+@query("SELECT room, CAST(count(*) AS BIGINT) AS n_objects, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS objects FROM (SELECT DISTINCT id, room FROM walk WHERE done) GROUP BY room", "walk AS (SELECT id, parent AS room, parent_is_room AS done, 0 AS depth FROM v_relations UNION ALL SELECT w.id, r.parent, r.parent_is_room, w.depth+1 FROM walk w JOIN v_relations r ON r.id=w.room WHERE NOT w.done AND w.depth < 40)")
 def room_members(spark, sf_dir):
     rooms = S.resolve_rooms(view(spark, sf_dir, "v_relations"))
-    return rooms.groupBy("room").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("room", F.size("ids").cast("long").alias("n_objects"), F.get("ids", F.lit(0)).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    return rooms.groupBy("room").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("room", F.size("ids").cast("long").alias("n_objects"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("objects"))
 
 
 @query(
@@ -340,15 +377,3 @@ def room_wp_budget(spark, sf_dir):
     weight = F.create_map(*(F.lit(x) for pair in vocab.ROOM_WEIGHT.items() for x in pair))
     w = F.coalesce(F.try_element_at(weight, F.col("type")), F.lit(1.0))
     return _collected(spark, sf_dir).select("id", F.greatest(F.lit(1), (3 * w * F.greatest(F.lit(1.0), F.sqrt("area") / 2.0)).cast("int")).alias("budget"))
-
-
-@query("SELECT idx FROM v_points p WHERE EXISTS (SELECT 1 FROM v_rooms r WHERE p.x BETWEEN r.min_x AND r.max_x AND p.y BETWEEN r.min_y AND r.max_y)")
-def point_in_room(spark, sf_dir):
-    return points_in_boxes(view(spark, sf_dir, "v_points"), view(spark, sf_dir, "v_rooms"), 3.2, "left_semi").select("idx")
-
-
-@query("SELECT idx FROM v_points p WHERE NOT EXISTS (SELECT 1 FROM v_objects o WHERE o.id%41=0 AND p.x BETWEEN o.cx-o.half-3e-1 AND o.cx+o.half+3e-1 AND p.y BETWEEN o.cy-o.half-3e-1 AND o.cy+o.half+3e-1)")
-def clear_of_obstacles(spark, sf_dir):
-    grown = lambda c, sign: (F.col(c) - F.col("half") - 0.3) if sign < 0 else (F.col(c) + F.col("half") + 0.3)
-    boxes = view(spark, sf_dir, "v_objects").filter("id % 41 = 0").select(grown("cx", -1).alias("min_x"), grown("cy", -1).alias("min_y"), grown("cx", 1).alias("max_x"), grown("cy", 1).alias("max_y"))
-    return points_in_boxes(view(spark, sf_dir, "v_points"), boxes, 1.0, "left_anti").select("idx")

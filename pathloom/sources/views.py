@@ -44,6 +44,20 @@ VIEWS: dict[str, str] = {
         -8e0+3.2e0*(k%5)+s.inset, -8e0+3.2e0*CAST(floor(k/5e0) AS INT)+s.inset, 1e-1*(k%3)+s.up, -8e0+3.2e0*(k%5)+3.2e0-s.inset, -8e0+3.2e0*CAST(floor(k/5e0) AS INT)+3.2e0-s.inset, 1e-1*(k%3)+2.5e0
         FROM v_states CROSS JOIN (SELECT '_floor' AS suffix, 0e0 AS inset, 0e0 AS up UNION ALL SELECT '_wall', 1e-1, 1e-1 UNION ALL SELECT '_ceiling', 5e-2, 2.4e0) s
         WHERE kind='room' AND (s.suffix <> '_ceiling' OR k%2=0)""",
+    # scenes: 40 waypoints and 20 objects each, and the rooms of the one floor plan but for every seventh, which another scene has
+    "v_scenes": "SELECT DISTINCT scene_id FROM (SELECT CAST(floor(vec_id/4e1) AS BIGINT) AS scene_id FROM embeddings UNION ALL SELECT CAST(floor(p_partkey/2e1) AS BIGINT) AS scene_id FROM part) s",
+    "v_scene_rooms": "SELECT s.scene_id, r.room_id, r.type, r.min_x, r.min_y, 1e-1*(r.room_id%3) AS min_z, r.max_x, r.max_y, 25e-1+1e-1*(r.room_id%3) AS max_z FROM v_scenes s CROSS JOIN v_rooms r WHERE (r.room_id+s.scene_id)%7 <> 3",
+    "v_bounds": """SELECT scene_id, min(min_x)-1e0 AS low_x, min(min_y)-1e0 AS low_y, CAST(ceil((max(max_x)+1e0-(min(min_x)-1e0))/5e-1) AS INT) AS nx,
+        CAST(ceil((max(max_y)+1e0-(min(min_y)-1e0))/5e-1) AS INT) AS ny FROM v_scene_rooms GROUP BY scene_id""",
+    "v_scene_objects": "SELECT CAST(floor(id/2e1) AS BIGINT) AS scene_id, id, cx, cy, half, p_size FROM v_objects",
+    "v_obstacles": """SELECT scene_id, id, cx-h AS min_x, cy-h AS min_y, cx+h AS max_x, cy+h AS max_y
+        FROM (SELECT scene_id, id, cx, cy, CASE WHEN (2e0*half)*(2e0*half) > 4e-2 THEN half ELSE 3e-1 END AS h FROM v_scene_objects) o""",
+    "v_waypoints": """SELECT CAST(floor(idx/4e1) AS BIGINT) AS scene_id, idx, x, y, z,
+        CASE idx%3 WHEN 0 THEN concat('room:', CASE room%5 WHEN 0 THEN 'kitchen' WHEN 1 THEN 'bedroom' WHEN 2 THEN 'living-room' WHEN 3 THEN 'bathroom' ELSE 'office' END)
+            WHEN 1 THEN 'object:chair' ELSE 'transition:door' END AS type,
+        CASE idx%3 WHEN 0 THEN concat('room_', room) WHEN 2 THEN concat('door_', idx) END AS room FROM v_points""",
+    "v_regions": "SELECT scene_id, id AS region_id, concat('object:', id) AS label, cx, cy, 15e-1 AS radius FROM v_scene_objects",
+    "v_scene_track": "SELECT path_id%12 AS scene_id, path_id, seq, x-8e0 AS x, y-5e0 AS y, 1e-1*(seq%50) AS z FROM v_track",
 }
 
 

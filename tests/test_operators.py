@@ -1,5 +1,6 @@
 """Hand-computed cases and properties of the scene and path operators."""
 
+import heapq
 import math
 import random
 
@@ -8,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import tags as T
-from pathloom.operators import folds, graph, grid
+from pathloom.operators import folds, graph, grid, regions
 from pathloom.operators.scene import resolve_rooms
 from pathloom.operators.spatial import distance_join, points_in_boxes
+from pathloom.plans import path_queries, scene_queries
 from pathloom.plans.path_queries import resampled
-from pathloom.sources import scene
+from pathloom.sources import scene, sinks
 
 DOCUMENT = """{"objs": {
  "kitchen_0/0": {"active": true, "tags": ["Semantics(room)", "Semantics(kitchen)"]},
@@ -57,30 +59,162 @@ def test_joins_against_all_pairs(spark):
     assert sorted((r.idx, r.id) for r in found.collect()) == sorted((k, b[0]) for k, x, y in p for b in boxes if b[1] <= x <= b[3] and b[2] <= y <= b[4])
 
 
-def test_grid(spark):
-    rows = ["..#...", ".##.#.", "#..##.", "...#.."]
-    cells = [(i, j, 0 if s == "." else 1) for i, line in enumerate(rows) for j, s in enumerate(line)]
-    frame = spark.createDataFrame(cells, "i int, j int, state int")
-    label = {(r.i, r.j): r.label for r in grid.components(frame, 6).collect()}
-    assert label[0, 0] == label[1, 0] == 0 and label[0, 1] == 0 and label[0, 3] == label[3, 5] == 1 and label[3, 0] == 2 and len(label) == sum(r.count(".") for r in rows)
-    ask = spark.createDataFrame([(0, 1, 0, 0, 3, 0), (0, 2, 0, 3, 3, 4), (0, 3, 0, 0, 3, 5)], "scene_id long, q long, i1 int, j1 int, i2 int, j2 int")
-    got = {r.q: r for r in grid.grid_paths(ask, frame.withColumn("scene_id", F.lit(0).cast("long")), 1.0, with_path=True).collect()}
-    assert got[1].distance == pytest.approx(1 + 2 * math.sqrt(2)) and 3 not in got or got[3].path[0] == (0, 0)
-    assert all(abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 for a, b in zip(got[1].path, got[1].path[1:]))
-
-
-def test_all_pairs_are_consistent(spark):
+ROWS = ["..#...", ".##.#.", "#..##.", "...#.."]
+
+
+def floor_of(spark, scenes=(0, 5)):
+    cells = [(s, i, j, 0 if x == "." else 1) for s in scenes for i, line in enumerate(ROWS) for j, x in enumerate(line)]
+    return spark.createDataFrame(cells, "scene_id long, i int, j int, state int")
+
+
+@pytest.mark.parametrize("large", [10**6, 3])
+def test_components(spark, monkeypatch, large):
+    """In one task a scene, and by rounds (every scene counts as large)."""
+    monkeypatch.setattr(grid, "LARGE_CELLS", large)
+    for s in (0, 5):
+        label = {(r.i, r.j): r.label for r in grid.components(floor_of(spark)).filter(f"scene_id = {s}").collect()}
+        assert label[0, 0] == label[1, 0] == label[0, 1] == 0 and label[0, 3] == label[3, 5] == 1 and label[3, 0] == label[2, 1] == 2
+        assert len(label) == sum(r.count(".") for r in ROWS) and set(label.values()) == {0, 1, 2}
+
+
+def test_grid_paths_against_dijkstra(spark):
+    frame = floor_of(spark)
+    labelled = grid.components(frame)
+    label = {(r.i, r.j): r.label for r in labelled.filter("scene_id = 5").collect()}
+    every = sorted(label)
+    ask = spark.createDataFrame([(5, a * 100 + b, *every[a], *every[b]) for a in range(len(every)) for b in range(len(every))], "scene_id long, q long, i1 int, j1 int, i2 int, j2 int")
+    got = {r.q: r for r in grid.grid_paths(ask, labelled, 2.0, with_path=True).collect()}
+
+    def plain(source):
+        best, queue = {source: 0.0}, [(0.0, source)]
+        while queue:
+            d, at = heapq.heappop(queue)
+            for di in (-1, 0, 1):
+                for dj in (-1, 0, 1):
+                    to = (at[0] + di, at[1] + dj)
+                    if to in label and d + math.hypot(di, dj) < best.get(to, math.inf) - 1e-12:
+                        best[to] = d + math.hypot(di, dj)
+                        heapq.heappush(queue, (best[to], to))
+        return best
+
+    for a, source in enumerate(every):
+        best = plain(source)
+        for b, goal in enumerate(every):
+            if label[source] != label[goal]:
+                assert a * 100 + b not in got  # also where two floors touch at a corner: (1, 0) and (2, 1)
+                continue
+            r = got[a * 100 + b]
+            assert r.distance == pytest.approx(2 * best[goal])
+            path = [(p.i, p.j) for p in r.path]
+            assert path[0] == source and path[-1] == goal and all(p in label for p in path)
+            assert sum(math.dist(p, q) for p, q in zip(path, path[1:])) * 2 == pytest.approx(r.distance)
+            assert all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1 for p, q in zip(path, path[1:]))
+    assert label[1, 0] != label[2, 1]
+    near = {r.q for r in grid.grid_paths(ask, labelled, 2.0, most=4.0).collect()}
+    assert near == {q for q, r in got.items() if r.distance <= 4.0}
+    empty = grid.grid_paths(ask.filter("false"), labelled, 1.0)
+    assert empty.count() == 0
+
+
+def test_nearest_pairs(spark, monkeypatch):
+    labelled = grid.components(floor_of(spark))
+    ends = [(5, "both", 1, 0, 0, 0), (5, "both", 1, 1, 0, 1), (5, "both", 2, 0, 0, 5), (5, "both", 2, 1, 1, 0), (5, "both", 3, 0, 3, 0), (5, "both", 4, 0, 0, 2)]
+    frame = spark.createDataFrame(ends, "scene_id long, role string, id long, pt int, i int, j int")
+    for held in (10**6, 1):
+        monkeypatch.setattr(grid, "HELD_DISTANCES", held)
+        got = {(r.from_id, r.to_id): (r.pt_from, r.pt_to, r.length) for r in grid.nearest_pairs(frame, labelled, 1.0).collect()}
+        assert got == {(1, 1): (0, 0, 0.0), (2, 2): (0, 0, 0.0), (3, 3): (0, 0, 0.0), (1, 2): (0, 1, 1.0), (2, 1): (1, 0, 1.0)}
+
+
+@pytest.mark.parametrize("large", [10**6, 3])
+def test_all_pairs_are_consistent(spark, monkeypatch, large):
+    """By matrices, and by rounds of joins (every scene counts as large)."""
+    monkeypatch.setattr(graph, "LARGE_SCENE", large)
     rng = np.random.default_rng(3)
-    xy = rng.uniform(0, 5, (25, 2))
-    edges = [(7, i, j, float(math.dist(xy[i], xy[j]))) for i in range(25) for j in range(25) if i != j and math.dist(xy[i], xy[j]) < 1.5]
-    rows = graph.all_pairs(spark.createDataFrame(edges, "scene_id long, i long, j long, d double")).collect()
+    xy = rng.uniform(0, 5, (18, 2))
+    step = {(i, j): float(math.dist(xy[i], xy[j])) for i in range(18) for j in range(18) if i == j or math.dist(xy[i], xy[j]) < 1.5}
+    rows = graph.all_pairs(spark.createDataFrame([(7, i, j, d) for (i, j), d in step.items()], "scene_id long, i long, j long, d double")).collect()
     dist = {(r.i, r.j): r.dist for r in rows}
-    step = {(i, j): d for _, i, j, d in edges}
+    assert all((i, i) in dist for i in range(18)) and set(step) <= set(dist)
     for r in rows:
-        assert r.dist == pytest.approx(dist[r.j, r.i])
-        if r.i != r.j:
-            assert r.dist == pytest.approx(dist[r.i, r.pred] + step[r.pred, r.j])
-        assert all(r.dist <= dist[r.i, k] + dist[k, r.j] + 1e-9 for k in range(25) if (r.i, k) in dist and (k, r.j) in dist)
+        assert r.dist == pytest.approx(dist[r.j, r.i]) and r.path[0] == r.i and r.path[-1] == r.j
+        assert r.dist == pytest.approx(sum(step[e] for e in zip(r.path, r.path[1:])))
+        assert all(r.dist <= dist[r.i, k] + dist[k, r.j] + 1e-9 for k in range(18) if (r.i, k) in dist and (k, r.j) in dist)
+
+
+def test_walks(spark):
+    links = [(1, a, b) for a in range(6) for b in range(6) if abs(a - b) in (1, 2)]
+    rooms = [(1, k, None if k == 3 else f"room_{k // 2}") for k in range(7)]
+    frames = spark.createDataFrame(links, "scene_id long, i long, j long"), spark.createDataFrame(rooms, "scene_id long, idx long, room string")
+    got = folds.walks(*frames, 42).collect()
+    assert got == folds.walks(*frames, 42).collect() and 0 < len(got) <= 14
+    for r in got:
+        assert 3 <= len(r.path) <= 31 and all((1, a, b) in links for a, b in zip(r.path, r.path[1:]))
+        assert all(a != b for a, b in zip(r.path, r.path[2:]))  # never straight back
+
+
+def test_samplers_keep_their_rules(spark):
+    """Distance, place and number of what the seeded samplers without SQL return."""
+    sf = "/root/testdata/sf0.001"
+    queries = path_queries.QUERIES
+    far = lambda rows, key, least: all(math.dist((a.x, a.y), (b.x, b.y)) >= least - 1e-9 for k, a in enumerate(rows) for b in rows[:k] if key(a) == key(b))
+    for name in ("sample_poisson_grid", "sample_in_rect"):
+        rows = queries[name](spark, sf).collect()
+        assert rows and far(rows, lambda r: r.scene_id, 1.0)
+        assert rows == queries[name](spark, sf).collect()
+    assert all(-6 <= r.x <= 6 and -6 <= r.y <= 6 for r in rows)
+    free = {(r.scene_id, r.i, r.j) for r in path_queries.Q.grid(spark, sf).filter("state = 0").collect()}
+    assert all((r.scene_id, r.i, r.j) in free for r in rows)
+    placed = queries["place_waypoints"](spark, sf).collect()
+    kinds = {r.kind for r in placed}
+    assert kinds == {0, 1, 2} and far([r for r in placed if r.kind == 0], lambda r: r.scene_id, 1.5) and far(placed, lambda r: r.scene_id, 0.9)
+    drawn = queries["random_points"](spark, sf).collect()
+    assert {(r.room, r.draw) for r in drawn} == {(k, n) for k in {r.room for r in drawn} for n in range(100)}
+    chosen = queries["sample_paths"](spark, sf).collect()
+    assert len({r.path_id for r in chosen}) == len(chosen) <= 20 and chosen == queries["sample_paths"](spark, sf).collect()
+    ways = queries["sample_vln_paths_gr"](spark, sf).collect()
+    classes = {}
+    for r in ways:
+        assert r.scale == ("short" if r.n_rooms <= 1 else "medium" if r.n_rooms <= 3 else "long") and (not r.backwards or r.n_points >= 4)
+        if not r.backwards:
+            classes[r.scene_id, r.scale] = classes.get((r.scene_id, r.scale), 0) + 1
+    assert all(n <= {"short": 30, "medium": 40, "long": 20}[k] for (_, k), n in classes.items())
+    goals = scene_queries.QUERIES["object_nav_points"](spark, sf).collect()
+    around = [r for r in goals if r.goal_kind == "around"]
+    assert {r.goal_kind for r in goals} >= {"center", "around"} and far(around, lambda r: r.id, 0.2) and all(r.z == 0.02 and r.pt < 8 for r in around)
+
+
+def test_regions():
+    assert regions.deserialize({"type": "circle", "cx": 1, "cy": 2, "radius": 3}) == regions.Circle(1, 2, 3)
+    with pytest.raises(ValueError):
+        regions.deserialize({"type": "star"})
+    with pytest.raises(TypeError):
+        regions.GoalRegion()
+
+
+def test_region_columns(spark):
+    p = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.9, 0.2), (2, 3.0, 0.0)], "idx long, x double, y double")
+    for r, inside, distance in ((regions.Circle(0, 0, 1), {0, 1}, 2.0), (regions.Rect(-1, -1, 1, 1), {0, 1}, 2.0)):
+        assert {x.idx for x in r.members(p).collect()} == inside
+        rows = {x.idx: x for x in p.select("idx", r.distance_to(F.col("x"), F.col("y")).alias("d"), r.area().alias("a")).collect()}
+        assert rows[2].d == pytest.approx(distance) and rows[0].d == pytest.approx(-1.0) and rows[0].a == pytest.approx(math.pi if r.__class__ is regions.Circle else 4.0)
+
+
+def test_sensors(spark, tmp_path):
+    plan = spark.createDataFrame([(p, f, 0.5 * f) for p in range(4) for f in range(3)], "path_id long, frame long, x double")
+    config = sinks.CaptureConfig(rgb_mode=True, depth_mode=True, max_capture_paths=2)
+    for _ in range(2):  # overwrites
+        sinks.capture(plan, str(tmp_path), config)
+    rows = spark.read.json(str(tmp_path / "camera")).collect()
+    assert len(rows) == 2 * 3 * 2 and {r.file for r in rows if r.mode == "depth"} == {"depth_0.npy", "depth_1.npy", "depth_2.npy"}
+    assert sinks.chosen_paths(plan, sinks.CaptureConfig()).count() == 12 and sinks.Camera(sinks.CaptureConfig()).frames(plan).count() == 0
+
+
+def test_scan_of_files(spark, tmp_path):
+    (tmp_path / "one.json").write_text(DOCUMENT)
+    (tmp_path / "two.json").write_text('{"objs": {}}')
+    rows = scene.scan_states(scene.read_documents(spark, str(tmp_path))).collect()
+    assert [r.id for r in rows] == ["kitchen_0/0", "door_1", "table_1"] and rows[0].scene_id.endswith("one.json")
 
 
 def test_folds(spark):
@@ -95,8 +229,8 @@ def test_folds(spark):
     got = folds.darts(boxes, "room_id", 0.4, 8).collect()
     one, two = ([(r.x, r.y) for r in got if r.room_id == k] for k in (1, 2))
     assert one == two and one[0] == tuple(np.random.default_rng(42).uniform([0, 0], [2, 2]))
-    c = spark.createDataFrame([(0, 9.0 - k, [k, k + 1]) for k in range(9)], "scene_id long, score double, marks array<int>")
-    assert folds.novelty(c, ["scene_id"], 6, 0.9, free=2).count() == 5 and folds.novelty(c, ["scene_id"], 6, 0.5, free=2).count() == 6
+    c = spark.createDataFrame([(0, k, 9.0 - k, [k, k + 1], 6) for k in range(9)], "scene_id long, k int, score double, marks array<int>, target int")
+    assert folds.novelty(c, ["scene_id"], ["k"], 0.9, free=2).count() == 5 and folds.novelty(c, ["scene_id"], ["k"], 0.5, free=2).count() == 6
 
 
 def test_polylines(spark):

@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
     frame = QUERIES[name](spark, DIR)
     got = rows(frame.columns, [tuple(r) for r in frame.collect()])
     if name not in SQL:
-        assert got or name in ("room_nav_points",)
+        assert got
         return
     result = duck.execute(SQL[name])
     columns = [d[0] for d in result.description]
@@ -51,4 +51,4 @@ def test_query(spark, duck, name):
     pairs = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     for column, kind in frame.dtypes:
         assert pairs.get(kind) == kinds[column], (column, kind, kinds[column])
-    assert want, "the query should return rows on the smallest tables"
+    assert want or name == "room_nav_points", "the query should return rows on the smallest tables"

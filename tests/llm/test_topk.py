@@ -39,3 +39,21 @@ def test_against_all_pairs(spark, monkeypatch):
 def test_large_numbers(spark):
     rows = [(i, [float(2**23 + i), float(-(2**19) * i), 3.0]) for i in range(12)]
     compare(spark, rows)
+
+
+def test_repeated_ids(spark):
+    """A row that stands twice counts once; of different vectors of one id the least counts."""
+    rows = [(5, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [3.0, 1.0]), (6, [2.0, 9.0]), (7, [0.5, 0.5]), (10, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.exact_top_k(frame, F.col("vec_id") % 5 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    want = plain([(5, [1.0, 2.0]), (6, [2.0, 9.0]), (7, [0.5, 0.5]), (10, [1.0, 1.0])], 20, 5)
+    assert got == sorted((q, *r) for q, v in want.items() for r in v)
+
+
+def test_shards_hold_every_row_and_bound_it(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 1, (400, 8)), np.tile(rng.normal(0, 1, 8), (300, 1)), np.zeros((100, 8))])
+    top = topk.Top(x[::3], 16)
+    shard = top.shard_of(x)
+    assert set(shard.tolist()) <= set(range(len(top.centers))) and len(set(shard.tolist())) > 8
+    assert len(topk.Top(np.ones((50, 3)), 8).centers) == 1

@@ -1,8 +1,9 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network in numpy.
 
 1. Random indexing over all documents: each word has a sparse ternary index vector (from a hash of the word, in BUCKETS
-   buckets), and a word's vector is the sum of its neighbours' index vectors over the whole corpus. Tasks send one row
-   per bucket; the sums are BUCKETS rows whatever the corpus.
+   buckets: the table goes to every task, so its size must not follow the vocabulary), and a word's vector is the sum of
+   its neighbours' index vectors over the whole corpus. Tasks send one row per bucket; the sums are BUCKETS rows
+   whatever the corpus. Words of one bucket share a vector, which the frequent ones of them make.
 2. Every document is pooled: mean and spread of its words' vectors, and a few shares that order hides.
 3. A hidden layer and an output are fitted on a bounded sample of labelled rows (none held out), and a temperature on
    a part of it that the fit did not see.
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Cache, cut, id_and_text
+from ._common import Cache, cut, gives_back, id_and_text
 from .labelled import LABELLED_ROWS, held_out, training_labels
 
-BUCKETS, DIM, NEAR, ACTIVE = 8192, 32, 2, 4
+BUCKETS, DIM, NEAR, ACTIVE = 1 << 16, 32, 2, 4
 FEATURES = 2 * DIM + 8
 BATCH_WORDS = 400_000
 _ODD = re.compile(rb"[#*$%&|<>!?]")
@@ -35,8 +36,8 @@ def index_vectors() -> np.ndarray:
     """A sparse ternary vector for each bucket, and zeros for the gap between texts (the last row)."""
     rng = np.random.default_rng(11)
     out = np.zeros((BUCKETS + 1, DIM), np.float32)
-    for row in out[:-1]:
-        row[rng.choice(DIM, ACTIVE, replace=False)] = rng.choice([-1.0, 1.0], ACTIVE)
+    at = rng.random((BUCKETS, DIM)).argpartition(ACTIVE, axis=1)[:, :ACTIVE]
+    out[np.arange(BUCKETS)[:, None], at] = rng.choice(np.array([-1.0, 1.0], np.float32), (BUCKETS, ACTIVE))
     return out
 
 
@@ -53,6 +54,7 @@ def bucket_ids(words: list[bytes]) -> list[int]:
     return [known[w] if w in known else miss(w) for w in words]
 
 
+@gives_back
 def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of neighbours' index vectors by bucket, over a whole partition."""
     index = index_vectors()
@@ -115,6 +117,7 @@ def shares(text: str, words: list[bytes], ids: np.ndarray) -> list[float]:
 
 
 def _pooled(vectors: np.ndarray):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -197,6 +200,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROW
     x = _features(known.column("x").combine_chunks()) if known.num_rows else np.empty((0, FEATURES))
     network = Network(x, known.column("label").to_numpy().astype(np.float64))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = network.score(_features(batch.column("x"))) if batch.num_rows else np.empty(0)

@@ -17,12 +17,14 @@ WHITE_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 _NEAR_SPACE = re.compile(f"^ | $| [{WHITE_SPACE}]|[{WHITE_SPACE}] ")
 _SAFE_CUT = re.compile(f"(?<=[^{WHITE_SPACE}]) (?=[^{WHITE_SPACE}])")
 
-#: Entries that one generation of a worker's cache may hold.
-CACHE_ENTRIES = 500_000
+#: Entries that one generation of a worker's cache may hold, and the longest key that is kept: together they bound its bytes.
+CACHE_ENTRIES, LONGEST_KEY = 500_000, 64
 
 
 class Cache:
-    """A bounded cache in two generations: a full one ages, and what is asked for again moves back to the young one."""
+    """A bounded cache in two generations: a full one ages, and what is asked for again moves back to the young one.
+
+    What belongs to a key over LONGEST_KEY characters is made anew each time."""
 
     def __init__(self, make, entries: int = CACHE_ENTRIES):
         self.make, self.entries, self.young, self.old = make, entries, {}, {}
@@ -33,6 +35,8 @@ class Cache:
             self.old, self.young = self.young, {}
 
     def miss(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -88,12 +92,14 @@ def quoted(name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set (tests on one machine), one under /tmp."""
+    """The shared folder of the session. Only a session on one machine (as in tests) may have none set: it gets one under /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)

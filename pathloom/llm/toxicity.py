@@ -24,10 +24,11 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Cache, cut, gives_back, id_and_text, small_batches
+from ._common import Cache, cut, gives_back, id_and_text, small_batches, whole_rows
 from .labelled import LABELLED_ROWS, held_out, training_labels
 
 #: Word lists of the transducers (lower case).
@@ -256,7 +257,8 @@ def clean_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(model.lexicon)
         for batch in batches:
-            score, _ = model.scores(own, batch.column("text").to_pylist())
+            score, _ = model.scores(own, pc.struct_field(batch.column("row"), "text").to_pylist())
             yield batch.filter(pa.array(score < least))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    rows = small_batches(docs).select(whole_rows(docs).alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")

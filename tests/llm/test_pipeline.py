@@ -44,5 +44,45 @@ def test_stages_and_run(spark, tmp_path):
     import public_tokenizers as P
 
     own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    own.encode_special_tokens = True
     check_pieces(pieces, {i: [*own.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts["secrets"].items()})
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use inside.
+CLASHES = ("row", "rest", "kept", "packed", "ranges", "gram", "span", "blob", "spans", "own", "masked", "sig", "fp", "stays", "id", "hash", "own_id", "own_hash", "label", "key", "unit", "x", "score", "__text", "no_text", "a`b")
+
+
+def tables(spark, folder, rows, labels, more=()):
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(more))) for i, t in rows], COLUMNS + "".join(f", `{n.replace('`', '``')}` int" for n in more))
+    frame.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return frame
+
+
+def test_empty_documents_and_labels(spark, tmp_path):
+    tables(spark, str(tmp_path), [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_edges(spark, tmp_path):
+    """Null ids, null, empty and repeated rows, one id with two texts, and columns with clashing names, without any label."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(20_000))
+    rows = [(None, "one text without an id, long enough to stand for itself"), (1, None), (2, ""), (3, "plain words of a text"), (3, "plain words of a text"), (3, "another text under the same id, with words of its own"), (4, long), (None, None)]
+    folder = str(tmp_path)
+    frame = tables(spark, folder, rows, [], CLASHES)
+    at = spark.read.parquet(f"{folder}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, folder)
+        assert out.columns == frame.columns, name
+        out.write.parquet(f"{folder}/{name}")
+        at = spark.read.parquet(f"{folder}/{name}")
+        seen[name] = at.collect()
+        assert all(tuple(r)[5:] == tuple(range(len(CLASHES))) for r in seen[name])
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in seen["toxicity"]))) == sorted(map(repr, rows))
+    kept = {(r.doc_id, r.text) for r in seen["near_copies"]}
+    assert kept == {rows[0], rows[1], rows[3], rows[5], rows[6]} and len(seen["near_copies"]) == 5  # empty and null texts are one group, repeated rows stay once
+    assert {(r.doc_id, r.text) for r in seen["secrets"]} == kept
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 1) == 1 and len({r.doc_id for r in pieces}) == 4

@@ -126,3 +126,18 @@ def test_toxic_words_between_any_separators():
     assert toxicity.Grammar({long: 3.0}).clauses(long)[1] == [3.0] and not toxicity.Grammar({"x" * 40: 3.0}).clauses(long)[1]
     for text in ("", " ", "'", "...", "\n\n", "x" * 100_000):
         assert grammar.clauses(text)[1] == []
+
+
+def test_predictions_at_the_threshold(spark, monkeypatch, tmp_path):
+    """A score equal to the threshold is predicted 1, in both queries."""
+    from pyspark.sql import functions as F
+
+    from pathloom.llm import queries
+
+    rows = [(k, "some words") for k in range(4)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for module, query, least in ((quality_model, queries.op8_quality, 0.7), (toxicity, queries.op9_toxicity, 0.3)):
+        scores = F.when(F.col("doc_id") == 0, least).when(F.col("doc_id") == 1, float(np.nextafter(least, 0))).otherwise(1.0)
+        monkeypatch.setattr(module, "score_documents", lambda d, _, s=scores: d.select("doc_id", F.lit(False).alias("held_out"), s.alias("score"), F.lit(0).cast("long").alias("n_clauses")))
+        assert {r.doc_id: r.predicted for r in query(spark, str(tmp_path)).collect()} == {0: 1, 1: 0, 2: 1, 3: 1}

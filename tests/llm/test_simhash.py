@@ -178,3 +178,26 @@ def test_links_of_both_passes_join(spark):
     assert jaccard(x, y) >= 0.8 and jaccard(y, z) >= 0.8 > jaccard(x, z)
     for order in ((x, y, z), (y, z, x), (z, x, y)):
         assert kept_ids(spark, list(enumerate(order))) == {0}
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "other words stand here now"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "something else again it is"), (None, None), (8, "")]
+    got = [(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(docs(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    by_text = {}
+    for i, t in rows:
+        by_text.setdefault(t or "", []).append(i)
+    prints = {t: simhash.fingerprint(simhash.shingle_hashes(t, 4)) for t in by_text}
+    assert len(set(prints.values())) == len(prints)
+    signed = {t: p - 2**64 if p >= 2**63 else p for t, p in prints.items()}
+    for t, ids in by_text.items():
+        own = [(i, c) for i, fp, c in got if fp == signed[t]]
+        assert sorted(map(repr, (i for i, _ in own))) == sorted(map(repr, ids))
+        assert {c for _, c in own} == {min((i for i in ids if i is not None), default=None)}
+
+
+def test_signatures_that_meet_are_told_apart(spark):
+    rows = [(1, 10, 5, 100), (2, 20, 5, 200), (3, 30, 6, 300), (4, 40, 5, 100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text_hash long, sig long, check long")
+    got = {r.doc_id: r.sig for r in simhash.told_apart(frame).collect()}
+    assert got[1] == got[4] != got[2] and got[3] == 6 and len(set(got.values())) == 3

@@ -141,3 +141,80 @@ def test_predictions_at_the_threshold(spark, monkeypatch, tmp_path):
         scores = F.when(F.col("doc_id") == 0, least).when(F.col("doc_id") == 1, float(np.nextafter(least, 0))).otherwise(1.0)
         monkeypatch.setattr(module, "score_documents", lambda d, _, s=scores: d.select("doc_id", F.lit(False).alias("held_out"), s.alias("score"), F.lit(0).cast("long").alias("n_clauses")))
         assert {r.doc_id: r.predicted for r in query(spark, str(tmp_path)).collect()} == {0: 1, 1: 0, 2: 1, 3: 1}
+
+
+def plain_clauses(text, lexicon):
+    """The grammar word by word, without its table of states."""
+    found, words = [], 0
+    for clause in re.split(r"(?<=[.!?;:\n])", text):
+        negated, reported, aimed, threat, total = 0, False, False, False, 0.0
+        for raw in re.findall(r"[\w'’]+", clause):
+            words += 1
+            word = raw.strip("'’").lower()
+            weight = max([lexicon.get(b, 0.0) for b in [word, *(word[:n] + "*" for n in range(3, 7) if len(word) > n)]]) if word else 0.0
+            soften = (0.35 if negated else 1.0) * (0.6 if reported else 1.0)
+            negated = max(0, negated - 1)
+            if weight > 0:
+                total += soften * (1.25 if aimed else 1.0) * weight
+            elif word in toxicity.TARGETS:
+                total += soften * (toxicity.SEED_WEIGHT if threat else 0.0)
+                aimed, threat = True, False
+            elif word in toxicity.NEGATIONS:
+                negated = toxicity.REACH
+            elif word in toxicity.REPORTS:
+                reported = True
+            elif word in toxicity.THREATS:
+                total += soften * (0.25 * toxicity.SEED_WEIGHT if aimed else 0.0)
+                threat = True
+        if total > 0:
+            found.append(total)
+    return words, found
+
+
+def test_clauses_against_a_plain_grammar():
+    rng = random.Random(11)
+    lexicon = {w: toxicity.SEED_WEIGHT for w in toxicity.INSULTS} | {"zor*": 2.0, "kwa": 4.5}
+    words = ["idiot", "scum", "zorgle", "kwa", "you", "your", "kill", "beat", "not", "never", "said", "wrote", "house", "river", "a", "the", "isn't", "zo"]
+    grammar = toxicity.Grammar(lexicon)
+    for _ in range(400):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "\n", ", ", "! ", "; "]) for _ in range(rng.randrange(0, 30)))
+        n, found = grammar.clauses(text)
+        plain_n, plain = plain_clauses(text, lexicon)
+        assert n == plain_n and found == pytest.approx(plain), text
+
+
+def test_forest_paths_against_plain_descent():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (300, 6))
+    forest = quality_rules.Forest(x, trees=20, rows=64)
+    odd = np.concatenate([x[:40], rng.normal(0, 6, (20, 6))])
+    want = []
+    for row in odd:
+        total = 0.0
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if row[forest.feature[node]] <= forest.split[node] else forest.right[node]
+            total += forest.length[node]
+        want.append(total / 20)
+    assert forest.path(odd) == pytest.approx(want)
+    assert np.mean(want[40:]) < np.mean(want[:40])  # odd rows are isolated sooner
+
+
+def test_word_vectors_against_plain_sums(spark):
+    """Each bucket's sum of its neighbours' index vectors, word by word."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(0, 40)))) for k in range(30)]
+    index, sums, counts = quality_model.index_vectors(), {}, Counter()
+    assert all((np.abs(v).sum(), np.count_nonzero(v)) == (quality_model.ACTIVE, quality_model.ACTIVE) for v in index[:50]) and not index[-1].any()
+    for _, text in rows:
+        ids = [zlib.crc32(w) % quality_model.BUCKETS for w in text.encode().split()]
+        for at, own in enumerate(ids):
+            near = ids[max(0, at - quality_model.NEAR) : at] + ids[at + 1 : at + 1 + quality_model.NEAR]
+            sums[own] = sums.get(own, 0) + index[near].sum(axis=0)
+            counts[own] += 1
+    vectors = quality_model.word_vectors(docs(spark, rows))
+    used = sorted(counts)
+    table, total = np.array([sums[b] for b in used], float), np.array([counts[b] for b in used], float)
+    table = table / total[:, None] - table.sum(axis=0) / total.sum()
+    table /= np.sqrt((table**2).sum(axis=1))[:, None]
+    assert np.allclose(vectors[used], table, atol=1e-5) and not np.delete(vectors, used, axis=0).any()

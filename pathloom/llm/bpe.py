@@ -27,46 +27,17 @@ from ._common import Cache, WHITE_SPACE, gives_back, id_and_text, words_after_sp
 
 
 class RankQueue:
-    """Merge candidates by rank: three bitmap levels over buckets of list positions."""
+    """Merge candidates by rank: three bitmap levels over buckets of list positions; empty between two pieces.
 
-    __slots__ = ("buckets", "low", "mid", "top")
+    merge() works on its parts directly, as a call for each push and pop would cost more than the work itself."""
+
+    __slots__ = ("buckets", "low", "mid")
 
     def __init__(self, ranks: int):
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> 6
-            self.low[word] |= 1 << (rank & 63)
-            self.mid[word >> 6] |= 1 << (word & 63)
-            self.top |= 1 << (word >> 6)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the smallest rank; the queue must not be empty."""
-        top = self.top
-        a = (top & -top).bit_length() - 1
-        bits = self.mid[a]
-        word = (a << 6) | ((bits & -bits).bit_length() - 1)
-        bits = self.low[word]
-        rank = (word << 6) | ((bits & -bits).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top = top & (top - 1)
-        return rank, position
-
 
 class Codec:
     """Encoder and decoder for one vocabulary."""
@@ -87,15 +58,39 @@ class Codec:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n, get = len(piece), ranks.get
+        buckets, low, mid, top = self.queue.buckets, self.queue.low, self.queue.mid, 0
         after, before, current = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = get(piece[i : i + 2])
             if rank is not None:
                 current[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions grow here, so the heap stays one
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 6
+                    low[word] |= 1 << (rank & 63)
+                    mid[word >> 6] |= 1 << (word & 63)
+                    top |= 1 << (word >> 6)
+        while top:
+            # find first set on each level: the least rank, and its leftmost position
+            a = (top & -top).bit_length() - 1
+            bits = mid[a]
+            word = (a << 6) | ((bits & -bits).bit_length() - 1)
+            bits = low[word]
+            rank = (word << 6) | ((bits & -bits).bit_length() - 1)
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[word] = bits = bits & (bits - 1)
+                if not bits:
+                    mid[a] &= mid[a] - 1
+                    if not mid[a]:
+                        top &= top - 1
             if current[i] != rank:
                 continue  # stale: the pair that began here has changed
             j = after[i]
@@ -104,16 +99,32 @@ class Codec:
             current[j] = current[i] = -1
             if k < n:
                 before[k] = i
-                found = ranks.get(piece[i : after[k]])
+                found = get(piece[i : after[k]])
                 if found is not None:
                     current[i] = found
-                    queue.push(found, i)
+                    if found in buckets:
+                        heappush(buckets[found], i)
+                    else:
+                        buckets[found] = [i]
+                        word = found >> 6
+                        low[word] |= 1 << (found & 63)
+                        mid[word >> 6] |= 1 << (word & 63)
+                        top |= 1 << (word >> 6)
             p = before[i]
             if p >= 0:
-                found = ranks.get(piece[p:k])
-                current[p] = -1 if found is None else found
-                if found is not None:
-                    queue.push(found, p)
+                found = get(piece[p:k])
+                if found is None:
+                    current[p] = -1
+                else:
+                    current[p] = found
+                    if found in buckets:
+                        heappush(buckets[found], p)
+                    else:
+                        buckets[found] = [p]
+                        word = found >> 6
+                        low[word] |= 1 << (found & 63)
+                        mid[word >> 6] |= 1 << (word & 63)
+                        top |= 1 << (word >> 6)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])

@@ -346,7 +346,7 @@ def nav_points(spark, sf_dir):
 WALL = "w AS (SELECT k, 5e-2 AS h1, 2e-1+1e-2*(k%20) AS h2, CASE WHEN k%3=0 THEN 3e0 ELSE 3e-1 END AS h3, -8e0+((k*37)%160)*1e-1 AS cx, -8e0+((k*61)%160)*1e-1 AS cy, 15e-1 AS cz, CASE WHEN k%2=0 THEN 1e0 ELSE -1e0 END AS turn FROM v_states WHERE kind='object' AND k%6=1), n AS (SELECT *, CASE WHEN h2>=h3 OR h3>1e0 THEN h2 ELSE h3 END AS half, CASE WHEN cx*turn > 0 THEN -1e0 ELSE 1e0 END AS sign FROM w)"
 
 
-@query("SELECT k AS id, CAST(pt AS INTEGER) AS pt, round(cx+1e-1*sign*turn, 6) AS x, round(cy+CASE WHEN pt=0 OR NOT (h3>1e0 OR h2>=h3) THEN 0e0 ELSE -half+(pt-1)*1e-1 END, 6) AS y, round(cz+CASE WHEN pt=0 OR (h3>1e0 OR h2>=h3) THEN 0e0 ELSE (-half+(pt-1)*1e-1)*5e-1 END, 6) AS z FROM n, LATERAL (SELECT unnest(generate_series(0, CAST(ceil(2e0*half/1e-1) AS BIGINT))) AS pt)", WALL)
+@query("SELECT k AS id, CAST(pt AS INTEGER) AS pt, round(cx+1e-1*sign*turn, 6)+0e0 AS x, round(cy+CASE WHEN pt=0 OR NOT (h3>1e0 OR h2>=h3) THEN 0e0 ELSE -half+(pt-1)*1e-1 END, 6)+0e0 AS y, round(cz+CASE WHEN pt=0 OR (h3>1e0 OR h2>=h3) THEN 0e0 ELSE (-half+(pt-1)*1e-1)*5e-1 END, 6)+0e0 AS z FROM n, LATERAL (SELECT unnest(generate_series(0, CAST(ceil(2e0*half/1e-1) AS BIGINT))) AS pt)", WALL)
 def wall_decoration_points(spark, sf_dir):
     s = view(spark, sf_dir, "v_states").filter("kind = 'object' and k % 6 = 1")
     k = F.col("k")
@@ -358,7 +358,7 @@ def wall_decoration_points(spark, sf_dir):
         k.alias("id"), (F.lit(-8.0) + ((k * 37) % 160) * 0.1).alias("cx"), (F.lit(-8.0) + ((k * 61) % 160) * 0.1).alias("cy"), F.lit(1.5).alias("cz"), F.array(F.lit(0.05), 0.2 + 0.01 * (k % 20), upright).alias("h"),
         F.array(axis(turn, 0.0, F.lit(0.0)), axis(F.lit(0.0), 1.0, F.lit(0.0)), axis(F.lit(0.0), 0.0, third)).alias("axes"), *(F.lit(0.0).alias(c) for c in ("rx", "ry", "rz")),
     )
-    return S.wall_points(o).select("id", "pt", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return S.wall_points(o).select("id", "pt", *((F.round(c, 6) + 0.0).alias(c) for c in "xyz"))
 
 
 @query("SELECT prim_path, greatest((x1-x0)/2e0, (y1-y0)/2e0) AS half FROM v_prims")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
+from . import bpe, filter_audit, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
 from ._common import ensure_checkpoint_dir, table
 
 
@@ -57,13 +57,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts_and_recounts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    own = (op1_packing, op2_secrets, op3_quality_rules, op4_topk, op5_suffix_dedup, op6_simhash, op7_bpe, op8_quality, op9_toxicity, op10_token_counts)
+    own = (op1_packing, op2_secrets, op3_quality_rules, op4_topk, op5_suffix_dedup, op6_simhash, op7_bpe, op8_quality, op9_toxicity, op10_token_counts, op12_filter_audit)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL}
+    return {"op4_topk": OP4_SQL, "op12_filter_audit": filter_audit.SQL}
 
 
 #: DuckDB SQL for the rows of op4_topk.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
+from . import bpe, filter_audit, importance, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
 from ._common import ensure_checkpoint_dir, table
 
 
@@ -61,13 +61,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    own = (op1_packing, op2_secrets, op3_quality_rules, op4_topk, op5_suffix_dedup, op6_simhash, op7_bpe, op8_quality, op9_toxicity, op10_token_counts, op12_filter_audit)
+    own = (op1_packing, op2_secrets, op3_quality_rules, op4_topk, op5_suffix_dedup, op6_simhash, op7_bpe, op8_quality, op9_toxicity, op10_token_counts, op12_filter_audit, op13_importance)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op12_filter_audit": filter_audit.SQL}
+    return {"op4_topk": OP4_SQL, "op12_filter_audit": filter_audit.SQL, "op13_importance": importance.SQL}
 
 
 #: DuckDB SQL for the rows of op4_topk.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, importance, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
+from . import boundary_bpe, bpe, filter_audit, importance, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_counts, topk, toxicity
 from ._common import ensure_checkpoint_dir, table
 
 
@@ -57,6 +57,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts_and_recounts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundary_bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,7 +70,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_packing, op2_secrets, op3_quality_rules, op4_topk, op5_suffix_dedup, op6_simhash, op7_bpe, op8_quality, op9_toxicity, op10_token_counts, op12_filter_audit, op13_importance)
+    own = (op1_packing, op2_secrets, op3_quality_rules, op4_topk, op5_suffix_dedup, op6_simhash, op7_bpe, op8_quality, op9_toxicity, op10_token_counts, op11_boundary_bpe, op12_filter_audit, op13_importance)
     return {f.__name__: f for f in own}
 
 

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.scene import cut
 from pathloom.operators.spatial import distance_join
 
-#: Waypoints of a scene whose matrices (16 bytes a pair) one task may hold; larger scenes go by rounds of joins.
-LARGE_SCENE = 4000
-
 
 def edges(points: DataFrame, distance: float, axes: tuple[str, ...] = ("x", "y"), keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs i < j at most `distance` apart and equal in keys (keys, i, j, d), by cells."""
@@ -27,60 +23,83 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(*rest, turned.alias("e")).select(*(F.col(f"e.{n}") if n in ("i", "j") else F.col(n) for n in pairs.columns))
 
 
-PAIRS = "scene_id long, i long, j long, dist double, path array<long>"
-
-
-def all_pairs(graph: DataFrame) -> DataFrame:
-    """dist and path (vertices from i to j) of every ordered pair of a scene that is connected; i = j has the path (i).
-
-    graph: scene_id, i, j, d in both directions, and a row (i, i, 0) for each waypoint."""
-    sizes = graph.filter("i = j").groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > LARGE_SCENE).select("scene_id")
-    if large.isEmpty():
-        return _matrices(graph)
-    large = cut(large)
-    return _matrices(graph.join(large, "scene_id", "left_anti")).unionByName(_rounds(graph.join(large, "scene_id", "left_semi")))
-
-
-def _matrices(graph: DataFrame) -> DataFrame:
-    """Floyd-Warshall with strict improvement: a scene's matrices lie in one task, scenes run side by side."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.r_[rows["i"], rows["j"]])
-        n = len(names)
-        a, b = np.searchsorted(names, rows["i"]), np.searchsorted(names, rows["j"])
-        dist, pred = np.full((n, n), np.inf), np.full((n, n), -1)
-        dist[a, b] = rows["d"]
-        pred[a, b] = a
-        np.fill_diagonal(dist, 0.0)
-        for k in range(n):
-            through = dist[:, k, None] + dist[None, k, :]
-            better = through < dist
-            dist = np.where(better, through, dist)
-            pred = np.where(better, pred[k], pred)
-        i, j = np.nonzero(np.isfinite(dist))
-        paths = []
-        for start, at in zip(i.tolist(), j.tolist()):
-            path = [at]
-            while path[-1] != start:
-                path.append(int(pred[start, path[-1]]))
-            paths.append(names[path[::-1]].tolist())
-        return pd.DataFrame({"scene_id": rows["scene_id"].iloc[0], "i": names[i], "j": names[j], "dist": dist[i, j], "path": paths})
-
-    return graph.groupBy("scene_id").applyInPandas(run, PAIRS)
-
-
-def _rounds(graph: DataFrame) -> DataFrame:
-    """The same by joins: each round lengthens what the round before improved by one edge; each is a reliable checkpoint."""
-    steps = cut(graph.filter("i <> j").select("scene_id", F.col("i").alias("j"), F.col("j").alias("next"), "d"))
-    known = cut(graph.filter("i = j").select("scene_id", "i", "j", F.lit(0.0).alias("dist"), F.array("i").alias("path")))
-    fresh = known
-    while not fresh.isEmpty():
-        longer = fresh.join(steps, ["scene_id", "j"]).select("scene_id", "i", F.col("next").alias("j"), (F.col("dist") + F.col("d")).alias("dist"), F.concat("path", F.array("next")).alias("path"))
-        best = longer.groupBy("scene_id", "i", "j").agg(F.min(F.struct("dist", "path")).alias("m")).select("scene_id", "i", "j", F.col("m.dist").alias("new"), F.col("m.path").alias("new_path"))
-        fresh = cut(best.join(known, ["scene_id", "i", "j"], "left").filter("dist is null or new < dist").select("scene_id", "i", "j", F.col("new").alias("dist"), F.col("new_path").alias("path")))
-        known = cut(known.join(fresh.select("scene_id", "i", "j"), ["scene_id", "i", "j"], "left_anti").unionByName(fresh))
-    return known
+#: A length is a whole number of these units (a metre has 2^30), one at least: sums are exact, so equal ways are equal in any order.
+UNITS = 1 << 30
+FAR = np.int64(1) << 62
+#: Pairs of waypoints that a task answers, and sums (sources times edges) that it holds at once.
+HELD_PAIRS, HELD_SUMS = 1_000_000, 1_000_000
+
+
+def all_pairs(points: DataFrame, web: DataFrame, paths: bool = True, held_pairs: int = HELD_PAIRS) -> DataFrame:
+    """Shortest paths between all waypoints of a scene that are connected: scene_id, i, j, dist, pred (null where i = j) and path (vertices from i to j).
+
+    points: scene_id, idx; web: scene_id, i, j, d in both directions. Of equal ways that over the least last vertices is taken: pred is the least
+    vertex before j on any shortest path. A task holds the edges of one scene and a block of its sources, of held_pairs pairs, so
+    results do not depend on how a scene is cut; no path is carried while distances are searched."""
+    size = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")).select("scene_id", F.least("n", F.ceil(F.col("n") * F.col("n") / held_pairs)).alias("blocks"))
+    sources = points.select("scene_id", "idx").join(size, "scene_id").select("scene_id", F.pmod(F.xxhash64("idx"), "blocks").alias("block"), "idx")
+    units = F.greatest(F.lit(1).cast("long"), F.round(F.col("d") * UNITS).cast("long")).alias("w")
+    edges = web.filter("i <> j").join(size, "scene_id").select(F.col("scene_id").alias("e_scene"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("e_block"), "i", "j", units)
+    fields = [("scene_id", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("dist", pa.float64()), ("pred", pa.int64())] + [("path", pa.list_(pa.int64()))] * paths
+
+    def run(own: pa.Table, near: pa.Table) -> pa.Table:
+        schema, parts = pa.schema(fields), []
+        if own.num_rows:
+            scene, ids = own["scene_id"][0].as_py(), np.unique(own["idx"].to_numpy())
+            graph = Edges(ids, *(near[c].to_numpy() for c in "ijw"))
+            for at in range(0, len(ids), graph.step):
+                a, b, dist, pred, steps = graph.ways(ids[at : at + graph.step], paths)
+                columns = [pa.array(np.full(len(a), scene)), pa.array(a), pa.array(b), pa.array(dist / UNITS), pa.array(pred, mask=a == b)]
+                parts.append(pa.Table.from_arrays(columns + ([steps] if paths else []), schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    kinds = "scene_id long, i long, j long, dist double, pred long" + ", path array<long>" * paths
+    return sources.groupBy("scene_id", "block").cogroup(edges.groupBy("e_scene", "e_block")).applyInArrow(run, kinds)
+
+
+class Edges:
+    """The edges of one scene, sorted by where they lead."""
+
+    def __init__(self, ids: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray):
+        self.names = np.unique(np.r_[ids, i, j])
+        a, b = np.searchsorted(self.names, i), np.searchsorted(self.names, j)
+        order = np.argsort(b, kind="stable")
+        self.a, self.b, self.w = a[order], b[order], w[order].astype(np.int64)
+        self.ends, self.starts = np.unique(self.b, return_index=True)
+        self.step = max(1, HELD_SUMS // max(len(self.w), len(self.names)))  # sources searched at once
+
+    def distances(self, sources: np.ndarray) -> np.ndarray:
+        """Units from each source to each vertex: all sources are relaxed together, those that change no more are left alone."""
+        dist = np.full((len(sources), len(self.names)), FAR)
+        dist[np.arange(len(sources)), sources] = 0
+        open_, ends = np.arange(len(sources)) if len(self.w) else np.empty(0, int), self.ends[None, :]
+        while len(open_):
+            before = dist[open_[:, None], ends]
+            after = np.minimum(before, np.minimum.reduceat(dist[open_][:, self.a] + self.w, self.starts, axis=1))
+            dist[open_[:, None], ends] = after
+            open_ = open_[(after < before).any(axis=1)]
+        return dist
+
+    def ways(self, ids: np.ndarray, paths: bool) -> tuple:
+        """Source, target, units, the vertex before the target, and the path (or None) of each connected pair."""
+        sources = np.searchsorted(self.names, ids)
+        dist = self.distances(sources)
+        pred = np.full(dist.shape, -1)
+        if len(self.w):
+            last = np.where((dist[:, self.a] + self.w == dist[:, self.b]) & (dist[:, self.b] < FAR), self.a, len(self.names))
+            least = np.minimum.reduceat(last, self.starts, axis=1)
+            pred[:, self.ends] = np.where(least < len(self.names), least, -1)
+        s, t = np.nonzero(dist < FAR)
+        steps = None
+        if paths:
+            back, at = [], t
+            while (at >= 0).any():
+                back.append(at)
+                at = np.where(at >= 0, pred[s, at], -1)  # a source has none before it
+            ways = np.stack(back[::-1], axis=1) if back else np.empty((0, 0), int)
+            held = ways >= 0
+            steps = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held.sum(axis=1))], pa.int32()), pa.array(self.names[ways[held]]))
+        return ids[s], self.names[t], dist[s, t], self.names[pred[s, t]], steps
 
 
 def measured(paths: DataFrame, waypoints: DataFrame, key: tuple[str, ...]) -> DataFrame:

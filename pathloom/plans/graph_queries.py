@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.operators import folds as FO
 from pathloom.operators import graph as GR
 from pathloom.operators import grid as GD
+from pathloom.operators.scene import cut
 from pathloom.operators.spatial import distance_join
 from pathloom.plans import grid_queries as Q
 from pathloom.plans.duck import sql
@@ -31,9 +32,9 @@ c = F.col
 REACH = 3.0
 PAIR = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
 EDGES = Q.GRID + ", " + Q.PC + f""", pairs AS (SELECT a.scene_id AS s, a.idx AS i, b.idx AS j, {PAIR} AS d FROM v_waypoints a JOIN v_waypoints b ON a.scene_id=b.scene_id AND a.idx<b.idx AND {PAIR} <= 3e0),
-q AS (SELECT p.s, p.i*40+p.j%40 AS id, a.i AS i1, a.j AS j1, b.i AS i2, b.j AS j2 FROM pairs p JOIN pc a ON a.idx=p.i JOIN pc b ON b.idx=p.j), {Q.walk_sql()},
+q AS (SELECT p.s, [p.i, p.j] AS id, a.i AS i1, a.j AS j1, b.i AS i2, b.j AS j2 FROM pairs p JOIN pc a ON a.idx=p.i JOIN pc b ON b.idx=p.j), {Q.walk_sql()},
 clear AS (SELECT w.id FROM walk w LEFT JOIN grid g ON g.s=w.s AND g.i=w.i AND g.j=w.j GROUP BY w.id HAVING bool_and(coalesce(g.state=0, false))),
-half AS (SELECT p.s, p.i, p.j, p.d FROM pairs p JOIN clear k ON k.id=p.i*40+p.j%40), e AS (SELECT s, i, j, d FROM half UNION ALL SELECT s, j, i, d FROM half)"""
+half AS (SELECT p.s, p.i, p.j, p.d FROM pairs p JOIN clear k ON k.id=[p.i, p.j]), e AS (SELECT s, i, j, d FROM half UNION ALL SELECT s, j, i, d FROM half)"""
 
 
 def waypoints(spark, sf_dir):
@@ -74,23 +75,33 @@ def edge_count(spark, sf_dir):
     return seen_edges(spark, sf_dir).groupBy("scene_id").agg((2 * F.count(F.lit(1))).alias("n_edges"))
 
 
-SP = EDGES + """, sp(s, src, v, d, path) USING KEY (s, src, v) AS (SELECT scene_id, idx, idx, 0e0, [idx] FROM v_waypoints
-UNION SELECT n.s, n.src, n.v, n.d, n.path FROM (SELECT w.s, w.src, e.j AS v, min(w.d+e.d) AS d, arg_min(list_append(w.path, e.j), w.d+e.d) AS path FROM sp w JOIN e ON e.s=w.s AND e.i=w.v GROUP BY w.s, w.src, e.j) n
-LEFT JOIN recurring.sp o ON o.s=n.s AND o.src=n.src AND o.v=n.v WHERE o.d IS NULL OR n.d < o.d - 1e-9)"""
+#: Lengths in whole units; the least vertex before v on any shortest way from src; and the ways, each vertex put behind the one before it.
+SP = EDGES + f""", eu AS MATERIALIZED (SELECT s, i, j, greatest(1, CAST(round(d*{GR.UNITS}) AS BIGINT)) AS w FROM e),
+reached(s, src, v, u) USING KEY (s, src, v) AS (SELECT scene_id, idx, idx, CAST(0 AS BIGINT) FROM v_waypoints
+UNION SELECT n.s, n.src, n.v, n.u FROM (SELECT w.s, w.src, k.j AS v, CAST(min(w.u+k.w) AS BIGINT) AS u FROM reached w JOIN eu k ON k.s=w.s AND k.i=w.v GROUP BY ALL) n
+LEFT JOIN recurring.reached o ON o.s=n.s AND o.src=n.src AND o.v=n.v WHERE o.u IS NULL OR n.u < o.u),
+before AS MATERIALIZED (SELECT x.s, x.src, x.v, x.u, min(k.i) AS p FROM reached x JOIN eu k ON k.s=x.s AND k.j=x.v JOIN reached y ON y.s=x.s AND y.src=x.src AND y.v=k.i AND y.u+k.w=x.u GROUP BY ALL),
+sp(s, src, v, d, path) AS (SELECT scene_id, idx, idx, 0e0, [idx] FROM v_waypoints
+UNION ALL SELECT n.s, n.src, n.v, n.u/{GR.UNITS}e0, list_append(w.path, n.v) FROM sp w JOIN before n ON n.s=w.s AND n.src=w.src AND n.p=w.v)"""
 #: Rooms and objects of paths (a table with s, path and more).
 def _measured_sql(table: str, key: str) -> str:
     return f"(SELECT {key}, CAST(count(DISTINCT p.room) AS BIGINT) AS n_rooms, CAST(count(*) FILTER (WHERE p.type LIKE 'object:%') AS BIGINT) AS n_objects FROM (SELECT {key}, unnest(path) AS idx FROM {table}) u JOIN v_waypoints p ON p.idx=u.idx GROUP BY {key})"
 
 
-def apsp_table(spark, sf_dir):
-    """scene_id, i, j, dist, path."""
-    own = waypoints(spark, sf_dir).select("scene_id", c("idx").alias("i"), c("idx").alias("j"), F.lit(0.0).alias("d"))
-    return GR.all_pairs(web(spark, sf_dir).unionByName(own))
+def apsp_table(spark, sf_dir, paths=True):
+    """scene_id, i, j, dist, pred (and path)."""
+    return GR.all_pairs(waypoints(spark, sf_dir).select("scene_id", "idx"), web(spark, sf_dir), paths)
 
 
 @query("SELECT src AS i, v AS j, round(d, 6) AS dist FROM sp", SP)
 def apsp(spark, sf_dir):
-    return apsp_table(spark, sf_dir).select("i", "j", F.round("dist", 6).alias("dist"))
+    return apsp_table(spark, sf_dir, paths=False).select("i", "j", F.round("dist", 6).alias("dist"))
+
+
+@query("SELECT src AS i, v AS j, p AS pred FROM before UNION ALL SELECT idx, idx, NULL FROM v_waypoints", SP)
+def apsp_predecessors(spark, sf_dir):
+    """The least waypoint before j on any shortest path from i, null where i = j."""
+    return apsp_table(spark, sf_dir, paths=False).select("i", "j", "pred")
 
 
 @query("SELECT src AS i, v AS j, array_to_string(path, ',') AS path FROM sp", SP)
@@ -113,10 +124,10 @@ INSIDE = ", inside AS (SELECT p.scene_id AS s, p.idx, r.region_id FROM v_waypoin
 NEAREST = SP + INSIDE + ", best AS (SELECT * FROM (SELECT x.s, x.src, n.region_id, x.v, x.d, x.path, row_number() OVER (PARTITION BY x.src, n.region_id ORDER BY round(x.d, 6), x.v) AS k FROM sp x JOIN inside n ON n.s=x.s AND n.idx=x.v) WHERE k=1)"
 
 
-def to_regions(spark, sf_dir):
+def to_regions(spark, sf_dir, pairs=None):
     """scene_id, idx, region_id, goal, dist, path: from each waypoint to the nearest one in each region of its scene."""
     inside = in_regions(spark, sf_dir).select("scene_id", c("idx").alias("j"), "region_id")
-    near = apsp_table(spark, sf_dir).join(inside, ["scene_id", "j"])
+    near = (apsp_table(spark, sf_dir) if pairs is None else pairs).join(inside, ["scene_id", "j"])
     best = near.groupBy("scene_id", c("i").alias("idx"), "region_id").agg(F.min(F.struct(F.round("dist", 6).alias("dist"), c("j").alias("goal"), "path")).alias("m"))
     return best.select("scene_id", "idx", "region_id", "m.goal", "m.dist", "m.path")
 
@@ -150,8 +161,8 @@ def random_walks(spark, sf_dir):
     return walked(spark, sf_dir).select("scene_id", "walk", F.array_join(c("path").cast("array<string>"), ",").alias("path"))
 
 
-def walked(spark, sf_dir):
-    return FO.walks(web(spark, sf_dir).select("scene_id", "i", "j"), waypoints(spark, sf_dir), 42)
+def walked(spark, sf_dir, near=None):
+    return FO.walks((web(spark, sf_dir) if near is None else near).select("scene_id", "i", "j"), waypoints(spark, sf_dir), 42)
 
 
 STEPS = ", steps AS (SELECT s, walk, path[k] AS a, path[k+1] AS b FROM (SELECT s, walk, path, unnest(range(1, len(path))) AS k FROM walked) u), lengths AS (SELECT t.s, t.walk, round(sum(coalesce(x.d, 0e0)), 5) AS distance FROM steps t LEFT JOIN sp x ON x.s=t.s AND x.src=t.a AND x.v=t.b GROUP BY t.s, t.walk)"
@@ -182,12 +193,13 @@ ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.s, c.scale ORDER BY c.s
 
 def candidates(spark, sf_dir):
     """scene_id, source, a, b, distance, path, n_rooms, n_objects, score, scale of all candidates of the three sources."""
-    pairs, points = apsp_table(spark, sf_dir), waypoints(spark, sf_dir)
+    points, near = cut(waypoints(spark, sf_dir)), cut(web(spark, sf_dir))  # read several times below, as are the pairs and the walks
+    pairs = cut(GR.all_pairs(points.select("scene_id", "idx"), near))
     one = pairs.filter("i < j and dist >= 1 and size(path) >= 3").select("scene_id", F.lit(0).alias("source"), c("i").alias("a"), c("j").alias("b"), F.round("dist", 6).alias("distance"), "path")
-    walks = walked(spark, sf_dir)
+    walks = cut(walked(spark, sf_dir, near))
     two = walks.join(_walk_lengths(walks, pairs), ["scene_id", "walk"]).select("scene_id", F.lit(1).alias("source"), c("walk").alias("a"), F.lit(0).cast("long").alias("b"), "distance", "path")
     inside = in_regions(spark, sf_dir).select("scene_id", "idx", "region_id")
-    three = to_regions(spark, sf_dir).filter("size(path) >= 3").join(inside, ["scene_id", "idx", "region_id"], "left_anti")
+    three = to_regions(spark, sf_dir, pairs).filter("size(path) >= 3").join(inside, ["scene_id", "idx", "region_id"], "left_anti")
     three = three.select("scene_id", F.lit(2).alias("source"), c("region_id").alias("a"), c("idx").alias("b"), c("dist").alias("distance"), "path")
     t = GR.measured(one.unionByName(two).unionByName(three), points, ("source", "a", "b")).withColumn("n_rooms", F.size("rooms").cast("long"))
     plain = GR.graph_score(F.size("path"), c("n_rooms"), c("n_objects"), c("distance")) + F.when(c("source") == 2, 5.0).otherwise(0.0)
@@ -258,8 +270,10 @@ def diverse_select(spark, sf_dir):
 @query(f"SELECT {SHOWN}, false AS backwards FROM chosen UNION ALL SELECT {SHOWN.replace('path,', 'list_reverse(path),', 1)}, true FROM chosen WHERE len(path) >= 4", CHOSEN)
 def sample_vln_paths(spark, sf_dir):
     """Candidates of all sources, classes, novel choice, and the way back of paths of four waypoints or more."""
-    t = chosen(spark, sf_dir).drop("marks", "target").withColumn("backwards", F.lit(False))
-    return _joined(t.unionByName(t.filter(F.size("path") >= 4).withColumn("path", F.reverse("path")).withColumn("backwards", F.lit(True))))
+    t = chosen(spark, sf_dir).drop("marks", "target")
+    ways = F.filter(F.array(F.lit(False), F.lit(True)), lambda backwards: ~backwards | (F.size("path") >= 4))
+    t = t.withColumn("backwards", F.explode(ways))  # both ways from one row: the choice is made once
+    return _joined(t.withColumn("path", F.when(c("backwards"), F.reverse("path")).otherwise(c("path"))))
 
 
 def sample_semantic_waypoints(spark, sf_dir):

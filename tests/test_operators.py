@@ -67,79 +67,44 @@ def floor_of(spark, scenes=(0, 5)):
     return spark.createDataFrame(cells, "scene_id long, i int, j int, state int")
 
 
-@pytest.mark.parametrize("large", [10**6, 3])
-def test_components(spark, monkeypatch, large):
-    """In one task a scene, and by rounds (every scene counts as large)."""
-    monkeypatch.setattr(grid, "LARGE_CELLS", large)
-    for s in (0, 5):
-        label = {(r.i, r.j): r.label for r in grid.components(floor_of(spark)).filter(f"scene_id = {s}").collect()}
-        assert label[0, 0] == label[1, 0] == label[0, 1] == 0 and label[0, 3] == label[3, 5] == 1 and label[3, 0] == label[2, 1] == 2
-        assert len(label) == sum(r.count(".") for r in ROWS) and set(label.values()) == {0, 1, 2}
-
-
-def test_grid_paths_against_dijkstra(spark):
-    frame = floor_of(spark)
-    labelled = grid.components(frame)
-    label = {(r.i, r.j): r.label for r in labelled.filter("scene_id = 5").collect()}
-    every = sorted(label)
-    ask = spark.createDataFrame([(5, a * 100 + b, *every[a], *every[b]) for a in range(len(every)) for b in range(len(every))], "scene_id long, q long, i1 int, j1 int, i2 int, j2 int")
-    got = {r.q: r for r in grid.grid_paths(ask, labelled, 2.0, with_path=True).collect()}
-
-    def plain(source):
-        best, queue = {source: 0.0}, [(0.0, source)]
-        while queue:
-            d, at = heapq.heappop(queue)
-            for di in (-1, 0, 1):
-                for dj in (-1, 0, 1):
-                    to = (at[0] + di, at[1] + dj)
-                    if to in label and d + math.hypot(di, dj) < best.get(to, math.inf) - 1e-12:
-                        best[to] = d + math.hypot(di, dj)
-                        heapq.heappush(queue, (best[to], to))
-        return best
-
-    for a, source in enumerate(every):
-        best = plain(source)
-        for b, goal in enumerate(every):
-            if label[source] != label[goal]:
-                assert a * 100 + b not in got  # also where two floors touch at a corner: (1, 0) and (2, 1)
-                continue
-            r = got[a * 100 + b]
-            assert r.distance == pytest.approx(2 * best[goal])
-            path = [(p.i, p.j) for p in r.path]
-            assert path[0] == source and path[-1] == goal and all(p in label for p in path)
-            assert sum(math.dist(p, q) for p, q in zip(path, path[1:])) * 2 == pytest.approx(r.distance)
-            assert all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1 for p, q in zip(path, path[1:]))
-    assert label[1, 0] != label[2, 1]
-    near = {r.q for r in grid.grid_paths(ask, labelled, 2.0, most=4.0).collect()}
-    assert near == {q for q, r in got.items() if r.distance <= 4.0}
-    empty = grid.grid_paths(ask.filter("false"), labelled, 1.0)
-    assert empty.count() == 0
-
-
-def test_nearest_pairs(spark, monkeypatch):
-    labelled = grid.components(floor_of(spark))
-    ends = [(5, "both", 1, 0, 0, 0), (5, "both", 1, 1, 0, 1), (5, "both", 2, 0, 0, 5), (5, "both", 2, 1, 1, 0), (5, "both", 3, 0, 3, 0), (5, "both", 4, 0, 0, 2)]
-    frame = spark.createDataFrame(ends, "scene_id long, role string, id long, pt int, i int, j int")
-    for held in (10**6, 1):
-        monkeypatch.setattr(grid, "HELD_DISTANCES", held)
-        got = {(r.from_id, r.to_id): (r.pt_from, r.pt_to, r.length) for r in grid.nearest_pairs(frame, labelled, 1.0).collect()}
-        assert got == {(1, 1): (0, 0, 0.0), (2, 2): (0, 0, 0.0), (3, 3): (0, 0, 0.0), (1, 2): (0, 1, 1.0), (2, 1): (1, 0, 1.0)}
-
-
-@pytest.mark.parametrize("large", [10**6, 3])
-def test_all_pairs_are_consistent(spark, monkeypatch, large):
-    """By matrices, and by rounds of joins (every scene counts as large)."""
-    monkeypatch.setattr(graph, "LARGE_SCENE", large)
+def plain_ways(n, step):
+    """Whole-number distances and least predecessors by relaxing every edge until nothing changes."""
+    units = {e: max(1, round(d * graph.UNITS)) for e, d in step.items()}
+    out = {}
+    for i in range(n):
+        dist = {i: 0}
+        while True:
+            better = {b: dist[a] + w for (a, b), w in units.items() if a in dist and dist[a] + w < dist.get(b, math.inf)}
+            if not better:
+                break
+            for b in better:
+                dist[b] = min(dist[a] + w for (a, k), w in units.items() if k == b and a in dist)
+        for j in dist:
+            pred, path = {}, [j]
+            while path[-1] != i:
+                path.append(min(a for (a, b), w in units.items() if b == path[-1] and a in dist and dist[a] + w == dist[b]))
+            out[i, j] = (dist[j] / graph.UNITS, path[1] if i != j else None, path[::-1])
+    return out
+
+
+@pytest.mark.parametrize("held", [10**6, 5])
+def test_all_pairs_against_plain_relaxing(spark, monkeypatch, held):
+    """A unit grid (many equal ways), random points, points at one place, and waypoints without edges; in one block and in many."""
+    monkeypatch.setattr(graph, "HELD_SUMS", held)
     rng = np.random.default_rng(3)
-    xy = rng.uniform(0, 5, (18, 2))
-    step = {(i, j): float(math.dist(xy[i], xy[j])) for i in range(18) for j in range(18) if i == j or math.dist(xy[i], xy[j]) < 1.5}
-    rows = graph.all_pairs(spark.createDataFrame([(7, i, j, d) for (i, j), d in step.items()], "scene_id long, i long, j long, d double")).collect()
-    dist = {(r.i, r.j): r.dist for r in rows}
-    assert all((i, i) in dist for i in range(18)) and set(step) <= set(dist)
-    for r in rows:
-        assert r.dist == pytest.approx(dist[r.j, r.i]) and r.path[0] == r.i and r.path[-1] == r.j
-        assert r.dist == pytest.approx(sum(step[e] for e in zip(r.path, r.path[1:])))
-        assert all(r.dist <= dist[r.i, k] + dist[k, r.j] + 1e-9 for k in range(18) if (r.i, k) in dist and (k, r.j) in dist)
+    scenes = {1: [(k // 4, k % 4) for k in range(16)], 2: rng.uniform(0, 5, (18, 2)).tolist(), 3: [(0, 0), (0, 0), (0, 0), (1, 0)], 4: [(0, 0), (9, 9)]}
+    steps = {s: {(i, j): float(math.dist(p, q)) for i, p in enumerate(xy) for j, q in enumerate(xy) if i != j and math.dist(p, q) < 1.3} for s, xy in scenes.items()}
+    points = spark.createDataFrame([(s, i) for s, xy in scenes.items() for i in range(len(xy))], "scene_id long, idx long")
+    web = spark.createDataFrame([(s, i, j, d) for s, step in steps.items() for (i, j), d in step.items()], "scene_id long, i long, j long, d double")
+    rows = graph.all_pairs(points, web, held_pairs=held).collect()
+    got = {(r.scene_id, r.i, r.j): (r.dist, r.pred, r.path) for r in rows}
+    assert len(got) == len(rows) and got == {(s, *e): w for s, xy in scenes.items() for e, w in plain_ways(len(xy), steps[s]).items()}
+    short = {(r.scene_id, r.i, r.j): (r.dist, r.pred) for r in graph.all_pairs(points, web, paths=False, held_pairs=held).collect()}
+    assert short == {k: v[:2] for k, v in got.items()}
+
+
+def test_all_pairs_of_nothing(spark):
+    assert graph.all_pairs(spark.createDataFrame([], "scene_id long, idx long"), spark.createDataFrame([], "scene_id long, i long, j long, d double")).count() == 0
 
 
 def test_walks(spark):

@@ -1,8 +1,8 @@
 """Occupancy grids as tables of cells (scene_id, i, j, state): building, components, lines of sight and shortest paths.
 
 Every scene has a grid of its own (bounds: scene_id, low_x, low_y, nx, ny), and every join carries the scene. Marking,
-sight and queries of cells are joins and aggregations; components and shortest paths hold one scene in a task, as
-scenes are independent, and components of scenes over LARGE_CELLS cells run as distributed rounds instead."""
+sight and queries of cells are joins and aggregations; components hold one scene in a task, as scenes are independent, and
+those of scenes over LARGE_CELLS cells run as distributed rounds. Shortest paths: search.py and tiles.py."""
 
 from __future__ import annotations
 
@@ -11,16 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators import search, tiles
 from pathloom.operators.scene import cut
 
 FLOOR, OBSTACLE, VOID = 0, 1, 2
 #: Floor cells of a scene whose components one task may find (some hundred MB); larger scenes go by rounds.
 LARGE_CELLS = 4_000_000
-#: Steps in units of 10^-12 cells: sums are whole numbers, so equal lengths are equal however they are summed.
-STRAIGHT, DIAGONAL = 10**12, 1_414_213_562_373
-NEAR = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1) if di or dj]
-#: Distances that a task holds at once (sources times cells).
-HELD_DISTANCES = 4_000_000
 
 
 def index(value: Column, low: Column, resolution: float, n: Column) -> Column:
@@ -126,123 +122,106 @@ def sight(pairs: DataFrame, grid: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return seen.groupBy("scene_id", *key).agg(F.bool_and(F.coalesce(F.col("state") == FLOOR, F.lit(False))).alias("clear"))
 
 
-def distances(floor: np.ndarray, sources: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Steps (see STRAIGHT) from each source cell to every cell with 8 neighbours over floor cells, -1 where there is no way.
+def _by_size(floor: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """scene_id and cells of the scenes that a task can hold, and of the larger ones (None if there are none)."""
+    size = cut(search.sizes(floor))
+    large = size.filter(F.col("cells") > search.HELD_DISTANCES)
+    return size.filter(F.col("cells") <= search.HELD_DISTANCES), None if large.isEmpty() else large
 
-    All sources are relaxed together until nothing changes; most bounds the distance searched."""
-    far = np.iinfo(np.int64).max // 4
-    out = np.full((len(sources), floor.shape[0] + 2, floor.shape[1] + 2), far)
-    wall = np.pad(~floor, 1, constant_values=True)
-    out[np.arange(len(sources)), sources[:, 0] + 1, sources[:, 1] + 1] = 0
-    out[:, wall] = far
-    inner = out[:, 1:-1, 1:-1]
-    while True:
-        best = inner.copy()
-        for di, dj in NEAR:
-            step = DIAGONAL if di and dj else STRAIGHT
-            np.minimum(best, out[:, 1 + di : 1 + di + floor.shape[0], 1 + dj : 1 + dj + floor.shape[1]] + step, out=best)
-        best[:, ~floor] = far
-        if most is not None:
-            best[best > most] = far
-        if (best == inner).all():
-            return np.where(inner >= far, -1, inner)
-        inner[:] = best
-
-
-def walked(distance: np.ndarray, goal: tuple[int, int]) -> list[tuple[int, int]]:
-    """The cells of a shortest path to goal, by the distances of one source; of equal ways back the least cell is taken."""
-    path = [goal]
-    while distance[path[-1]] > 0:
-        i, j = path[-1]
-        for di, dj in NEAR:  # in order of the cell
-            a, b = i + di, j + dj
-            if 0 <= a < distance.shape[0] and 0 <= b < distance.shape[1] and distance[a, b] >= 0:
-                if distance[a, b] + (DIAGONAL if di and dj else STRAIGHT) == distance[i, j]:
-                    path.append((a, b))
-                    break
-    return path[::-1]
-
-
-def grid_paths(questions: DataFrame, labelled: DataFrame, resolution: float, with_path: bool = False, most: float | None = None) -> DataFrame:
-    """scene_id, q, distance (and path) between cells of a scene: questions (scene_id, q, i1, j1, i2, j2), labelled (of components()).
 
+def _floors(floor: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The packed floor of each scene, once for each of its blocks."""
+    held = search.packed(floor).join(blocks, "scene_id")
+    return held.select(F.col("scene_id").alias("f_scene"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("f_block"), "i", "block_j", "bits")
+
+
+def _shape(*ends: np.ndarray) -> tuple[int, int]:
+    return tuple(max(int(e[:, k].max(initial=0)) for e in ends) + 1 for k in (0, 1))
+
+
+def grid_paths(questions: DataFrame, labelled: DataFrame, resolution: float, with_path: bool = False, most: float | None = None, key: tuple[str, ...] = ("q",)) -> DataFrame:
+    """scene_id, key, distance (and path) between cells of a scene: questions (scene_id, key, i1, j1, i2, j2), labelled (of components()).
+
+    key: whole-number columns that name a question within its scene.
     Shortest ways over 8 neighbours between floor cells of one 4-neighbour component (two floors that touch at a
-    corner only do not reach each other); no row where the target is not reached, or not within `most` metres. A
-    scene's floor and questions meet in one task, sources are searched in blocks of HELD_DISTANCES."""
-    out = "scene_id long, q long, distance double" + (", path array<struct<i:int,j:int>>" if with_path else "")
-    limit = None if most is None else int(most / resolution * STRAIGHT)
+    corner only do not reach each other); no row where the target is not reached, or not within `most` metres. A task holds a
+    scene's floor and a block of its sources; scenes that no task can hold are searched by tiles, with the same result."""
+    limit = None if most is None else int(most / resolution * search.STRAIGHT)
+    label = labelled.select("scene_id", "i", "j", "label")
+    at = lambda k: label.select("scene_id", F.col("i").alias(f"i{k}"), F.col("j").alias(f"j{k}"), F.col("label").alias(f"label{k}"))
+    asked = questions.select("scene_id", *key, "i1", "j1", "i2", "j2").join(at(1), ["scene_id", "i1", "j1"]).join(at(2), ["scene_id", "i2", "j2"]).filter("label1 = label2")
+    asked = cut(asked.select("scene_id", *(F.col(k).cast("long").alias(k) for k in key), "i1", "j1", "i2", "j2"))
+    floor = label.join(asked.select("scene_id").distinct(), "scene_id", "left_semi").select("scene_id", "i", "j")
+    small, large = _by_size(floor)
 
     def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        names = ["scene_id", "q", "distance"] + ["path"] * with_path
+        names = ["scene_id", *key, "distance"] + ["path"] * with_path
         if not len(asked) or not len(table):
             return pd.DataFrame([], columns=names)
-        floor = np.zeros((int(table["i"].max()) + 1, int(table["j"].max()) + 1), bool)
-        label = np.full(floor.shape, -1)
-        floor[table["i"], table["j"]] = True
-        label[table["i"], table["j"]] = table["label"]
-        i1, j1, i2, j2 = (asked[k].to_numpy() for k in ("i1", "j1", "i2", "j2"))
-        within = lambda i, j: (i >= 0) & (j >= 0) & (i < floor.shape[0]) & (j < floor.shape[1])
-        fit = within(i1, j1) & within(i2, j2)
-        asked, i1, j1, i2, j2 = asked[fit], i1[fit], j1[fit], i2[fit], j2[fit]
-        fit = (label[i1, j1] >= 0) & (label[i1, j1] == label[i2, j2])
-        asked, i1, j1, i2, j2 = asked[fit], i1[fit], j1[fit], i2[fit], j2[fit]
-        if not len(asked):
-            return pd.DataFrame([], columns=names)
-        sources, number = np.unique(np.stack([i1, j1], axis=1), axis=0, return_inverse=True)
-        number, block = number.ravel(), max(1, HELD_DISTANCES // floor.size)
-        rows = []
-        for at in range(0, len(sources), block):
-            found = distances(floor, sources[at : at + block], limit)
-            own = np.flatnonzero((number >= at) & (number < at + block))
-            steps = found[number[own] - at, i2[own], j2[own]]
+        one, two = asked[["i1", "j1"]].to_numpy(), asked[["i2", "j2"]].to_numpy()
+        floor = search.unpacked(*(table[c].to_numpy() for c in ("i", "block_j", "bits")), _shape(one, two))
+        sources, number = np.unique(one, axis=0, return_inverse=True)
+        number, block, rows = number.ravel(), max(1, search.HELD_DISTANCES // floor.size), []
+        for start in range(0, len(sources), block):
+            found = search.distances(floor, sources[start : start + block], limit)
+            own = np.flatnonzero((number >= start) & (number < start + block))
+            steps = found[number[own] - start, two[own, 0], two[own, 1]]
             own, steps = own[steps >= 0], steps[steps >= 0]
-            part = pd.DataFrame({"scene_id": asked["scene_id"].to_numpy()[own], "q": asked["q"].to_numpy()[own], "distance": steps / STRAIGHT * resolution})
+            part = pd.DataFrame({k: asked[k].to_numpy()[own] for k in ("scene_id", *key)} | {"distance": steps / search.STRAIGHT * resolution})
             if with_path:
-                part["path"] = [[{"i": int(a), "j": int(b)} for a, b in walked(found[number[k] - at], (i2[k], j2[k]))] for k in own]
+                part["path"] = [[{"i": a, "j": b} for a, b in search.walked(found[number[k] - start], tuple(two[k]))] for k in own]
             rows.append(part)
         return pd.concat(rows)
 
-    held = labelled.select(F.col("scene_id").alias("grid_scene"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("label").alias("label"))
-    return questions.groupBy("scene_id").cogroup(held.groupBy("grid_scene")).applyInPandas(run, out)
+    out = "scene_id long, " + "".join(f"{k} long, " for k in key) + "distance double" + (", path array<struct<i:int,j:int>>" if with_path else "")
+    sources = asked.groupBy("scene_id").agg(F.count_distinct("i1", "j1").alias("sources")).join(small, "scene_id")
+    blocks = sources.select("scene_id", search.blocks(F.col("cells"), F.col("sources")).alias("blocks"))
+    dealt = asked.join(blocks, "scene_id").withColumn("block", F.pmod(F.xxhash64("i1", "j1"), "blocks")).drop("blocks")
+    found = dealt.groupBy("scene_id", "block").cogroup(_floors(floor, blocks).groupBy("f_scene", "f_block")).applyInPandas(run, out)
+    if large is None:
+        return found
+    rest, wide = asked.join(large, "scene_id", "left_semi"), floor.join(large, "scene_id", "left_semi")
+    held = tiles.spread(wide, rest.select("scene_id", F.col("i1").alias("si"), F.col("j1").alias("sj")), limit)
+    further = tiles.lengths(held, rest).select("scene_id", *key, (F.col("steps") / search.STRAIGHT * resolution).alias("distance"))
+    return found.unionByName(further.join(tiles.ways(held, rest, key=key), ["scene_id", *key]) if with_path else further)
 
 
 def nearest_pairs(ends: DataFrame, labelled: DataFrame, resolution: float) -> DataFrame:
     """scene_id, from_id, to_id, pt_from, pt_to, length: the shortest way between any point of each `from` and any of each `to`.
 
     ends: scene_id, role ('from', 'to' or 'both'), id, pt, i, j. As in grid_paths; of equal ways the least points are taken,
-    no row where no point reaches any. One scene a task; objects are searched in blocks of HELD_DISTANCES."""
+    no row where no point reaches any. A task holds a scene's floor, all `to` and a block of its `from`."""
     out = "scene_id long, from_id long, to_id long, pt_from int, pt_to int, length double"
     names = [part.split()[0] for part in out.split(", ")]
+    ends = cut(ends.select("scene_id", "role", "id", "pt", "i", "j").join(labelled.select("scene_id", "i", "j", "label"), ["scene_id", "i", "j"]))
+    floor = labelled.select("scene_id", "i", "j").join(ends.select("scene_id").distinct(), "scene_id", "left_semi")
+    small, large = _by_size(floor)
+    a, b = (ends.filter(F.col("role").isin(role, "both")).drop("role") for role in ("from", "to"))
 
-    def padded(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and for each its cells and points, padded with -1."""
+    def grouped(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each its cells, points and labels, padded with -1."""
         rows = rows.sort_values(["id", "pt"])
         ids, number, counts = np.unique(rows["id"], return_inverse=True, return_counts=True)
         place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-        held, points = np.full((len(ids), counts.max(), 2), -1), np.full((len(ids), counts.max()), -1)
-        held[number, place] = rows[["i", "j"]].to_numpy()
-        points[number, place] = rows["pt"]
-        return ids, held, points
+        held = np.full((len(ids), counts.max(), 4), -1)
+        held[number, place] = rows[["i", "j", "pt", "label"]].to_numpy()
+        return ids, held[:, :, :2], held[:, :, 2], held[:, :, 3]
 
     def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        a, b = (asked[asked["role"].isin((role, "both"))] for role in ("from", "to"))
-        if not len(a) or not len(b) or not len(table):
+        one, two = asked[asked["from"]], asked[~asked["from"]]
+        if not len(one) or not len(two) or not len(table):
             return pd.DataFrame([], columns=names)
-        shape = max(table["i"].max(), asked["i"].max()) + 1, max(table["j"].max(), asked["j"].max()) + 1
-        label = np.full(shape, -1)
-        label[table["i"], table["j"]] = table["label"]
-        ids_a, cells_a, points_a = padded(a)
-        ids_b, cells_b, points_b = padded(b)
-        far, width = np.iinfo(np.int64).max, cells_a.shape[1]
-        flat_b, none_b = cells_b.reshape(-1, 2), points_b.ravel() < 0
-        label_b = np.where(none_b, -2, label[flat_b[:, 0], flat_b[:, 1]])
-        rows = []
-        for at in range(0, len(ids_a), block := max(1, HELD_DISTANCES // (label.size * width))):
-            part = cells_a[at : at + block].reshape(-1, 2)
-            sources, number = np.unique(part, axis=0, return_inverse=True)
-            steps = distances(label >= 0, sources)[number.ravel()][:, flat_b[:, 0], flat_b[:, 1]]
-            own = label[part[:, 0], part[:, 1]][:, None]
-            steps[(own != label_b) | (own < 0) | (steps < 0) | (points_a[at : at + block].ravel() < 0)[:, None]] = far
+        ids_a, cells_a, points_a, labels_a = grouped(one)
+        ids_b, cells_b, points_b, labels_b = grouped(two)
+        floor = search.unpacked(*(table[c].to_numpy() for c in ("i", "block_j", "bits")), _shape(cells_a.reshape(-1, 2), cells_b.reshape(-1, 2)))
+        far, width, flat_b, rows = np.iinfo(np.int64).max, cells_a.shape[1], cells_b.reshape(-1, 2), []
+        for at in range(0, len(ids_a), block := max(1, search.HELD_DISTANCES // (floor.size * width))):
+            part, label = cells_a[at : at + block].reshape(-1, 2), labels_a[at : at + block].ravel()
+            real = label >= 0
+            steps = np.full((len(part), len(flat_b)), far)
+            sources, number = np.unique(part[real], axis=0, return_inverse=True)
+            found = search.distances(floor, sources)[number.ravel()][:, flat_b[:, 0], flat_b[:, 1]]
+            steps[real] = np.where((label[real][:, None] == labels_b.ravel()) & (found >= 0), found, far)
             steps = steps.reshape(-1, width, len(ids_b), cells_b.shape[1]).transpose(0, 2, 1, 3).reshape(-1, len(ids_b), width * cells_b.shape[1])
             best = steps.argmin(axis=2)  # the first of equal ones: least points
             least = np.take_along_axis(steps, best[:, :, None], 2)[:, :, 0]
@@ -250,12 +229,22 @@ def nearest_pairs(ends: DataFrame, labelled: DataFrame, resolution: float) -> Da
             first, second = best[x, y] // cells_b.shape[1], best[x, y] % cells_b.shape[1]
             rows.append(pd.DataFrame({
                 "scene_id": asked["scene_id"].iloc[0], "from_id": ids_a[at + x], "to_id": ids_b[y], "pt_from": points_a[at + x, first], "pt_to": points_b[y, second],
-                "length": least[x, y] / STRAIGHT * resolution,
+                "length": least[x, y] / search.STRAIGHT * resolution,
             }))
         return pd.concat(rows)
 
-    held = labelled.select(F.col("scene_id").alias("grid_scene"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("label").alias("label"))
-    return ends.groupBy("scene_id").cogroup(held.groupBy("grid_scene")).applyInPandas(run, out)
+    sources = a.groupBy("scene_id").agg(F.count(F.lit(1)).alias("sources")).join(small, "scene_id")
+    blocks = sources.select("scene_id", search.blocks(F.col("cells"), F.col("sources")).alias("blocks"))
+    block = F.when(F.col("from"), F.array(F.pmod(F.xxhash64("id"), "blocks"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    both = a.withColumn("from", F.lit(True)).unionByName(b.withColumn("from", F.lit(False))).join(blocks, "scene_id")
+    dealt = both.withColumn("block", F.explode(block)).drop("blocks")
+    found = dealt.groupBy("scene_id", "block").cogroup(_floors(floor, blocks).groupBy("f_scene", "f_block")).applyInPandas(run, out)
+    if large is None:
+        return found
+    one, two = (t.join(large, "scene_id", "left_semi").select("scene_id", "label", *(F.col(c).alias(f"{c}{k}") for c in ("id", "pt", "i", "j"))) for k, t in ((1, a), (2, b)))
+    held = tiles.spread(floor.join(large, "scene_id", "left_semi"), one.select("scene_id", F.col("i1").alias("si"), F.col("j1").alias("sj")))
+    best = tiles.lengths(held, one.join(two, ["scene_id", "label"])).groupBy("scene_id", F.col("id1").alias("from_id"), F.col("id2").alias("to_id")).agg(F.min(F.struct("steps", "pt1", "pt2")).alias("m"))
+    return found.unionByName(best.select("scene_id", "from_id", "to_id", F.col("m.pt1").alias("pt_from"), F.col("m.pt2").alias("pt_to"), (F.col("m.steps") / search.STRAIGHT * resolution).alias("length")))
 
 
 def nearest_floor(points: DataFrame, grid: DataFrame, budget: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geometry as G
 from pathloom.operators import grid as GD
+from pathloom.operators import search as S
 from pathloom.operators.scene import cut
 from pathloom.operators.spatial import distance_join
 from pathloom.plans.duck import sql
@@ -56,7 +57,7 @@ PC = f"pc AS (SELECT p.idx, p.scene_id AS s, {_ix('x', 'p.x')} AS i, {_ix('y', '
 
 def _search(sources: str, most: str = "true") -> str:
     """Steps d from each source cell (s, si, sj) to every cell."""
-    return f""", n8 AS (SELECT a.s, a.i, a.j, b.i AS i2, b.j AS j2, CASE WHEN di=0 OR dj=0 THEN {GD.STRAIGHT} ELSE {GD.DIAGONAL} END AS w
+    return f""", n8 AS (SELECT a.s, a.i, a.j, b.i AS i2, b.j AS j2, CASE WHEN di=0 OR dj=0 THEN {S.STRAIGHT} ELSE {S.DIAGONAL} END AS w
     FROM f a CROSS JOIN (VALUES (1,0),(-1,0),(0,1),(0,-1),(1,1),(1,-1),(-1,1),(-1,-1)) o(di,dj) JOIN f b ON b.s=a.s AND b.i=a.i+o.di AND b.j=a.j+o.dj),
 src AS ({sources}),
 sp(s, si, sj, i, j, d) USING KEY (s, si, sj, i, j) AS (SELECT s, si, sj, si, sj, CAST(0 AS BIGINT) FROM src
@@ -77,7 +78,8 @@ def grid(spark, sf_dir):
 
 
 def labels(spark, sf_dir):
-    return GD.components(grid(spark, sf_dir))
+    """The labelled floor, made once: searches read it several times."""
+    return cut(GD.components(grid(spark, sf_dir)))
 
 
 def celled(df, spark, sf_dir):
@@ -195,17 +197,17 @@ TO_ALL = LABELS + ", " + PC + _search(FROM_WAYPOINTS)
 
 
 def waypoint_questions(spark, sf_dir):
-    """From each waypoint to every other of its scene; q: both in one number."""
+    """From each waypoint to every other of its scene."""
     p = in_cells(spark, sf_dir)
     a, b = (p.select("scene_id", c("idx").alias(f"idx{k}"), c("i").alias(f"i{k}"), c("j").alias(f"j{k}")) for k in (1, 2))
-    return a.join(b, "scene_id").filter("idx1 <> idx2").withColumn("q", c("idx1") * 40 + c("idx2") % 40)
+    return a.join(b, "scene_id").filter("idx1 <> idx2")
 
 
 @query(f"SELECT a.idx AS from_idx, b.idx AS to_idx, round(w.d{METRES}, 6) AS distance FROM pc a JOIN pc b ON b.s=a.s AND b.idx<>a.idx JOIN sp w ON w.s=a.s AND w.si=a.i AND w.sj=a.j AND w.i=b.i AND w.j=b.j JOIN labels x ON x.s=a.s AND x.i=a.i AND x.j=a.j JOIN labels y ON y.s=b.s AND y.i=b.i AND y.j=b.j AND y.label=x.label", TO_ALL)
 def astar_distance(spark, sf_dir):
     """Between all waypoints of a scene that reach each other."""
-    found = GD.grid_paths(waypoint_questions(spark, sf_dir).select("scene_id", "q", "i1", "j1", "i2", "j2"), labels(spark, sf_dir), RES)
-    return found.select(F.floor(c("q") / 40).alias("from_idx"), (c("scene_id") * 40 + c("q") % 40).alias("to_idx"), F.round("distance", 6).alias("distance"))
+    found = GD.grid_paths(waypoint_questions(spark, sf_dir), labels(spark, sf_dir), RES, key=("idx1", "idx2"))
+    return found.select(c("idx1").alias("from_idx"), c("idx2").alias("to_idx"), F.round("distance", 6).alias("distance"))
 
 
 @query("""SELECT q, CAST(max(k) OVER (PARTITION BY q)-k AS INTEGER) AS k, i, j FROM back""", TO_ALL + """, ask AS (SELECT a.idx AS q, a.s, a.i AS si, a.j AS sj, b.i, b.j FROM pc a JOIN pc b ON b.s=a.s AND b.idx=a.idx+1
@@ -223,10 +225,10 @@ def astar_path(spark, sf_dir):
 def astar_to_region(spark, sf_dir):
     """From each waypoint on a floor to the nearest cell of each goal region of its scene: 0 inside, no row where none is reached."""
     starts, mask = in_cells(spark, sf_dir), grid_mask(spark, sf_dir)
-    number = lambda r: c(r) % 20  # noqa: E731  20 regions a scene
+    cell = F.row_number().over(Window.partitionBy("scene_id", "region_id").orderBy("i", "j"))
     ends = starts.select("scene_id", F.lit("from").alias("role"), c("idx").alias("id"), F.lit(0).alias("pt"), "i", "j").unionByName(
-        mask.select("scene_id", F.lit("to").alias("role"), c("region_id").alias("id"), (c("i") * 10_000 + c("j")).alias("pt"), "i", "j"))
-    floor = grid(spark, sf_dir).filter("state = 0").withColumn("label", F.lit(0))  # this search asks for no common component
+        mask.select("scene_id", F.lit("to").alias("role"), c("region_id").alias("id"), cell.alias("pt"), "i", "j"))
+    floor = cut(grid(spark, sf_dir).filter("state = 0").withColumn("label", F.lit(0)))  # this search asks for no common component
     found = GD.nearest_pairs(ends, floor, RES)
     return found.select(c("from_id").alias("idx"), c("to_id").alias("region_id"), F.round("length", 6).alias("distance"))
 
@@ -274,7 +276,7 @@ def object_random_paths(spark, sf_dir):
     return found.select(c("to_id").alias("draw"), c("from_id").alias("id"), c("pt_from").alias("pt"), F.round("length", 6).alias("length"))
 
 
-NEAR_WAYPOINTS = LABELS + ", " + PC + _search(FROM_WAYPOINTS, f"n.d <= {3 * 2 * GD.STRAIGHT}")
+NEAR_WAYPOINTS = LABELS + ", " + PC + _search(FROM_WAYPOINTS, f"n.d <= {3 * 2 * S.STRAIGHT}")
 
 
 @query(f"SELECT a.idx AS i, b.idx AS j, round(w.d{METRES}, 6) AS d FROM v_waypoints a JOIN v_waypoints b ON a.scene_id=b.scene_id AND a.idx<b.idx AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 2e0 JOIN pc p ON p.idx=a.idx JOIN pc q ON q.idx=b.idx JOIN sp w ON w.s=p.s AND w.si=p.i AND w.sj=p.j AND w.i=q.i AND w.j=q.j JOIN labels x ON x.s=p.s AND x.i=p.i AND x.j=p.j JOIN labels y ON y.s=q.s AND y.i=q.i AND y.j=q.j AND x.label=y.label", NEAR_WAYPOINTS)
@@ -285,6 +287,5 @@ def navmesh_edges(spark, sf_dir):
     at = cut(in_cells(spark, sf_dir))
     one = at.select(c("idx").alias("a"), "scene_id", c("i").alias("i1"), c("j").alias("j1"))
     two = at.select(c("idx").alias("b"), c("i").alias("i2"), c("j").alias("j2"))
-    ask = pairs.join(one, "a").join(two, "b").withColumn("q", c("a") * 40 + c("b") % 40)
-    found = GD.grid_paths(ask.select("scene_id", "q", "i1", "j1", "i2", "j2"), labels(spark, sf_dir), RES, most=3.0)
-    return found.select(F.floor(c("q") / 40).alias("i"), (c("scene_id") * 40 + c("q") % 40).alias("j"), F.round("distance", 6).alias("d"))
+    found = GD.grid_paths(pairs.join(one, "a").join(two, "b"), labels(spark, sf_dir), RES, most=3.0, key=("a", "b"))
+    return found.select(c("a").alias("i"), c("b").alias("j"), F.round("distance", 6).alias("d"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import tags as T
-from pathloom.operators import folds, graph, grid, regions
+from pathloom.operators import folds, graph, grid, regions, search, tiles
 from pathloom.operators.scene import resolve_rooms
 from pathloom.operators.spatial import distance_join, points_in_boxes
 from pathloom.plans import path_queries, scene_queries
@@ -67,6 +67,70 @@ def floor_of(spark, scenes=(0, 5)):
     return spark.createDataFrame(cells, "scene_id long, i int, j int, state int")
 
 
+@pytest.mark.parametrize("large", [10**6, 3])
+def test_components(spark, monkeypatch, large):
+    """In one task a scene, and by rounds (every scene counts as large)."""
+    monkeypatch.setattr(grid, "LARGE_CELLS", large)
+    for s in (0, 5):
+        label = {(r.i, r.j): r.label for r in grid.components(floor_of(spark)).filter(f"scene_id = {s}").collect()}
+        assert label[0, 0] == label[1, 0] == label[0, 1] == 0 and label[0, 3] == label[3, 5] == 1 and label[3, 0] == label[2, 1] == 2
+        assert len(label) == sum(r.count(".") for r in ROWS) and set(label.values()) == {0, 1, 2}
+
+
+@pytest.mark.parametrize(("held", "side"), [(10**6, 512), (30, 512), (1, 3)])
+def test_grid_paths_against_dijkstra(spark, monkeypatch, held, side):
+    """In one block, in many, and by tiles (every scene counts as large)."""
+    monkeypatch.setattr(search, "HELD_DISTANCES", held)
+    monkeypatch.setattr(tiles, "SIDE", side)
+    frame = floor_of(spark)
+    labelled = grid.components(frame)
+    label = {(r.i, r.j): r.label for r in labelled.filter("scene_id = 5").collect()}
+    every = sorted(label)
+    ask = spark.createDataFrame([(5, a * 100 + b, *every[a], *every[b]) for a in range(len(every)) for b in range(len(every))], "scene_id long, q long, i1 int, j1 int, i2 int, j2 int")
+    got = {r.q: r for r in grid.grid_paths(ask, labelled, 2.0, with_path=True).collect()}
+
+    def plain(source):
+        best, queue = {source: 0.0}, [(0.0, source)]
+        while queue:
+            d, at = heapq.heappop(queue)
+            for di in (-1, 0, 1):
+                for dj in (-1, 0, 1):
+                    to = (at[0] + di, at[1] + dj)
+                    if to in label and d + math.hypot(di, dj) < best.get(to, math.inf) - 1e-12:
+                        best[to] = d + math.hypot(di, dj)
+                        heapq.heappush(queue, (best[to], to))
+        return best
+
+    for a, source in enumerate(every):
+        best = plain(source)
+        for b, goal in enumerate(every):
+            if label[source] != label[goal]:
+                assert a * 100 + b not in got  # also where two floors touch at a corner: (1, 0) and (2, 1)
+                continue
+            r = got[a * 100 + b]
+            assert r.distance == pytest.approx(2 * best[goal])
+            path = [(p.i, p.j) for p in r.path]
+            assert path[0] == source and path[-1] == goal and all(p in label for p in path)
+            assert sum(math.dist(p, q) for p, q in zip(path, path[1:])) * 2 == pytest.approx(r.distance)
+            assert all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1 for p, q in zip(path, path[1:]))
+    assert label[1, 0] != label[2, 1]
+    near = {r.q for r in grid.grid_paths(ask, labelled, 2.0, most=4.0).collect()}
+    assert near == {q for q, r in got.items() if r.distance <= 4.0}
+    empty = grid.grid_paths(ask.filter("false"), labelled, 1.0)
+    assert empty.count() == 0
+
+
+def test_nearest_pairs(spark, monkeypatch):
+    labelled = grid.components(floor_of(spark))
+    ends = [(5, "both", 1, 0, 0, 0), (5, "both", 1, 1, 0, 1), (5, "both", 2, 0, 0, 5), (5, "both", 2, 1, 1, 0), (5, "both", 3, 0, 3, 0), (5, "both", 4, 0, 0, 2)]
+    frame = spark.createDataFrame(ends, "scene_id long, role string, id long, pt int, i int, j int")
+    for held, side in ((10**6, 512), (30, 512), (1, 4)):
+        monkeypatch.setattr(search, "HELD_DISTANCES", held)
+        monkeypatch.setattr(tiles, "SIDE", side)
+        got = {(r.from_id, r.to_id): (r.pt_from, r.pt_to, r.length) for r in grid.nearest_pairs(frame, labelled, 1.0).collect()}
+        assert got == {(1, 1): (0, 0, 0.0), (2, 2): (0, 0, 0.0), (3, 3): (0, 0, 0.0), (1, 2): (0, 1, 1.0), (2, 1): (1, 0, 1.0)}
+
+
 def plain_ways(n, step):
     """Whole-number distances and least predecessors by relaxing every edge until nothing changes."""
     units = {e: max(1, round(d * graph.UNITS)) for e, d in step.items()}

@@ -2,8 +2,8 @@
 
 Two bytes that stand next to each other in no token of the vocabulary can never be merged across: between them lies a certain
 cut, whatever the merges around it do. A pre-token is cut at all such places, each fragment is encoded alone (only the
-last one carries the word's end), and the ids are put side by side. Fragments repeat far more often than words, so each
-distinct one is merged once for a chunk of texts, and a bounded cache keeps short ones from chunk to chunk.
+last one carries the word's end), and the ids are put side by side. Each distinct word of a chunk of texts is looked at once;
+bounded caches keep short pre-tokens and fragments from chunk to chunk.
 
 The vocabulary is a file of the tokenizers library, with an end-of-word suffix and a byte alphabet; the library's own
 normaliser and pattern turn a word into pre-tokens, the cuts and merges are done here. Words between spaces and line ends
@@ -24,6 +24,7 @@ import os
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._common import Cache, gives_back, id_and_text
-from .packing import chunks
+from .packing import WordIds, chunks, gathered
 
 #: Bytes of text whose distinct words are told apart at once.
 CHUNK_BYTES = 4 << 20
-#: Entries that a generation of each of the two caches of a worker may hold.
-KEPT = 150_000
+#: Pre-tokens that a generation of a worker's cache may hold; a quarter as many fragments of those that are cut.
+KEPT = 300_000
+#: Ids of a fragment up to which all its pairs are looked through for the least rank; longer ones use a heap.
+SHORT, NO_MERGE = 40, (1 << 62, -1)
 
 
 def byte_alphabet() -> list[str]:
@@ -46,8 +49,8 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class BoundaryCodec:
-    """Encoder and decoder for one vocabulary file."""
+class BoundaryCodec(WordIds):
+    """Encoder and decoder for one vocabulary file. How a chunk's distinct words are told apart is inherited, how they become ids is not."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,18 +75,26 @@ class BoundaryCodec:
         self.last_ids = {c: vocabulary[c + self.end] for c in byte_alphabet()}
         #: All pairs of neighbouring bytes (in the alphabet) inside tokens: each is the seam of the merge that made the token, or lies in one of its parts.
         self.joint = {a[-1] + b[0] for a, b in model["merges"]}
-        self.fragments = Cache(lambda key: tuple(self.merge(key)), KEPT)
-        self.words = Cache(self.encode_word, KEPT)
+        self.fragments = Cache(lambda key: tuple(self.merge(key)), KEPT // 4)
+        self.pieces = Cache(self.encode_piece, KEPT)
+        self.alphabet = {chr(b): c for b, c in enumerate(byte_alphabet())}
+        #: Decimal id and token of each id, with the space that joins them.
+        places = range(max(self.tokens) + 1)
+        self.decimals, self.written = (pa.array(x, pa.large_binary()) for x in ([b"%d " % k for k in places], [f"{self.tokens.get(k, '')} ".encode() for k in places]))
 
     def fragments_of(self, piece: str) -> list[str]:
-        """A pre-token cut at its forced boundaries; the end of the word goes with the last fragment."""
-        joint, start, found = self.joint, 0, []
-        for i in range(1, len(piece)):
-            if piece[i - 1 : i + 1] not in joint:
-                found.append(piece[start:i])
-                start = i
-        found.append(piece[start:] + "\n")  # no character of the alphabet: marks the word's end
-        return found
+        """A pre-token (of characters of the alphabet) cut at its forced boundaries; the end of the word goes with the last fragment."""
+        joint = self.joint
+        cuts = [k for k, (a, b) in enumerate(zip(piece, piece[1:]), 1) if a + b not in joint]
+        piece += "\n"  # no character of the alphabet: marks the word's end
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])]
+
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        parts = self.fragments_of(piece)
+        if len(parts) == 1:
+            return tuple(self.merge(parts[0]))
+        known, miss = self.fragments.young.get, self.fragments.miss
+        return tuple([i for fragment in parts for i in known(fragment) or miss(fragment)])
 
     def merge(self, fragment: str) -> list[int]:
         """Ids of one fragment: the pair of the least rank, the leftmost first, becomes one token until none is left."""
@@ -92,8 +103,8 @@ class BoundaryCodec:
         else:
             ids = [self.first_ids[c] for c in fragment]
         get, n = self.merges.get, len(ids)
-        if n < 2:
-            return ids
+        if n <= SHORT:
+            return self.merge_short(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(found[0], i, found[1], ids[i], ids[i + 1]) for i in range(n - 1) if (found := get((ids[i], ids[i + 1])))]
         heapify(queue)
@@ -113,46 +124,69 @@ class BoundaryCodec:
                 heappush(queue, (found[0], p, found[1], ids[p], new))
         return [x for x in ids if x >= 0]
 
+    def merge_short(self, ids: list[int]) -> list[int]:
+        """The same for few ids, whose pairs are looked through each time."""
+        get = self.merges.get
+        pairs = [get(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
+        while pairs:
+            least = min(pairs)
+            if least is NO_MERGE:
+                break
+            at = pairs.index(least)
+            ids[at : at + 2] = [least[1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get((ids[at - 1], ids[at]), NO_MERGE)
+            if at < len(pairs):
+                pairs[at] = get((ids[at], ids[at + 1]), NO_MERGE)
+        return ids
+
     def encode_plain(self, text: str) -> list[int]:
         """Ids of a text that is taken to hold no special token."""
-        ids: list[int] = []
-        known, miss = self.fragments.young.get, self.fragments.miss
-        simple = text.isascii() and text.isalpha()
-        for piece in [text.lower()] if simple else [piece for piece, _ in self.pre_tokenise(self.normalise(text))]:
-            for fragment in self.fragments_of(piece):
-                ids += known(fragment) or miss(fragment)
-        return ids
+        known, miss = self.pieces.young.get, self.pieces.miss
+        return [i for piece, _ in self.pre_tokenise(self.normalise(text)) for i in known(piece) or miss(piece)]
 
-    def encode_word(self, text: str) -> tuple[int, ...]:
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        self.age()
         if self.special_split is None or not any(t in text for t in self.special):
-            return tuple(self.encode_plain(text))
+            return self.encode_plain(text)
         ids: list[int] = []
         for part in self.special_split(text):
             ids += [self.special[part]] if part in self.special else self.encode_plain(part)
-        return tuple(ids)
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text."""
-        self.age()
-        known, miss = self.words.young.get, self.words.miss
-        return [i for word in text.replace("\n", " ").split(" ") if word for i in known(word) or miss(word)]
+        return ids
 
     def age(self) -> None:
         self.fragments.age()
-        self.words.age()
+        self.pieces.age()
+
+    def of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known, miss, alphabet = self.pieces.young.get, self.pieces.miss, self.alphabet
+        pieces = [w if w.isascii() else "".join([alphabet[chr(b)] for b in w.encode()]) for w in words]
+        return _laid([known(p) or miss(p) for p in pieces])
+
+    def of_any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _laid([self.encode(w) for w in words])
 
     def decode(self, ids) -> str:
         tokens = self.tokens
         return " ".join([tokens[i] for i in ids])
 
-    def words_of(self, texts: pa.Array) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
-        """The ids of each distinct word of a chunk, the number of each word in the texts' order, and where each text begins among these."""
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a chunk's texts one after the other, and where each text begins among them (one more entry for the end)."""
         self.age()
         parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
-        known, miss = self.words.young.get, self.words.miss
-        found = [known(w) or miss(w) for w in coded.dictionary.to_pylist()]
-        return found, coded.indices.to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        pool, counts = self.of_distinct(coded.dictionary)
+        number = coded.indices.to_numpy()
+        sizes = counts[number]
+        edges = np.r_[0, np.cumsum(sizes)][parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return gathered(pool, (np.cumsum(counts) - counts)[number], sizes), edges
+
+
+def _laid(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and how many each entry has."""
+    return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
 _CODECS: dict[str, BoundaryCodec] = {}
@@ -173,10 +207,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for part in chunks(batches, CHUNK_BYTES):
-            found, number, edges = own.words_of(part.column("text").chunk(0))
-            pool = pa.array(found, pa.list_(pa.int32())).take(pa.array(number))
-            ends = pool.offsets.to_numpy()[edges]
-            ids = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pool.flatten())
+            found, edges = own.ids_of(part.column("text").chunk(0))
+            ids = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(found.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").chunk(0), ids], ["doc_id", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -195,10 +227,9 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def _written(entries: list[bytes], number: np.ndarray, edges: np.ndarray) -> list[str]:
-    """Digest of each text's entries one after the other, without the space at the end."""
-    held = pa.array(entries, pa.large_binary()).take(pa.array(number))
-    _, offsets, data = held.buffers()
+def _digests(entries: pa.Array, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+    """Digest of the entries of each text's ids one after the other, without the space at the end."""
+    _, offsets, data = entries.take(pa.array(ids)).buffers()
     ends, view = np.frombuffer(offsets, np.int64)[edges], memoryview(data) if data is not None else memoryview(b"")
     return [hashlib.sha256(view[a : b - 1 if b > a else b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
@@ -210,12 +241,9 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for part in chunks(batches, CHUNK_BYTES):
-            found, number, edges = own.words_of(part.column("text").chunk(0))
-            counts = np.r_[0, np.cumsum(np.array([len(ids) for ids in found], np.int64)[number])][edges]
-            ids = [(" ".join(map(str, x)) + " ").encode() if x else b"" for x in found]
-            decoded = [(own.decode(x) + " ").encode() if x else b"" for x in found]
+            ids, edges = own.ids_of(part.column("text").chunk(0))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").chunk(0), pa.array(np.diff(counts), pa.int64()), pa.array(_written(ids, number, edges)), pa.array(_written(decoded, number, edges))],
+                [part.column("doc_id").chunk(0), pa.array(np.diff(edges), pa.int64()), pa.array(_digests(own.decimals, ids, edges)), pa.array(_digests(own.written, ids, edges))],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

@@ -116,11 +116,11 @@ def bucket_counts(texts: DataFrame, grams: int, buckets: int) -> DataFrame:
 def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int) -> list[int]:
     """A gain for each bucket from the counts of both sides, smoothed by one; as many numbers as buckets."""
     counts = corpus.select("bucket", "n", F.lit(0).alias("t")).unionByName(target.select("bucket", F.lit(0).cast("long").alias("n"), F.col("n").alias("t")))
-    counts = counts.groupBy("bucket").agg(F.sum("n").alias("s"), F.sum("t").alias("t"))
-    totals = counts.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("all_s"), F.coalesce(F.sum("t"), F.lit(0)).alias("all_t"))
-    every = corpus.sparkSession.range(buckets).join(counts, F.col("id") == F.col("bucket"), "left").join(F.broadcast(totals))  # one row of totals
+    counts = cut(counts.groupBy("bucket").agg(F.sum("n").alias("s"), F.sum("t").alias("t")))  # the totals read it too
+    total = counts.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    every = corpus.sparkSession.range(buckets).join(counts, F.col("id") == F.col("bucket"), "left")
     s, t = (F.coalesce(c, F.lit(0)).cast("double") for c in ("s", "t"))
-    gain = F.floor(1000 * F.log((t + 1) * (F.col("all_s").cast("double") + buckets) / ((s + 1) * (F.col("all_t").cast("double") + buckets))))
+    gain = F.floor(1000 * F.log((t + 1) * float(total.s + buckets) / ((s + 1) * float(total.t + buckets))))
     return [r.gain for r in every.select("id", gain.alias("gain")).orderBy("id").collect()]
 
 

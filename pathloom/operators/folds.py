@@ -1,13 +1,16 @@
-"""Order-dependent folds and seeded samplers. Whether a row is taken depends on those taken before, so each scene is
-one task (scenes run side by side); state is a hash of cells, so a step looks at its neighbours only."""
+"""Order-dependent folds and seeded samplers. Whether a row is taken depends on those taken before: acceptance by distance
+runs in rounds over tiles of a scene, the others have one scene in a task (scenes run side by side). State is a hash of cells,
+so a step looks at its neighbours only."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.scene import cut
+
 
 class Spread:
     """Accepted points in square cells as wide as the largest distance asked for."""
@@ -29,19 +32,58 @@ class Spread:
         self.cells.setdefault(tuple(int(np.floor(c / self.width)) for c in point[:2]), []).append(point)
 
 
-def greedy(points: DataFrame, key: str, order: str, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """Rows taken in order if they are at least their own `least` from all taken before; same columns."""
+#: Width of a tile of the parallel acceptance, in the largest distance that is asked for.
+TILE = 64
+
+
+def greedy(points: DataFrame, key: str, order: str, axes: tuple[str, ...] = ("x", "y"), tile: float | None = None) -> DataFrame:
+    """Rows taken in order if they are at least their own `least` from all taken before; same columns, the result of one pass in order.
+
+    In rounds over square tiles (of the first two axes, `tile` wide): a tile goes through its open rows in order and decides each
+    whose earlier neighbours, those of the tiles around included, are all decided; others wait for the next round. The first
+    open row of a scene is always decided, and a scene in one tile takes one round. Rows equal in order must not be near each
+    other; of rows that repeat one is taken."""
+    base = cut(points.withColumn("_at", F.monotonically_increasing_id()))
+    widest = base.agg(F.max("least")).first()[0]
+    side = tile or (TILE * widest if widest and widest > 0 else 1.0)
+    place = [F.col(c).cast("double").alias(f"p{k}") for k, c in enumerate(axes)]
+    work = base.select("_at", F.col(key).alias("k"), F.col(order).alias("o"), *place, F.col("least").cast("double").alias("least"))
+    a, b = (F.floor(F.col(f"p{k}") / side).alias(n) for k, n in enumerate("ab"))
+    work = cut(work.select("*", a, b, F.lit(None).cast("boolean").alias("taken")))
+    names, kinds = ["_at", "k", "o", *(f"p{k}" for k in range(len(axes))), "least", "a", "b"], "_at long, taken boolean"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        held, taken = Spread(float(rows["least"].max())), []
-        for point, least in zip(zip(*(rows[a] for a in axes)), rows["least"]):
-            taken.append(held.far(point, least))
-            if taken[-1]:
+        rows = rows.sort_values(["o", "_at"], kind="stable")
+        held, waiting, found = Spread(widest), Spread(widest), []
+        for at, own, taken, least, *point in zip(rows["_at"], rows["own"], rows["taken"], rows["least"], *(rows[f"p{k}"] for k in range(len(axes)))):
+            point = tuple(point)
+            if own and taken is None:
+                taken = False if not held.far(point, least) else True if waiting.far(point, least) else None
+                found.append((at, taken))
+            if taken is None:
+                waiting.add(point)
+            elif taken:
                 held.add(point)
-        return rows[taken]
+        return pd.DataFrame(found, columns=["_at", "taken"]).astype({"taken": object})
 
-    return points.groupBy(key).applyInPandas(run, points.schema)
+    while True:
+        live = work.filter("taken is null or taken")
+        near = [((da, db), _beside("p0", "a", da, side, widest) & _beside("p1", "b", db, side, widest)) for da in (-1, 0, 1) for db in (-1, 0, 1) if da or db]
+        moves = F.filter(F.array(*(F.when(is_near, F.struct(F.lit(da).alias("da"), F.lit(db).alias("db"))) for (da, db), is_near in near)), lambda m: m.isNotNull())
+        ring = live.withColumn("m", F.explode(moves)).withColumn("a", F.col("a") + F.col("m.da")).withColumn("b", F.col("b") + F.col("m.db"))
+        both = live.select(*names, F.col("taken"), F.lit(True).alias("own")).unionByName(ring.select(*names, "taken", F.lit(False).alias("own")))
+        open_ = work.filter("taken is null").select("k", "a", "b").distinct()
+        judged = both.join(open_, ["k", "a", "b"], "left_semi").groupBy("k", "a", "b").applyInPandas(run, kinds).withColumnRenamed("taken", "now")
+        work = cut(work.join(judged, "_at", "left").withColumn("taken", F.coalesce("taken", "now")).drop("now"))
+        if work.filter("taken is null").isEmpty():
+            return base.join(work.filter("taken").select("_at"), "_at", "left_semi").drop("_at")
+
+
+def _beside(place: str, tile: str, move: int, side: float, widest: float) -> Column:
+    """Whether a point of a tile may matter to the next tile along one axis."""
+    if not move:
+        return F.lit(True)
+    return F.col(place) - F.col(tile) * side <= widest if move < 0 else (F.col(tile) + 1) * side - F.col(place) <= widest
 
 
 def darts(boxes: DataFrame, key: str, distance: float, count: int, tries: int = 30, seed: int = 42, kind: str = "long") -> DataFrame:
@@ -97,14 +139,14 @@ def novelty(candidates: DataFrame, keys: list[str], order: list[str], least: flo
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", *order], ascending=[False, *(True for _ in order)], kind="stable")
-        covered, taken = set(), []
-        for marks, target in zip(rows["marks"], rows["target"]):
-            own = set(marks)
-            new = len(own - covered) / len(own) if own else 0.0
-            take = sum(taken) < target and (sum(taken) < free or new >= least)
-            taken.append(take)
-            if take:
-                covered |= own
+        covered, taken, count = set(), np.zeros(len(rows), bool), 0
+        for k, (marks, target) in enumerate(zip(rows["marks"], rows["target"])):
+            if count < target:
+                own = set(marks)
+                new = len(own - covered) / len(own) if own else 0.0
+                if count < free or new >= least:
+                    taken[k], count = True, count + 1
+                    covered |= own
         return rows[taken]
 
     return candidates.groupBy(*keys).applyInPandas(run, candidates.schema)

@@ -171,6 +171,25 @@ def test_all_pairs_of_nothing(spark):
     assert graph.all_pairs(spark.createDataFrame([], "scene_id long, idx long"), spark.createDataFrame([], "scene_id long, i long, j long, d double")).count() == 0
 
 
+@pytest.mark.parametrize(("axes", "tile"), [(("x", "y"), None), (("x", "y", "z"), 9.0)])
+def test_greedy_in_rounds_equals_one_pass(spark, axes, tile):
+    """Random and path-like order, distances of their own, points on tile borders, repeated points; one tile and many."""
+    rng = np.random.default_rng(11)
+    rows = [(1, k, *rng.uniform(-6, 6, 3).tolist(), float(rng.choice([0.4, 0.7, 1.2]))) for k in range(300)]
+    rows += [(2, k, k * 0.13, math.sin(k / 9), 0.0, 0.5) for k in range(200)] + [(3, k, 2.6 * (k % 3), 1.3 * (k % 4), 0.0, 1.3) for k in range(40)] + [(4, 0, 0.0, 0.0, 0.0, 0.0), (4, 1, 0.0, 0.0, 0.0, 0.0)]
+    want = set()
+    for scene in (1, 2, 3, 4):
+        held = []
+        for _, k, *xyz, least in (r for r in rows if r[0] == scene):
+            if all(math.dist(xyz[: len(axes)], o) >= least for o in held):
+                held.append(xyz[: len(axes)])
+                want.add((scene, k))
+    frame = spark.createDataFrame(rows, "scene_id long, idx long, x double, y double, z double, least double").repartition(5)
+    got = folds.greedy(frame, "scene_id", "idx", axes, tile)
+    assert got.columns == frame.columns and sorted((r.scene_id, r.idx) for r in got.collect()) == sorted(want)
+    assert folds.greedy(frame.limit(0), "scene_id", "idx").count() == 0
+
+
 def test_walks(spark):
     links = [(1, a, b) for a in range(6) for b in range(6) if abs(a - b) in (1, 2)]
     rooms = [(1, k, None if k == 3 else f"room_{k // 2}") for k in range(7)]

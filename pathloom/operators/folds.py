@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators import spline
 from pathloom.operators.scene import cut
 
 
@@ -187,38 +188,14 @@ def walks(edges: DataFrame, rooms: DataFrame, seed: int, per_waypoint: int = 2,
     return edges.groupBy("scene_id").cogroup(named.groupBy("room_scene")).applyInPandas(run, "scene_id long, walk long, path array<long>")
 
 
-def smooth(points: DataFrame, key: str = "path_id", order: str = "seq", penalty: float = 0.2) -> DataFrame:
-    """Each polyline through a penalised cubic B-spline over its chord length, at as many points, ends pinned.
+def smooth(points: DataFrame, key: str = "path_id", order: str = "seq", bound: float = 0.2) -> DataFrame:
+    """Each polyline (x, y, z in order) on the smoothest cubic spline whose squared distances from its vertices sum to bound (spline.py).
 
-    Polylines of fewer than 4 distinct vertices, without length or with non-finite values stay as they are."""
-
-    def basis(u: np.ndarray, inner: int) -> np.ndarray:
-        knots = np.r_[np.zeros(3), np.linspace(0, 1, inner + 2), np.ones(3)]
-        n = len(knots) - 4
-        b = ((knots[None, :-1] <= u[:, None]) & (u[:, None] < knots[None, 1:])).astype(float)
-        b[u >= 1, n - 1] = 1.0
-        for degree in (1, 2, 3):
-            left, right = knots[degree:-1] - knots[: -degree - 1], knots[degree + 1 :] - knots[1:-degree]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                one = np.where(left > 0, (u[:, None] - knots[None, : -degree - 1]) / left, 0.0)
-                two = np.where(right > 0, (knots[None, degree + 1 :] - u[:, None]) / right, 0.0)
-            b = one * b[:, :-1] + two * b[:, 1:]
-        return b
+    As many rows as before. Polylines of fewer than 4 distinct vertices or with non-finite values stay as they are."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        xyz = rows[["x", "y", "z"]].to_numpy(float)
-        step = np.sqrt((np.diff(xyz, axis=0) ** 2).sum(axis=1))
-        kept = xyz[np.r_[True, step > 1e-6]] if len(xyz) else xyz
-        if len(xyz) < 4 or not np.isfinite(xyz).all() or len(kept) < 4:
-            return rows
-        length = np.r_[0.0, np.cumsum(np.sqrt((np.diff(kept, axis=0) ** 2).sum(axis=1)))]
-        inner = max(0, min(len(kept) - 4, 64))
-        b = basis(length / length[-1], inner)
-        bend = np.diff(np.eye(b.shape[1]), 2, axis=0)
-        weights = np.linalg.solve(b.T @ b + penalty / len(kept) * bend.T @ bend + 1e-9 * np.eye(b.shape[1]), b.T @ kept)
-        new = basis(np.linspace(0, 1, len(xyz)), inner) @ weights
-        new[0], new[-1] = xyz[0], xyz[-1]
-        return rows.assign(x=new[:, 0], y=new[:, 1], z=new[:, 2])
+        xyz = spline.curve(rows[["x", "y", "z"]].to_numpy(float), bound)
+        return rows.assign(x=xyz[:, 0], y=xyz[:, 1], z=xyz[:, 2])
 
     return points.groupBy(key).applyInPandas(run, points.schema)

@@ -269,14 +269,34 @@ def marker_colours(spark, sf_dir):
     return track(spark, sf_dir).select("path_id").distinct().join(n).select("path_id", (0.9 - share * 0.8).alias("red"), F.lit(0.5).alias("green"), (share * 0.8 + 0.1).alias("blue"))
 
 
-@query("SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY seq)-1 AS INTEGER) AS frame, x, y, z, tx, ty, tz FROM (SELECT path_id, seq, x, y, z+15e-1 AS z, lead(x) OVER w AS tx, lead(y) OVER w AS ty, lead(z) OVER w+15e-1 AS tz, count(*) OVER (PARTITION BY path_id) AS n FROM (SELECT * FROM d WHERE d IS NULL OR d>1e-6) " + W + ") WHERE tx IS NOT NULL AND n>2", D)
-def frame_plan(spark, sf_dir):
-    """Camera frames of each path of more than two vertices: duplicates dropped, looking at the next vertex."""
-    t = stepped(track(spark, sf_dir)).filter("d is null or d > 1e-6").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path_id"))).filter("n > 2").drop("n", "d")
-    p = poses(t, 1.5).filter("tx is not null").drop("mx", "my", "mz")
+def capture_vertices(t: DataFrame) -> DataFrame:
+    """The vertices of paths that are captured: paths of more than two vertices, counted first; then those within 1e-6 of the one before go."""
+    counted = t.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path_id"))).filter("n > 2").drop("n")
+    return stepped(counted).filter("d is null or d > 1e-6").drop("d")
+
+
+def framed(vertices: DataFrame) -> DataFrame:
+    """A camera frame at each vertex but the last, looking at the next one."""
+    p = poses(vertices, 1.5).filter("tx is not null").drop("mx", "my", "mz")
     return p.withColumn("frame", (F.row_number().over(along()) - 1).cast("int")).drop("seq")
 
 
+def planned_frames(t: DataFrame) -> DataFrame:
+    """Frames of all captured paths (path_id, seq, x, y, z): counted, near vertices dropped, smoothed, in this order."""
+    return framed(FO.smooth(capture_vertices(t)))
+
+
+@query()
+def frame_plan(spark, sf_dir):
+    return planned_frames(track(spark, sf_dir))
+
+
+@query("SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY seq)-1 AS INTEGER) AS frame, x, y, z, tx, ty, tz FROM (SELECT path_id, seq, x, y, z+15e-1 AS z, lead(x) OVER w AS tx, lead(y) OVER w AS ty, lead(z) OVER w+15e-1 AS tz FROM (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY path_id) AS n FROM d) WHERE n>2 AND (d IS NULL OR d>1e-6)) " + W + ") WHERE tx IS NOT NULL", D)
+def frame_plan_plain(spark, sf_dir):
+    """The same frames on the vertices as they are, without smoothing."""
+    return framed(capture_vertices(track(spark, sf_dir)))
+
+
 @query("SELECT path_id, CAST(f AS BIGINT) AS frame, x, y, coalesce(nx, 2*x-px) AS tx, coalesce(ny, 2*y-py) AS ty FROM (SELECT *, row_number() OVER w - 1 AS f, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lag(x) OVER w AS px, lag(y) OVER w AS py FROM (SELECT path_id, 1 AS seq, 0 AS k, x, y FROM v_track WHERE seq=1 UNION ALL SELECT path_id, seq, k, x, y FROM i) WINDOW w AS (PARTITION BY path_id ORDER BY seq, k))", IP)
 def frame_plan_video(spark, sf_dir):
     """Frames at equal small steps, the last one looking on along the way."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import tags as T
-from pathloom.operators import folds, graph, grid, regions, search, tiles
+from pathloom.operators import folds, graph, grid, regions, search, spline, tiles
 from pathloom.operators.scene import resolve_rooms
 from pathloom.operators.spatial import distance_join, points_in_boxes
 from pathloom.plans import path_queries, scene_queries
@@ -265,6 +265,18 @@ def test_scan_of_files(spark, tmp_path):
     assert [r.id for r in rows] == ["kitchen_0/0", "door_1", "table_1"] and rows[0].scene_id.endswith("one.json")
 
 
+def test_frames_count_before_they_drop(spark):
+    """Three vertices, two of them equal, give one frame; two vertices none; longer paths are smoothed."""
+    rows = [(1, 1, 0.0, 0.0, 0.0), (1, 2, 0.0, 0.0, 0.0), (1, 3, 1.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0), (2, 2, 1.0, 0.0, 0.0)]
+    rows += [(3, k, float(k), float(k % 2), 0.0) for k in range(12)]
+    t = spark.createDataFrame(rows, "path_id long, seq long, x double, y double, z double")
+    frames = path_queries.planned_frames(t).orderBy("path_id", "frame").collect()
+    assert [(r.path_id, r.frame) for r in frames] == [(1, 0)] + [(3, k) for k in range(11)]
+    assert (frames[0].x, frames[0].tx, frames[0].z, frames[0].tz) == (0.0, 1.0, 1.5, 1.5)
+    want = spline.curve(np.array([r[2:] for r in rows if r[0] == 3]))
+    assert np.allclose([(r.x, r.y) for r in frames[1:]], want[:-1, :2]) and not np.allclose(want, [r[2:] for r in rows if r[0] == 3])
+
+
 def test_folds(spark):
     rng = random.Random(2)
     p = [(s, k, rng.uniform(0, 4), rng.uniform(0, 4), 0.7) for s in range(3) for k in range(80)]

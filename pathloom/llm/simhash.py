@@ -4,8 +4,8 @@
 2. Shards: a vantage-point split of random 64-bit codes overlaps three quarters of its shard at each level (distances
    crowd around 32, radius 4), so shards are cut by the pigeonhole principle first: of `blocks` bit blocks at least
    blocks - 4 are equal in a linked pair, and each choice of equal blocks is a shard key. Pairs can only meet in such
-   a shard, so this is exact. A shard of more than CHUNK rows is split into chunks, and each pair of chunks is a unit
-   of its own, which spreads a hot shard over many tasks.
+   a shard, so this is exact. A shard of more than CHUNK rows is dealt once more by the bits that its key leaves open, on
+   the same principle; what is still hot then is split into chunks, and each pair of chunks is a unit of its own.
 3. In a unit a vantage-point tree is searched for all members at once; branches are pruned by triangle bounds. A unit
    returns a spanning star for each of its groups (at most as many links as members), never all pairs.
 4. Components: least label and pointer jumping, with a reliable checkpoint after each round.
@@ -35,6 +35,8 @@ from ._common import cut, gives_back, id_and_text, whole_rows
 
 SEED = 42
 CHUNK = 1024
+#: Blocks into which the open bits of a hot shard are cut; two of them are equal in a pair that links.
+FINER_BLOCKS = 6
 #: Small tables (numbers only, under 100 bytes a row) are broadcast up to this many rows, counted before; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 LEAF = 48
@@ -204,6 +206,23 @@ def shard_keys(fp, scheme: tuple[int, int]):
     return F.array(*keys)
 
 
+def _finer(probes: DataFrame, scheme: tuple[int, int]) -> DataFrame:
+    """fp and key of probes (fp, number of the choice, key), where shards of more than CHUNK codes are dealt by further bits.
+
+    The bits that a choice leaves open are cut into FINER_BLOCKS; at 4 differing bits or fewer two of these at least are equal, so
+    each pair of blocks is a shard of its own within the first."""
+    blocks, equal = scheme
+    edges, masks = [64 * k // blocks for k in range(blocks + 1)], []
+    for chosen in combinations(range(blocks), equal):
+        open_ = [bit for k in range(blocks) if k not in chosen for bit in range(edges[k], edges[k + 1])]
+        cuts = [len(open_) * k // FINER_BLOCKS for k in range(FINER_BLOCKS + 1)]
+        parts = [sum(1 << bit for bit in open_[a:b]) for a, b in zip(cuts, cuts[1:])]
+        masks.append([int(np.uint64(x | y).astype(np.int64)) for x, y in combinations(parts, 2)])
+    hot = cut(probes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select(F.col("key"), F.lit(True).alias("hot")))
+    own = F.transform(F.element_at(F.lit(masks), F.col("number") + 1), lambda mask, k: F.xxhash64("key", k, F.col("fp").bitwiseAND(mask)))
+    return probes.join(_small(hot), "key", "left").select("fp", F.explode(F.when(F.col("hot"), own).otherwise(F.array("key"))).alias("key"))
+
+
 def _units(probes: DataFrame, *columns: str, weight=F.lit) -> DataFrame:
     """Rows of columns (the first names the member) with the unit they meet in: a shard, or a pair of chunks of a hot one.
 
@@ -231,7 +250,7 @@ def hamming_links(codes: DataFrame, count: int, radius: int = 4, scheme: tuple[i
         raise ValueError("the shard schemes are made for 4 differing bits")
     scheme = scheme or next((s for s in SCHEMES if count / 2 ** (64 * s[1] // s[0]) <= SHARD_ROWS), SCHEMES[-1])
     spark = codes.sparkSession
-    units = _units(codes.select("fp", F.explode(shard_keys(F.col("fp"), scheme)).alias("key")), "fp")
+    units = _units(_finer(codes.select("fp", F.posexplode(shard_keys(F.col("fp"), scheme)).alias("number", "key")), scheme), "fp")
     rows = count * len(list(combinations(range(scheme[0]), scheme[1])))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 200_000 + 1)
 
@@ -416,4 +435,6 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     single = held.filter("stays is null").select("row.*")
     if marked.filter("stays").isEmpty():
         return single
-    return single.union(held.filter("stays").dropDuplicates(["own_id", "own_hash"]).select("row.*"))
+    # of repeated rows that differ in another column the one whose columns hash lowest
+    once = held.filter("stays").groupBy("own_id", "own_hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return single.union(once.select("row.*"))

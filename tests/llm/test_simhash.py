@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from pathloom.llm import simhash
 from tests.llm.helpers import NASTY, docs
@@ -73,6 +74,49 @@ def test_tree_and_shards_against_all_pairs(spark, monkeypatch):
         assert all(len(v) == 1 for v in mine.values()) and len({min(v) for v in mine.values()}) == len(mine)
 
 
+def test_hot_shards_are_dealt_by_further_bits(spark, monkeypatch):
+    """Codes that share 32 bits, as random ones, as clusters and as all values of ten bits: links as of all pairs, few rows more than codes."""
+    rng = random.Random(4)
+    codes = [rng.getrandbits(32) for _ in range(1200)]
+    for _ in range(800):
+        c = rng.choice(codes)
+        for b in rng.sample(range(32), rng.choice([1, 3, 4, 5, 6])):
+            c ^= 1 << b
+        codes.append(c)
+    monkeypatch.setattr(simhash, "CHUNK", 50)
+    for held in (sorted({(7 << 40) | c for c in codes}), [(9 << 33) | k << 3 for k in range(1024)]):
+        signed = np.array(held, np.uint64).astype(np.int64).tolist()
+        frame = spark.createDataFrame([(c,) for c in signed], "fp long")
+        want = plain_components(held)
+        groups = {r.v: r.label for r in simhash.components(simhash.hamming_links(frame, len(held), scheme=(8, 4))).collect()}
+        mine = {}
+        for c, w in zip(signed, want):
+            mine.setdefault(w, set()).add(groups.get(c, c))
+        assert all(len(v) == 1 for v in mine.values()) and len({min(v) for v in mine.values()}) == len(mine)
+
+
+def test_a_hot_key_grows_with_its_codes(spark):
+    """65,536 codes under one key: far fewer rows than chunk pairs would take."""
+    rng = np.random.default_rng(5)
+    codes = np.unique(rng.integers(0, 1 << 32, 65_700, np.uint64))[:65_536].astype(np.int64)
+    frame = spark.createDataFrame([(int(c),) for c in codes], "fp long")
+    probes = frame.select("fp", F.posexplode(simhash.shard_keys(F.col("fp"), (8, 4))).alias("number", "key")).filter("number = 69")
+    assert probes.select("key").distinct().count() == 1
+    units = simhash._units(simhash._finer(probes, (8, 4)), "fp")
+    assert units.count() < 1_000_000
+    assert units.groupBy("unit").count().agg(F.max("count")).first()[0] < 2048
+
+
+def test_a_repeated_row_is_chosen_by_its_columns(spark):
+    """Rows of one id and text that differ in another column: the same one stays, whatever their order."""
+    rows = [(1, "a b c d e f", k) for k in range(6)] + [(2, "other words here", 0)]
+    kept = []
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, n_chars int").repartition(3)
+        kept.append(sorted((r.doc_id, r.n_chars) for r in simhash.one_of_each(frame).collect()))
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(25)] + [(100, 101)], "a long, b long")
     got = {r.v: r.label for r in simhash.components(links).collect()}

@@ -83,14 +83,15 @@ def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         add()
     used = np.flatnonzero(counts[:-1])
-    arrays = [pa.array(used), pa.array(counts[used]), *(pa.array(sums[used, d].astype(np.float32)) for d in range(DIM))]
+    # whole numbers, so that the totals do not depend on the order in which tasks are added up
+    arrays = [pa.array(used), pa.array(counts[used].astype(np.int64)), *(pa.array(np.rint(sums[used, d]).astype(np.int64), pa.int32()) for d in range(DIM))]
     yield pa.RecordBatch.from_arrays(arrays, ["bucket", "n", *(f"v{d}" for d in range(DIM))])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """A unit vector per bucket, from the whole corpus; zeros for unused buckets and the gap."""
     names = [f"v{d}" for d in range(DIM)]
-    rows = id_and_text(docs).select("text").mapInArrow(_context, "bucket long, n double, " + ", ".join(f"{n} float" for n in names))
+    rows = id_and_text(docs).select("text").mapInArrow(_context, "bucket long, n long, " + ", ".join(f"{n} int" for n in names))
     summed = rows.groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in names)).toPandas()
     out = np.zeros((BUCKETS + 1, DIM))
     at = summed["bucket"].to_numpy(np.int64)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pathloom.operators import folds as FO
 from pathloom.operators import graph as GR
 from pathloom.operators import grid as GD
 from pathloom.operators import scene as S
+from pathloom.operators.scene import cut
 from pathloom.operators.spatial import distance_join, first_box, points_in_boxes
 from pathloom.plans import graph_queries as N
 from pathloom.plans import grid_queries as Q
@@ -113,19 +115,58 @@ def sampled_targets(spark, sf_dir, count: int):
     return n.withColumn("k", (c("pt").cast("long") * 7919 + c("region_id") * 104729 + 42) % c("n")).join(places, ["scene_id", "region_id", "k"]).select("scene_id", "region_id", "pt", "i", "j")
 
 
-@query(f"SELECT idx, region_id, pt, round(d{Q.METRES}, 6) AS distance FROM (SELECT p.idx, t.region_id, t.pt, w.d, row_number() OVER (PARTITION BY p.idx, t.region_id ORDER BY w.d, t.pt) AS k FROM pc p JOIN target t ON t.s=p.s JOIN sp w ON w.s=p.s AND w.si=p.i AND w.sj=p.j AND w.i=t.i AND w.j=t.j JOIN labels x ON x.s=p.s AND x.i=p.i AND x.j=p.j JOIN labels y ON y.s=t.s AND y.i=t.i AND y.j=t.j AND y.label=x.label WHERE NOT EXISTS (SELECT 1 FROM v_waypoints v JOIN v_regions r ON r.scene_id=v.scene_id WHERE v.idx=p.idx AND r.region_id=t.region_id AND sqrt((v.x-r.cx)*(v.x-r.cx)+(v.y-r.cy)*(v.y-r.cy)) <= r.radius)) WHERE k=1 AND d{Q.METRES} >= 2e0", Q.MASK.replace(Q.GRID, Q.LABELS) + ", " + Q.PC + Q._search(Q.FROM_WAYPOINTS) + _targets_sql(15))
+#: Random starts of a scene, tries for each, the camera's height, and the distance that starts keep (half a step of the path points).
+N_STARTS, TRIES, CAMERA_Z, START_SPREAD = 60, 200, 1.5, 0.75
+DRAWN_STARTS = f""", tried AS (SELECT scene_id AS s, draw, try, ny, (draw*{FO.WALK}+try*{FO.STEP}+scene_id*{FO.SCENE}+42)*{FO.MULTIPLIER}%{FO.MODULUS}%(nx*ny) AS k FROM v_bounds, range({N_STARTS}) d(draw), range({TRIES}) t(try)),
+hit AS (SELECT t.s, t.draw, arg_min(f.i, t.try) AS i, arg_min(f.j, t.try) AS j FROM tried t JOIN f ON f.s=t.s AND f.i=t.k//t.ny AND f.j=t.k%t.ny GROUP BY t.s, t.draw),
+drawn_start AS (SELECT h.s, h.draw, h.i, h.j, b.low_x+(h.i+5e-1)*5e-1 AS x, b.low_y+(h.j+5e-1)*5e-1 AS y, row_number() OVER (PARTITION BY h.s ORDER BY h.draw) AS n FROM hit h JOIN v_bounds b ON b.scene_id=h.s),
+spread_start(s, n, xs, ys, took) AS (SELECT DISTINCT s, CAST(0 AS BIGINT), CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[]), CAST(NULL AS BIGINT) FROM drawn_start
+    UNION ALL SELECT s, n, CASE WHEN ok THEN list_append(xs, x) ELSE xs END, CASE WHEN ok THEN list_append(ys, y) ELSE ys END, CASE WHEN ok THEN draw END
+    FROM (SELECT d.*, w.xs, w.ys, len(list_filter(range(1, len(w.xs)+1), lambda m: sqrt((w.xs[m]-d.x)*(w.xs[m]-d.x)+(w.ys[m]-d.y)*(w.ys[m]-d.y)) < 75e-2))=0 AS ok FROM spread_start w JOIN drawn_start d ON d.s=w.s AND d.n=w.n+1)),
+start AS (SELECT d.s, d.draw, d.i, d.j, d.x, d.y FROM drawn_start d JOIN spread_start k ON k.s=d.s AND k.took=d.draw)"""
+
+
+def starts(spark, sf_dir, count: int = N_STARTS, tries: int = TRIES, least: float = START_SPREAD, seed: int = 42):
+    """scene_id, start, i, j, x, y: `count` random floor cells of each scene, each by the first of `tries` draws from the whole grid that hits a
+    floor, in order, if they are at least `least` from all taken before. Draws are whole numbers from seed, scene, start and try."""
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    b = Q.bounds(spark, sf_dir)
+    t = b.select("scene_id", "nx", "ny", span(count).alias("start")).withColumn("try", span(tries))
+    k = (c("start") * FO.WALK + c("try") * FO.STEP + c("scene_id") * FO.SCENE + seed) * FO.MULTIPLIER % FO.MODULUS % (c("nx") * c("ny"))
+    t = t.withColumn("k", k).select("scene_id", "start", "try", F.floor(c("k") / c("ny")).cast("int").alias("i"), (c("k") % c("ny")).cast("int").alias("j"))
+    hit = t.join(Q.grid(spark, sf_dir).filter("state = 0").select("scene_id", "i", "j"), ["scene_id", "i", "j"])
+    first = hit.groupBy("scene_id", "start").agg(F.min(F.struct("try", "i", "j")).alias("m")).join(b.select("scene_id", "low_x", "low_y"), "scene_id")
+    at = first.select("scene_id", "start", "m.i", "m.j", (c("low_x") + (c("m.i") + 0.5) * 0.5).alias("x"), (c("low_y") + (c("m.j") + 0.5) * 0.5).alias("y"), F.lit(least).alias("least"))
+    return FO.greedy(at, "scene_id", "start").drop("least")
+
+
+@query("SELECT s AS scene_id, draw AS start, i, j, x, y, 15e-1 AS z FROM start", Q.GRID + DRAWN_STARTS)
+def random_starts(spark, sf_dir):
+    """Spread random starts of each scene at camera height."""
+    return starts(spark, sf_dir).withColumn("z", F.lit(CAMERA_Z))
+
+
+START_PAIRS = Q.MASK.replace(Q.GRID, Q.LABELS) + DRAWN_STARTS + Q._search("SELECT DISTINCT s, i AS si, j AS sj FROM start") + _targets_sql(15)
+HELD_IN = "EXISTS (SELECT 1 FROM v_regions r WHERE r.scene_id=p.s AND r.region_id=t.region_id AND sqrt((p.x-r.cx)*(p.x-r.cx)+(p.y-r.cy)*(p.y-r.cy)) <= r.radius)"
+
+
+@query(f"SELECT s AS scene_id, draw AS start, region_id, pt, round(d{Q.METRES}, 6) AS distance FROM (SELECT p.s, p.draw, t.region_id, t.pt, w.d, row_number() OVER (PARTITION BY p.s, p.draw, t.region_id ORDER BY w.d, t.pt) AS k FROM start p JOIN target t ON t.s=p.s JOIN sp w ON w.s=p.s AND w.si=p.i AND w.sj=p.j AND w.i=t.i AND w.j=t.j JOIN labels x ON x.s=p.s AND x.i=p.i AND x.j=p.j JOIN labels y ON y.s=t.s AND y.i=t.i AND y.j=t.j AND y.label=x.label WHERE NOT {HELD_IN}) WHERE k=1 AND d{Q.METRES} >= 2e0", START_PAIRS)
 def gr_candidates(spark, sf_dir):
-    """Every start against every goal region of its scene that it is not in: the nearest of 15 sampled targets by the way on the grid, 2 or more away."""
-    return region_candidates(spark, sf_dir).select("idx", "region_id", "pt", F.round("distance", 6).alias("distance"))
+    """Every random start against every goal region of its scene that it is not in: the nearest of 15 sampled targets by the way on the grid, 2 or more away."""
+    return region_candidates(spark, sf_dir, starts(spark, sf_dir)).select("scene_id", "start", "region_id", "pt", F.round("distance", 6).alias("distance"))
 
 
-def region_candidates(spark, sf_dir, least: float = 2.0, n_targets: int = 15):
-    starts = Q.in_cells(spark, sf_dir)
-    ends = starts.select("scene_id", F.lit("from").alias("role"), c("idx").alias("id"), F.lit(0).alias("pt"), "i", "j").unionByName(
+def region_candidates(spark, sf_dir, begun, least: float = 2.0, n_targets: int = 15):
+    """scene_id, start, region_id, pt, distance of starts (scene_id, start, i, j, x, y)."""
+    begun = cut(begun)
+    ends = begun.select("scene_id", F.lit("from").alias("role"), c("start").alias("id"), F.lit(0).alias("pt"), "i", "j").unionByName(
         sampled_targets(spark, sf_dir, n_targets).select("scene_id", F.lit("to").alias("role"), c("region_id").alias("id"), "pt", "i", "j"))
     found = GD.nearest_pairs(ends, Q.labels(spark, sf_dir), Q.RES).filter(c("length") >= least)
-    found = found.select("scene_id", c("from_id").alias("idx"), c("to_id").alias("region_id"), c("pt_to").alias("pt"), c("length").alias("distance"))
-    return found.join(N.in_regions(spark, sf_dir).select("scene_id", "idx", "region_id"), ["scene_id", "idx", "region_id"], "left_anti")
+    found = found.select("scene_id", c("from_id").alias("start"), c("to_id").alias("region_id"), c("pt_to").alias("pt"), c("length").alias("distance"))
+    centres = view(spark, sf_dir, "v_regions").select("scene_id", "region_id", c("cx").alias("x"), c("cy").alias("y"))
+    inside = distance_join(begun.select("scene_id", "start", "x", "y"), centres, 1.5, keys=("scene_id",))
+    inside = inside.select(c("scene_id_a").alias("scene_id"), c("start_a").alias("start"), c("region_id_b").alias("region_id"))
+    return found.join(inside, ["scene_id", "start", "region_id"], "left_anti")
 
 
 @query("SELECT idx, region_id, pt, d FROM (SELECT p.idx, t.region_id, t.pt, sqrt((p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y)) AS d, row_number() OVER (PARTITION BY p.idx, t.region_id ORDER BY sqrt((p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y)), t.pt) AS k FROM v_waypoints p JOIN (SELECT g.s, g.region_id, g.pt, b.low_x+(g.i+5e-1)*5e-1 AS x, b.low_y+(g.j+5e-1)*5e-1 AS y FROM target g JOIN v_bounds b ON b.scene_id=g.s) t ON t.s=p.scene_id) WHERE k=1", Q.MASK + _targets_sql(20))

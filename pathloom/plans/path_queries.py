@@ -387,32 +387,49 @@ def random_points(spark, sf_dir):
 
 
 def region_tracks(spark, sf_dir) -> DataFrame:
-    """The ways of all region candidates as polylines at camera height: path_id (start and region), seq, x, y, z."""
-    wanted = cut(J.region_candidates(spark, sf_dir))
-    starts = Q.in_cells(spark, sf_dir).select("scene_id", "idx", c("i").alias("i1"), c("j").alias("j1"))
+    """The ways of all region candidates as polylines at camera height: scene_id, start, region_id, path_id (a hash of these), seq, x, y, z."""
+    begun = cut(J.starts(spark, sf_dir))
+    wanted = J.region_candidates(spark, sf_dir, begun)
     ends = J.sampled_targets(spark, sf_dir, 15).select("scene_id", "region_id", "pt", c("i").alias("i2"), c("j").alias("j2"))
-    ask = wanted.join(starts, ["scene_id", "idx"]).join(ends, ["scene_id", "region_id", "pt"]).withColumn("q", c("idx") * 20 + c("region_id") % 20)
-    found = GD.grid_paths(ask.select("scene_id", "q", "i1", "j1", "i2", "j2"), Q.labels(spark, sf_dir), Q.RES, with_path=True)
-    at = found.select("scene_id", c("q").alias("path_id"), F.posexplode("path").alias("k", "cell")).join(Q.bounds(spark, sf_dir), "scene_id")
-    return at.select("scene_id", "path_id", (c("k") + 1).cast("long").alias("seq"), (c("low_x") + (c("cell.i") + 0.5) * 0.5).alias("x"), (c("low_y") + (c("cell.j") + 0.5) * 0.5).alias("y"), F.lit(1.5).alias("z"))
+    ask = wanted.join(begun.select("scene_id", "start", c("i").alias("i1"), c("j").alias("j1")), ["scene_id", "start"]).join(ends, ["scene_id", "region_id", "pt"])
+    found = GD.grid_paths(ask, Q.labels(spark, sf_dir), Q.RES, with_path=True, key=("start", "region_id"))
+    at = found.select("scene_id", "start", "region_id", F.posexplode("path").alias("k", "cell")).join(Q.bounds(spark, sf_dir), "scene_id").withColumn("path_id", F.xxhash64("scene_id", "start", "region_id"))
+    place = lambda a, k: (c(f"low_{a}") + (c(f"cell.{k}") + 0.5) * 0.5).alias(a)
+    return at.select("scene_id", "start", "region_id", "path_id", (c("k") + 1).cast("long").alias("seq"), place("x", "i"), place("y", "j"), F.lit(J.CAMERA_Z).alias("z"))
 
 
-@query()
-def sample_vln_paths_gr(spark, sf_dir):
-    """From every start to every region of its scene: ways resampled at 1.5, scored, classed by rooms, at most 30 short, 40 medium
-    and 20 long ones chosen by novelty over cells of 1, and the way back of those of four points or more."""
+def gr_paths(spark, sf_dir) -> DataFrame:
+    """From spread random starts to every region of their scene that they are not in: ways resampled at 1.5, scored, classed by rooms, at most
+    30 short, 40 medium and 20 long ones chosen by novelty over cells of 1; line holds the path points."""
     ways = cut(region_tracks(spark, sf_dir))
-    points = resampled(ways.drop("scene_id"), 1.5).join(ways.select("scene_id", "path_id").distinct(), "path_id")
+    named = ways.select("scene_id", "start", "region_id", "path_id").distinct()
+    points = resampled(ways.drop("scene_id", "start", "region_id"), 1.5).join(named, "path_id")
     rooms = J.rooms_of(points.select("scene_id", "path_id", "k", "x", "y", "z"), spark, sf_dir, ("path_id", "k")).groupBy("path_id").agg(F.countDistinct("room_id").alias("n_rooms"))
     line = F.array_sort(F.collect_list(F.struct("k", "x", "y", "z")))
-    cell = F.transform("line", lambda p: p["x"].cast("int") * 100_000 + p["y"].cast("int"))
     length = stepped(ways).groupBy("path_id").agg(F.sum("d").alias("distance"))
-    t = points.groupBy("scene_id", "path_id").agg(line.alias("line")).join(rooms, "path_id").join(length, "path_id")
+    t = points.groupBy("scene_id", "start", "region_id", "path_id").agg(line.alias("line")).join(rooms, "path_id").join(length, "path_id")
+    cell = F.transform("line", lambda p: F.xxhash64(p["x"].cast("int"), p["y"].cast("int")))
     t = t.withColumn("score", F.round(GR.region_score(F.size("line"), c("n_rooms"), c("distance")), 7)).withColumn("scale", GR.scale(c("n_rooms"))).withColumn("marks", F.array_distinct(cell))
     t = t.withColumn("target", F.when(c("scale") == "short", 30).when(c("scale") == "medium", 40).otherwise(20))
-    kept = FO.novelty(t, ["scene_id", "scale"], ["path_id"], 0.3).drop("marks", "target").withColumn("backwards", F.lit(False))
-    both = kept.unionByName(kept.filter(F.size("line") >= 4).withColumn("line", F.reverse("line")).withColumn("backwards", F.lit(True)))
-    return both.select("scene_id", "path_id", "scale", "score", "n_rooms", F.size("line").alias("n_points"), "backwards")
+    return FO.novelty(t, ["scene_id", "scale"], ["start", "region_id"], 0.3).drop("marks", "target")
+
+
+@query()
+def sample_vln_paths_gr(spark, sf_dir):
+    """The chosen paths, and the way back of those of four points or more."""
+    ways = F.filter(F.array(F.lit(False), F.lit(True)), lambda backwards: ~backwards | (F.size("line") >= 4))
+    both = gr_paths(spark, sf_dir).withColumn("backwards", F.explode(ways))
+    ends = F.when(c("backwards"), F.reverse("line")).otherwise(c("line"))
+    return both.select("scene_id", "start", "region_id", "scale", "score", "n_rooms", F.size("line").alias("n_points"), "backwards", F.get(ends, F.lit(0))["x"].alias("from_x"), F.get(ends, F.lit(0))["y"].alias("from_y"))
+
+
+@query()
+def gr_viewpoints(spark, sf_dir):
+    """The points of all chosen paths of a scene, taken in order if they are 0.4 of a step or more from those before."""
+    at = gr_paths(spark, sf_dir).select("scene_id", "start", "region_id", F.explode("line").alias("p")).select("scene_id", "start", "region_id", "p.k", "p.x", "p.y", "p.z")
+    every = at.withColumn("ord", F.struct("start", "region_id", "k")).withColumn("least", F.lit(0.4 * 1.5))
+    kept = FO.greedy(every.withColumn("ord", F.row_number().over(Window.partitionBy("scene_id").orderBy("ord"))), "scene_id", "ord", ("x", "y", "z"))
+    return kept.drop("ord", "least")
 
 
 @query()
@@ -424,9 +441,9 @@ def place_waypoints(spark, sf_dir):
     budget = F.greatest(F.lit(1), (5 * weight * F.greatest(F.lit(1.0), F.sqrt("area") / 2.0)).cast("int"))
     boxes = rooms.select("scene_id", "room_id", "type", "min_x", "min_y", "max_x", "max_y", budget.alias("most"))
     floor = weighted_floor(spark, sf_dir).drop("weight")
-    held = points_in_boxes(floor, boxes, 3.2, keys=("scene_id",)).withColumn("key", c("scene_id") * 100 + c("room_id"))
+    held = points_in_boxes(floor, boxes, 3.2, keys=("scene_id",)).withColumn("key", F.xxhash64("scene_id", "room_id"))
     own = FO.weighted_cells(held.withColumn("weight", F.lit(1.0)), "key", 1.5, None, 42, tries=None)
-    spots = own.select("scene_id", F.lit(0).alias("kind"), c("key").alias("id"), F.concat(F.lit("room:"), "type").alias("type"), "x", "y", F.lit(1.5).alias("least"))
+    spots = own.select("scene_id", F.lit(0).alias("kind"), c("room_id").cast("long").alias("id"), F.concat(F.lit("room:"), "type").alias("type"), "x", "y", F.lit(1.5).alias("least"))
     centre = rooms.select("scene_id", "room_id", ((c("min_x") + c("max_x")) / 2.0).alias("x"), ((c("min_y") + c("max_y")) / 2.0).alias("y"))
     pair = centre.withColumnsRenamed({"room_id": "other", "x": "x2", "y": "y2"}).withColumn("room_id", c("other") - 1)
     doors = centre.join(pair, ["scene_id", "room_id"]).filter(c("room_id") % 5 != 4)  # neighbours in a row of the floor plan share a door

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scene_queries", "geometry_queries", "grid_queries", "graph_queries", "join_queries", "path_queries", "extension_queries")
+MODULES = ("scene_queries", "geometry_queries", "grid_queries", "graph_queries", "join_queries", "path_queries", "extension_queries", "region_queries")
 
 
 def _all(name: str) -> dict:

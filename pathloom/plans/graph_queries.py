@@ -192,7 +192,7 @@ ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.s, c.scale ORDER BY c.s
 
 
 def candidates(spark, sf_dir):
-    """scene_id, source, a, b, distance, path, n_rooms, n_objects, score, scale of all candidates of the three sources."""
+    """scene_id, source, a, b, distance, path, n_rooms, n_objects, score, scale and rooms (in order of the path) of all candidates of the three sources."""
     points, near = cut(waypoints(spark, sf_dir)), cut(web(spark, sf_dir))  # read several times below, as are the pairs and the walks
     pairs = cut(GR.all_pairs(points.select("scene_id", "idx"), near))
     one = pairs.filter("i < j and dist >= 1 and size(path) >= 3").select("scene_id", F.lit(0).alias("source"), c("i").alias("a"), c("j").alias("b"), F.round("dist", 6).alias("distance"), "path")
@@ -204,7 +204,7 @@ def candidates(spark, sf_dir):
     t = GR.measured(one.unionByName(two).unionByName(three), points, ("source", "a", "b")).withColumn("n_rooms", F.size("rooms").cast("long"))
     plain = GR.graph_score(F.size("path"), c("n_rooms"), c("n_objects"), c("distance")) + F.when(c("source") == 2, 5.0).otherwise(0.0)
     score = F.when(c("source") == 1, F.size("path") * F.lit(0.8) + 3.0 * c("n_rooms")).otherwise(plain)
-    return t.select("scene_id", "source", "a", "b", "distance", "path", "n_rooms", "n_objects", F.round(score, 7).alias("score"), GR.scale(c("n_rooms")).alias("scale"))
+    return t.select("scene_id", "source", "a", "b", "distance", "path", "n_rooms", "n_objects", F.round(score, 7).alias("score"), GR.scale(c("n_rooms")).alias("scale"), "rooms")
 
 
 def _joined(t):
@@ -217,7 +217,7 @@ SHOWN = "s AS scene_id, source, a, b, distance, array_to_string(path, ',') AS pa
 @query(f"SELECT {SHOWN} FROM cand", CANDIDATES)
 def candidate_union(spark, sf_dir):
     """Every candidate of the three sources with its rooms, objects, score and class."""
-    return _joined(candidates(spark, sf_dir))
+    return _joined(candidates(spark, sf_dir).drop("rooms"))
 
 
 @query("SELECT s AS scene_id, a AS i, b AS j, distance, array_to_string(path, ',') AS path, n_rooms, n_objects, score FROM cand WHERE source=0", CANDIDATES)
@@ -264,16 +264,21 @@ def chosen(spark, sf_dir):
 
 @query(f"SELECT {SHOWN} FROM chosen", CHOSEN)
 def diverse_select(spark, sf_dir):
-    return _joined(chosen(spark, sf_dir).drop("marks", "target"))
+    return _joined(chosen(spark, sf_dir).drop("marks", "target", "rooms"))
 
 
 @query(f"SELECT {SHOWN}, false AS backwards FROM chosen UNION ALL SELECT {SHOWN.replace('path,', 'list_reverse(path),', 1)}, true FROM chosen WHERE len(path) >= 4", CHOSEN)
 def sample_vln_paths(spark, sf_dir):
     """Candidates of all sources, classes, novel choice, and the way back of paths of four waypoints or more."""
-    t = chosen(spark, sf_dir).drop("marks", "target")
+    return _joined(sampled_paths(spark, sf_dir).drop("rooms"))
+
+
+def sampled_paths(spark, sf_dir):
+    """The chosen candidates and their ways back, with path and rooms as arrays."""
     ways = F.filter(F.array(F.lit(False), F.lit(True)), lambda backwards: ~backwards | (F.size("path") >= 4))
-    t = t.withColumn("backwards", F.explode(ways))  # both ways from one row: the choice is made once
-    return _joined(t.withColumn("path", F.when(c("backwards"), F.reverse("path")).otherwise(c("path"))))
+    t = chosen(spark, sf_dir).drop("marks", "target").withColumn("backwards", F.explode(ways))  # both ways from one row: the choice is made once
+    turned = lambda n: F.when(c("backwards"), F.reverse(n)).otherwise(c(n))
+    return t.withColumn("path", turned("path")).withColumn("rooms", turned("rooms"))
 
 
 def sample_semantic_waypoints(spark, sf_dir):

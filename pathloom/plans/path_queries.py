@@ -469,12 +469,20 @@ def sample_semantic_waypoints(spark, sf_dir):
 # ---- output documents
 
 
-@query("SELECT path_id, CAST(0 AS INTEGER) AS line_no, concat('from: path_', path_id, '_1') AS line FROM v_track GROUP BY path_id UNION ALL SELECT path_id, 1, concat('to: path_', path_id, '_', max(seq)) FROM v_track GROUP BY path_id UNION ALL SELECT path_id, 2, concat('points: ', count(*)) FROM v_track GROUP BY path_id")
+META = D + """, line AS (SELECT path_id, min(seq) AS low, max(seq) AS high, round(coalesce(sum(d), 0e0), 4) AS length,
+    '[' || string_agg(concat('[', CAST(round(x*1e4) AS BIGINT), ', ', CAST(round(y*1e4) AS BIGINT), ', ', CAST(round(z*1e4) AS BIGINT), ']'), ', ' ORDER BY seq) || ']' AS points FROM d GROUP BY path_id)"""
+
+
+@query("""SELECT path_id, CAST(k AS INTEGER) AS line_no, CASE k WHEN 0 THEN concat('from_id: path_', path_id, '_', low) WHEN 1 THEN 'from_type: vertex' WHEN 2 THEN concat('to_id: path_', path_id, '_', high)
+    WHEN 3 THEN 'to_type: vertex' WHEN 4 THEN concat('path_length: ', CAST(round(length*1e4) AS BIGINT)) ELSE concat('points: ', points) END AS line FROM line, range(6) r(k)""", META)
 def sink_meta_lines(spark, sf_dir):
-    p = track(spark, sf_dir).groupBy("path_id").agg(F.max("seq").alias("last"), F.count(F.lit(1)).alias("n"))
-    name = lambda k: F.concat(F.lit("path_"), "path_id", F.lit("_"), k)
-    lines = F.array(F.concat_ws(": ", F.lit("from"), name(F.lit("1"))), F.concat_ws(": ", F.lit("to"), name(c("last"))), F.concat_ws(": ", F.lit("points"), "n"))
-    return p.select("path_id", F.posexplode(lines).alias("line_no", "line"))
+    """What is told of a captured path, a line for each entry: both ends and their types, the length and all points, in tenths of a millimetre."""
+    whole = lambda v: F.round(v * 1e4).cast("long").cast("string")
+    corner = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z"))), lambda p: F.concat(F.lit("["), F.concat_ws(", ", *(whole(p[a]) for a in "xyz")), F.lit("]")))
+    p = stepped(track(spark, sf_dir)).groupBy("path_id").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 4).alias("length"), corner.alias("points"))
+    vertex = lambda k: F.concat(F.lit("path_"), "path_id", F.lit("_"), k)
+    entries = {"from_id": vertex("low"), "from_type": F.lit("vertex"), "to_id": vertex("high"), "to_type": F.lit("vertex"), "path_length": whole(c("length")), "points": F.concat(F.lit("["), F.array_join("points", ", "), F.lit("]"))}
+    return p.select("path_id", F.posexplode(F.array(*(F.concat(F.lit(f"{k}: "), v) for k, v in entries.items()))).alias("line_no", "line"))
 
 
 @query("SELECT path_id, concat('{\"index\":\"', path_id, '\",\"num_frames\":\"', count(*), '\",\"mode\":\"', CASE WHEN path_id%2=0 THEN 'video' ELSE 'rgb' END, '\"', CASE WHEN path_id%2=0 THEN ',\"caller\":\"set\"' ELSE '' END, '}') AS document FROM v_track GROUP BY path_id")
@@ -526,16 +534,51 @@ def viewpoints_doc(spark, sf_dir):
     return t.select(F.format_string("viewpoint_%04d", "idx").alias("viewpoint"), _pose().alias("position"), c("label").alias("semantic"), names.alias("images"))
 
 
-@query("SELECT w.scene_id, CAST(count(*) AS BIGINT) AS num_waypoints, coalesce(any_value(k.n), 0) AS num_edges, CAST(count(DISTINCT w.type) AS BIGINT) AS num_types, min(w.x) AS min_x, min(w.y) AS min_y, max(w.x) AS max_x, max(w.y) AS max_y FROM v_waypoints w LEFT JOIN (SELECT s, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY s) k ON k.s=w.scene_id GROUP BY w.scene_id", N.EDGES)
-def scene_summary(spark, sf_dir):
-    p = view(spark, sf_dir, "v_waypoints").groupBy("scene_id").agg(F.count(F.lit(1)).alias("num_waypoints"), F.countDistinct("type").alias("num_types"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
-    t = p.join(N.edge_count(spark, sf_dir).select("scene_id", c("n_edges").alias("num_edges")), "scene_id", "left")
-    return t.withColumn("num_edges", F.coalesce("num_edges", F.lit(0)).cast("long"))
+SAMPLED = N.CHOSEN + """, sampled AS (SELECT c.*, false AS backwards FROM chosen c UNION ALL SELECT c.*, true FROM chosen c WHERE len(path) >= 4),
+first_in AS (SELECT u.s, u.source, u.a, u.b, p.room, min(u.k) AS k FROM (SELECT s, source, a, b, unnest(path) AS idx, generate_subscripts(path, 1) AS k FROM chosen) u JOIN v_waypoints p ON p.idx=u.idx WHERE p.room IS NOT NULL GROUP BY ALL),
+roomed AS (SELECT s, source, a, b, string_agg(room, ',' ORDER BY k) AS onward, string_agg(room, ',' ORDER BY k DESC) AS back FROM first_in GROUP BY s, source, a, b)"""
 
 
-@query("SELECT path_id, CAST(count(*) AS BIGINT) AS num_waypoints, round(coalesce(sum(d), 0e0), 3) AS distance_m FROM d GROUP BY path_id", D)
+@query("""SELECT c.s AS scene_id, c.source, c.a, c.b, c.backwards, array_to_string(CASE WHEN c.backwards THEN list_reverse(c.path) ELSE c.path END, ',') AS waypoint_indices, round(c.distance, 3) AS distance_m,
+    coalesce(CASE WHEN c.backwards THEN m.back ELSE m.onward END, '') AS rooms, c.n_rooms AS num_rooms, c.scale, CAST(len(c.path) AS INTEGER) AS num_waypoints, CASE WHEN c.source=2 THEN r.label END AS goal_label
+    FROM sampled c LEFT JOIN roomed m ON m.s=c.s AND m.source=c.source AND m.a=c.a AND m.b=c.b LEFT JOIN v_regions r ON c.source=2 AND r.scene_id=c.s AND r.region_id=c.a""", SAMPLED)
 def paths_doc(spark, sf_dir):
-    return stepped(track(spark, sf_dir)).groupBy("path_id").agg(F.count(F.lit(1)).alias("num_waypoints"), F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 3).alias("distance_m"))
+    """The document of every sampled path, ways back included: its waypoints, length, rooms in order, class, and the goal it leads to if it has one."""
+    goals = view(spark, sf_dir, "v_regions").select(F.lit(2).alias("source"), "scene_id", c("region_id").alias("a"), c("label").alias("goal_label"))
+    t = N.sampled_paths(spark, sf_dir).join(goals, ["scene_id", "source", "a"], "left")
+    return t.select(
+        "scene_id", "source", "a", "b", "backwards", F.array_join(c("path").cast("array<string>"), ",").alias("waypoint_indices"), F.round("distance", 3).alias("distance_m"), F.array_join("rooms", ",").alias("rooms"),
+        c("n_rooms").alias("num_rooms"), "scale", F.size("path").alias("num_waypoints"), "goal_label",
+    )
+
+
+@query("""SELECT w.scene_id, 'grid' AS backend, w.num_waypoints, coalesce(k.n, 0) AS num_edges, coalesce(c.num_paths, 0) AS num_paths, coalesce(c.paths_short, 0) AS paths_short, coalesce(c.paths_medium, 0) AS paths_medium,
+    coalesce(c.paths_long, 0) AS paths_long, coalesce(c.paths_with_goal_region, 0) AS paths_with_goal_region, round_even(g.n_free*25e-2, 1) AS grid_free_m2, coalesce(l.n, 0) AS grid_components, coalesce(r.n, 0) AS num_regions,
+    t.waypoint_types, w.min_x, w.min_y, w.max_x, w.max_y
+    FROM (SELECT scene_id, CAST(count(*) AS BIGINT) AS num_waypoints, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM v_waypoints GROUP BY scene_id) w
+    JOIN (SELECT scene_id, string_agg(concat(type, '=', n), ',' ORDER BY type) AS waypoint_types FROM (SELECT scene_id, type, count(*) AS n FROM v_waypoints GROUP BY scene_id, type) GROUP BY scene_id) t ON t.scene_id=w.scene_id
+    LEFT JOIN (SELECT s, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY s) k ON k.s=w.scene_id
+    LEFT JOIN (SELECT s, count(*) AS num_paths, count(*) FILTER (WHERE scale='short') AS paths_short, count(*) FILTER (WHERE scale='medium') AS paths_medium, count(*) FILTER (WHERE scale='long') AS paths_long, count(*) FILTER (WHERE source=2) AS paths_with_goal_region FROM sampled GROUP BY s) c ON c.s=w.scene_id
+    JOIN (SELECT s, count(*) FILTER (WHERE state=0) AS n_free FROM grid GROUP BY s) g ON g.s=w.scene_id
+    LEFT JOIN (SELECT s, count(DISTINCT label) AS n FROM labels GROUP BY s) l ON l.s=w.scene_id
+    LEFT JOIN (SELECT scene_id, count(*) AS n FROM v_regions GROUP BY scene_id) r ON r.scene_id=w.scene_id""", SAMPLED.replace(Q.GRID, Q.LABELS))
+def scene_summary(spark, sf_dir):
+    """The summary of a scene: waypoints and their types, edges, sampled paths by class and with a goal, free area, components, regions, bounds."""
+    p, per = view(spark, sf_dir, "v_waypoints"), lambda t: t.groupBy("scene_id")
+    box = per(p).agg(F.count(F.lit(1)).alias("num_waypoints"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+    types = per(p.groupBy("scene_id", "type").agg(F.count(F.lit(1)).alias("n"))).agg(F.array_sort(F.collect_list(F.struct("type", "n"))).alias("t"))
+    types = types.select("scene_id", F.array_join(F.transform("t", lambda e: F.concat(e["type"], F.lit("="), e["n"])), ",").alias("waypoint_types"))
+    scale = lambda k: F.count_if(c("scale") == k).alias(f"paths_{k}")
+    paths = per(N.sampled_paths(spark, sf_dir)).agg(F.count(F.lit(1)).alias("num_paths"), scale("short"), scale("medium"), scale("long"), F.count_if(c("source") == 2).alias("paths_with_goal_region"))
+    free = per(Q.grid(spark, sf_dir)).agg(F.count_if(c("state") == 0).alias("n_free")).select("scene_id", F.bround(c("n_free") * 0.25, 1).alias("grid_free_m2"))
+    islands = per(Q.labels(spark, sf_dir)).agg(F.countDistinct("label").alias("grid_components"))
+    regions = per(view(spark, sf_dir, "v_regions")).agg(F.count(F.lit(1)).alias("num_regions"))
+    edges = N.edge_count(spark, sf_dir).select("scene_id", c("n_edges").alias("num_edges"))
+    t = box.join(types, "scene_id").join(free, "scene_id")
+    for part in (edges, paths, islands, regions):
+        t = t.join(part, "scene_id", "left")
+    counts = ["num_edges", "num_paths", "paths_short", "paths_medium", "paths_long", "paths_with_goal_region", "grid_components", "num_regions"]
+    return t.select("scene_id", F.lit("grid").alias("backend"), "num_waypoints", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts), "grid_free_m2", "waypoint_types", "min_x", "min_y", "max_x", "max_y")
 
 
 @query("SELECT path_id, concat('{\"path_id\":', path_id, ',\"num_waypoints\":', count(*), CASE WHEN path_id%3=0 THEN concat(',\"goal_label\":\"room:', path_id%5, '\"') ELSE '' END, '}') AS document FROM v_track GROUP BY path_id")

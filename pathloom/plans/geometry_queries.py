@@ -29,7 +29,7 @@ def query(text: str | None = None, ctes: str = ""):
 c = F.col
 POLYGON = [(-5.0, -4.0), (4.0, -6.0), (6.0, 3.0), (0.0, 1.0), (-4.0, 6.0)]
 EDGES = "e AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {POLYGON[k - 1][0]:e}, {POLYGON[k - 1][1]:e}, {x:e}, {y:e})" for k, (x, y) in enumerate(POLYGON)) + ") t(n, ex, ey, ax, ay))"
-CIRCLES = "c AS (SELECT id, cx, cy, half+1e0 AS r FROM v_objects WHERE id%41=0)"
+CIRCLES = "c AS (SELECT id, cx, cy, half+1e0 AS r FROM v_objects)"
 
 
 def polygon():
@@ -37,7 +37,7 @@ def polygon():
 
 
 def circles(spark, sf_dir):
-    return view(spark, sf_dir, "v_objects").filter("id % 41 = 0").select("id", "cx", "cy", (c("half") + 1.0).alias("r"))
+    return view(spark, sf_dir, "v_objects").select("id", "cx", "cy", (c("half") + 1.0).alias("r"))
 
 
 def in_circles(spark, sf_dir):
@@ -246,14 +246,14 @@ def triangle_area(spark, sf_dir):
     return t.select("room", (0.5 * G.norm(*G.cross(edge(1), edge(2)))).alias("a")).groupBy("room").agg(F.round(F.sum("a"), 6).alias("area"))
 
 
-SEG = "s AS (SELECT path_id, seq, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v_track WINDOW w AS (PARTITION BY path_id ORDER BY seq)), b AS (SELECT id, cx-half AS x0, cy-half AS y0, cx+half AS x1, cy+half AS y1 FROM v_objects WHERE id%41=0), h AS (SELECT s.path_id, s.seq, b.id, greatest(0e0, CASE WHEN abs(nx-x)<1e-12 THEN 0e0 ELSE least((x0-x)/(nx-x),(x1-x)/(nx-x)) END, CASE WHEN abs(ny-y)<1e-12 THEN 0e0 ELSE least((y0-y)/(ny-y),(y1-y)/(ny-y)) END) AS a, least(1e0, CASE WHEN abs(nx-x)<1e-12 THEN 1e0 ELSE greatest((x0-x)/(nx-x),(x1-x)/(nx-x)) END, CASE WHEN abs(ny-y)<1e-12 THEN 1e0 ELSE greatest((y0-y)/(ny-y),(y1-y)/(ny-y)) END) AS z, (abs(nx-x)<1e-12 AND (x<x0 OR x>x1)) OR (abs(ny-y)<1e-12 AND (y<y0 OR y>y1)) AS miss FROM s, b WHERE nx IS NOT NULL)"
+SEG = "s AS (SELECT path_id, seq, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v_track WINDOW w AS (PARTITION BY path_id ORDER BY seq)), b AS (SELECT id, cx-half AS x0, cy-half AS y0, cx+half AS x1, cy+half AS y1 FROM v_objects), h AS (SELECT s.path_id, s.seq, b.id, greatest(0e0, CASE WHEN abs(nx-x)<1e-12 THEN 0e0 ELSE least((x0-x)/(nx-x),(x1-x)/(nx-x)) END, CASE WHEN abs(ny-y)<1e-12 THEN 0e0 ELSE least((y0-y)/(ny-y),(y1-y)/(ny-y)) END) AS a, least(1e0, CASE WHEN abs(nx-x)<1e-12 THEN 1e0 ELSE greatest((x0-x)/(nx-x),(x1-x)/(nx-x)) END, CASE WHEN abs(ny-y)<1e-12 THEN 1e0 ELSE greatest((y0-y)/(ny-y),(y1-y)/(ny-y)) END) AS z, (abs(nx-x)<1e-12 AND (x<x0 OR x>x1)) OR (abs(ny-y)<1e-12 AND (y<y0 OR y>y1)) AS miss FROM s, b WHERE nx IS NOT NULL)"
 
 
 @query("SELECT path_id, seq, id FROM h WHERE NOT miss AND a<=z", SEG)
 def segment_aabb_blocked(spark, sf_dir):
     w = Window.partitionBy("path_id").orderBy("seq")
     s = view(spark, sf_dir, "v_track").select("path_id", "seq", "x", "y", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny")).filter("nx is not null")
-    boxes = view(spark, sf_dir, "v_objects").filter("id % 41 = 0").select("id", *((c(m) + k * c("half")).alias(n) for n, m, k in (("x0", "cx", -1), ("y0", "cy", -1), ("x1", "cx", 1), ("y1", "cy", 1))))
+    boxes = view(spark, sf_dir, "v_objects").select("id", *((c(m) + k * c("half")).alias(n) for n, m, k in (("x0", "cx", -1), ("y0", "cy", -1), ("x1", "cx", 1), ("y1", "cy", 1))))
     # cells of a segment's own box meet the cells of a box; a pair may meet in several cells
     size = 2.0
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))

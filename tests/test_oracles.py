@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.catalog.queries(), entry.catalog.oracle_sql()
+QUERIES, SQL = (a | b for a, b in zip((entry.catalog.queries(), entry.catalog.oracle_sql()), entry.catalog.examples()))
 
 
 @pytest.fixture(scope="module")

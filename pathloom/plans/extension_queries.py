@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pathloom.functions import geometry as G
+from pathloom.operators import table_functions as TF
 from pathloom.operators.regions import Circle, GoalRegion, region
+from pathloom.plans import graph_queries as N
 from pathloom.plans import grid_queries as Q
 from pathloom.plans import path_queries as P
 from pathloom.plans.duck import sql
@@ -23,7 +25,7 @@ def query(text: str | None = None, ctes: str = ""):
     def add(f):
         QUERIES[f.__name__] = f
         if text is not None:
-            SQL[f.__name__] = sql(text, ctes)
+            SQL[f.__name__] = text if text.startswith("WITH") else sql(text, ctes)
         return f
 
     return add
@@ -98,3 +100,16 @@ def bresenham_rows(spark, sf_dir):
     asked = Q.lines(spark, sf_dir)
     line = line_function()(*(F.col(n).outer() for n in ("i1", "j1", "i2", "j2")))
     return asked.lateralJoin(line).select("id", "k", "i", "j")
+
+
+@query(P.SQL["sample_path_points"])
+def sample_path_points_rows(spark, sf_dir):
+    """sample_path_points through a table function over the sorted rows of each path."""
+    return TF.sampled_points(P.track(spark, sf_dir), 30.0)
+
+
+@query(N.SQL["diverse_select"])
+def diverse_select_rows(spark, sf_dir):
+    """diverse_select through a table function over the sorted candidates of each scene and class."""
+    t = N.with_targets(N.candidates(spark, sf_dir), spark, sf_dir).withColumn("marks", F.col("path"))
+    return N._joined(TF.novel(t, ["scene_id", "scale"], [F.desc("score"), "source", "a", "b"], 0.3).drop("marks", "target", "rooms"))

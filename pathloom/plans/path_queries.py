@@ -485,12 +485,12 @@ def sink_meta_lines(spark, sf_dir):
     return p.select("path_id", F.posexplode(F.array(*(F.concat(F.lit(f"{k}: "), v) for k, v in entries.items()))).alias("line_no", "line"))
 
 
-@query("SELECT path_id, concat('{\"index\":\"', path_id, '\",\"num_frames\":\"', count(*), '\",\"mode\":\"', CASE WHEN path_id%2=0 THEN 'video' ELSE 'rgb' END, '\"', CASE WHEN path_id%2=0 THEN ',\"caller\":\"set\"' ELSE '' END, '}') AS document FROM v_track GROUP BY path_id")
+@query("SELECT path_id, concat('{\"index\":\"', path_id, '\",\"num_frames\":\"', count(*), '\",\"mode\":\"', CASE WHEN path_id%2=0 THEN 'video' ELSE 'rgb' END, '\",\"camera\":\"fov 87, height 1.5\",\"resolution\":\"1280x720\"', CASE WHEN path_id%2=0 THEN ',\"caller\":\"set\"' ELSE '' END, '}') AS document FROM v_track GROUP BY path_id")
 def sink_metadata_json(spark, sf_dir):
     """The writer's own entries, under those of the caller where both have a key."""
     p = track(spark, sf_dir).groupBy("path_id").agg(F.count(F.lit(1)).alias("n"))
     pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
-    own = F.array(pair("index", c("path_id")), pair("num_frames", c("n")), pair("mode", F.lit("rgb")))
+    own = F.array(pair("index", c("path_id")), pair("num_frames", c("n")), pair("mode", F.lit("rgb")), pair("camera", F.lit("fov 87, height 1.5")), pair("resolution", F.lit("1280x720")))
     caller = F.when(c("path_id") % 2 == 0, F.create_map(F.lit("mode"), F.lit("video"), F.lit("caller"), F.lit("set"))).otherwise(F.create_map().cast("map<string,string>"))
     given = p.withColumn("own", own).withColumn("caller", caller)
     merged = F.transform("own", lambda e: F.struct(e["k"].alias("k"), F.coalesce(F.try_element_at("caller", e["k"]), e["v"]).alias("v")))
@@ -499,11 +499,21 @@ def sink_metadata_json(spark, sf_dir):
     return given.select("path_id", F.to_json(document).alias("document"))
 
 
-@query("SELECT 'scene' AS scene, 12 AS headings, 3 AS elevations, (SELECT CAST(count(*) AS BIGINT) FROM v_points) AS n_viewpoints, (SELECT CAST(count(DISTINCT path_id) AS BIGINT) FROM v_track) AS n_paths")
+@query("""SELECT s.scene_id, '1280x720' AS size, 12 AS headings, 3 AS elevations, coalesce(w.n, 0) AS n_viewpoints, coalesce(w.viewpoints, '') AS viewpoints, coalesce(p.n, 0) AS n_paths, coalesce(p.paths, '') AS paths FROM v_scenes s
+    LEFT JOIN (SELECT scene_id, count(*) AS n, string_agg(printf('viewpoint_%04d', idx), ',' ORDER BY idx) AS viewpoints FROM v_waypoints GROUP BY scene_id) w ON w.scene_id=s.scene_id
+    LEFT JOIN (SELECT scene_id, count(*) AS n, string_agg(concat('path_', path_id, ':', n), ',' ORDER BY path_id) AS paths FROM (SELECT scene_id, path_id, count(*) AS n FROM v_scene_track GROUP BY scene_id, path_id) GROUP BY scene_id) p ON p.scene_id=s.scene_id""")
 def sink_dataset_meta(spark, sf_dir):
-    views = view(spark, sf_dir, "v_points").agg(F.count(F.lit(1)).alias("n_viewpoints"))
-    paths = track(spark, sf_dir).agg(F.countDistinct("path_id").alias("n_paths"))
-    return views.join(F.broadcast(paths)).select(F.lit("scene").alias("scene"), F.lit(12).alias("headings"), F.lit(3).alias("elevations"), "n_viewpoints", "n_paths")
+    """What a scene's data set holds: its views, all viewpoints, and all paths with their numbers of points."""
+    def listed(t, order, text, name):
+        entries = F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("text")))), lambda e: e["text"])
+        return t.groupBy("scene_id").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.array_join(entries, ",").alias(name))
+
+    tracks = view(spark, sf_dir, "v_scene_track").groupBy("scene_id", "path_id").agg(F.count(F.lit(1)).alias("n"))
+    views = listed(view(spark, sf_dir, "v_waypoints"), "idx", F.format_string("viewpoint_%04d", "idx"), "viewpoints")
+    paths = listed(tracks, "path_id", F.concat(F.lit("path_"), "path_id", F.lit(":"), "n"), "paths")
+    t = view(spark, sf_dir, "v_scenes").join(views, "scene_id", "left").join(paths, "scene_id", "left")
+    count, text = (lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)), (lambda n: F.coalesce(n, F.lit("")).alias(n))
+    return t.select("scene_id", F.lit("1280x720").alias("size"), F.lit(12).alias("headings"), F.lit(3).alias("elevations"), count("n_viewpoints"), text("viewpoints"), count("n_paths"), text("paths"))
 
 
 LABEL = f"coalesce((SELECT r.type FROM v_scene_rooms r WHERE {J.INSIDE} ORDER BY r.room_id LIMIT 1), 'unknown')"

@@ -163,17 +163,20 @@ def merged_bbox(spark, sf_dir):
     return S.merged_boxes(view(spark, sf_dir, "v_prims"), "k")
 
 
-@query("SELECT max(x1)-min(x0)+1e0 AS size_x, max(y1)-min(y0)+1e0 AS size_y, max(z1)-min(z0)+2e-2 AS size_z, (min(x0)+max(x1))/2e0 AS center_x, (min(y0)+max(y1))/2e0 AS center_y, (min(z0)+max(z1))/2e0-2e-2 AS center_z FROM v_prims")
+@query("SELECT CAST(floor(k/2e2) AS BIGINT) AS scene_id, max(x1)-min(x0)+1e0 AS size_x, max(y1)-min(y0)+1e0 AS size_y, max(z1)-min(z0)+2e-2 AS size_z, (min(x0)+max(x1))/2e0 AS center_x, (min(y0)+max(y1))/2e0 AS center_y, (min(z0)+max(z1))/2e0-2e-2 AS center_z FROM v_prims GROUP BY floor(k/2e2)")
 def scene_bounds(spark, sf_dir):
-    p = view(spark, sf_dir, "v_prims")
+    """The box of each scene's prims, widened."""
+    p = view(spark, sf_dir, "v_prims").groupBy(F.floor(F.col("k") / 200).alias("scene_id"))
     size = lambda a, pad: (F.max(f"{a}1") - F.min(f"{a}0") + pad).alias(f"size_{a}")
     middle = lambda a: (F.min(f"{a}0") + F.max(f"{a}1")) / 2.0
     return p.agg(size("x", 1.0), size("y", 1.0), size("z", 0.02), middle("x").alias("center_x"), middle("y").alias("center_y"), (middle("z") - 0.02).alias("center_z"))
 
 
-@query("SELECT coalesce(min(floor_z), 0e0) AS floor_z FROM rc", ROOM_PRIMS)
+@query("SELECT v.scene_id, coalesce(min(rc.floor_z), 0e0) AS floor_z FROM v_states v LEFT JOIN rc ON rc.k=v.k GROUP BY v.scene_id", ROOM_PRIMS)
 def floor_z(spark, sf_dir):
-    return _collected(spark, sf_dir).agg(F.coalesce(F.min("floor_z"), F.lit(0.0)).alias("floor_z"))
+    """The lowest floor of each scene's rooms, 0 without rooms."""
+    held = view(spark, sf_dir, "v_states").select("scene_id", "id").join(_collected(spark, sf_dir).select("id", "floor_z"), "id", "left")
+    return held.groupBy("scene_id").agg(F.coalesce(F.min("floor_z"), F.lit(0.0)).alias("floor_z"))
 
 
 @query(f"SELECT id, {pick(vocab.META_SKIP).replace('x IN', 'x NOT IN')} AS catalog_label, {pick(vocab.META_SKIP, chr(39) + 'object' + chr(39)).replace('x IN', 'x NOT IN')} AS waypoint_label FROM s", S_ACTIVE)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators import polygon_cover as PC
 from pathloom.operators import region_trees as R
 from pathloom.plans.duck import sql
 from pathloom.sources.views import view
@@ -104,3 +105,15 @@ def region_tree_boundaries(spark, sf_dir):
     """The nearest boundary point of every region of a waypoint's scene, and its signed distance."""
     found = R.boundaries(places(spark, sf_dir), bound(spark, sf_dir))
     return found.select("scene_id", "idx", c("id").alias("region_id"), *(F.round(n, 9).alias(n) for n in ("bx", "by", "distance")))
+
+
+@query("""SELECT scene_id, idx, id AS region_id FROM (SELECT w.scene_id, w.idx, e.id FROM v_waypoints w JOIN (
+    SELECT a.s, a.id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM big a JOIN big b ON b.s=a.s AND b.id=a.id AND b.n=(a.n+1)%a.many) e ON e.s=w.scene_id
+    WHERE (e.ey > w.y) <> (e.ay > w.y) AND w.x < (e.ax-e.ex)*(w.y-e.ey)/CASE WHEN e.ay=e.ey THEN 1e0 ELSE e.ay-e.ey END+e.ex) u GROUP BY scene_id, idx, id HAVING count(*)%2=1""",
+    "big AS (SELECT scene_id AS s, id, n, 6 AS many, cx+dx*(1e0+id%4) AS x, cy+dy*(1e0+id%4) AS y FROM v_scene_objects, (VALUES " + ", ".join(f"({n}, {x}e0, {y}e0)" for n, (x, y) in enumerate(ELL)) + ") t(n, dx, dy))")
+def polygons_contain(spark, sf_dir):
+    """Waypoints in a polygon of their scene, one around each object in four sizes, by cells of the polygons' covers."""
+    scale = F.lit(1.0) + c("id") % 4
+    corners = F.array(*(F.struct((c("cx") + F.lit(float(x)) * scale).alias("x"), (c("cy") + F.lit(float(y)) * scale).alias("y")) for x, y in ELL))
+    polygons = view(spark, sf_dir, "v_scene_objects").select("scene_id", "id", corners.alias("vertices"))
+    return PC.members(places(spark, sf_dir), polygons, keys=("scene_id",)).select("scene_id", "idx", c("id").alias("region_id"))

@@ -549,15 +549,16 @@ first_in AS (SELECT u.s, u.source, u.a, u.b, p.room, min(u.k) AS k FROM (SELECT
 roomed AS (SELECT s, source, a, b, string_agg(room, ',' ORDER BY k) AS onward, string_agg(room, ',' ORDER BY k DESC) AS back FROM first_in GROUP BY s, source, a, b)"""
 
 
-@query("""SELECT c.s AS scene_id, c.source, c.a, c.b, c.backwards, array_to_string(CASE WHEN c.backwards THEN list_reverse(c.path) ELSE c.path END, ',') AS waypoint_indices, round(c.distance, 3) AS distance_m,
+@query("""SELECT c.s AS scene_id, c.source, c.a, c.b, c.backwards, array_to_string(CASE WHEN c.backwards THEN list_reverse(c.path) ELSE c.path END, ',') AS waypoint_indices, ((CAST(round(c.distance*1e6) AS BIGINT)+500)//1000)/1e3 AS distance_m,
     coalesce(CASE WHEN c.backwards THEN m.back ELSE m.onward END, '') AS rooms, c.n_rooms AS num_rooms, c.scale, CAST(len(c.path) AS INTEGER) AS num_waypoints, CASE WHEN c.source=2 THEN r.label END AS goal_label
     FROM sampled c LEFT JOIN roomed m ON m.s=c.s AND m.source=c.source AND m.a=c.a AND m.b=c.b LEFT JOIN v_regions r ON c.source=2 AND r.scene_id=c.s AND r.region_id=c.a""", SAMPLED)
 def paths_doc(spark, sf_dir):
     """The document of every sampled path, ways back included: its waypoints, length, rooms in order, class, and the goal it leads to if it has one."""
     goals = view(spark, sf_dir, "v_regions").select(F.lit(2).alias("source"), "scene_id", c("region_id").alias("a"), c("label").alias("goal_label"))
     t = N.sampled_paths(spark, sf_dir).join(goals, ["scene_id", "source", "a"], "left")
+    metres = F.expr("((cast(round(distance * 1e6) as bigint) + 500) div 1000) / 1e3")  # three digits, halves up, by whole numbers
     return t.select(
-        "scene_id", "source", "a", "b", "backwards", F.array_join(c("path").cast("array<string>"), ",").alias("waypoint_indices"), F.round("distance", 3).alias("distance_m"), F.array_join("rooms", ",").alias("rooms"),
+        "scene_id", "source", "a", "b", "backwards", F.array_join(c("path").cast("array<string>"), ",").alias("waypoint_indices"), metres.alias("distance_m"), F.array_join("rooms", ",").alias("rooms"),
         c("n_rooms").alias("num_rooms"), "scale", F.size("path").alias("num_waypoints"), "goal_label",
     )
 

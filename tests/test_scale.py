@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import folds, grid
+from pathloom.operators import folds, grid, polygon_cover
 from pathloom.operators.spatial import distance_join, points_in_boxes
-from pathloom.plans import join_queries
+from pathloom.plans import geometry_queries, join_queries
 
 
 def plan(df) -> str:
@@ -40,3 +40,41 @@ def test_starts_are_first_hits(spark, monkeypatch):
                     want.add((s, start, k // ny, k % ny))
                     break
     assert {(r.scene_id, r.start, r.i, r.j) for r in join_queries.starts(spark, "", count=12, least=0.0).collect()} == want
+
+
+def counted(monkeypatch, module) -> list[int]:
+    """Rows of each table that the module cuts from now on."""
+    rows, own = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: (out := own(df), rows.append(out.count()))[0])
+    return rows
+
+
+def test_scene_around_the_origin_takes_one_round(spark, monkeypatch):
+    """Tiles begin at a scene's least values: a path that crosses both axes again and again lies in one tile."""
+    rng = random.Random(4)
+    p = [(s, k, rng.uniform(-3, 3), rng.uniform(-3, 3), 0.6) for s in range(2) for k in range(60)]
+    cuts = counted(monkeypatch, folds)
+    kept = {(r.scene_id, r.idx) for r in folds.greedy(spark.createDataFrame(p, "scene_id long, idx long, x double, y double, least double"), "scene_id", "idx").collect()}
+    assert len(cuts) == 3  # the points, the open ones, and one round
+    want = []
+    for s, k, x, y, least in p:
+        if all(s != t or (x - a) ** 2 + (y - b) ** 2 >= least**2 for t, _, a, b in want):
+            want.append((s, k, x, y))
+    assert kept == {w[:2] for w in want}
+
+
+def test_covers_look_at_cells_with_points_only(spark, monkeypatch):
+    square = [{"x": x, "y": y} for x, y in ((0.1, 0.1), (63.9, 0.1), (63.9, 63.9), (0.1, 63.9))]
+    polygons = spark.createDataFrame([(k, square) for k in range(5)], "id long, vertices array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(0, 0.2, 30.0), (1, 30.0, 30.0), (2, 0.0, 30.0)], "idx long, x double, y double")
+    cuts = counted(monkeypatch, polygon_cover)
+    found = {(r.idx, r.id) for r in polygon_cover.members(points, polygons).collect()}
+    assert found == {(p, k) for p in (0, 1) for k in range(5)} and sum(cuts) < 60
+
+
+def test_blocked_segments_once_for_each_box(spark):
+    """A pair that meets in many cells is one row; equal boxes are two, as in the SQL."""
+    s = spark.createDataFrame([(1, 1, -7.0, -7.0, 9.0, 9.0), (1, 2, 9.0, 9.0, 9.0, 9.0), (2, 1, 5.0, -7.0, -7.0, 5.0)], "path_id long, seq long, x double, y double, nx double, ny double")
+    b = spark.createDataFrame([(1, -4.5, -4.5, 4.5, 4.5), (1, -4.5, -4.5, 4.5, 4.5), (2, 9.0, 8.0, 10.0, 9.0), (3, 2.0, -2.0, 4.0, 0.0)], "id long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r.path_id, r.seq, r.id) for r in geometry_queries.blocked_segments(s, b).select("path_id", "seq", "id").collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 2), (1, 2, 2), (2, 1, 1), (2, 1, 1)]

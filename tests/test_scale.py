@@ -78,3 +78,26 @@ def test_blocked_segments_once_for_each_box(spark):
     b = spark.createDataFrame([(1, -4.5, -4.5, 4.5, 4.5), (1, -4.5, -4.5, 4.5, 4.5), (2, 9.0, 8.0, 10.0, 9.0), (3, 2.0, -2.0, 4.0, 0.0)], "id long, x0 double, y0 double, x1 double, y1 double")
     got = sorted((r.path_id, r.seq, r.id) for r in geometry_queries.blocked_segments(s, b).select("path_id", "seq", "id").collect())
     assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 2), (1, 2, 2), (2, 1, 1), (2, 1, 1)]
+
+
+def test_grid_is_made_by_rows(spark):
+    """Cells are not shuffled or sorted: runs meet rows. States as by looking at every box for every cell."""
+    rng = random.Random(8)
+    box = lambda s: (s, *(v for a in "xy" for v in sorted((rng.uniform(-1, 7), rng.uniform(-1, 7)))))
+    names = "scene_id long, min_x double, max_x double, min_y double, max_y double"
+    rooms, blocks = [box(s) for s in (0, 0, 1)] + [(1, 2.0, 2.1, 2.0, 2.1)], [box(s) for s in (0, 1, 1)]
+    bounds = spark.createDataFrame([(0, -1.0, -1.0, 17, 13), (1, -1.0, -1.0, 9, 20), (2, 0.0, 0.0, 2, 2)], "scene_id long, low_x double, low_y double, nx int, ny int")
+    found = grid.build(bounds, spark.createDataFrame(rooms, names), spark.createDataFrame(blocks, names), 0.5)
+    assert "i#" in plan(found) and not any(", j#" in part.split(")")[0] for part in plan(found).split("hashpartitioning(")[1:])
+
+    def covers(b, s, i, j, nx, ny, grow):
+        x0, x1, y0, y1 = b[1] - grow, b[2] + grow, b[3] - grow, b[4] + grow
+        at = lambda v, n: min(max(int((v + 1.0) / 0.5), 0), n - 1)
+        return b[0] == s and x1 > x0 and y1 > y0 and at(x0, nx) <= i <= at(x1, nx) and at(y0, ny) <= j <= at(y1, ny)
+
+    want = {}
+    for s, nx, ny in ((0, 17, 13), (1, 9, 20), (2, 2, 2)):
+        for i in range(nx):
+            for j in range(ny):
+                want[s, i, j] = 1 if any(covers(b, s, i, j, nx, ny, 0.25) for b in blocks) else 0 if any(covers(b, s, i, j, nx, ny, -0.15) for b in rooms) else 2
+    assert {(r.scene_id, r.i, r.j): r.state for r in found.collect()} == want and set(want.values()) == {0, 1, 2}

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
@@ -301,10 +301,9 @@ def repeated_ranges(held: DataFrame, packed: DataFrame) -> DataFrame:
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = edges.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_classes, RANGE)
     singles = with_text.withColumn("wanted", few(False)).filter(F.size("wanted") > 0).mapInArrow(_hot_windows, SINGLE)
-    again = singles.groupBy("gram", "off", "hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    # dealt by another key, so that both sides of the join are exchanged and a frequent window can be split
-    again = again.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    hot = singles.filter("once").withColumn("side", F.pmod("at", F.lit(2)).cast("int")).join(again, ["gram", "off", "hash", "side"])
+    # counted where they meet: each window stays one row, whatever its group; a group has one row a span, so a text and its copies count once
+    again = singles.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("gram", "off", "hash")))
+    hot = again.filter("once and c > 1")
     return found.unionByName(edges).unionByName(hot.select("row", F.col("at").alias("first"), (F.col("at") + WINDOW).alias("last")))
 
 

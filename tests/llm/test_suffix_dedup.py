@@ -80,3 +80,14 @@ def test_text_with_whole_characters(spark):
     assert len(got) == len(rows)
     by_id = {r.doc_id: r.text for r in got}
     assert by_id[1] is None and by_id[4000] == "" and by_id[2199] == dict(rows)[2199] and by_id[2200] == "pq"
+
+
+def test_frequent_windows_meet_once(spark, monkeypatch):
+    """Repeated windows of frequent grams are counted where they meet: no join whose rows depend on how often a window occurs."""
+    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    held = suffix_dedup.keyed(docs(spark, corpus())).select("row", "text")
+    packed = held.mapInArrow(suffix_dedup._packed, StructType([StructField("row", LongType()), StructField("packed", BinaryType())]))
+    found = suffix_dedup.repeated_ranges(held, packed)
+    assert not [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line and "hash#" in line]

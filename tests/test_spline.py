@@ -96,3 +96,28 @@ def test_what_stays_as_it_is():
     assert np.allclose(spline.smoothed(parameters(four), four, 0.2)[1].shape, (4, 3))  # a cubic goes through four points
     twice = np.repeat(lines(3, 6), 2, axis=0)
     assert spline.curve(twice).shape == twice.shape
+
+
+def test_polylines_side_by_side_are_the_same(spark, monkeypatch):
+    """Polylines whose systems are solved together, cut by Arrow batches, come out as each alone, to the last bit; few steps of Python for all."""
+    from pathloom.operators import folds
+
+    held = {k: lines(k, n) for k, n in enumerate((4, 5, 9, 33, 33, 120, 2, 64))}
+    alone = {k: spline.curve(p) for k, p in held.items()}
+    counts, own = [], spline.factored
+    monkeypatch.setattr(spline, "factored", lambda bands: (counts.append(bands.shape[2]), own(bands))[1])
+    for k, p in zip(held, spline.curves(list(held.values()))):
+        assert np.array_equal(p, alone[k])
+    assert max(counts) > 1 and sum(counts) > 1.5 * len(counts)
+    rows = [(k, n, *map(float, v)) for k, p in held.items() for n, v in enumerate(p)] + [(None, 0, 1.0, 2.0, 3.0), (None, 1, None, 2.0, 3.0)]
+    frame = spark.createDataFrame(rows, "path_id long, seq long, x double, y double, z double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = sorted(((r.path_id, r.seq, r.x, r.y, r.z) for r in folds.smooth(frame).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
+            assert got[-2:] == rows[-2:]
+            for k in held:
+                assert np.array_equal([r[2:] for r in got if r[0] == k], alone[k])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

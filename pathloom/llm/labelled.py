@@ -15,11 +15,15 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_labels(labels: DataFrame, column: str, rows: int = LABELLED_ROWS) -> DataFrame:
-    """doc_id and label of at most `rows` labelled rows, none of them held out; a doc_id with several labels has the largest."""
+def all_training_labels(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id and label of all labelled rows that are not held out; a doc_id with several labels has the largest."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).filter("doc_id is not null and label is not null")
-    once = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def training_labels(labels: DataFrame, column: str, rows: int = LABELLED_ROWS) -> DataFrame:
+    """At most `rows` of all_training_labels."""
+    return all_training_labels(labels, column).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def auc(score: np.ndarray, label: np.ndarray) -> float:

@@ -1,10 +1,10 @@
 """Quality rules judged by an isolation forest on rule statistics.
 
-One pass computes the statistics of every whole text. The forest grows on a bounded sample of rows labelled good (of
-all rows where there are none): random splits of random features, also a little outside the sampled range, so few
-splits isolate an odd document even where odd documents are many and alike. The threshold on the mean path length is
-set on a bounded sample of labelled rows: as many bad rows as possible beyond it, at most CLEAN_LOSS of the good ones. Statistics
-go to disk between the passes, so the text is read once and nothing is shuffled but samples.
+One pass computes the statistics of every whole text. Each tree of the forest draws TREE_ROWS rows of its own from all that are
+labelled good (from all rows where there are none), as isolation trees do: random splits of random features, also a little outside
+the range of all these rows, so few splits isolate an odd document even where odd documents are many and alike. The threshold on the
+mean path length is set on all labelled rows: as many bad rows as possible beyond it, at most CLEAN_LOSS of the good
+ones. Statistics go to disk between the passes, so the text is read once; shuffled are the labelled rows' statistics.
 
 Defined results: null text is empty text, which fails the base rules; equal rows get equal results; without labels of
 both kinds only the base rules decide.
@@ -17,16 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import cut, gives_back, id_and_text
-from .labelled import training_labels
+from .labelled import all_training_labels
 
 SYMBOLS = "#*$%&|<>"
 _MARKED = re.compile(rb"[#*$%&|<>]").search
 SPACES = " \t\n\r\x0b\x0c"
-TREES, TREE_ROWS, FOREST_ROWS = 120, 256, 12_000
+TREES, TREE_ROWS = 120, 256
 CLEAN_LOSS = 0.004
 #: Splits may fall this share of a feature's range (or of LEAST_RANGE) outside it, which cuts off what no sampled row shows.
 MARGIN, LEAST_RANGE = 0.25, 0.05
@@ -90,14 +90,15 @@ def features(stats: np.ndarray) -> np.ndarray:
 class Forest:
     """Isolation trees in flat arrays; a leaf points at itself."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7):
+    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7, drawn: list[np.ndarray] | None = None):
+        """x: the rows to draw from; or, with rows drawn for each tree, any rows that span the range of all."""
         rng = np.random.default_rng(seed)
         self.feature, self.split, self.left, self.right, self.length, self.roots = [], [], [], [], [], []
-        deepest = int(np.ceil(np.log2(max(2, min(rows, len(x)))))) + 2
+        deepest = int(np.ceil(np.log2(max(2, min(rows, len(x) if drawn is None else max(map(len, drawn))))))) + 2
         self.depth = deepest
         self.margin = np.maximum(x.max(axis=0) - x.min(axis=0), LEAST_RANGE) * MARGIN
-        for _ in range(trees):
-            part = x[rng.choice(len(x), min(rows, len(x)), replace=False)]
+        for k in range(trees):
+            part = x[rng.choice(len(x), min(rows, len(x)), replace=False)] if drawn is None else drawn[k]
             self.roots.append(self._grow(part, 0, deepest, rng))
         for name in ("feature", "split", "left", "right", "length", "roots"):
             setattr(self, name, np.array(getattr(self, name)))
@@ -147,18 +148,73 @@ def base_failed(words, repeat):
     return (words < 50) | (100 * repeat > 50 * words)
 
 
+def grown(rows: DataFrame) -> Forest | None:
+    """A forest on rows (doc_id, BASE, MORE): each tree has the TREE_ROWS of all rows with the least hash of doc_id and tree; None for fewer than two rows."""
+    names = list(BASE + MORE)
+    count = rows.count()
+    if count < 2:
+        return None
+
+    @gives_back
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = features(np.stack([batch.column(c).to_numpy() for c in names], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*x.min(axis=0), *x.max(axis=0))], kinds)
+
+    width = len(features(np.zeros((1, len(names)), np.int64))[0])
+    kinds = [f"{end}{k}" for end in ("low", "high") for k in range(width)]
+    span = rows.select(*names).mapInArrow(ends, ", ".join(f"{k} double" for k in kinds))
+    span = span.agg(*(F.min(k) if k.startswith("low") else F.max(k) for k in kinds)).first()
+    # a row is looked at by a tree if its hash is low enough for some four times the rows that the tree takes
+    least = int(-(1 << 63) + min(1.0, 4 * TREE_ROWS / count) * ((1 << 64) - 1)) if count > 4 * TREE_ROWS else (1 << 63) - 1
+    trees = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64("doc_id", t) <= F.lit(least))
+    drawn = rows.select("doc_id", *names, F.explode(trees).alias("tree")).withColumn("h", F.xxhash64("doc_id", "tree"))
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("tree").orderBy("h", "doc_id", *names))).filter(F.col("k") <= TREE_ROWS)
+    held = drawn.orderBy("tree", "k").select("tree", *names).toPandas().to_numpy(np.int64)
+    own = np.split(features(held[:, 1:]), np.searchsorted(held[:, 0], np.arange(1, TREES)))
+    return Forest(np.array(span, float).reshape(2, width), drawn=own)
+
+
+def best_threshold(known: DataFrame, forest: Forest, loss: float = CLEAN_LOSS) -> float:
+    """threshold() over all rows of known (BASE, MORE, label): rows of one path length are counted together, counts run on over ranges of lengths."""
+    names = list(BASE + MORE)
+
+    @gives_back
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(forest.path(features(rows))), batch.column("label")], ["path", "label"])
+
+    counts = known.select(*names, "label").mapInArrow(paths, "path double, label int").groupBy("path").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(counts.repartitionByRange(parts, "path").withColumn("part", F.spark_partition_id()))
+    sums = sorted(tuple(r) for r in dealt.groupBy("part").agg(F.sum("good"), F.sum("bad")).collect())
+    n_good, n_bad = sum(s[1] for s in sums), sum(s[2] for s in sums)
+    if not n_good or not n_bad:
+        return -np.inf
+    before, so_far = {}, (0, 0)
+    for part, g, b in sums:
+        before[part] = so_far
+        so_far = so_far[0] + g, so_far[1] + b
+    earlier = known.sparkSession.createDataFrame([(part, g, b) for part, (g, b) in before.items()], "part int, more_good long, more_bad long")
+    run = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda n: F.coalesce(F.sum(n).over(run), F.lit(0)) + F.col(f"more_{n}")
+    at = dealt.join(F.broadcast(earlier), "part").select("path", (below("good") / n_good).alias("lost"), (below("bad") / n_bad).alias("caught"))
+    best = at.filter(F.col("lost") <= loss).agg(F.max(F.struct((F.col("caught") - F.col("lost")).alias("v"), (-F.col("path")).alias("p"))).alias("m")).first().m
+    last = dealt.filter(F.col("path") < -best.p).agg(F.max("path")).first()[0]
+    return -np.inf if last is None else float((last + -best.p) / 2)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, BASE, base_failed, path_length and kept of every row."""
     stats = cut(id_and_text(docs).mapInArrow(_statistics, STATS))
     names = list(BASE + MORE)
     passed = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    known = passed.join(F.broadcast(training_labels(labels, "quality")), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = known.select(*names, "label").limit(2 * FOREST_ROWS).toPandas().to_numpy(np.int64)
-    sample = known[known[:, -1] == 1][:, :-1]
-    if len(sample) < 2:
-        sample = passed.orderBy(F.xxhash64("doc_id"), "doc_id").select(*names).limit(FOREST_ROWS).toPandas().to_numpy(np.int64)
-    forest = Forest(features(sample)) if len(sample) > 1 else None
-    least = threshold(forest.path(features(known[:, :-1])), known[:, -1]) if forest is not None and len(known) else -np.inf
+    known = cut(passed.join(all_training_labels(labels, "quality"), "doc_id").select("doc_id", *names, "label"))
+    good = known.filter("label = 1").drop("label")
+    forest = grown(good if len(good.take(2)) == 2 else passed)
+    least = best_threshold(known, forest) if forest is not None else -np.inf
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

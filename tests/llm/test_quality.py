@@ -218,3 +218,22 @@ def test_word_vectors_against_plain_sums(spark):
     table = table / total[:, None] - table.sum(axis=0) / total.sum()
     table /= np.sqrt((table**2).sum(axis=1))[:, None]
     assert np.allclose(vectors[used], table, atol=1e-5) and not np.delete(vectors, used, axis=0).any()
+
+
+def test_threshold_and_trees_of_all_labelled_rows(spark, monkeypatch):
+    """More labelled rows than any sample held: the threshold is that of all of them, and trees draw from all."""
+    rng = np.random.default_rng(3)
+    n = 26_000
+    stats = np.stack([rng.integers(60, 400, n), rng.integers(300, 2400, n), rng.integers(0, 9, n), np.zeros(n), np.zeros(n), rng.integers(40, 60, n), rng.integers(0, 50, n), rng.integers(0, 5, n), rng.integers(0, 9, n)], axis=1).astype(np.int64)
+    label = (rng.random(n) < 0.9).astype(int)
+    stats[label == 0, 2] += rng.integers(0, 900, (label == 0).sum())
+    names = list(quality_rules.BASE + quality_rules.MORE)
+    frame = spark.createDataFrame([(k, *map(int, r), int(b)) for k, (r, b) in enumerate(zip(stats, label))], "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", label int")
+    forest = quality_rules.grown(frame.filter("label = 1").drop("label"))
+    assert len(forest.roots) == quality_rules.TREES and forest.margin.shape == (6,)
+    x = quality_rules.features(stats[label == 1])
+    assert np.allclose(forest.margin, np.maximum(x.max(axis=0) - x.min(axis=0), quality_rules.LEAST_RANGE) * quality_rules.MARGIN)
+    want = quality_rules.threshold(forest.path(quality_rules.features(stats)), label)
+    assert np.isfinite(want) and quality_rules.best_threshold(frame, forest) == want
+    assert quality_rules.best_threshold(frame.filter("label = 1"), forest) == -np.inf
+    assert quality_rules.grown(frame.limit(1).drop("label")) is None

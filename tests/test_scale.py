@@ -101,3 +101,12 @@ def test_grid_is_made_by_rows(spark):
             for j in range(ny):
                 want[s, i, j] = 1 if any(covers(b, s, i, j, nx, ny, 0.25) for b in blocks) else 0 if any(covers(b, s, i, j, nx, ny, -0.15) for b in rooms) else 2
     assert {(r.scene_id, r.i, r.j): r.state for r in found.collect()} == want and set(want.values()) == {0, 1, 2}
+
+
+def test_cells_of_lines_are_not_broadcast(spark, tmp_path):
+    """Lines and floors have far more cells than the rows they are made of; a line is clear where all its cells are floor."""
+    spark.createDataFrame([(0, k, 0, k % 5, 9, 4) for k in range(10)], "scene_id long, id long, i1 int, j1 int, i2 int, j2 int").write.parquet(str(tmp_path / "q"))
+    spark.createDataFrame([(0, i, j, 0 if (i, j) != (0, 1) else 1) for i in range(10) for j in range(5)], "scene_id long, i int, j int, state int").write.parquet(str(tmp_path / "g"))
+    seen = grid.sight(spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "g")), ("id",))
+    assert "Broadcast" not in plan(seen)
+    assert {r.id: r.clear for r in seen.collect()} == {k: k % 5 != 1 for k in range(10)}

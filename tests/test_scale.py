@@ -110,3 +110,27 @@ def test_cells_of_lines_are_not_broadcast(spark, tmp_path):
     seen = grid.sight(spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "g")), ("id",))
     assert "Broadcast" not in plan(seen)
     assert {r.id: r.clear for r in seen.collect()} == {k: k % 5 != 1 for k in range(10)}
+
+
+def test_components_store_and_shuffle_packed_floors(spark, monkeypatch):
+    """Up to 64 cells of a row are one row of what is cut and shuffled; labels as by going through the cells, past 64 too, and by rounds."""
+    rng = random.Random(6)
+    floor = sorted((s, i, j) for s in (0, 4) for i in range(3) for j in range(55, 75) if rng.random() < 0.6)
+    want, number = {}, {0: 0, 4: 0}
+    for cell in floor:
+        if cell not in want:
+            near, label = [cell], number[cell[0]]
+            number[cell[0]] += 1
+            while near:
+                s, i, j = at = near.pop()
+                if at not in want:
+                    want[at] = label
+                    near += [n for n in ((s, i + 1, j), (s, i - 1, j), (s, i, j + 1), (s, i, j - 1)) if n in floor]
+    cells = spark.createDataFrame([(*cell, 0) for cell in floor], "scene_id long, i int, j int, state int")
+    cuts = counted(monkeypatch, grid)
+    found = grid.components(cells)
+    assert cuts == [len({(s, i, j // 64) for s, i, j in floor})]
+    assert "j#" not in "".join(part.split(")")[0] for part in plan(found).split("hashpartitioning(")[1:]) and "Broadcast" not in plan(found)
+    assert {(r.scene_id, r.i, r.j): r.label for r in found.collect()} == want and len(set(want.values())) > 3
+    monkeypatch.setattr(grid, "LARGE_CELLS", 3)
+    assert {(r.scene_id, r.i, r.j): r.label for r in grid.components(cells).collect()} == want

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import folds, grid, polygon_cover
 from pathloom.operators.spatial import distance_join, points_in_boxes
-from pathloom.plans import geometry_queries, join_queries, path_queries
+from pathloom.plans import geometry_queries, graph_queries, join_queries, path_queries
 
 
 def plan(df) -> str:
@@ -144,3 +144,18 @@ def test_goals_of_paths_are_not_broadcast(spark, monkeypatch):
     found = path_queries.paths_doc(spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in plan(found)
     assert {r.source: r.goal_label for r in found.collect()} == {2: "object:3", 0: None}
+
+
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def sent(df, run: bool = False) -> list[str]:
+    """What a plan (run: as it ended) broadcasts, from the exchange down, but for what has one row a scene, and the rooms of the one floor plan (a product)."""
+    parts = [part.splitlines() for part in plan(df).split("== Initial Plan ==")[0 if run else -1].split("BroadcastExchange")[1:]]
+    return ["\n".join(p) for p in parts if "IdentityBroadcastMode" not in p[0] and "HashAggregate(keys=[scene_id" not in "".join(p[1:3])]
+
+
+def test_candidates_are_not_broadcast(spark):
+    """Waypoints, lines, walks, regions and paths meet by merges; only what has one row a scene is sent to all."""
+    assert not sent(graph_queries.sample_vln_paths(spark, SMALLEST))
+    assert not sent(graph_queries.seen_edges(spark, SMALLEST))

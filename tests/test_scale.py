@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import folds, grid, polygon_cover
 from pathloom.operators.spatial import distance_join, points_in_boxes
-from pathloom.plans import geometry_queries, graph_queries, join_queries, path_queries
+from pathloom.plans import geometry_queries, graph_queries, grid_queries, join_queries, path_queries
 
 
 def plan(df) -> str:
@@ -159,3 +159,32 @@ def test_candidates_are_not_broadcast(spark):
     """Waypoints, lines, walks, regions and paths meet by merges; only what has one row a scene is sent to all."""
     assert not sent(graph_queries.sample_vln_paths(spark, SMALLEST))
     assert not sent(graph_queries.seen_edges(spark, SMALLEST))
+
+
+def two_scenes(spark):
+    """Labelled floors of 5 x 4 and 3 x 3 cells, one cell of the first is missing, and questions between their corners."""
+    cells = [(s, i, j, 0) for s, ni, nj in ((0, 5, 4), (1, 3, 3)) for i in range(ni) for j in range(nj) if (s, i, j) != (0, 2, 1)]
+    asked = [(s, q, 0, 0, i, j) for s, q, i, j in ((0, 7, 4, 1), (1, 8, 2, 2), (1, 9, 0, 0))]
+    return spark.createDataFrame(cells, "scene_id long, i int, j int, label int"), spark.createDataFrame(asked, "scene_id long, q long, i1 int, j1 int, i2 int, j2 int")
+
+
+def test_searches_take_all_tasks(spark):
+    """Packed floors have few bytes: groups are dealt to as many tasks as the session shuffles to, with paths as before."""
+    labelled, asked = two_scenes(spark)
+    found = grid.grid_paths(asked, labelled, 0.5, with_path=True)
+    ends = spark.createDataFrame([(s, "both", i, 0, i, 0) for s, n in ((0, 5), (1, 3)) for i in range(n)], "scene_id long, role string, id long, pt int, i int, j int")
+    pairs = grid.nearest_pairs(ends, labelled, 0.5)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.rdd.getNumPartitions() == pairs.rdd.getNumPartitions() == parts > 1
+    assert {r.q: (round(r.distance, 6), [tuple(c) for c in r.path]) for r in found.collect()} == {
+        7: (2.207107, [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1)]), 8: (1.414214, [(0, 0), (1, 1), (2, 2)]), 9: (0.0, [(0, 0)])}
+    assert {(r.scene_id, r.from_id, r.to_id): r.length for r in pairs.collect()} == {(s, a, b): abs(a - b) * 0.5 for s, n in ((0, 5), (1, 3)) for a in range(n) for b in range(n)}
+
+
+def test_questions_are_not_broadcast(spark, monkeypatch):
+    """Places of waypoints and their labels meet by merges, however few they turn out to be."""
+    asked, own = [], grid.cut
+    monkeypatch.setattr(grid, "cut", lambda df: (asked.append(df), own(df))[1])
+    assert grid_queries.astar_path(spark, SMALLEST).count()
+    questions = next(df for df in asked if "q" in df.columns)
+    assert questions.collect() and not sent(questions, run=True)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import folds, grid, polygon_cover
+from pathloom.operators import folds, graph, grid, polygon_cover
 from pathloom.operators.spatial import distance_join, points_in_boxes
 from pathloom.plans import geometry_queries, graph_queries, grid_queries, join_queries, path_queries
 
@@ -188,3 +188,17 @@ def test_questions_are_not_broadcast(spark, monkeypatch):
     assert grid_queries.astar_path(spark, SMALLEST).count()
     questions = next(df for df in asked if "q" in df.columns)
     assert questions.collect() and not sent(questions, run=True)
+
+
+def test_walks_and_their_lengths_take_all_tasks(spark):
+    """Groups of a scene's edges are dealt likewise; a walk's length needs distances only, so no paths are made for it."""
+    points = spark.createDataFrame([(s, k, f"room_{k}" if k % 2 else None) for s in (0, 3) for k in range(4)], "scene_id long, idx long, room string")
+    web = graph.both_ways(spark.createDataFrame([(s, k, k + 1, 1.5) for s in (0, 3) for k in range(3)], "scene_id long, i long, j long, d double"))
+    pairs, walks = graph.all_pairs(points.select("scene_id", "idx"), web, paths=False), folds.walks(web.select("scene_id", "i", "j"), points, 42)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert pairs.rdd.getNumPartitions() == walks.rdd.getNumPartitions() == parts > 1
+    lengths = graph_queries._walk_lengths(walks, pairs)
+    assert {(r.scene_id, r.walk): r.distance for r in lengths.collect()} == {(r.scene_id, r.walk): 1.5 * (len(r.path) - 1) for r in walks.collect()}
+    shown = plan(graph_queries.walk_distance(spark, SMALLEST)).split("== Initial Plan ==")[-1]
+    assert "path array<bigint>" not in shown and shown.count("FlatMapCoGroupsInArrow") == shown.count("FlatMapCoGroupsInPandas") == 1
+    assert not sent(graph_queries.walk_distance(spark, SMALLEST))

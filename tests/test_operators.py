@@ -310,3 +310,18 @@ def test_writers(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "meta")).collect()) == ["a: b", "c: d", "e: f"]
     scene.write_documents(lines, str(tmp_path / "docs"))
     assert spark.read.json(str(tmp_path / "docs")).count() == 3
+
+
+def test_fallback_connectivity_reaches_as_far_as_its_threshold(spark):
+    """Every pair in sight and at most 5 apart in space, those more than 3 apart on the floor included."""
+    sf, q = "/root/testdata/sf0.001", path_queries.Q
+    free = {(r.scene_id, r.i, r.j) for r in q.grid(spark, sf).filter("state = 0").collect()}
+    points = path_queries.view(spark, sf, "v_waypoints").join(q.in_cells(spark, sf), ["scene_id", "idx"]).collect()
+    near = [(a, b) for a in points for b in points if a.scene_id == b.scene_id and a.idx < b.idx and math.dist((a.x, a.y, a.z), (b.x, b.y, b.z)) <= 5]
+    lines = spark.createDataFrame([(a.scene_id, a.idx, b.idx, a.i, a.j, b.i, b.j) for a, b in near], "s long, a long, b long, i1 int, j1 int, i2 int, j2 int")
+    seen = lines.select("s", "a", "b", grid.bresenham(*(F.col(n) for n in ("i1", "j1", "i2", "j2"))).alias("line")).collect()
+    want = {p for r in seen if all((r.s, cell.i, cell.j) in free for cell in r.line) for p in ((r.a, r.b), (r.b, r.a))}
+    at = {r.idx: (r.x, r.y) for r in points}
+    assert any(math.dist(at[a], at[b]) > 3 for a, b in want)
+    found = [(r.i, r.j) for r in path_queries.J.fallback_connectivity(spark, sf).collect()]
+    assert len(found) == len(set(found)) and set(found) == want

@@ -1,7 +1,10 @@
 """What joins, rounds and grids must keep when tables are large: no side that repeats its rows goes through the driver, few rounds, even tasks."""
 
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +205,39 @@ def test_walks_and_their_lengths_take_all_tasks(spark):
     shown = plan(graph_queries.walk_distance(spark, SMALLEST)).split("== Initial Plan ==")[-1]
     assert "path array<bigint>" not in shown and shown.count("FlatMapCoGroupsInArrow") == shown.count("FlatMapCoGroupsInPandas") == 1
     assert not sent(graph_queries.walk_distance(spark, SMALLEST))
+
+
+def test_small_groups_are_handed_over_together(spark):
+    """Many rooms take one hand-over, not one each; groups that end within a batch, at its end or beyond it stay whole."""
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 12) for _ in range(40)]
+    rows = [(g, k // 4, k % 4, k // 4 * 0.5, k % 4 * 0.5, 1.0, 1 + g % 3) for g, n in enumerate(sizes) for k in range(n)]
+    cells = spark.createDataFrame(rows, "g long, i int, j int, x double, y double, weight double, most int").repartition(3)
+    want = set()
+    for g, n in enumerate(sizes):
+        own, held = [r for r in rows if r[0] == g], []
+        for k in np.random.default_rng(42).permutation(n):
+            if len(held) < 1 + g % 3 and all(math.dist(own[k][3:5], o[3:5]) >= 0.9 for o in held):
+                held.append(own[k])
+        want |= {r[:3] for r in held}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = folds.weighted_cells(cells, "g", 0.9, None, 42, tries=None)
+        assert "FlatMapGroups" not in plan(found) and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert {(r.g, r.i, r.j) for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_groups_stay_whole_after_a_join_by_their_keys(spark):
+    """A join that deals rows by the same keys may become one that deals nothing: groups are dealt all the same."""
+    rows = spark.createDataFrame([(k % 5, k) for k in range(60)], "k long, o long").repartition(4)
+    few = spark.createDataFrame([(k,) for k in range(5)], "k long")
+    both = rows.join(few, "k", "left_semi").unionByName(rows.join(few, "k", "left_semi"))
+
+    def run(batches):
+        for table, ends in folds.whole_groups(batches, ["k"]):
+            yield pa.RecordBatch.from_arrays([pa.array(ends[1:] - ends[:-1])], ["n"])
+
+    assert [r.n for r in folds.by_groups(both, ["k"], ["o"]).mapInArrow(run, "n long").collect()] == [24] * 5

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import folds, graph, grid, polygon_cover
+from pathloom.operators import folds, graph, grid, polygon_cover, spatial
 from pathloom.operators.spatial import distance_join, points_in_boxes
 from pathloom.plans import geometry_queries, graph_queries, grid_queries, join_queries, path_queries
 
@@ -285,3 +285,17 @@ def test_region_paths_make_the_floor_once(spark, monkeypatch):
     cuts, own_cut = [], join_queries.cut
     monkeypatch.setattr(join_queries, "cut", lambda df: (cuts.append(df), own_cut(df))[1])
     assert join_queries.starts(spark, SMALLEST).count() and not cuts
+
+
+def test_circles_are_not_repeated(spark):
+    """Points of all sizes of circles, on their edges too; a circle is one row until it meets its points."""
+    rng = random.Random(9)
+    circles = [(k, rng.uniform(-3, 3), rng.uniform(-3, 3), rng.choice([0.0, 0.01, 0.5, 1.0, 1.3, 2.0, 5.0])) for k in range(60)] + [(60, 0.5, 0.5, -1.0), (61, 0.0, 0.0, 2.0), (62, 0.0, 0.0, 2.0)]
+    points = [(k, rng.uniform(-4, 4), rng.uniform(-4, 4)) for k in range(150)] + [(200 + k, *circles[k][1:3]) for k in range(20)] + [(300, 2.0, 0.0), (301, -2.0, 0.0), (302, 0.0, -2.0)]
+    found = spatial.points_in_circles(spark.createDataFrame(points, "idx long, x double, y double"), spark.createDataFrame(circles, "id long, cx double, cy double, r double"))
+    node = found._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert "Generate" not in node.left().toString() and "Generate" in node.right().toString()
+    want = sorted((p, k) for p, x, y in points for k, cx, cy, r in circles if math.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) <= r)
+    assert sorted((r.idx, r.id) for r in found.collect()) == want and {(300, 61), (301, 62), (302, 61)} < set(want)

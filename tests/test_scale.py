@@ -299,3 +299,24 @@ def test_circles_are_not_repeated(spark):
     assert "Generate" not in node.left().toString() and "Generate" in node.right().toString()
     want = sorted((p, k) for p, x, y in points for k, cx, cy, r in circles if math.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) <= r)
     assert sorted((r.idx, r.id) for r in found.collect()) == want and {(300, 61), (301, 62), (302, 61)} < set(want)
+
+
+def test_equal_boxes_are_judged_once(spark, monkeypatch):
+    """Boxes that lie in the same place meet a segment as one row and come apart in the result, in parts of few."""
+    monkeypatch.setattr(geometry_queries, "EQUAL_BOXES", 3)
+    rng = random.Random(4)
+    places = [(x, y, x + rng.uniform(0, 3), y + rng.uniform(0, 3)) for x, y in ((rng.uniform(-6, 6), rng.uniform(-6, 6)) for _ in range(12))]
+    boxes = [(k, *places[k * k % 12]) for k in range(50)]
+    ends = [(1, k, *(rng.uniform(-7, 7) for _ in range(4))) for k in range(40)]
+    names = "path_id long, seq long, x double, y double, nx double, ny double"
+    b = spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double")
+    found = geometry_queries.blocked_segments(spark.createDataFrame(ends, names), b)
+    node = found._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert "Aggregate [x0" in node.right().toString() and "Broadcast" not in plan(found)
+    every = spark.createDataFrame([(*e, *v) for e in ends for v in boxes], names + ", id long, x0 double, y0 double, x1 double, y1 double")
+    want = every.filter(geometry_queries.G.segment_hits_box(*(F.col(n) for n in ("x", "y", "nx", "ny", "x0", "y0", "x1", "y1")))).select("seq", "id")
+    assert sorted((r.seq, r.id) for r in found.select("seq", "id").collect()) == sorted((r.seq, r.id) for r in want.collect()) and want.count() > 100
+    named = geometry_queries.blocked_segments(spark.createDataFrame(ends, names), b.withColumn("kind", F.col("id") % 3))
+    assert sorted((r.seq, r.id, r.kind) for r in named.collect()) == sorted((r.seq, r.id, r.id % 3) for r in want.collect())
